@@ -55,6 +55,29 @@ def span_edit(src_tok, tgt_tok) -> Column:
     return F.when(s.isNull() | t.isNull() | same, F.lit(None).cast(EDIT_DDL)).otherwise(edit)
 
 
+def substitution_edits(src_tok, tgt_tok) -> Column:
+    """One-token replacement edits where two equal-length token arrays differ."""
+    pairs = F.zip_with(_c(src_tok), _c(tgt_tok), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    cand = F.transform(pairs, lambda pr, i: F.when(
+        pr["x"] != pr["y"], F.struct(i.cast("int").alias("o_start"), (i + 1).cast("int").alias("o_end"),
+                                     pr["y"].alias("c_str"), F.lit("R").alias("type"))))
+    return F.filter(cand, lambda e: e.isNotNull())
+
+
+def aligned_edits(src_tok, tgt_tok) -> Column:
+    """Token edits of src -> tgt: substitutions when the lengths agree,
+    otherwise the single trimmed span edit (R-08)."""
+    s, t = _c(src_tok), _c(tgt_tok)
+    return F.when(F.size(s) == F.size(t), substitution_edits(s, t)) \
+            .otherwise(as_edit_array(span_edit(s, t)))
+
+
+def edit_key_strings(edits) -> Column:
+    """'start|end|c_str|type' per edit (for display and SQL comparison)."""
+    return F.transform(_c(edits), lambda e: F.format_string(
+        "%d|%d|%s|%s", e["o_start"], e["o_end"], e["c_str"], e["type"]))
+
+
 def as_edit_array(edit) -> Column:
     """Single (nullable) edit -> array of 0 or 1 edits."""
     e = _c(edit)

@@ -103,18 +103,17 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
                    prediction="prediction", target="target_text",
                    tokenizer: str = "portable") -> DataFrame:
     """M-10 (grammar): total, exact matches, accuracy, GLEU x100 and micro edit
-    P/R/F0.5 (edits = the span edit of each side, R-08/R-09)."""
-    from redline.operators.edits import as_edit_array, edit_confusion_counts, span_edit
+    P/R/F0.5 (edits = aligned token edits of each side vs the source, R-08/R-09)."""
+    from redline.operators.edits import aligned_edits, edit_confusion_counts
 
-    s_tok = tokens(source, tokenizer)
     rows = df.select(
         *group_cols,
         exact_match(prediction, target).alias("_em"),
         F.col(source).alias("_src"), F.col(prediction).alias("_pred"), F.col(target).alias("_tgt"),
         tokens(prediction, tokenizer).alias("_p"), tokens(target, tokenizer).alias("_r"))
     valid = F.col("_src").isNotNull() & F.col("_pred").isNotNull() & F.col("_tgt").isNotNull()
-    rows = rows.select("*", as_edit_array(span_edit(words("_src"), words("_pred"))).alias("_he"),
-                       as_edit_array(span_edit(words("_src"), words("_tgt"))).alias("_re"))
+    rows = rows.select("*", aligned_edits(words("_src"), words("_pred")).alias("_he"),
+                       aligned_edits(words("_src"), words("_tgt")).alias("_re"))
     tp, fp, fn = edit_confusion_counts("_he", "_re")
     gleu_row = F.when(F.col("_p").isNull() | F.col("_r").isNull(), F.lit(0.0)) \
                 .otherwise(gleu("_p", "_r"))
@@ -130,4 +129,4 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
         *group_cols, "total_examples", "exact_matches",
         F.try_divide(F.col("exact_matches") * F.lit(100.0), F.col("total_examples"))
         .alias("exact_match_accuracy"),
-        "gleu_score", *micro_prf(F.col("_tp"), F.col("_fp"), F.col("_fn")))
+        "gleu_score", *micro_prf(F.col("_tp"), F.col("_fp"), F.col("_fn")), "_tp", "_fp", "_fn")

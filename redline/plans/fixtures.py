@@ -15,6 +15,7 @@ from redline.functions.text import word_count, words
 from redline.session import read_table, spread
 
 RULE_MODELS = ("identity", "drop_last", "swap")
+EDIT_MODELS = ("identity", "drop_last", "swap", "fix_first")
 
 
 def rule_prediction(model: str, col) -> Column:
@@ -27,6 +28,10 @@ def rule_prediction(model: str, col) -> Column:
         return F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), " ")
     if model == "swap":
         return F.replace(c, F.lit(" and "), F.lit(" or "))
+    if model == "fix_first":
+        pos = F.instr(c, " the ")
+        return F.when(pos > 0, F.concat(c.substr(F.lit(1), pos - 1), F.lit(" a "),
+                                        c.substr(pos + 5, F.lit(1 << 30)))).otherwise(c)
     raise ValueError(f"unknown rule model {model!r}")
 
 

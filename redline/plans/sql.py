@@ -59,6 +59,10 @@ def rule_prediction(model: str, x: str = "line") -> str:
         return f"array_to_string(({w})[1:greatest(len({w}) - 1, 0)], ' ')"
     if model == "swap":
         return f"replace({x}, ' and ', ' or ')"
+    if model == "fix_first":
+        pos = f"strpos({x}, ' the ')"
+        return (f"(CASE WHEN {pos} > 0 THEN substring({x}, 1, {pos} - 1) || ' a ' || substring({x}, {pos} + 5) "
+                f"ELSE {x} END)")
     raise ValueError(model)
 
 
@@ -168,3 +172,35 @@ def readability(x: str) -> tuple[str, str]:
     fkgl = (f"coalesce(CASE WHEN {w} > 0 THEN {pt.FKGL_WPS}::DOUBLE * ({w} / {s}) + {pt.FKGL_SPW}::DOUBLE * ({y} / {w}) "
             f"- {pt.FKGL_BASE}::DOUBLE ELSE 0.0 END, 0.0)")
     return fre, fkgl
+
+
+def _edit_fmt_key(st, en, c, t):
+    return f"{st}::VARCHAR || '|' || {en}::VARCHAR || '|' || {c} || '|' || {t}"
+
+
+def m2_line_fmt(coder: int):
+    def fmt(st, en, c, t):
+        return (f"'A ' || {st}::VARCHAR || ' ' || {en}::VARCHAR || '|||' || {t} || '|||' || {c} "
+                f"|| '|||REQUIRED|||-NONE-|||{coder}'")
+    return fmt
+
+
+def span_edit_key(a: str, b: str, fmt=_edit_fmt_key) -> str:
+    """List with the single trimmed span edit of token lists a -> b (columns),
+    rendered by `fmt` (default 'start|end|c_str|type'); empty when equal."""
+    m = f"least(len({a}), len({b}))"
+    p = (f"coalesce(list_position(list_transform(range(1, {m} + 1), lambda i: {a}[i] = {b}[i]), false) - 1, {m})")
+    ra, rb = f"list_reverse({a})", f"list_reverse({b})"
+    sfx = (f"coalesce(list_position(list_transform(range(1, {m} + 1), lambda i: {ra}[i] = {rb}[i]), false) - 1, {m})")
+    q_ = f"least({sfx}, {m} - {p})"
+    c_str = f"array_to_string({b}[{p} + 1:len({b}) - {q_}], ' ')"
+    o_end = f"(len({a}) - {q_})"
+    typ = f"(CASE WHEN {p} = {o_end} THEN 'M' WHEN {c_str} = '' THEN 'U' ELSE 'R' END)"
+    return f"(CASE WHEN {p} = len({a}) AND {p} = len({b}) THEN []::VARCHAR[] ELSE [{fmt(p, o_end, c_str, typ)}] END)"
+
+
+def aligned_edit_keys(a: str, b: str, fmt=_edit_fmt_key) -> str:
+    """Substitution edits where lengths agree, else the span edit."""
+    subs = (f"list_transform(list_filter(range(1, len({a}) + 1), lambda i: {a}[i] <> {b}[i]), "
+            f"lambda i: {fmt('(i - 1)', 'i', f'{b}[i]', chr(39) + 'R' + chr(39))})")
+    return f"(CASE WHEN len({a}) = len({b}) THEN {subs} ELSE {span_edit_key(a, b, fmt)} END)"
