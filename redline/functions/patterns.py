@@ -73,6 +73,11 @@ READABILITY_USER_TEMPLATE = """Simplify the following text to make it more reada
 
 Simplified text:"""
 
+# Personal-data patterns for masking (no \b: word boundaries differ between engines).
+EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE_RE = r"\+?[0-9][0-9 ()-]{7,}[0-9]"
+POSTCODE_RE = r"[A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}"
+
 # Token-chunking and encoding defaults.
 CHUNK_MAX_LENGTH = 512
 CHUNK_STRIDE = 256
