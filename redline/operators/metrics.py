@@ -130,3 +130,38 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
         F.try_divide(F.col("exact_matches") * F.lit(100.0), F.col("total_examples"))
         .alias("exact_match_accuracy"),
         "gleu_score", *micro_prf(F.col("_tp"), F.col("_fp"), F.col("_fn")), "_tp", "_fp", "_fn")
+
+
+def stage_improvement(stage_metrics: DataFrame, metrics, partition_cols=(), order_col: str = "stage") -> DataFrame:
+    """W-02: per stage, the step delta (lag) and the cascade's total
+    improvement = last - first, for each metric; NULL for a single stage."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*partition_cols).orderBy(order_col)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count(F.lit(1)).over(whole)
+    cols = []
+    for m in metrics:
+        cols.append((F.col(m) - F.lag(m).over(w)).alias(f"{m}_step"))
+        cols.append(F.when(n > 1, F.last(m).over(whole) - F.first(m).over(whole)).alias(f"{m}_improvement"))
+    return stage_metrics.select("*", *cols)
+
+
+def cascade_report(stage_metrics: DataFrame, metrics, order_col: str = "stage") -> DataFrame:
+    """K-04: one row, nested JSON {all_stages, final_metrics, improvement}."""
+    stages = F.array_sort(F.collect_list(F.struct(order_col, *metrics)))
+    rep = stage_metrics.groupBy().agg(stages.alias("all_stages"))
+    last = F.element_at("all_stages", -1)
+    first = F.element_at("all_stages", 1)
+    improvement = F.when(F.size("all_stages") > 1, F.struct(
+        *[(last[m] - first[m]).alias(f"{m}_improvement") for m in metrics]))
+    return rep.select(F.size("all_stages").alias("n_stages"), last[order_col].alias("final_stage"),
+                      F.to_json(F.struct("all_stages", last.alias("final_metrics"),
+                                         improvement.alias("improvement"))).alias("report_json"))
+
+
+def leaderboard(metrics_table: DataFrame, dataset_col: str, score_col: str) -> DataFrame:
+    """I-04: rank models within each dataset by a score (the input is the
+    small per-(model, dataset) metrics table)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(dataset_col).orderBy(F.col(score_col).desc(), F.col("model"))
+    return metrics_table.withColumn("rank", F.rank().over(w))
