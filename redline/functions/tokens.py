@@ -102,7 +102,7 @@ def value_counts(arr) -> Column:
         return F.when(n == 0, F.array().cast("array<struct<v:string,c:int>>")) \
                 .otherwise(let(starts, with_starts))
 
-    return let(F.array_sort(_c(arr)), counted)
+    return let(F.sort_array(_c(arr)), counted)
 
 
 def multiset_overlap(a, b) -> Column:
@@ -118,7 +118,7 @@ def multiset_overlap(a, b) -> Column:
             y.isNotNull() & (x["v"] == y["v"]), F.least(x["c"], y["c"])).otherwise(F.lit(0)))
         return F.aggregate(pair_min, F.lit(0).cast("long"), lambda acc, v: acc + v)
 
-    return let(F.array_sort(F.concat(value_counts(a), value_counts(b))), total)
+    return let(F.sort_array(F.concat(value_counts(a), value_counts(b))), total)
 
 
 def token_set(col) -> Column:

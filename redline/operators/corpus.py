@@ -107,4 +107,4 @@ def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols) -> Da
     x = df.select(*key_cols, F.posexplode(col).alias("pos", "token"))
     j = x.join(vocab, "token", "left")
     return j.groupBy(*key_cols).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))

@@ -133,7 +133,7 @@ def apply_edits(src, edits, mode: str = "reference") -> Column:
             e.alias("e")))
     else:
         raise ValueError("mode must be 'reference' or 'safe'")
-    ordered = F.transform(F.array_sort(keyed), lambda x: x["e"])
+    ordered = F.transform(F.sort_array(keyed), lambda x: x["e"])
 
     def step(t, e):
         repl = F.when(e["c_str"].isin(*pt.M2_DELETE_MARKERS), F.array().cast("array<string>")) \
@@ -152,7 +152,7 @@ def corrected_spans(edits) -> Column:
     len(cor) - (o_end - o_start) over the preceding edits (a fold that carries
     the running offset)."""
     ordered = F.transform(
-        F.array_sort(F.transform(_c(edits), lambda e: F.struct(
+        F.sort_array(F.transform(_c(edits), lambda e: F.struct(
             e["o_start"].alias("k1"), e["o_end"].alias("k2"), e.alias("e")))),
         lambda x: x["e"])
     out_type = "array<struct<o_start:int,o_end:int,c_str:string,type:string,cor_start:int,cor_end:int>>"
@@ -188,7 +188,7 @@ def m2_block(src_tok, coder_edits) -> Column:
 
     coder_edits: ARRAY<STRUCT<coder INT, edits ARRAY<EDIT>>>."""
     per_coder = F.transform(
-        F.array_sort(_c(coder_edits)),
+        F.sort_array(_c(coder_edits)),
         lambda ce: F.when(F.size(ce["edits"]) == 0,
                           F.concat(F.lit(pt.M2_NOOP_PREFIX), ce["coder"].cast("string")))
         .otherwise(F.array_join(F.transform(ce["edits"], lambda e: m2_edit_line(e, ce["coder"])), "\n")))

@@ -148,7 +148,7 @@ def stage_improvement(stage_metrics: DataFrame, metrics, partition_cols=(), orde
 
 def cascade_report(stage_metrics: DataFrame, metrics, order_col: str = "stage") -> DataFrame:
     """K-04: one row, nested JSON {all_stages, final_metrics, improvement}."""
-    stages = F.array_sort(F.collect_list(F.struct(order_col, *metrics)))
+    stages = F.sort_array(F.collect_list(F.struct(order_col, *metrics)))
     rep = stage_metrics.groupBy().agg(stages.alias("all_stages"))
     last = F.element_at("all_stages", -1)
     first = F.element_at("all_stages", 1)
