@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions import patterns as pt
+from redline.functions.hof import let as _let
 from redline.functions.text import words
 
 EDIT_DDL = "struct<o_start:int,o_end:int,c_str:string,type:string>"
@@ -229,3 +230,56 @@ def split_m2_blocks(text) -> Column:
     parts = F.split(_c(text), r"\n(?=S )|\n{2,}")
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\n+|\n+$", "")),
                     lambda p: p.startswith("S "))
+
+
+# Fixed value: characters that count as sentence-final / correction-final punctuation.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SENT_END_TOKEN = r"[.!?]$"
+
+
+def sentence_spans(tok) -> Column:
+    """C-06: split a token array into sentences at tokens ending in . ! or ?
+    (the paragraph end closes the last one): ARRAY<STRUCT<sent_no, s_start,
+    s_end, is_last>> with token offsets [s_start, s_end)."""
+    def spans(t: Column) -> Column:
+        n = F.size(t)
+        ends = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(_SENT_END_TOKEN), i + 1)),
+                        lambda e: e.isNotNull())
+        ends = F.when((F.size(ends) == 0) | (F.element_at(ends, -1) < n), F.concat(ends, F.array(n))) \
+                .otherwise(ends)
+
+        def build(en: Column) -> Column:
+            starts = F.concat(F.array(F.lit(0)), F.slice(en, 1, F.greatest(F.size(en) - 1, F.lit(0))))
+            return F.zip_with(starts, en, lambda s, e: F.struct(s.alias("s_start"), e.alias("s_end")))
+        pairs = _let(ends, build)
+        return F.when(n == 0, F.array().cast("array<struct<sent_no:int,s_start:int,s_end:int,is_last:boolean>>")) \
+                .otherwise(_let(pairs, lambda ps: F.transform(ps, lambda p, i: F.struct(
+                    i.cast("int").alias("sent_no"), p["s_start"].cast("int").alias("s_start"),
+                    p["s_end"].cast("int").alias("s_end"), (i == F.size(ps) - 1).alias("is_last")))))
+    return _let(_c(tok), spans)
+
+
+def assign_to_sentences(edits: DataFrame, sents: DataFrame, keys) -> DataFrame:
+    """J-07: token edits -> the sentence they belong to, offsets rebased.
+
+    Inside [s_start, s_end) and ending by s_end: that sentence. Starting
+    inside but ending past s_end: dropped (cross-boundary). An insertion at
+    s_end belongs to that sentence if it is the last one, the correction is
+    empty or ends in punctuation; otherwise to the next sentence. Equi-join on
+    the paragraph keys plus the interval condition."""
+    e, s = edits.alias("e"), sents.alias("s")
+    eq = None
+    for k in keys:
+        c = F.col(f"e.{k}") == F.col(f"s.{k}")
+        eq = c if eq is None else eq & c
+    st, en, cor = F.col("e.o_start"), F.col("e.o_end"), F.coalesce(F.col("e.c_str"), F.lit(""))
+    punct_final = F.substring(cor, -1, 1).isin(*list(PUNCTUATION))
+    attach_prev = (cor == "") | punct_final
+    ins_at_start = (st == en) & (st == F.col("s.s_start")) & (F.col("s.sent_no") > 0)
+    inside = (st >= F.col("s.s_start")) & (st < F.col("s.s_end")) & (en <= F.col("s.s_end")) \
+        & ~(ins_at_start & attach_prev)
+    at_end = (st == en) & (st == F.col("s.s_end")) & (F.col("s.is_last") | attach_prev)
+    j = e.join(s, eq & (inside | at_end), "inner")
+    keep = [F.col(f"e.{c}") for c in edits.columns if c not in ("o_start", "o_end")]
+    return j.select(*keep, F.col("s.sent_no"), (st - F.col("s.s_start")).alias("o_start"),
+                    (en - F.col("s.s_start")).alias("o_end"))

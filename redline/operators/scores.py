@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from redline.functions.hof import let
 from redline.functions.text import strip
-from redline.functions.tokens import multiset_overlap, ngrams, tokens
+from redline.functions.tokens import multiset_overlap, ngram_overlap_arrow, ngram_total, ngrams, tokens
 
 NULL_POLICIES = ("zero", "skip", "literal_nan", "fail")
 
@@ -32,9 +32,18 @@ def _n(arr: Column) -> Column:
 # Column-level formulas over token arrays
 # --------------------------------------------------------------------------
 
-def gleu(hyp_tok, ref_tok, min_n: int = 1, max_n: int = 4) -> Column:
+def gleu(hyp_tok, ref_tok, min_n: int = 1, max_n: int = 4, method: str = "arrow") -> Column:
     """R-01 sentence GLEU for one reference:
-    sum_g min(c_hyp(g), c_ref(g)) / max(|ngrams(hyp)|, |ngrams(ref)|); 0 if both empty."""
+    sum_g min(c_hyp(g), c_ref(g)) / max(|ngrams(hyp)|, |ngrams(ref)|); 0 if both empty.
+
+    method='arrow' counts the overlap in an Arrow-batched helper (default,
+    fastest measured); method='builtin' stays in the JVM (sorted run-length
+    counts with higher-order functions). Both are in-row: no shuffle."""
+    if method == "arrow" and (min_n, max_n) == (1, 4):
+        h, r = _c(hyp_tok), _c(ref_tok)
+        n_all = F.greatest(ngram_total(h), ngram_total(r))
+        return F.when(n_all > 0, ngram_overlap_arrow(h, r) / n_all.cast("double")).otherwise(F.lit(0.0))
+
     def score(h: Column, r: Column) -> Column:
         n_all = F.greatest(F.size(h), F.size(r))
         return F.when(n_all > 0, multiset_overlap(h, r) / n_all.cast("double")).otherwise(F.lit(0.0))

@@ -67,6 +67,8 @@ def spread(df: DataFrame) -> DataFrame:
     A large input already has >= defaultParallelism file splits, and then this
     is a no-op (no shuffle at scale). Only an input with fewer splits than
     cores (a single small file) is redistributed round-robin, once."""
+    if df.isStreaming:
+        return df
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
     if df.rdd.getNumPartitions() < target:

@@ -1 +1,18 @@
 """Readers."""
+
+from redline.sources.readers import (
+    PANDAS_NA,
+    nonblank,
+    parse_essays,
+    read_documents,
+    read_essays,
+    read_m2,
+    read_nested_refs,
+    read_sentences,
+    read_triples,
+    require_columns,
+    route_files,
+)
+
+__all__ = ["PANDAS_NA", "nonblank", "parse_essays", "read_documents", "read_essays", "read_m2",
+           "read_nested_refs", "read_sentences", "read_triples", "require_columns", "route_files"]
