@@ -59,20 +59,40 @@ def _plan(df):
 
 
 def test_scorers_have_no_python_and_no_shuffle(spark):
-    from redline.operators.scores import score_triples
+    from pyspark.sql import functions as F
+
+    from redline.functions.tokens import tokens
+    from redline.operators.scores import gleu, score_triples
     from redline.plans.fixtures import triples
-    df = score_triples(triples(spark, SF), metrics=("gleu", "sari_recall", "sari_f1"))
-    plan = _plan(df)
-    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    sari = _plan(score_triples(triples(spark, SF), metrics=("sari_recall", "sari_f1")))
+    assert "ArrowEvalPython" not in sari and "BatchEvalPython" not in sari
+    t = triples(spark, SF)
+    builtin = _plan(t.select(gleu(tokens("prediction"), tokens("target_text"), method="builtin").alias("g")))
+    assert "ArrowEvalPython" not in builtin and "BatchEvalPython" not in builtin
+    arrow = _plan(score_triples(t, metrics=("gleu",)))
+    assert "BatchEvalPython" not in arrow  # Arrow batches, never row-at-a-time
     # The only exchange allowed is the round-robin spread of a one-file input.
-    assert "hashpartitioning" not in plan
+    for plan in (sari, builtin, arrow):
+        assert "hashpartitioning" not in plan
+    _ = F
+
+
+def test_gleu_methods_agree(spark):
+    from pyspark.sql import functions as F
+
+    from redline.functions.tokens import tokens
+    from redline.operators.scores import gleu
+    from redline.plans.fixtures import turn_triples
+    t = turn_triples(spark, SF).select(tokens("prediction").alias("p"), tokens("target_text").alias("r"))
+    d = t.select(F.max(F.abs(gleu("p", "r") - gleu("p", "r", method="builtin"))).alias("d")).first().d
+    assert d < 1e-12
 
 
 def test_scan_prunes_columns(spark):
     df = E.queries()["length_compression"](spark, SF)
     plan = _plan(df)
-    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,text:string>" in plan
-    assert "n_chars" not in plan.split("ReadSchema")[1].split(">")[0]
+    # Only the text column is read: keys, lang, source and n_chars are pruned.
+    assert "ReadSchema: struct<text:string>" in plan
 
 
 def test_metrics_single_final_exchange(spark):
