@@ -79,3 +79,36 @@ def align_coders(paras: DataFrame, edits: DataFrame, id_col: str = "essay_id") -
     counts = edits.groupBy(id_col, "coder", "para_no").agg(F.count(F.lit(1)).alias("n_edits"))
     return grid.join(counts, [id_col, "coder", "para_no"], "left").select(
         id_col, "para_no", "coder", F.coalesce("n_edits", F.lit(0)).alias("n_edits"))
+
+
+def clean_paragraph(df: DataFrame, para_col: str = "para", start_col: str = "start",
+                    end_col: str = "end") -> DataFrame:
+    """C-05: blanks -> ' ', blank runs collapsed to one, one leading blank
+    removed, and character offsets remapped the way a remove-one-blank-at-a-
+    time loop would move them; then spans lose an edge blank.
+
+    Closed form per offset k: length of the collapsed prefix [0, k), minus 1
+    when k lies strictly inside a blank run; minus 1 (floor 0) when a leading
+    blank was removed. Row-local, no shuffle."""
+    from redline.functions import patterns as pt
+
+    p1 = F.regexp_replace(F.col(para_col), pt.WS, " ")
+    collapsed = F.regexp_replace(p1, " {2,}", " ")
+    lead = collapsed.startswith(" ")
+
+    def remap(k):
+        prefix = F.regexp_replace(p1.substr(F.lit(1), k), " {2,}", " ")
+        inside = (k > 0) & (p1.substr(k, F.lit(1)) == " ") & (p1.substr(k + 1, F.lit(1)) == " ")
+        v = F.length(prefix) - F.when(inside, F.lit(1)).otherwise(F.lit(0))
+        return F.when(lead, F.greatest(v - 1, F.lit(0))).otherwise(v)
+
+    clean = F.when(lead, collapsed.substr(F.lit(2), F.lit(1 << 30))).otherwise(collapsed)
+    out = df.withColumn("_s", remap(F.col(start_col))).withColumn("_e", remap(F.col(end_col))) \
+            .withColumn("clean_para", clean)
+    span = F.col("_s") != F.col("_e")
+    first = F.col("clean_para").substr(F.col("_s") + 1, F.lit(1))
+    last = F.col("clean_para").substr(F.col("_e"), F.lit(1))
+    return out.withColumn(start_col, F.when(span & (first == " "), F.col("_s") + 1).otherwise(F.col("_s"))) \
+              .withColumn(end_col, F.when(span & (last == " ") & (F.col("_e") > 0), F.col("_e") - 1)
+                          .otherwise(F.col("_e"))) \
+              .drop("_s", "_e")

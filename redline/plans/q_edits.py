@@ -9,7 +9,9 @@ from redline.functions import patterns as pt
 from redline.functions.text import words
 from redline.operators import metrics as M
 from redline.operators.edits import (
+    PUNCTUATION,
     aligned_edits,
+    assign_to_sentences,
     apply_edits,
     as_edit_array,
     corrected_spans,
@@ -18,6 +20,7 @@ from redline.operators.edits import (
     edit_pr,
     m2_block,
     m2_to_pairs,
+    sentence_spans,
     span_edit,
 )
 from redline.plans import sql as S
@@ -223,3 +226,53 @@ def edit_running_offset(spark, sf_dir):
     spans = corrected_spans(F.concat("ref", last_del))
     x = e.select("doc_id", "line_no", F.explode(spans).alias("e"))
     return x.select("doc_id", "line_no", "e.o_start", "e.o_end", "e.cor_start", "e.cor_end")
+
+
+def _sentence_sql():
+    ends = (f"list_transform(list_filter(range(1, len(a) + 1), lambda i: regexp_matches(a[i], '[.!?]$')), "
+            f"lambda i: i)")
+    return f"""WITH {S.triples_cte(('identity',))},
+w AS (SELECT doc_id, line_no, {S.words('input_text')} AS a, {S.words('target_text')} AS t FROM triples),
+b AS (SELECT doc_id, line_no, a, t,
+        CASE WHEN len({ends}) = 0 OR {ends}[-1] < len(a) THEN list_concat({ends}, [len(a)]) ELSE {ends} END AS en
+      FROM w),
+sents AS (SELECT doc_id, line_no, CAST(generate_subscripts(en, 1) - 1 AS INTEGER) AS sent_no,
+            unnest(list_concat([0], en[1:len(en) - 1])) AS s_start, unnest(en) AS s_end, len(en) AS n_sent FROM b),
+k AS (SELECT doc_id, line_no, en[1] AS k0,
+        list_concat({S.aligned_edit_keys('a', 't')},
+          [en[1]::VARCHAR || '|' || en[1]::VARCHAR || '|.|M', en[1]::VARCHAR || '|' || en[1]::VARCHAR || '|x|M',
+           (en[1] - 1)::VARCHAR || '|' || (en[1] + 1)::VARCHAR || '|y|R']) AS keys FROM b),
+e AS (SELECT doc_id, line_no, CAST(split_part(key, '|', 1) AS INTEGER) AS o_start,
+        CAST(split_part(key, '|', 2) AS INTEGER) AS o_end, split_part(key, '|', 3) AS c_str
+      FROM (SELECT doc_id, line_no, unnest(keys) AS key FROM k)),
+j AS (SELECT e.doc_id, e.line_no, s.sent_no, e.o_start - s.s_start AS o_start, e.o_end - s.s_start AS o_end, e.c_str
+      FROM e JOIN sents s ON s.doc_id = e.doc_id AND s.line_no = e.line_no
+      WHERE (e.o_start >= s.s_start AND e.o_start < s.s_end AND e.o_end <= s.s_end
+             AND NOT (e.o_start = e.o_end AND e.o_start = s.s_start AND s.sent_no > 0
+                      AND (e.c_str = '' OR contains({S.q(PUNCTUATION)}, right(e.c_str, 1)))))
+         OR (e.o_start = e.o_end AND e.o_start = s.s_end
+             AND (s.sent_no = s.n_sent - 1 OR e.c_str = '' OR contains({S.q(PUNCTUATION)}, right(e.c_str, 1)))))
+SELECT doc_id, line_no, sent_no, CAST(o_start AS INTEGER) AS o_start, CAST(o_end AS INTEGER) AS o_end, c_str FROM j"""
+
+
+@register("sentence_assign", _sentence_sql())
+def sentence_assign(spark, sf_dir):
+    """C-06 / J-07: split each line into sentences (tokens ending in . ! ?) and
+    assign token edits to sentences: the reference substitutions, plus an
+    insertion of '.' and of 'x' at the end of the first sentence and an edit
+    crossing that boundary (dropped)."""
+    e = edit_rows(spark, sf_dir, models=("identity",)).select(
+        "doc_id", "line_no", "a", "ref", sentence_spans("a").alias("sents"))
+    k = F.element_at("sents", 1)["s_end"]
+
+    def mk(s, en, c, t):
+        return F.struct(s.cast("int").alias("o_start"), en.cast("int").alias("o_end"),
+                        F.lit(c).alias("c_str"), F.lit(t).alias("type"))
+    extra = F.array(mk(k, k, ".", "M"), mk(k, k, "x", "M"), mk(k - 1, k + 1, "y", "R"))
+    edits = e.select("doc_id", "line_no", F.explode(F.concat("ref", extra)).alias("x")).select(
+        "doc_id", "line_no", "x.o_start", "x.o_end", "x.c_str")
+    sents = e.select("doc_id", "line_no", F.explode("sents").alias("s")).select(
+        "doc_id", "line_no", "s.sent_no", "s.s_start", "s.s_end", "s.is_last")
+    a = assign_to_sentences(edits, sents, ["doc_id", "line_no"])
+    return a.select("doc_id", "line_no", "sent_no", F.col("o_start").cast("int").alias("o_start"),
+                    F.col("o_end").cast("int").alias("o_end"), "c_str")

@@ -132,3 +132,33 @@ def coder_align(spark, sf_dir):
     """J-02 / J-08: paragraphs x coders with edit counts (0 = noop)."""
     j, es = _joined(spark, sf_dir)
     return align_coders(paragraphs(es), j)
+
+
+@register("clean_paragraph", f"""WITH {_EDITS}, {_PARAS}, {_JOINED},
+x AS (SELECT pe.essay_id, pe.coder, pe.ord, pe.para_no, pe.start, pe."end",
+             regexp_replace(p.para, {S.q(pt.WS)}, ' ', 'g') AS p1
+      FROM pe JOIN paras p USING (essay_id, para_no)),
+y AS (SELECT *, regexp_replace(p1, ' {{2,}}', ' ', 'g') AS collapsed FROM x),
+z AS (SELECT essay_id, coder, ord, para_no, starts_with(collapsed, ' ') AS lead,
+        CASE WHEN starts_with(collapsed, ' ') THEN substring(collapsed, 2) ELSE collapsed END AS clean_para,
+        length(regexp_replace(substring(p1, 1, start), ' {{2,}}', ' ', 'g'))
+          - (CASE WHEN start > 0 AND substring(p1, start, 1) = ' ' AND substring(p1, start + 1, 1) = ' ' THEN 1 ELSE 0 END) AS s0,
+        length(regexp_replace(substring(p1, 1, "end"), ' {{2,}}', ' ', 'g'))
+          - (CASE WHEN "end" > 0 AND substring(p1, "end", 1) = ' ' AND substring(p1, "end" + 1, 1) = ' ' THEN 1 ELSE 0 END) AS e0
+      FROM y),
+w AS (SELECT *, CASE WHEN lead THEN greatest(s0 - 1, 0) ELSE s0 END AS s1,
+        CASE WHEN lead THEN greatest(e0 - 1, 0) ELSE e0 END AS e1 FROM z)
+SELECT essay_id, coder, ord, para_no,
+  CAST(CASE WHEN s1 <> e1 AND substring(clean_para, s1 + 1, 1) = ' ' THEN s1 + 1 ELSE s1 END AS INTEGER) AS start,
+  CAST(CASE WHEN s1 <> e1 AND e1 > 0 AND substring(clean_para, e1, 1) = ' ' THEN e1 - 1 ELSE e1 END AS INTEGER) AS "end",
+  md5(clean_para) AS para_md5
+FROM w""")
+def clean_paragraph_q(spark, sf_dir):
+    """C-05: paragraph whitespace cleaned and the paragraph-relative edit
+    offsets remapped accordingly."""
+    from redline.operators.essays import clean_paragraph
+    j, es = _joined(spark, sf_dir)
+    p = paragraphs(es).select("essay_id", "para_no", "para")
+    c = clean_paragraph(j.join(p, ["essay_id", "para_no"]))
+    return c.select("essay_id", "coder", "ord", "para_no", F.col("start").cast("int").alias("start"),
+                    F.col("end").cast("int").alias("end"), F.md5("clean_para").alias("para_md5"))

@@ -62,3 +62,26 @@ def test_micro_and_macro_goldens(spark):
     assert f == pytest.approx(39.473684, abs=1e-5)
     fm = spark.range(1).select((f_beta(F.lit(1 / 3), F.lit(0.5)) * 100).alias("f")).first().f
     assert fm == pytest.approx(35.714286, abs=1e-5)
+
+
+def test_clean_paragraph_offsets(spark):
+    from redline.operators.essays import clean_paragraph
+    df = spark.createDataFrame([("a   b c", k, k) for k in range(8)], "para string, start int, end int")
+    out = clean_paragraph(df).orderBy("start").collect()
+    assert [r.start for r in clean_paragraph(df).collect()] == [0, 1, 1, 1, 2, 3, 4, 5]
+    assert out[0].clean_para == "a b c"
+    lead = spark.createDataFrame([(" x  y", 3, 5)], "para string, start int, end int")
+    r = clean_paragraph(lead).first()
+    assert r.clean_para == "x y" and (r.start, r.end) == (2, 3)  # loop: (2,4) -> lstrip (1,3) -> edge blank (2,3)
+
+
+def test_sentence_assignment_rules(spark):
+    from redline.operators.edits import assign_to_sentences, sentence_spans
+    toks = spark.createDataFrame([(1, "A b . C d .".split())], "id int, t array<string>")
+    sents = toks.select("id", F.explode(sentence_spans("t")).alias("s")).select("id", "s.*")
+    assert [(r.s_start, r.s_end, r.is_last) for r in sents.orderBy("sent_no").collect()] == [(0, 3, False), (3, 6, True)]
+    edits = spark.createDataFrame([(1, 1, 2, "B"), (1, 3, 3, "!"), (1, 3, 3, "z"), (1, 2, 4, "q"), (1, 6, 6, "w")],
+                                  "id int, o_start int, o_end int, c_str string")
+    got = sorted((r.c_str, r.sent_no, r.o_start, r.o_end) for r in
+                 assign_to_sentences(edits, sents, ["id"]).collect())
+    assert got == [("!", 0, 3, 3), ("B", 0, 1, 2), ("w", 1, 3, 3), ("z", 1, 0, 0)]
