@@ -186,3 +186,38 @@ def union_runs(spark, sf_dir):
 
 
 _ = T
+
+
+@register("build_corpus", f"""WITH {S.triples_cte(('identity',))}, {S.TURN_TRIPLES},
+u AS (
+  SELECT 'm2_lines' AS dataset, array_to_string({S.words('input_text')}, ' ') AS input_text,
+         array_to_string({S.words('target_text')}, ' ') AS target_text FROM triples
+  UNION ALL
+  SELECT 'nested_refs', input_text, [target_text, replace(input_text, ' and ', ' or ')][1] FROM triples
+  UNION ALL
+  SELECT 'aligned_turns', input_text, prediction FROM turn_triples),
+c AS (SELECT dataset, input_text, target_text, replace(input_text, ' - ', '-') AS ci,
+        replace(target_text, ' - ', '-') AS ct FROM u)
+SELECT dataset, count(*) AS n_pairs, count(*) FILTER (WHERE ci <> input_text OR ct <> target_text) AS n_changed,
+  CAST(sum(length(ct)) AS BIGINT) AS n_target_chars FROM c GROUP BY dataset""")
+def build_corpus(spark, sf_dir):
+    """C-03: several corpora -> one pair table: M2 sentences (formatted and
+    parsed back), a nested-reference set (first reference, P-02) and aligned
+    conversation turns; spaced hyphens cleaned (P-01); per-dataset counts."""
+    from redline.functions.text import clean_spaced_hyphens
+    from redline.plans.fixtures import rule_prediction, triples
+    from redline.plans.q_edits import m2_roundtrip
+    from redline.sources.readers import nested_to_pairs
+    m2 = m2_roundtrip(spark, sf_dir).select(F.lit("m2_lines").alias("dataset"), "input_text", "target_text")
+    t = triples(spark, sf_dir, models=("identity",)).select(
+        "input_text", F.array("target_text", rule_prediction("swap", "input_text")).alias("refs"))
+    nested = nested_to_pairs(t, "input_text", "refs").select(
+        F.lit("nested_refs").alias("dataset"), "input_text", "target_text")
+    turns = turn_triples(spark, sf_dir).select(F.lit("aligned_turns").alias("dataset"), "input_text",
+                                               F.col("prediction").alias("target_text"))
+    u = m2.unionByName(nested).unionByName(turns)
+    c = u.select("dataset", "input_text", "target_text", clean_spaced_hyphens("input_text").alias("ci"),
+                 clean_spaced_hyphens("target_text").alias("ct"))
+    changed = (F.col("ci") != F.col("input_text")) | (F.col("ct") != F.col("target_text"))
+    return c.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(changed).alias("n_changed"),
+                                    F.sum(F.length("ct")).cast("long").alias("n_target_chars"))

@@ -276,3 +276,15 @@ def sentence_assign(spark, sf_dir):
     a = assign_to_sentences(edits, sents, ["doc_id", "line_no"])
     return a.select("doc_id", "line_no", "sent_no", F.col("o_start").cast("int").alias("o_start"),
                     F.col("o_end").cast("int").alias("o_end"), "c_str")
+
+
+@register("levenshtein_edits")
+def levenshtein_edits_q(spark, sf_dir):
+    """R-07: Levenshtein-aligned edits (all-merge) of input -> prediction for
+    every rule model (rows-only check; tested against a brute-force aligner)."""
+    from redline.operators.levenshtein import levenshtein_edits
+    t = triples(spark, sf_dir, models=EDIT_MODELS).select(
+        "doc_id", "line_no", "model", words("input_text").alias("a"), words("prediction").alias("p"))
+    e = t.select("doc_id", "line_no", "model", levenshtein_edits("a", "p").alias("edits"))
+    return e.select("doc_id", "line_no", "model", F.size("edits").alias("n_edits"),
+                    F.array_join(edit_key_strings("edits"), ";").alias("edits"))

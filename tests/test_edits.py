@@ -85,3 +85,34 @@ def test_sentence_assignment_rules(spark):
     got = sorted((r.c_str, r.sent_no, r.o_start, r.o_end) for r in
                  assign_to_sentences(edits, sents, ["id"]).collect())
     assert got == [("!", 0, 3, 3), ("B", 0, 1, 2), ("w", 1, 3, 3), ("z", 1, 0, 0)]
+
+
+def _brute_distance(a, b):
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def d(i, j):
+        if i == 0 or j == 0:
+            return i + j
+        return min(d(i - 1, j - 1) + (a[i - 1] != b[j - 1]), d(i - 1, j) + 1, d(i, j - 1) + 1)
+    return d(len(a), len(b))
+
+
+def test_levenshtein_edits(spark):
+    import random
+
+    from redline.operators.levenshtein import align_ops, levenshtein_edits
+    rnd = random.Random(7)
+    for _ in range(200):
+        a = [rnd.choice("abc") for _ in range(rnd.randint(0, 6))]
+        b = [rnd.choice("abc") for _ in range(rnd.randint(0, 6))]
+        ops = align_ops(a, b)
+        assert sum(op != "M" for op, _, _ in ops) == _brute_distance(tuple(a), tuple(b))
+    df = spark.createDataFrame([("a b c d".split(), "a x c d".split()), ("a b c".split(), "a b c".split()),
+                                ("a b c d e".split(), "a e".split()), ("a b".split(), "a b c d".split()),
+                                ("a b c d".split(), "x b y d".split())], "s array<string>, t array<string>")
+    split = [[tuple(e) for e in r.e] for r in df.select(levenshtein_edits("s", "t", "all-split").alias("e")).collect()]
+    merged = [[tuple(e) for e in r.e] for r in df.select(levenshtein_edits("s", "t", "all-merge").alias("e")).collect()]
+    assert split[0] == [(1, 2, "x", "R")] and split[1] == []
+    assert merged[2] == [(1, 4, "", "U")] and merged[3] == [(2, 2, "c d", "M")]
+    assert split[4] == [(0, 1, "x", "R"), (2, 3, "y", "R")]
