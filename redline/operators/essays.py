@@ -10,7 +10,7 @@ that contain a correction are removed with an anti-join inside the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redline.functions.text import normalize_punct
@@ -112,3 +112,57 @@ def clean_paragraph(df: DataFrame, para_col: str = "para", start_col: str = "sta
               .withColumn(end_col, F.when(span & (last == " ") & (F.col("_e") > 0), F.col("_e") - 1)
                           .otherwise(F.col("_e"))) \
               .drop("_s", "_e")
+
+
+def token_bounds(para) -> Column:
+    """Character [start, end) of every blank-separated token of a cleaned
+    paragraph: ARRAY<STRUCT<s INT, e INT>> (a running-offset fold)."""
+    c = F.col(para) if isinstance(para, str) else para
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    return F.aggregate(F.split(c, " ", -1), zero, lambda acc, w: F.struct(
+        (acc["pos"] + F.length(w) + 1).alias("pos"),
+        F.when(F.length(w) > 0, F.concat(acc["out"], F.array(F.struct(
+            acc["pos"].cast("int").alias("s"), (acc["pos"] + F.length(w)).cast("int").alias("e")))))
+        .otherwise(acc["out"]).alias("out")), lambda acc: acc["out"])
+
+
+def char_to_token_span(start, end, starts, ends) -> Column:
+    """J-06: character span -> token span. Exact token boundaries map
+    directly; an insertion maps to the token boundary it touches (before the
+    first token -> 0, after the last -> n); otherwise the span is expanded to
+    the enclosing token boundaries and the expanded character span is
+    returned too (struct t_start, t_end, c_start, c_end; c_* NULL when not
+    expanded)."""
+    st, en, S_, E_ = (F.col(x) if isinstance(x, str) else x for x in (start, end, starts, ends))
+    n = F.size(S_)
+
+    def bis(arr, x):  # bisect_right
+        return F.size(F.filter(arr, lambda v: v <= x))
+
+    def idx_s(x):
+        return F.array_position(S_, x).cast("int") - 1
+
+    def idx_e(x):
+        return F.array_position(E_, x).cast("int") - 1
+
+    def res(ts, te, cs=None, ce=None):
+        null = F.lit(None).cast("int")
+        return F.struct(ts.cast("int").alias("t_start"), te.cast("int").alias("t_end"),
+                        (cs if cs is not None else null).cast("int").alias("c_start"),
+                        (ce if ce is not None else null).cast("int").alias("c_end"))
+
+    b_s = bis(S_, st)
+    exp_s = F.when(F.array_contains(S_, st), st).otherwise(
+        F.element_at(S_, F.when(b_s == 0, F.lit(-1)).otherwise(b_s)))
+    b_e = bis(E_, en)
+    exp_e_ins = F.when(F.array_contains(E_, en), en).otherwise(F.element_at(E_, b_e + 1))
+    exp_e = F.when(F.array_contains(E_, en), en).otherwise(
+        F.when(b_e >= n, F.element_at(E_, -1)).otherwise(F.element_at(E_, b_e + 1)))
+    insertion = (F.when((st == 0) | (st <= F.element_at(S_, 1)), res(F.lit(0), F.lit(0)))
+                 .when(st >= F.element_at(E_, -1), res(n, n))
+                 .when(F.array_contains(S_, st), res(idx_s(st), idx_s(st)))
+                 .when(F.array_contains(E_, st), res(idx_e(st) + 1, idx_e(st) + 1))
+                 .otherwise(res(idx_s(exp_s), idx_e(exp_e_ins) + 1, exp_s, exp_e_ins)))
+    span = (F.when(F.array_contains(S_, st) & F.array_contains(E_, en), res(idx_s(st), idx_e(en) + 1))
+            .otherwise(res(idx_s(exp_s), idx_e(exp_e) + 1, exp_s, exp_e)))
+    return F.when(n == 0, F.lit(None)).when(st == en, insertion).otherwise(span)

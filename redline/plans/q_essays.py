@@ -134,8 +134,7 @@ def coder_align(spark, sf_dir):
     return align_coders(paragraphs(es), j)
 
 
-@register("clean_paragraph", f"""WITH {_EDITS}, {_PARAS}, {_JOINED},
-x AS (SELECT pe.essay_id, pe.coder, pe.ord, pe.para_no, pe.start, pe."end",
+_CLEAN = f"""x AS (SELECT pe.essay_id, pe.coder, pe.ord, pe.para_no, pe.start, pe."end",
              regexp_replace(p.para, {S.q(pt.WS)}, ' ', 'g') AS p1
       FROM pe JOIN paras p USING (essay_id, para_no)),
 y AS (SELECT *, regexp_replace(p1, ' {{2,}}', ' ', 'g') AS collapsed FROM x),
@@ -147,12 +146,15 @@ z AS (SELECT essay_id, coder, ord, para_no, starts_with(collapsed, ' ') AS lead,
           - (CASE WHEN "end" > 0 AND substring(p1, "end", 1) = ' ' AND substring(p1, "end" + 1, 1) = ' ' THEN 1 ELSE 0 END) AS e0
       FROM y),
 w AS (SELECT *, CASE WHEN lead THEN greatest(s0 - 1, 0) ELSE s0 END AS s1,
-        CASE WHEN lead THEN greatest(e0 - 1, 0) ELSE e0 END AS e1 FROM z)
-SELECT essay_id, coder, ord, para_no,
+        CASE WHEN lead THEN greatest(e0 - 1, 0) ELSE e0 END AS e1 FROM z),
+cp AS (SELECT essay_id, coder, ord, para_no, clean_para,
   CAST(CASE WHEN s1 <> e1 AND substring(clean_para, s1 + 1, 1) = ' ' THEN s1 + 1 ELSE s1 END AS INTEGER) AS start,
-  CAST(CASE WHEN s1 <> e1 AND e1 > 0 AND substring(clean_para, e1, 1) = ' ' THEN e1 - 1 ELSE e1 END AS INTEGER) AS "end",
-  md5(clean_para) AS para_md5
-FROM w""")
+  CAST(CASE WHEN s1 <> e1 AND e1 > 0 AND substring(clean_para, e1, 1) = ' ' THEN e1 - 1 ELSE e1 END AS INTEGER) AS "end"
+FROM w)"""
+
+
+@register("clean_paragraph", f"""WITH {_EDITS}, {_PARAS}, {_JOINED}, {_CLEAN}
+SELECT essay_id, coder, ord, para_no, start, "end", md5(clean_para) AS para_md5 FROM cp""")
 def clean_paragraph_q(spark, sf_dir):
     """C-05: paragraph whitespace cleaned and the paragraph-relative edit
     offsets remapped accordingly."""
@@ -162,3 +164,48 @@ def clean_paragraph_q(spark, sf_dir):
     c = clean_paragraph(j.join(p, ["essay_id", "para_no"]))
     return c.select("essay_id", "coder", "ord", "para_no", F.col("start").cast("int").alias("start"),
                     F.col("end").cast("int").alias("end"), F.md5("clean_para").alias("para_md5"))
+
+
+def _tok_span_sql():
+    parts = "string_split(clean_para, ' ')"
+    pref = f"coalesce(list_sum(list_transform(({parts})[1:i - 1], lambda w: length(w) + 1)), 0)"
+    bounds = (f"list_filter(list_transform(range(1, len({parts}) + 1), lambda i: {{'s': {pref}, "
+              f"'e': {pref} + length(({parts})[i]), 'l': length(({parts})[i])}}), lambda x: x.l > 0)")
+    return f"""WITH {_EDITS}, {_PARAS}, {_JOINED}, {_CLEAN},
+tb AS (SELECT essay_id, coder, ord, para_no, start, "end", {bounds} AS b FROM cp),
+se AS (SELECT essay_id, coder, ord, para_no, start, "end", list_transform(b, lambda x: x.s) AS ss,
+         list_transform(b, lambda x: x.e) AS es FROM tb),
+k AS (SELECT *, len(ss) AS n,
+        len(list_filter(ss, lambda v: v <= start)) AS bs, len(list_filter(es, lambda v: v <= "end")) AS be,
+        list_contains(ss, start) AS s_in, list_contains(es, "end") AS e_in FROM se),
+xx AS (SELECT *, CASE WHEN s_in THEN start ELSE ss[CASE WHEN bs = 0 THEN -1 ELSE bs END] END AS xs,
+        CASE WHEN e_in THEN "end" ELSE es[be + 1] END AS xe_ins,
+        CASE WHEN e_in THEN "end" WHEN be >= n THEN es[-1] ELSE es[be + 1] END AS xe FROM k),
+r AS (SELECT essay_id, coder, ord, para_no, CASE
+   WHEN n = 0 THEN NULL
+   WHEN start = "end" THEN CASE
+     WHEN start = 0 OR start <= ss[1] THEN {{'t_start': 0, 't_end': 0, 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
+     WHEN start >= es[-1] THEN {{'t_start': n, 't_end': n, 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
+     WHEN s_in THEN {{'t_start': list_position(ss, start) - 1, 't_end': list_position(ss, start) - 1, 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
+     WHEN list_contains(es, start) THEN {{'t_start': list_position(es, start), 't_end': list_position(es, start), 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
+     ELSE {{'t_start': list_position(ss, xs) - 1, 't_end': list_position(es, xe_ins), 'c_start': xs, 'c_end': xe_ins}} END
+   WHEN s_in AND e_in THEN {{'t_start': list_position(ss, start) - 1, 't_end': list_position(es, "end"), 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
+   ELSE {{'t_start': list_position(ss, xs) - 1, 't_end': list_position(es, xe), 'c_start': xs, 'c_end': xe}} END AS sp
+ FROM xx)
+SELECT essay_id, coder, ord, para_no, CAST(sp.t_start AS INTEGER) AS t_start, CAST(sp.t_end AS INTEGER) AS t_end,
+  CAST(sp.c_start AS INTEGER) AS c_start, CAST(sp.c_end AS INTEGER) AS c_end FROM r"""
+
+
+@register("char_to_token_span", _tok_span_sql())
+def char_to_token_span_q(spark, sf_dir):
+    """J-06: cleaned character edit spans -> token spans (blank-separated
+    tokens), expanded to token boundaries where they cut a token."""
+    from redline.operators.essays import char_to_token_span, clean_paragraph, token_bounds
+    j, es = _joined(spark, sf_dir)
+    p = paragraphs(es).select("essay_id", "para_no", "para")
+    c = clean_paragraph(j.join(p, ["essay_id", "para_no"]))
+    b = c.select("essay_id", "coder", "ord", "para_no", "start", "end", token_bounds("clean_para").alias("tb"))
+    b = b.select("*", F.transform("tb", lambda x: x["s"]).alias("ss"), F.transform("tb", lambda x: x["e"]).alias("es"))
+    sp = char_to_token_span("start", "end", "ss", "es")
+    return b.select("essay_id", "coder", "ord", "para_no", sp["t_start"].alias("t_start"), sp["t_end"].alias("t_end"),
+                    sp["c_start"].alias("c_start"), sp["c_end"].alias("c_end"))

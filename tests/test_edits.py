@@ -116,3 +116,16 @@ def test_levenshtein_edits(spark):
     assert split[0] == [(1, 2, "x", "R")] and split[1] == []
     assert merged[2] == [(1, 4, "", "U")] and merged[3] == [(2, 2, "c d", "M")]
     assert split[4] == [(0, 1, "x", "R"), (2, 3, "y", "R")]
+
+
+def test_char_to_token_span_rules(spark):
+    from redline.operators.essays import char_to_token_span, token_bounds
+    cases = [((2, 5), (1, 2, None, None)), ((3, 5), (1, 2, 2, 5)), ((2, 2), (1, 1, None, None)),
+             ((5, 5), (2, 2, None, None)), ((0, 0), (0, 0, None, None)), ((11, 11), (4, 4, None, None)),
+             ((3, 3), (1, 2, 2, 5)), ((6, 10), (2, 4, 6, 11)), ((9, 12), (3, 4, 8, 11))]
+    df = spark.createDataFrame([("I has a dog", s, e) for (s, e), _ in cases], "p string, s int, e int")
+    b = df.select("*", token_bounds("p").alias("tb"))
+    b = b.select("*", F.transform("tb", lambda x: x["s"]).alias("ss"), F.transform("tb", lambda x: x["e"]).alias("es"))
+    got = {(r.s, r.e): tuple(r.sp) for r in b.select("s", "e", char_to_token_span("s", "e", "ss", "es").alias("sp")).collect()}
+    for (s, e), want in cases:
+        assert got[(s, e)] == want, (s, e)
