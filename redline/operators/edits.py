@@ -44,16 +44,21 @@ def edit_type(o_start: Column, o_end: Column, c_str: Column) -> Column:
 
 def span_edit(src_tok, tgt_tok) -> Column:
     """R-08: the single edit left after trimming the common prefix and suffix
-    of two token arrays; NULL when the arrays are equal."""
-    s, t = _c(src_tok), _c(tgt_tok)
-    p = common_prefix_len(s, t)
-    q = common_suffix_len(s, t, p)
-    o_end = (F.size(s) - q).cast("int")
-    c_str = F.array_join(F.slice(t, p + 1, F.greatest(F.size(t) - q - p, F.lit(0))), " ")
-    edit = F.struct(p.alias("o_start"), o_end.alias("o_end"), c_str.alias("c_str"),
-                    edit_type(p, o_end, c_str).alias("type"))
-    same = (p == F.size(s)) & (p == F.size(t))
-    return F.when(s.isNull() | t.isNull() | same, F.lit(None).cast(EDIT_DDL)).otherwise(edit)
+    of two token arrays; NULL when the arrays are equal. The prefix length,
+    suffix length and correction text are each bound once (`let`)."""
+    def with_arrays(s: Column, t: Column) -> Column:
+        def with_p(p: Column) -> Column:
+            def with_q(q: Column) -> Column:
+                o_end = (F.size(s) - q).cast("int")
+                c_str = F.array_join(F.slice(t, p + 1, F.greatest(F.size(t) - q - p, F.lit(0))), " ")
+                edit = _let(c_str, lambda c: F.struct(p.alias("o_start"), o_end.alias("o_end"), c.alias("c_str"),
+                                                      edit_type(p, o_end, c).alias("type")))
+                same = (p == F.size(s)) & (p == F.size(t))
+                return F.when(same, F.lit(None).cast(EDIT_DDL)).otherwise(edit)
+            return _let(common_suffix_len(s, t, p), with_q)
+        return F.when(s.isNull() | t.isNull(), F.lit(None).cast(EDIT_DDL)).otherwise(
+            _let(common_prefix_len(s, t), with_p))
+    return _let(_c(src_tok), lambda s: _let(_c(tgt_tok), lambda t: with_arrays(s, t)))
 
 
 def substitution_edits(src_tok, tgt_tok) -> Column:
@@ -96,23 +101,31 @@ def edit_confusion_counts(hyp_arr, ref_arr) -> tuple[Column, Column, Column]:
     """R-09: TP/FP/FN of two edit arrays, set semantics on the 4-field key
     (NULL arrays count as empty). Wrap single edits with `as_edit_array`."""
     empty = F.array().cast(f"array<{EDIT_DDL}>")
-    h = F.array_distinct(edit_key(F.coalesce(_c(hyp_arr), empty)))
-    r = F.array_distinct(edit_key(F.coalesce(_c(ref_arr), empty)))
-    return (F.size(F.array_intersect(h, r)).cast("long"),
-            F.size(F.array_except(h, r)).cast("long"),
-            F.size(F.array_except(r, h)).cast("long"))
+
+    def keyed(x):
+        return F.array_distinct(edit_key(F.coalesce(_c(x), empty)))
+
+    def both(fn):
+        return _let(keyed(hyp_arr), lambda h: _let(keyed(ref_arr), lambda r: fn(h, r)))
+    return (both(lambda h, r: F.size(F.array_intersect(h, r)).cast("long")),
+            both(lambda h, r: F.size(F.array_except(h, r)).cast("long")),
+            both(lambda h, r: F.size(F.array_except(r, h)).cast("long")))
 
 
 def edit_pr(hyp_arr, ref_arr) -> tuple[Column, Column]:
     """R-10: per-sentence precision and recall with list membership.
     No hypothesis edits -> both 1 if there are no reference edits, else 0."""
-    h, r = edit_key(_c(hyp_arr)), edit_key(_c(ref_arr))
-    tp = F.size(F.filter(h, lambda e: F.array_contains(r, e))).cast("double")
-    nh, nr = F.size(h), F.size(r)
-    none = F.when(nr == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    p = F.when(nh == 0, none).otherwise(tp / nh)
-    rc = F.when(nh == 0, none).when(nr == 0, F.lit(0.0)).otherwise(tp / nr)
-    return p, rc
+    def calc(h: Column, r: Column, want_p: bool) -> Column:
+        tp = F.size(F.filter(h, lambda e: F.array_contains(r, e))).cast("double")
+        nh, nr = F.size(h), F.size(r)
+        none = F.when(nr == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        if want_p:
+            return F.when(nh == 0, none).otherwise(tp / nh)
+        return F.when(nh == 0, none).when(nr == 0, F.lit(0.0)).otherwise(tp / nr)
+
+    def both(want_p):
+        return _let(edit_key(_c(hyp_arr)), lambda h: _let(edit_key(_c(ref_arr)), lambda r: calc(h, r, want_p)))
+    return both(True), both(False)
 
 
 def apply_edits(src, edits, mode: str = "reference") -> Column:
