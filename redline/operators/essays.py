@@ -166,3 +166,56 @@ def char_to_token_span(start, end, starts, ends) -> Column:
     span = (F.when(F.array_contains(S_, st) & F.array_contains(E_, en), res(idx_s(st), idx_e(en) + 1))
             .otherwise(res(idx_s(exp_s), idx_e(exp_e) + 1, exp_s, exp_e)))
     return F.when(n == 0, F.lit(None)).when(st == en, insertion).otherwise(span)
+
+
+def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id") -> DataFrame:
+    """C-09 (gold edits): essays + character edits per coder -> one M2 block per
+    sentence. Composition of the keyed steps: paragraphs (C-04), edit
+    classification (S-11), paragraph join (J-04), detection anti-join (J-05),
+    whitespace clean-up with offset remap (C-05), character -> token spans
+    (J-06), sentence split and assignment (C-06, J-07), empty-edit drop (C-08),
+    coder alignment with explicit noops (J-02, J-08) and M2 formatting (K-05).
+    Every step is keyed by essay (and paragraph / sentence); the only
+    collect_list gathers the edits of ONE sentence and coder."""
+    from redline.functions.text import strip, words
+    from redline.operators.edits import assign_to_sentences, drop_empty_edits, m2_block, sentence_spans
+
+    paras = paragraphs(essays_df, id_col)
+    e = drop_covering_detections(edits_to_paragraphs(classify_edits(edits), paras, id_col), id_col)
+    c = clean_paragraph(e.join(paras.select(id_col, "para_no", "para"), [id_col, "para_no"]))
+    b = c.select("*", token_bounds("clean_para").alias("tb"))
+    b = b.select("*", F.transform("tb", lambda x: x["s"]).alias("ss"), F.transform("tb", lambda x: x["e"]).alias("es"))
+    sp = char_to_token_span("start", "end", "ss", "es")
+    b = b.select("*", sp.alias("sp"))
+    expanded = b["sp"]["c_start"].isNotNull()
+    cor_c = F.when(expanded, strip(F.concat(
+        F.col("clean_para").substr(b["sp"]["c_start"] + 1, F.col("start") - b["sp"]["c_start"]),
+        F.coalesce("cor", F.lit("")),
+        F.col("clean_para").substr(F.col("end") + 1, b["sp"]["c_end"] - F.col("end"))))).otherwise(F.col("cor"))
+    toks = words("clean_para")
+    det_text = F.array_join(F.slice(toks, b["sp"]["t_start"] + 1,
+                                    F.greatest(b["sp"]["t_end"] - b["sp"]["t_start"], F.lit(0))), " ")
+    tok_edits = b.where(F.col("sp").isNotNull()).select(
+        id_col, "coder", "ord", "para_no", b["sp"]["t_start"].alias("o_start"), b["sp"]["t_end"].alias("o_end"),
+        F.when(F.col("kind") == "D", det_text).otherwise(F.array_join(words(cor_c), " ")).alias("c_str"),
+        F.col("kind").alias("type"))
+    clean_text = paras.select(id_col, "para_no", "para", F.lit(0).alias("start"), F.lit(0).alias("end"))
+    ptoks = clean_paragraph(clean_text).select(id_col, "para_no", words("clean_para").alias("toks"))
+    sents = ptoks.select(id_col, "para_no", "toks", F.explode(sentence_spans("toks")).alias("s")).select(
+        id_col, "para_no", "toks", "s.sent_no", "s.s_start", "s.s_end", "s.is_last")
+    assigned = assign_to_sentences(tok_edits, sents.drop("toks"), [id_col, "para_no"])
+    per = assigned.groupBy(id_col, "para_no", "sent_no", "coder").agg(
+        F.sort_array(F.collect_list(F.struct("o_start", "o_end", "ord", "c_str", "type"))).alias("e"))
+    per = per.select(id_col, "para_no", "sent_no", "coder", drop_empty_edits(F.transform("e", lambda x: F.struct(
+        x["o_start"].cast("int").alias("o_start"), x["o_end"].cast("int").alias("o_end"),
+        x["c_str"].alias("c_str"), x["type"].alias("type")))).alias("edits"))
+    coders = edits.select(id_col, "coder").distinct()
+    grid = sents.join(coders, id_col).join(per, [id_col, "para_no", "sent_no", "coder"], "left")
+    grid = grid.select(id_col, "para_no", "sent_no", "toks", "s_start", "s_end", F.struct(
+        F.col("coder").cast("int").alias("coder"),
+        F.coalesce("edits", F.array().cast("array<struct<o_start:int,o_end:int,c_str:string,type:string>>"))
+        .alias("edits")).alias("ce"))
+    blocks = grid.groupBy(id_col, "para_no", "sent_no", "toks", "s_start", "s_end").agg(
+        F.collect_list("ce").alias("coder_edits"))
+    src = F.slice("toks", F.col("s_start") + 1, F.col("s_end") - F.col("s_start"))
+    return blocks.select(id_col, "para_no", "sent_no", m2_block(src, "coder_edits").alias("block"))

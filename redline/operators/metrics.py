@@ -57,8 +57,7 @@ def readability_record(df: DataFrame, group_cols=(), source="input_text",
         word_count(target).alias("_wt"),
         tokens(source, tokenizer).alias("_s"), tokens(prediction, tokenizer).alias("_p"),
         tokens(target, tokenizer).alias("_r"),
-        readability_parts(prediction).alias("_rp"), readability_parts(target).alias("_rt"),
-        F.col(source).isNull().alias("_null_src"))
+        readability_parts(prediction).alias("_rp"), readability_parts(target).alias("_rt"))
     null_any = F.col("_s").isNull() | F.col("_p").isNull() | F.col("_r").isNull()
     sari_row = F.when(null_any, F.lit(0.0)).otherwise(sari_recall("_s", "_p", "_r", 100.0))
     agg = _group(rows, group_cols).agg(

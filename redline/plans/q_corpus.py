@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from redline.functions import patterns as pt
 from redline.functions.prompts import training_text
@@ -185,8 +184,6 @@ def union_runs(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size(words("text"))).cast("long").alias("n_words"))
 
 
-_ = T
-
 
 @register("build_corpus", f"""WITH {S.triples_cte(('identity',))}, {S.TURN_TRIPLES},
 u AS (

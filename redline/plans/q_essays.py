@@ -209,3 +209,12 @@ def char_to_token_span_q(spark, sf_dir):
     sp = char_to_token_span("start", "end", "ss", "es")
     return b.select("essay_id", "coder", "ord", "para_no", sp["t_start"].alias("t_start"), sp["t_end"].alias("t_end"),
                     sp["c_start"].alias("c_start"), sp["c_end"].alias("c_end"))
+
+
+@register("essays_to_m2")
+def essays_to_m2_q(spark, sf_dir):
+    """C-09: whole essays with two coders' character edits -> M2 blocks per
+    sentence (rows-only: the composition of checked steps)."""
+    from redline.operators.essays import essays_to_m2
+    es = essays(spark, sf_dir)
+    return essays_to_m2(es, essay_edits(es))

@@ -163,14 +163,6 @@ def gleu_turns(spark, sf_dir):
     return t.select("conv_id", "turn", r6(gleu(tokens("prediction"), tokens("target_text"))).alias("gleu"))
 
 
-def _ngram_sql():
-    per_n = []
-    for n in range(1, 5):
-        per_n.append(f"SELECT doc_id, line_no, {n} AS n, "
-                     f"greatest(len({_TOK['input_text']}) - {n - 1}, 0) AS n_grams FROM lines")
-    return f"WITH {S.LINES}\nSELECT * FROM (" + " UNION ALL ".join(per_n) + ") WHERE n_grams > 0"
-
-
 @register("ngram_counts", f"""WITH {S.LINES},
 g AS (SELECT doc_id, line_no, {S.tokens('line')} AS t FROM lines),
 x AS (SELECT doc_id, line_no, unnest(list_transform(range(1, 5), lambda n:

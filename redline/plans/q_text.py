@@ -25,7 +25,7 @@ from redline.functions.text import (
 from redline.functions.tokens import tokens
 from redline.operators.scores import score_triples
 from redline.plans import sql as S
-from redline.plans.fixtures import lines, rule_prediction, triples, turn_triples
+from redline.plans.fixtures import lines, triples, turn_triples
 from redline.plans.registry import register
 from redline.session import read_table
 
@@ -243,5 +243,3 @@ def word_count_rows(spark, sf_dir):
                     word_count("prediction").alias("n_prediction"),
                     F.coalesce(F.col("prediction") == F.col("target_text"), F.lit(False)).alias("exact"))
 
-
-_ = rule_prediction  # re-exported for callers composing their own rule models

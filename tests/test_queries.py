@@ -59,8 +59,6 @@ def _plan(df):
 
 
 def test_scorers_have_no_python_and_no_shuffle(spark):
-    from pyspark.sql import functions as F
-
     from redline.functions.tokens import tokens
     from redline.operators.scores import gleu, score_triples
     from redline.plans.fixtures import triples
@@ -74,7 +72,6 @@ def test_scorers_have_no_python_and_no_shuffle(spark):
     # The only exchange allowed is the round-robin spread of a one-file input.
     for plan in (sari, builtin, arrow):
         assert "hashpartitioning" not in plan
-    _ = F
 
 
 def test_gleu_methods_agree(spark):

@@ -84,3 +84,15 @@ def test_writers(spark, tmpdir_path):
     write_m2(spark.createDataFrame([("S a b\nA -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||0",)], "block string"),
              os.path.join(tmpdir_path, "m2"))
     assert read_m2(spark, os.path.join(tmpdir_path, "m2")).first().target_text == "a b"
+
+
+def test_essays_to_m2_end_to_end(spark):
+    from redline.operators.essays import essays_to_m2
+    line = ('{"id":"7","text":"I has a  dog. It run fast.\\nOk.","edits":[[0,[[2,5,"have"],[17,20,"runs"]]],[1,[]]]}')
+    e = parse_essays(spark.createDataFrame([(line,)], "value string")).withColumnRenamed("id", "essay_id")
+    essays = e.select("essay_id", "text").distinct()
+    got = {(r.para_no, r.sent_no): r.block for r in essays_to_m2(essays, e).collect()}
+    noop = "A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||"
+    assert got[(0, 0)] == "S I has a dog.\nA 1 2|||C|||have|||REQUIRED|||-NONE-|||0\n" + noop + "1"
+    assert got[(0, 1)] == "S It run fast.\nA 1 2|||C|||runs|||REQUIRED|||-NONE-|||0\n" + noop + "1"
+    assert got[(1, 0)] == "S Ok.\n" + noop + "0\n" + noop + "1"

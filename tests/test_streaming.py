@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from redline.operators.scores import score_triples
 from redline.plans.fixtures import triples
 from redline.streaming import run_available_now, running_metrics, stream_triples_metrics
@@ -23,4 +21,3 @@ def test_stream_equals_batch(spark, tmpdir_path):
         return sorted((r.model, r.n, round(r.sari_score, 9), round(r.gleu_score, 9)) for r in df.collect())
     assert norm(got) == norm(batch)
     assert got.count() == 3
-    _ = F
