@@ -232,3 +232,17 @@ SELECT model, count(*) AS total_examples,
 FROM v1 GROUP BY model""")
 def readability_record(spark, sf_dir):
     return _round_doubles(M.readability_record(triples(spark, sf_dir), ["model"]))
+
+
+_V2_ALL = S.sari_v1_ctes("triples", ["doc_id", "line_no", "model"], S.tokens("input_text"), S.tokens("prediction"),
+                         S.tokens("target_text"), out="v2", scale=1.0)
+
+
+@register("sari_v2_rows", f"""WITH {S.triples_cte()},
+{_V2_ALL}
+SELECT doc_id, line_no, model, round(sari, 6) AS sari_v2 FROM v2""")
+def sari_v2_rows(spark, sf_dir):
+    """R-04: the recall-average SARI on a 0..1 scale, NULL text fails the job
+    (null_policy='fail') instead of scoring 0."""
+    s = score_triples(triples(spark, sf_dir), metrics=("sari_recall",), null_policy="fail", sari_scale=1.0)
+    return s.select("doc_id", "line_no", "model", r6("sari_recall").alias("sari_v2"))

@@ -13,6 +13,7 @@ from redline.sources import (
     parse_essays,
     read_documents,
     read_m2,
+    read_nested_refs,
     read_triples,
     require_columns,
     route_files,
@@ -96,3 +97,25 @@ def test_essays_to_m2_end_to_end(spark):
     assert got[(0, 0)] == "S I has a dog.\nA 1 2|||C|||have|||REQUIRED|||-NONE-|||0\n" + noop + "1"
     assert got[(0, 1)] == "S It run fast.\nA 1 2|||C|||runs|||REQUIRED|||-NONE-|||0\n" + noop + "1"
     assert got[(1, 0)] == "S Ok.\n" + noop + "0\n" + noop + "1"
+
+
+def test_read_nested_refs(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "refs")
+    spark.createDataFrame([("a b", ["a c", "x"]), ("d", [])], "sentence string, corrections array<string>") \
+        .write.parquet(path)
+    rows = {r.input_text: r for r in read_nested_refs(spark, path, "sentence", "corrections").collect()}
+    assert rows["a b"].target_text == "a c" and rows["a b"].references == ["a c", "x"]
+    assert rows["d"].target_text is None
+
+
+def test_treebank_tokens(spark):
+    from redline.functions.tokens import tokens
+    r = spark.createDataFrame([("I can't go, he said.",)], "t string").select(tokens("t", "treebank").alias("x")).first()
+    assert r.x == ["i", "ca", "n't", "go", ",", "he", "said", "."]
+
+
+def test_drop_empty_edits(spark):
+    from redline.operators.edits import drop_empty_edits
+    df = spark.createDataFrame([([(1, 1, ""), (1, 2, ""), (2, 2, "x")],)],
+                               "e array<struct<o_start:int,o_end:int,c_str:string>>")
+    assert [tuple(x) for x in df.select(drop_empty_edits("e").alias("k")).first().k] == [(1, 2, ""), (2, 2, "x")]
