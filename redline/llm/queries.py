@@ -12,10 +12,15 @@ from redline.llm.common import table
 #: query -> (module, tables it reads besides documents)
 OPERATORS: dict[str, tuple[str, tuple[str, ...]]] = {
     "op1_pii": ("pii", ("documents",)),
+    "op2_langid": ("langid", ("documents",)),
+    "op3_suffix_dedup": ("suffixes", ("documents",)),
+    "op4_ppm": ("ppm", ("documents",)),
     "op5_quality_rules": ("rules", ("documents", "labels")),
     "op6_bpe": ("bpe", ("documents",)),
+    "op7_toxicity": ("toxicity", ("documents", "labels")),
     "op8_mix_sources": ("mixing", ("documents",)),
     "op9_simhash_dedup": ("simhash", ("documents",)),
+    "op10_lattice_dedup": ("lattice", ("embeddings",)),
 }
 
 
