@@ -39,7 +39,9 @@ URL = re.compile(r"[^\s<>\"'|]+")
 SCHEMES = ("http://", "https://", "ftp://")
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport")
 SECRET_CUES = ("api_key", "apikey", "api-key", "secret", "token", "password", "passwd")
-ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id))?[\s:=#]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{0,2}[0-9]{6,17})(?![A-Za-z0-9])", re.I)
+LABEL = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id))?[\s:=#]{1,4}", re.I)
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+ACCOUNT = re.compile(r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{0,2}[0-9]{6,17})(?![A-Za-z0-9])")
 SECRET = re.compile(r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_\-/+]{12,})")
 ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 
@@ -63,9 +65,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban(value: str) -> bool:
-    value = value.replace(" ", "").upper()
-    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+def iban(text: str, at: int) -> int:
+    """Where an international account number that starts at `at` ends, 0 if none does:
+    the longest reading that ends at a boundary, has 15 to 34 letters and passes modulo 97."""
+    m = IBAN.match(text, at)
+    end = m.end() if m else 0
+    while end > at + 14:
+        value = text[at:end].replace(" ", "")
+        if not text[end:end + 1].isalnum() and 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+            return end
+        end -= 1
+    return 0
 
 
 def octet(part: str) -> bool:
@@ -117,11 +127,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     out["url"].append((at, end))
                     past["url"] = end
         elif kind == "account":
-            if at >= past["account"] and not (at and text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
-                value = m[1]
-                if not value[:2].isalpha() or not value[2:4].isdigit() or len(value) < 15 or iban(value):
-                    out["account"].append(m.span(1))
-                    past["account"] = m.end(1)
+            if at >= past["account"] and not (at and text[at - 1].isalnum()) and (m := LABEL.match(text, last + 1)):
+                start = m.end()
+                end = iban(text, start) or ((m := ACCOUNT.match(text, start)) and m.end()) or 0
+                if end:
+                    out["account"].append((start, end))
+                    past["account"] = end
         elif kind == "secret":
             if at >= past["secret"] and (m := SECRET.match(text, last + 1)):
                 out["secret"].append(m.span(1))

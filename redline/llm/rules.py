@@ -147,20 +147,24 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, precision
     """`bad` marks rows to reject, `part` (bool) the pruning third."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(rules) < most:
+    for _ in range(2 * most):
         g, h = left & ~part, left & part
-        if bad[g].sum() < least:
+        if bad[g].sum() < least or len(rules) == most:
             break
         rule = prune(grow({k: v[g] for k, v in x.items()}, bad[g]), {k: v[h] for k, v in x.items()}, bad[h])
         on = rule.covers(x) & left
         p, n = int(bad[on].sum()), int((~bad[on]).sum())
-        if not rule.tests or p < least or (p + 1) / (p + n + 2) < precision:
+        if not rule.tests or not on.any():
             break
-        rules.append(rule)
-        left &= ~on
+        if p >= least and (p + 1) / (p + n + 2) >= precision:
+            rules.append(rule)
+        left &= ~on  # what an imprecise rule covers is left to the default: keep
     return rules
 
 
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
 def sample(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(of, quality) of about `train_rows` labelled rows at most, drawn by hash of the id."""
     marked = labels.select(F.col("doc_id").alias("of"), "quality").where("of is not null and quality is not null")
@@ -171,9 +175,10 @@ def sample(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def fit(stats: DataFrame, marked: DataFrame) -> list[Rule]:
-    """Learn the list from the rows of `stats` that `marked`, a bounded sample, labels."""
+    """Learn the list from the rows of `stats` that `marked`, a bounded sample, labels,
+    and that the base lets pass: the list decides on no others."""
     names = list(FEATURES)
-    rows = (stats.join(F.broadcast(marked), F.col("doc_id") == F.col("of")).where("n_words > 0")
+    rows = (stats.join(F.broadcast(marked), F.col("doc_id") == F.col("of")).where(f"not ({BASE_FAILED})")
             .select(*[feature(n).alias(n) for n in names], F.col("quality").alias("_q"), F.pmod(F.xxhash64("of", F.lit(3)), F.lit(3)).alias("_part"))
             .toPandas().sort_values(["_part", "_q", *names]))
     x = {n: rows[n].to_numpy(float) for n in names}
@@ -190,9 +195,6 @@ def verdict(rules: list[Rule]) -> Column:
     return expr.otherwise(F.lit(0))
 
 
-BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
-
-
 def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, list[Rule]]:
     """(doc_id, counts, base_failed, rule, kept) of every row, and the learned list.
     Texts are read once: the counts are written to the shared folder and learned from there."""

@@ -119,5 +119,5 @@ def query(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """Stage: the rows of `docs` whose id is the smallest of their component, all columns.
     Rows without an id stay only where no row of their component has one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
