@@ -135,8 +135,9 @@ class Model:
         return score
 
 
-def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """From the normal lines of the two classes, each in a fixed order."""
+def train(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None) -> Model:
+    """From the normal lines of the two classes, each in a fixed order; `odds` of toxic
+    to ordinary rows where the model is used (those of the lines, if not given)."""
     n, m = len(toxic), len(ordinary)
     toxic, ordinary = one_of_copies(toxic), one_of_copies(ordinary)
     first = [[x for k, x in enumerate(side) if k % 3] for side in (toxic, ordinary)]
@@ -155,6 +156,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     for _ in range(30):  # Newton steps, weights held by a unit prior
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+    w[-1] += math.log((odds or n / m) / (len(last[0]) / len(last[1])))
     model.weights = w
     return model
 
@@ -169,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     drawn = F.broadcast(marked.where(keep))
     rows = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("of")).select("of", "toxic", "text").collect()
     rows = sorted(((r.of, r.toxic, normal(r.text)) for r in rows if r.text), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[2]))
-    return train([x for _, t, x in rows if t == 1], [x for _, t, x in rows if t == 0])
+    odds = sizes[1] / sizes[0] if sizes.get(0) and sizes.get(1) else None
+    return train([x for _, t, x in rows if t == 1], [x for _, t, x in rows if t == 0], odds)
 
 
 SCHEMA = "doc_id long,score double,predicted int"
