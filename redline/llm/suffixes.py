@@ -301,7 +301,8 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     whole = F.col("lo") + F.col("windows") - 1 + LENGTH
     settled = met.where("not mixed").select("k", "lo", whole.alias("hi"))
     mixed = met.where("mixed")
-    distinct = mixed.groupBy("gram", "run").agg(F.sum("times").alias("n"), F.min(F.struct("k", "lo", "windows")).alias("one"))
+    # written before it meets the sizes of its grams: a join of its own, which Spark can split at a large gram
+    distinct = cut(mixed.groupBy("gram", "run").agg(F.sum("times").alias("n"), F.min(F.struct("k", "lo", "windows")).alias("one")))
     many = distinct.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("runs"))
     distinct = cut(distinct.join(many, F.col("gram") == F.col("g")).select("gram", "run", "n", "one.*", (F.col("runs") > hot).alias("hot")))
     wanted = distinct.groupBy(F.col("k").alias("of")).agg(F.collect_list(F.struct("gram", "run", "lo", "windows", "hot")).alias("runs"))
