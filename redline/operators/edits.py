@@ -228,7 +228,7 @@ def m2_to_pairs(blocks: DataFrame, block_col: str = "block", mode: str = "refere
     """C-02: M2 blocks -> (input_text, target_text). All annotators' edits are
     applied together (as the reference does) unless mode='safe'."""
     lines = F.split(F.col(block_col), "\n")
-    src = F.substring(F.element_at(lines, 1), 3, 1 << 30)
+    src = F.substr(F.element_at(lines, 1), F.lit(3))
     a_lines = F.filter(lines, lambda ln: ln.startswith("A "))
     edits = parse_m2_edits(a_lines)
     return blocks.select("*", src.alias("input_text"), edits.alias("_edits")) \

@@ -102,7 +102,7 @@ def clean_paragraph(df: DataFrame, para_col: str = "para", start_col: str = "sta
         v = F.length(prefix) - F.when(inside, F.lit(1)).otherwise(F.lit(0))
         return F.when(lead, F.greatest(v - 1, F.lit(0))).otherwise(v)
 
-    clean = F.when(lead, collapsed.substr(F.lit(2), F.lit(1 << 30))).otherwise(collapsed)
+    clean = F.when(lead, F.substr(collapsed, F.lit(2))).otherwise(collapsed)
     out = df.withColumn("_s", remap(F.col(start_col))).withColumn("_e", remap(F.col(end_col))) \
             .withColumn("clean_para", clean)
     span = F.col("_s") != F.col("_e")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.functions.text import word_count, words
+from redline.functions.text import words
 from redline.session import read_table, spread
 
 RULE_MODELS = ("identity", "drop_last", "swap")
@@ -31,7 +31,7 @@ def rule_prediction(model: str, col) -> Column:
     if model == "fix_first":
         pos = F.instr(c, " the ")
         return F.when(pos > 0, F.concat(c.substr(F.lit(1), pos - 1), F.lit(" a "),
-                                        c.substr(pos + 5, F.lit(1 << 30)))).otherwise(c)
+                                        F.substr(c, pos + 5))).otherwise(c)
     raise ValueError(f"unknown rule model {model!r}")
 
 
@@ -40,12 +40,12 @@ def reference_target(col) -> Column:
     return F.replace(c, F.lit(" the "), F.lit(" a "))
 
 
-def lines(docs: DataFrame, min_words: int = 3) -> DataFrame:
-    """`documents` split on newlines with a 0-based ordinal; lines with at
-    least `min_words` whitespace words. Key (doc_id, line_no)."""
+def lines(docs: DataFrame) -> DataFrame:
+    """`documents` split on newlines with a 0-based ordinal: every line, blank
+    and one-word ones included. Key (doc_id, line_no)."""
     exploded = docs.select("doc_id", "lang", "source",
                            F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return spread(exploded).where(word_count("line") >= min_words)
+    return spread(exploded)
 
 
 def triples(spark: SparkSession, sf_dir: str, models=RULE_MODELS) -> DataFrame:

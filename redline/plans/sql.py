@@ -66,12 +66,9 @@ def rule_prediction(model: str, x: str = "line") -> str:
     raise ValueError(model)
 
 
-LINES = f"""lines AS (
-  SELECT doc_id, lang, source, line_no, line FROM (
-    SELECT doc_id, lang, source, unnest(parts) AS line,
-           generate_subscripts(parts, 1) - 1 AS line_no
-    FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents))
-  WHERE {word_count('line')} >= 3)"""
+LINES = """lines AS (
+  SELECT doc_id, lang, source, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no
+  FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents))"""
 
 
 def triples_cte(models=("identity", "drop_last", "swap")) -> str:
