@@ -7,8 +7,12 @@ and works unchanged on batch and streaming DataFrames.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redline.functions import patterns as pt
 
@@ -93,22 +97,29 @@ def route_doc_type(path) -> Column:
             .otherwise("unsupported"))
 
 
-# Entity table for html_text (fixed values; the common named entities).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&nbsp;", " "), ("&amp;", "&")]
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(col) -> Column:
+    """Named and numeric character references of HTML decoded, once, by the
+    standard library's table; only texts with an ampersand leave the JVM's path
+    (others are passed as NULL and kept as they are)."""
+    c = _c(col)
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 def html_text(col, drop_script: bool = True) -> Column:
     """P-18: markup removed, text kept. Comments, then (optionally) script and
-    style blocks, then tags; then entities; whitespace collapsed."""
+    style blocks, then tags; then character references; whitespace collapsed
+    (no-break spaces count as blanks)."""
     x = F.regexp_replace(_c(col), r"<!--[\s\S]*?-->", " ")
     if drop_script:
         x = F.regexp_replace(x, r"(?i)<script[^>]*>[\s\S]*?</script>", " ")
         x = F.regexp_replace(x, r"(?i)<style[^>]*>[\s\S]*?</style>", " ")
     x = F.regexp_replace(x, r"<[^>]*>", " ")
-    for ent, ch in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return normalize_ws(x)
+    return normalize_ws(F.translate(unescape(x), "\u00a0", " "))
 
 
 def model_slug(col) -> Column:

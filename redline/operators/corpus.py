@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redline.functions import patterns as pt
+from redline.session import written
 from redline.functions.hof import let
 
 
@@ -89,16 +90,20 @@ def pad_batch(df: DataFrame, col: str, batch_cols, side: str = "left", pad=pt.PA
     return df.withColumn("pad_count", fill)
 
 
-def vocabulary(df: DataFrame, col: str) -> DataFrame:
+def vocabulary(df: DataFrame, col: str, prefix: int = 3) -> DataFrame:
     """J-09 build side: distinct tokens with dense ids in token order.
 
-    A range-partitioned sort followed by `zipWithIndex` (per-partition counts,
-    then offsets): distributed, no single-partition window."""
-    spark = df.sparkSession
-    distinct = df.select(F.explode(col).alias("token")).where(F.col("token").isNotNull()) \
-        .distinct().orderBy("token")
-    indexed = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return spark.createDataFrame(indexed, "token string, id long")
+    A token's id is the number of tokens with a smaller prefix (a running sum
+    over the small table of prefixes) plus its place among those that share its
+    prefix, so no task sorts the whole vocabulary. The table is written to the
+    shared folder: its size is then known, and Spark broadcasts it by that."""
+    distinct = df.select(F.explode(col).alias("token")).where(F.col("token").isNotNull()).distinct() \
+        .withColumn("p", F.substring("token", 1, prefix))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    per = distinct.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(
+        "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy("token")) - 1
+    return written(distinct.withColumn("place", place).join(per, "p").select("token", (F.col("first") + F.col("place")).alias("id")))
 
 
 def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols) -> DataFrame:

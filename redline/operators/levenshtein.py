@@ -10,6 +10,7 @@ kind merged). Types are M / U / R (missing, unnecessary, replacement).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,26 +24,51 @@ EDIT_T = T.ArrayType(T.StructType([T.StructField("o_start", T.IntegerType()),
                                    T.StructField("type", T.StringType())]))
 
 
+#: Cells of an alignment matrix held at once; longer pairs are halved first.
+CELLS = 1 << 20
+
+
+def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distance of `a` to every prefix of `b`, one row at a time."""
+    steps = np.arange(len(b) + 1)
+    row = steps.copy()
+    for k, x in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = k
+        new[1:] = np.minimum(row[:-1] + (b != x), row[1:] + 1)
+        row = np.minimum.accumulate(new - steps) + steps
+    return row
+
+
 def align_ops(a: list, b: list) -> list:
     """Levenshtein alignment of a -> b as (op, i, j) with op in M(atch)/S/D/I;
-    ties prefer match, then substitution, deletion, insertion."""
+    ties prefer match, then substitution, deletion, insertion. A pair whose
+    matrix would exceed CELLS is split where the distances of its halves add up
+    to the least, so memory stays bounded and the alignment optimal."""
+    ids: dict = {}
+    return _align(np.array([ids.setdefault(x, len(ids)) for x in a], np.int64), np.array([ids.setdefault(x, len(ids)) for x in b], np.int64))
+
+
+def _align(a: np.ndarray, b: np.ndarray) -> list:
     n, m = len(a), len(b)
-    d = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        d[i][0] = i
-    for j in range(1, m + 1):
-        d[0][j] = j
+    if (n + 1) * (m + 1) > CELLS and n > 1:
+        half = n // 2
+        cut = int((_costs(a[:half], b) + _costs(a[half:][::-1], b[::-1])[::-1]).argmin())
+        return _align(a[:half], b[:cut]) + [(op, i + half, j + cut) for op, i, j in _align(a[half:], b[cut:])]
+    steps = np.arange(m + 1)
+    d = np.empty((n + 1, m + 1), np.int64)
+    d[0] = steps
     for i in range(1, n + 1):
-        ai, row, prev = a[i - 1], d[i], d[i - 1]
-        for j in range(1, m + 1):
-            cost = 0 if ai == b[j - 1] else 1
-            row[j] = min(prev[j - 1] + cost, prev[j] + 1, row[j - 1] + 1)
+        d[i, 0] = i
+        d[i, 1:] = np.minimum(d[i - 1, :-1] + (b != a[i - 1]), d[i - 1, 1:] + 1)
+        d[i] = np.minimum.accumulate(d[i] - steps) + steps
     ops, i, j = [], n, m
     while i > 0 or j > 0:
-        if i > 0 and j > 0 and d[i][j] == d[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else 1):
-            ops.append(("M" if a[i - 1] == b[j - 1] else "S", i - 1, j - 1))
+        same = i > 0 and j > 0 and a[i - 1] == b[j - 1]
+        if i > 0 and j > 0 and d[i, j] == d[i - 1, j - 1] + (not same):
+            ops.append(("M" if same else "S", i - 1, j - 1))
             i, j = i - 1, j - 1
-        elif i > 0 and d[i][j] == d[i - 1][j] + 1:
+        elif i > 0 and d[i, j] == d[i - 1, j] + 1:
             ops.append(("D", i - 1, j))
             i -= 1
         else:

@@ -145,9 +145,10 @@ def stage_improvement(stage_metrics: DataFrame, metrics, partition_cols=(), orde
     return stage_metrics.select("*", *cols)
 
 
-def cascade_report(stage_metrics: DataFrame, metrics, order_col: str = "stage") -> DataFrame:
-    """K-04: one row, nested JSON {all_stages, final_metrics, improvement}."""
-    stages = F.sort_array(F.collect_list(F.struct(order_col, *metrics)))
+def cascade_report(stage_metrics: DataFrame, metrics, carry=(), order_col: str = "stage") -> DataFrame:
+    """K-04: one row, nested JSON {all_stages, final_metrics, improvement}; `carry`
+    names what each stage shows besides its metrics (its model, its counts)."""
+    stages = F.sort_array(F.collect_list(F.struct(order_col, *carry, *metrics)))
     rep = stage_metrics.groupBy().agg(stages.alias("all_stages"))
     last = F.element_at("all_stages", -1)
     first = F.element_at("all_stages", 1)

@@ -44,12 +44,17 @@ def ngram_overlap(items: DataFrame, item_key: str, item_tok: str, docs: DataFram
                   n: int = 8) -> DataFrame:
     """X-02: per item, its number of n-grams and how many occur in `docs`.
 
-    Document grams are semi-joined against the distinct item grams first
+    Document grams are looked up by a 64-bit hash, each once per document
     (map-side when the item side is small enough to broadcast, by measured
-    size), so only matching grams are shuffled."""
+    size; else eight bytes a gram move, not its text). The grams of the hits
+    are then compared as text."""
     ig = items.select(item_key, F.explode(ngrams_of(item_tok, n)).alias("g"))
-    dg = docs.select(F.explode(ngrams_of(doc_tok, n)).alias("g"))
-    matched = dg.join(ig.select("g").distinct(), "g", "left_semi").distinct().withColumn("_hit", F.lit(1))
+    keys = ig.select(F.xxhash64("g").alias("h")).distinct()
+    dg = docs.select(F.array_distinct(ngrams_of(doc_tok, n)).alias("gs"))
+    hashed = dg.select(F.explode(F.transform("gs", lambda g: F.xxhash64(g))).alias("h"))
+    hits = hashed.join(keys, "h", "left_semi").distinct()
+    texts = dg.select(F.explode("gs").alias("g")).withColumn("h", F.xxhash64("g")).join(hits, "h", "left_semi").select("g")
+    matched = texts.distinct().withColumn("_hit", F.lit(1))
     per_item = ig.join(matched, "g", "left").groupBy(item_key).agg(
         F.count(F.lit(1)).alias("n_grams"), F.count("_hit").alias("n_overlap"))
     return items.select(item_key).join(per_item, item_key, "left").select(

@@ -132,17 +132,36 @@ def apply_null_policy(df: DataFrame, cols, policy: str = "zero") -> DataFrame:
     return df
 
 
-def score_status(cols, prediction=None, blank_zero: bool = False) -> Column:
-    """R-11: ok | null_input | blank."""
+def score_status(cols, prediction=None, blank_zero: bool = False, error=None) -> Column:
+    """R-11: ok | error | null_input | blank. `error` is the column that holds
+    the text of a failed prediction, if the rows have one."""
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | _c(c).isNull()
-    st = F.when(any_null, F.lit("null_input"))
+    st = F.when(F.lit(False) if error is None else _c(error).isNotNull(), F.lit("error")).when(any_null, F.lit("null_input"))
     if blank_zero and prediction is not None:
         st = st.when(strip(_c(prediction)) == "", F.lit("blank"))
     return st.otherwise(F.lit("ok"))
 
 
+def valid_triples(df: DataFrame, cols=("input_text", "prediction", "target_text")) -> DataFrame:
+    """P-11: the rows whose text columns are all present (pushed below any scorer)."""
+    return df.dropna(subset=list(cols))
+
+
+def count_valid(df: DataFrame, group_cols=(), cols=("input_text", "prediction", "target_text")) -> DataFrame:
+    """M-12: rows kept and skipped by `valid_triples`, per group."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.col(c).isNotNull()
+    return df.groupBy(*group_cols).agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_skipped"))
+
+
+def head_rows(df: DataFrame, n: int, order_cols) -> DataFrame:
+    """P-10 / W-07: the first `n` rows by a total order (the limit is the feature)."""
+    return df.orderBy(*order_cols).limit(n)
+
+
 def with_tokens(df: DataFrame, cols=("input_text", "prediction", "target_text"),
                 mode: str = "portable", suffix: str = "_tok") -> DataFrame:
     """Tokenise each text column once, as its own projection (shared by all
@@ -154,7 +173,7 @@ def finalize_score(score: Column, status: Column, policy: str) -> Column:
     """Apply the policy outcome for non-ok rows: zero -> 0.0, skip -> NULL."""
     bad = status != "ok"
     if policy == "skip":
-        return F.when(status == "null_input", F.lit(None).cast("double")) \
+        return F.when(status.isin("null_input", "error"), F.lit(None).cast("double")) \
                 .when(bad, F.lit(0.0)).otherwise(score)
     return F.when(bad, F.lit(0.0)).otherwise(score)
 
@@ -172,7 +191,7 @@ def score_triples(df: DataFrame, source: str = "input_text", prediction: str = "
     cols = (source, prediction, target)
     df = apply_null_policy(df, cols, null_policy)
     df = with_tokens(df, cols, tokenizer, suffix="__tok")
-    st = score_status(cols, prediction, blank_zero)
+    st = score_status(cols, prediction, blank_zero, "error" if "error" in df.columns else None)
     s, p, r = (F.col(c + "__tok") for c in cols)
     out = []
     for m in metrics:

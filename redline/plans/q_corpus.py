@@ -14,6 +14,7 @@ from redline.operators.corpus import (
     chunk_tokens,
     encode_fixed,
     pad_batch,
+    encode_with_vocab,
     vocabulary,
 )
 from redline.operators.quality import dedup_exact, duplicate_groups, ngram_overlap
@@ -89,8 +90,10 @@ def pad_batch_q(spark, sf_dir):
 @register("vocab_encode", f"""WITH {S.LINES},
 v AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS id FROM
        (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM benchmark)),
-x AS (SELECT doc_id, line_no, unnest({S.tokens('line')}) AS token FROM lines)
-SELECT doc_id, line_no, count(*) AS n_tokens, count(v.id) AS n_known, CAST(coalesce(sum(v.id), 0) AS BIGINT) AS id_sum
+y AS (SELECT doc_id, line_no, {S.tokens('line')} AS t FROM lines),
+x AS (SELECT doc_id, line_no, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM y)
+SELECT doc_id, line_no, CAST(count(*) AS INTEGER) AS n_tokens, CAST(count(v.id) AS INTEGER) AS n_known,
+  md5(string_agg(coalesce(v.id::VARCHAR, '-'), ',' ORDER BY pos)) AS ids_md5
 FROM x LEFT JOIN v USING (token) GROUP BY doc_id, line_no""")
 def vocab_encode(spark, sf_dir):
     """J-09: token -> id lookup against a vocabulary table (built from the
@@ -98,12 +101,11 @@ def vocab_encode(spark, sf_dir):
     broadcasts the vocabulary only if its measured size is under the
     threshold, otherwise it shuffles both sides."""
     vocab = vocabulary(read_table(spark, sf_dir, "benchmark").select(tokens("text").alias("t")), "t")
-    ln = lines(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "line_no", F.explode(tokens("line")).alias("token"))
-    j = ln.join(vocab, "token", "left")
-    return j.groupBy("doc_id", "line_no").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.count("id").alias("n_known"),
-        F.coalesce(F.sum("id"), F.lit(0)).cast("long").alias("id_sum"))
+    ln = lines(read_table(spark, sf_dir, "documents")).select("doc_id", "line_no", tokens("line").alias("t"))
+    e = encode_with_vocab(ln, "t", vocab, ["doc_id", "line_no"])
+    shown = F.array_join(F.transform("ids", lambda i: F.coalesce(i.cast("string"), F.lit("-"))), ",")
+    return e.select("doc_id", "line_no", F.size("ids").alias("n_tokens"),
+                    F.size(F.filter("ids", lambda i: i.isNotNull())).alias("n_known"), F.md5(shown).alias("ids_md5"))
 
 
 def _sent_sql(x):
@@ -151,13 +153,18 @@ def dedup_exact_q(spark, sf_dir):
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("_kept")).alias("n_kept"))
 
 
-def _grams_sql(t, n=8):
-    return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
+def _grams_sql(src, key, n=8):
+    """8-grams of (key, t) by position: each token with the next seven."""
+    nxt = " || ' ' || ".join(f"lead(tok, {k}) OVER w" for k in range(1, n))
+    return (f"SELECT {key}, g FROM (SELECT {key}, tok || ' ' || {nxt} AS g FROM "
+            f"(SELECT {key}, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM {src}) "
+            f"WINDOW w AS (PARTITION BY {key} ORDER BY pos)) WHERE g IS NOT NULL")
 
 
 @register("split_overlap", f"""WITH b AS (SELECT item_id, {S.tokens('text')} AS t FROM benchmark),
-bg AS (SELECT item_id, unnest({_grams_sql('t')}) AS g FROM b),
-dg AS (SELECT DISTINCT unnest({_grams_sql(S.tokens('text'))}) AS g FROM documents),
+d AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
+bg AS ({_grams_sql('b', 'item_id')}),
+dg AS (SELECT DISTINCT g FROM ({_grams_sql('d', 'doc_id')})),
 hits AS (SELECT bg.item_id, bg.g, dg.g IS NOT NULL AS hit FROM bg LEFT JOIN dg ON dg.g = bg.g)
 SELECT b.item_id, count(hits.g) AS n_grams, count(*) FILTER (WHERE hits.hit) AS n_overlap
 FROM b LEFT JOIN hits ON hits.item_id = b.item_id GROUP BY b.item_id""")

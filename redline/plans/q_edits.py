@@ -278,13 +278,28 @@ def sentence_assign(spark, sf_dir):
                     F.col("o_end").cast("int").alias("o_end"), "c_str")
 
 
-@register("levenshtein_edits")
+def _levenshtein_sql():
+    """Every rule model changes words one by one or drops the last: the distance
+    is the number of places that differ, or one; applying the edits gives the prediction."""
+    a, p = S.words("input_text"), S.words("prediction")
+    return f"""WITH {S.triples_cte(EDIT_MODELS)},
+w AS (SELECT doc_id, line_no, model, {a} AS a, {p} AS p FROM triples)
+SELECT doc_id, line_no, model, md5(array_to_string(p, ' ')) AS applied_md5,
+  CAST(CASE WHEN len(a) <> len(p) THEN 1 ELSE len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> p[i])) END AS INTEGER) AS cost,
+  (len(a) <> len(p) OR a <> p) AS changed FROM w"""
+
+
+@register("levenshtein_edits", _levenshtein_sql())
 def levenshtein_edits_q(spark, sf_dir):
-    """R-07: Levenshtein-aligned edits (all-merge) of input -> prediction for
-    every rule model (rows-only check; tested against a brute-force aligner)."""
+    """R-07: Levenshtein-aligned edits of input -> prediction for every rule
+    model: one edit per operation counts the distance, merged edits applied to
+    the input give the prediction."""
     from redline.operators.levenshtein import levenshtein_edits
     t = triples(spark, sf_dir, models=EDIT_MODELS).select(
-        "doc_id", "line_no", "model", words("input_text").alias("a"), words("prediction").alias("p"))
-    e = t.select("doc_id", "line_no", "model", levenshtein_edits("a", "p").alias("edits"))
-    return e.select("doc_id", "line_no", "model", F.size("edits").alias("n_edits"),
-                    F.array_join(edit_key_strings("edits"), ";").alias("edits"))
+        "doc_id", "line_no", "model", "input_text", words("input_text").alias("a"), words("prediction").alias("p"))
+    e = t.select("doc_id", "line_no", "model", "input_text", levenshtein_edits("a", "p", "all-split").alias("ops"),
+                 levenshtein_edits("a", "p").alias("edits"))
+    numbered = F.transform("edits", lambda x, i: F.struct(x["o_start"].alias("o_start"), x["o_end"].alias("o_end"),
+                                                          x["c_str"].alias("c_str"), x["type"].alias("type"), i.alias("ord")))
+    return e.select("doc_id", "line_no", "model", F.md5(apply_edits("input_text", numbered, "safe")).alias("applied_md5"),
+                    F.size("ops").alias("cost"), (F.size("edits") > 0).alias("changed"))

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from redline.functions import patterns as pt
@@ -14,6 +16,7 @@ from redline.functions.text import (
     html_text,
     mask_patterns,
     model_slug,
+    model_slug_underscore,
     normalize_punct,
     normalize_ws,
     route_doc_type,
@@ -23,7 +26,7 @@ from redline.functions.text import (
     word_count,
 )
 from redline.functions.tokens import tokens
-from redline.operators.scores import score_triples
+from redline.operators.scores import count_valid, head_rows, score_triples
 from redline.plans import sql as S
 from redline.plans.fixtures import lines, triples, turn_triples
 from redline.plans.registry import register
@@ -154,8 +157,7 @@ def valid_triples(spark, sf_dir):
     t = d.join(lab, "doc_id", "left").select(
         "lang", F.col("text").alias("input_text"), F.col("text").alias("prediction"),
         F.when(F.col("_has"), F.col("text")).alias("target_text"))
-    ok = F.col("input_text").isNotNull() & F.col("prediction").isNotNull() & F.col("target_text").isNotNull()
-    return t.groupBy("lang").agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_skipped"))
+    return count_valid(t, ["lang"])
 
 
 @register("model_slug", f"""SELECT page_id, translate(url, '/.', '_-') AS slug,
@@ -166,18 +168,47 @@ def model_slug_q(spark, sf_dir):
     return p.select("page_id", model_slug("url").alias("slug"), dataset_name("url").alias("dataset"))
 
 
+@register("model_slug_underscore", "SELECT page_id, replace(replace(url, '/', '_'), '-', '_') AS slug FROM pages")
+def model_slug_underscore_q(spark, sf_dir):
+    """K-06, second rule: slashes and hyphens become underscores."""
+    return read_table(spark, sf_dir, "pages").select("page_id", model_slug_underscore("url").alias("slug"))
+
+
+@register("chat_messages_simplify", f"""SELECT conv_id, turn,
+  md5({S.q(pt.READABILITY_SYSTEM_PROMPT)}) AS system_md5,
+  md5(replace({S.q(pt.READABILITY_USER_TEMPLATE)}, '{{input_text}}', text)) AS user_md5
+FROM conversations""")
+def chat_messages_simplify(spark, sf_dir):
+    """P-05 for the second task (digests of both messages)."""
+    m = chat_messages("readability", "text")
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.md5(m[0]["content"]).alias("system_md5"), F.md5(m[1]["content"]).alias("user_md5"))
+
+
+def _entities_sql(x):
+    """Character references decoded piece by piece after each ampersand, from a
+    table of all named ones (those that end in a semicolon) and by number."""
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    table = f"map([{', '.join(S.q(k) for k in names)}], [{', '.join(S.q(v) for v in names.values())}])"
+    name = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)"
+    piece = (f"CASE WHEN i = 1 THEN p WHEN {name} <> '' AND names[{name}] IS NOT NULL THEN names[{name}] || substring(p, length({name}) + 2) "
+             f"WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p, '^#([0-9]+);', 1)::INTEGER) || regexp_replace(p, '^#[0-9]+;', '') "
+             f"ELSE '&' || p END")
+    return f"""ents AS (SELECT {table} AS names),
+pieces AS (SELECT page_id, unnest(string_split(x, '&')) AS p, generate_subscripts(string_split(x, '&'), 1) AS i FROM ({x})),
+decoded AS (SELECT page_id, string_agg({piece}, '' ORDER BY i) AS x FROM pieces, ents GROUP BY page_id)"""
+
+
 def _html_sql(x):
     y = f"regexp_replace({x}, '<!--[\\s\\S]*?-->', ' ', 'g')"
     y = f"regexp_replace({y}, '(?i)<script[^>]*>[\\s\\S]*?</script>', ' ', 'g')"
     y = f"regexp_replace({y}, '(?i)<style[^>]*>[\\s\\S]*?</style>', ' ', 'g')"
     y = f"regexp_replace({y}, '<[^>]*>', ' ', 'g')"
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                    ("&amp;", "&")):
-        y = f"replace({y}, {S.q(ent)}, {S.q(ch)})"
-    return f"trim(regexp_replace({y}, {S.q(pt.WS_RUN)}, ' ', 'g'))"
+    return y
 
 
-@register("html_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+@register("html_text", f"""WITH {_entities_sql(f"SELECT page_id, {_html_sql('html')} AS x FROM pages")}
+SELECT page_id, trim(regexp_replace(translate(x, chr(160), ' '), {S.q(pt.WS_RUN)}, ' ', 'g')) AS text FROM decoded""")
 def html_text_q(spark, sf_dir):
     """P-18: visible text of every page."""
     return read_table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
@@ -216,10 +247,9 @@ FROM v3 ORDER BY doc_id, line_no LIMIT 20""")
 def preview_topn(spark, sf_dir):
     """P-27 / W-07: the first 20 rows (by key) with token counts and scores;
     the limit is the feature (TakeOrderedAndProject, no global sort)."""
-    s = score_triples(triples(spark, sf_dir, models=("drop_last",)), metrics=("sari_f1",))
-    return (s.select("doc_id", "line_no", F.size(tokens("input_text")).alias("n_tokens"),
-                     F.round("sari_f1", 6).alias("sari_f1"))
-            .orderBy("doc_id", "line_no").limit(20))
+    first = head_rows(triples(spark, sf_dir, models=("drop_last",)), 20, ["doc_id", "line_no"])
+    s = score_triples(first, metrics=("sari_f1",))  # scored after the rows are taken
+    return s.select("doc_id", "line_no", F.size(tokens("input_text")).alias("n_tokens"), F.round("sari_f1", 6).alias("sari_f1"))
 
 
 @register("hash_shuffle", f"""WITH {S.LINES}

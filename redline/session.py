@@ -4,7 +4,7 @@ the lineage-cut folder."""
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,23 +42,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (cascade stages, iterative work).
 
     Read from the session (`spark.checkpoint.dir`, or the context's checkpoint
-    dir). Only when nothing is configured AND the master is local (tests,
-    bench) do we create a private scratch folder; on a cluster an unset value
-    is an error rather than a silent machine-local path.
+    dir). Where nothing is configured and the master is local (tests, bench) a
+    folder below the warehouse is used; on a cluster an unset value is an error
+    rather than a silent machine-local path.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a shared folder "
-            "(HDFS/S3/ABFS) that every executor can reach")
-    path = tempfile.mkdtemp(prefix="redline-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; point it at a shared folder "
+                "(HDFS/S3/ABFS) that every executor can reach")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table or files written once and read back."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: a lineage cut whose size is
+    known, so that Spark can decide on a broadcast from it."""
+    path = shared_path(df.sparkSession, "redline-table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 def write_triples(df: DataFrame, path: str, partition_cols=("task", "model", "dataset"),
                   fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K-01: prediction triples partitioned by run keys (Parquet; CSV with a
-    header when fmt='csv')."""
-    w = df.write.mode(mode).partitionBy(*[c for c in partition_cols if c in df.columns])
+    header when fmt='csv'). A run replaces its own partitions and leaves those
+    of other models, tasks and datasets alone."""
+    w = (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*[c for c in partition_cols if c in df.columns]))
     if fmt == "csv":
         w.option("header", True).option("escape", '"').csv(path)
     else:
@@ -23,10 +25,10 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_stage(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_stage(df: DataFrame, path: str) -> None:
     """K-03: cascade stage output, partitioned by `stage` (the written stage is
-    also the lineage cut when read back)."""
-    df.write.mode(mode).partitionBy("stage").parquet(path)
+    also the lineage cut when read back). Writing a stage again replaces it."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage").parquet(path)
 
 
 def write_m2(df: DataFrame, path: str, block_col: str = "block", mode: str = "overwrite") -> None:
