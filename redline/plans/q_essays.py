@@ -1,17 +1,21 @@
-"""Registered queries: essay conversion (C-04, S-11, J-04, J-05, J-02).
+"""Registered queries: essay conversion (C-04..C-09, S-11, J-02, J-04..J-06).
 
-Essays are the driver's `documents` (punctuation-normalised). Character
-edits are derived from each whole essay: coder 0 corrects the first ' the '
-and marks the first 20 characters as a detection; coder 1 marks the first
-' and ' and the whole essay as detections (the latter crosses paragraphs
-whenever the essay has more than one, so J-04 drops it)."""
+Essays are the driver's `documents` (punctuation-normalised). Three coders' edits
+are derived from the whole essay: coder 0 corrects each ' the ' and marks the
+first 20 characters as a detection; coder 1 marks each ' and ' and replaces the
+whole essay (which crosses paragraphs whenever there are several, so J-04 drops
+it); coder 2 corrects each ' of ', inserts inside the same word (J-06 drops the
+widened edit that overlaps) and marks a detection around both (J-05)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from redline.functions import patterns as pt
+from redline.functions.offsets import running_starts
 from redline.functions.text import normalize_punct
+from redline.operators.edits import PUNCTUATION
 from redline.operators.essays import (
     align_coders,
     classify_edits,
@@ -29,41 +33,61 @@ def essays(spark, sf_dir):
     return d.select(F.col("doc_id").alias("essay_id"), normalize_punct("text").alias("text"))
 
 
+#: What each occurrence of a literal gives: (literal, coder, first, last, correction); offsets from the blank before the word.
+MARKS = ((" the ", 0, 1, 4, "a"), (" and ", 1, 1, 4, None), (" of ", 2, 1, 3, "off"), (" of ", 2, 2, 2, "x"), (" of ", 2, -3, 6, None))
+
+
 def essay_edits(es):
-    the = F.instr("text", " the ")
-    and_ = F.instr("text", " and ")
+    """All coders' edits, numbered per essay and coder, from one pass over the texts."""
+    found = []
+    for k, (word, *_) in enumerate(MARKS):
+        parts = F.split("text", word, -1)
+        found.append(F.struct(F.lit(k).alias("k"), F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p)).alias("lens")))
     n = F.length("text")
-    rows = F.array(
-        F.when(the > 0, F.struct(F.lit(0).alias("coder"), F.lit(0).alias("ord"), the.alias("start"),
-                                 (the + 3).alias("end"), F.lit("a").alias("cor"), F.lit(None).cast("string").alias("type"))),
-        F.struct(F.lit(0).alias("coder"), F.lit(1).alias("ord"), F.lit(0).alias("start"),
-                 F.least(n, F.lit(20)).alias("end"), F.lit(None).cast("string").alias("cor"),
-                 F.lit(None).cast("string").alias("type")),
-        F.when(and_ > 0, F.struct(F.lit(1).alias("coder"), F.lit(0).alias("ord"), and_.alias("start"),
-                                  (and_ + 3).alias("end"), F.lit(None).cast("string").alias("cor"),
-                                  F.lit(None).cast("string").alias("type"))),
-        F.struct(F.lit(1).alias("coder"), F.lit(1).alias("ord"), F.lit(0).alias("start"), n.alias("end"),
-                 F.lit("’x’").alias("cor"), F.lit("R:OTHER").alias("type")),
-    )
-    x = es.select("essay_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("e"))
-    return x.select("essay_id", F.col("e.coder").cast("int").alias("coder"), F.col("e.ord").cast("int").alias("ord"),
-                    F.col("e.start").cast("int").alias("start"), F.col("e.end").cast("int").alias("end"),
-                    "e.cor", "e.type")
+    marks = es.select("essay_id", n.alias("n"), F.inline(F.array(*found)))
+    marks = marks.select("essay_id", "n", "k", F.posexplode(F.zip_with("lens", running_starts("lens"), lambda a, b: a + b)).alias("i", "before"))
+    rule = F.array(*[F.struct(F.length(F.lit(w)).alias("len"), F.lit(c).alias("coder"), F.lit(a).alias("a"), F.lit(b).alias("b"),
+                              F.lit(cor).cast("string").alias("cor")) for w, c, a, b, cor in MARKS])
+    m = marks.select("essay_id", "n", "k", "i", "before", F.element_at(rule, F.col("k") + 1).alias("r"))
+    at = F.col("before") + F.col("i") * F.col("r.len")
+    none = F.lit(None).cast("string")
+    each = m.select("essay_id", F.col("r.coder").alias("coder"), "k", "i", F.greatest(at + F.col("r.a"), F.lit(0)).alias("start"),
+                    F.least(at + F.col("r.b"), F.col("n")).alias("end"), F.col("r.cor").alias("cor"), none.alias("type"))
+    whole = es.select("essay_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("coder"), F.lit(9).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.least(n, F.lit(20)).alias("end"),
+                 none.alias("cor"), none.alias("type")),
+        F.struct(F.lit(1).alias("coder"), F.lit(9).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("start"), n.alias("end"),
+                 F.lit("’x’").alias("cor"), F.lit("R:OTHER").alias("type")))))
+    w = Window.partitionBy("essay_id", "coder").orderBy("i", "k")
+    return each.unionByName(whole).select("essay_id", "coder", (F.row_number().over(w) - 1).alias("ord"), F.col("start").cast("int").alias("start"),
+                                          F.col("end").cast("int").alias("end"), "cor", "type")
 
 
 _ESSAYS = f"""es AS (SELECT doc_id AS essay_id, translate(text, {S.q(pt.PUNCT_FROM)}, {S.q(pt.PUNCT_TO)}) AS text
                FROM documents)"""
+
+
+def _marks_sql():
+    out = []
+    for k, (word, coder, a, b, cor) in enumerate(MARKS):
+        c = "NULL::VARCHAR" if cor is None else S.q(cor)
+        parts = f"string_split(text, {S.q(word)})"
+        out.append(f"""SELECT essay_id, {coder} AS coder, {k} AS k, i, greatest(o + {a}, 0) AS start, least(o + {b}, n) AS "end", {c} AS cor, NULL::VARCHAR AS type
+  FROM (SELECT essay_id, n, i - 1 AS i, m, sum(len) OVER (PARTITION BY essay_id ORDER BY i) + (i - 1) * {len(word)} AS o FROM (
+    SELECT essay_id, length(text) AS n, len({parts}) AS m, generate_subscripts({parts}, 1) AS i, length(unnest({parts})) AS len FROM es)) WHERE i < m - 1""")
+    return "\nUNION ALL ".join(out)
+
+
 _EDITS = f"""{_ESSAYS},
-ed AS (
-  SELECT essay_id, 0 AS coder, 0 AS ord, strpos(text, ' the ') AS start, strpos(text, ' the ') + 3 AS "end",
-         'a' AS cor, NULL::VARCHAR AS type FROM es WHERE strpos(text, ' the ') > 0
-  UNION ALL SELECT essay_id, 0, 1, 0, least(length(text), 20), NULL, NULL FROM es
-  UNION ALL SELECT essay_id, 1, 0, strpos(text, ' and '), strpos(text, ' and ') + 3, NULL, NULL FROM es
-            WHERE strpos(text, ' and ') > 0
-  UNION ALL SELECT essay_id, 1, 1, 0, length(text), '’x’', 'R:OTHER' FROM es),
+mk AS ({_marks_sql()}
+  UNION ALL SELECT essay_id, 0, 9, 0, 0, least(length(text), 20), NULL, NULL FROM es
+  UNION ALL SELECT essay_id, 1, 9, 0, 0, length(text), '’x’', 'R:OTHER' FROM es),
+ed AS (SELECT essay_id, coder, CAST(row_number() OVER (PARTITION BY essay_id, coder ORDER BY i, k) - 1 AS INTEGER) AS ord,
+         CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", cor, type FROM mk),
 cl AS (SELECT essay_id, coder, ord, start, "end", type,
          CASE WHEN cor IS NULL THEN 'D' ELSE coalesce(type, 'C') END AS kind,
          translate(cor, {S.q(pt.PUNCT_FROM)}, {S.q(pt.PUNCT_TO)}) AS cor FROM ed)"""
+EDITS_SQL = _EDITS
 _PARAS = """parts AS (SELECT essay_id, unnest(string_split(text, chr(10))) AS para,
                  generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM es),
 pos AS (SELECT essay_id, idx, para, CAST(coalesce(sum(length(para) + 1) OVER (PARTITION BY essay_id ORDER BY idx
@@ -75,6 +99,15 @@ _JOINED = """pe AS (SELECT cl.essay_id, cl.coder, cl.ord, cl.kind, cl.cor, p.par
        FROM cl JOIN paras p ON p.essay_id = cl.essay_id AND cl.start >= p.p_start AND cl."end" <= p.p_end)"""
 
 
+_KEPT = """kept AS (
+  SELECT * FROM pe WHERE kind <> 'D'
+  UNION ALL
+  SELECT d.* FROM pe d WHERE d.kind = 'D' AND NOT EXISTS (
+    SELECT 1 FROM pe c WHERE c.kind <> 'D' AND c.essay_id = d.essay_id AND c.coder = d.coder AND c.para_no = d.para_no
+      AND ((c.start <> c."end" AND c.start >= d.start AND c."end" <= d."end")
+           OR (c.start = c."end" AND c.start > d.start AND c."end" < d."end"))))"""
+
+
 def _joined(spark, sf_dir):
     es = essays(spark, sf_dir)
     e = classify_edits(essay_edits(es))
@@ -108,13 +141,7 @@ def edit_paragraph_join(spark, sf_dir):
 
 
 @register("detection_overlap_anti", f"""WITH {_EDITS}, {_PARAS}, {_JOINED},
-kept AS (
-  SELECT * FROM pe WHERE kind <> 'D'
-  UNION ALL
-  SELECT d.* FROM pe d WHERE d.kind = 'D' AND NOT EXISTS (
-    SELECT 1 FROM pe c WHERE c.kind <> 'D' AND c.essay_id = d.essay_id AND c.coder = d.coder AND c.para_no = d.para_no
-      AND ((c.start <> c."end" AND c.start >= d.start AND c."end" <= d."end")
-           OR (c.start = c."end" AND c.start > d.start AND c."end" < d."end"))))
+{_KEPT}
 SELECT essay_id, coder, ord, kind, para_no FROM kept""")
 def detection_overlap_anti(spark, sf_dir):
     """J-05: detection edits containing a correction are removed (anti-join)."""
@@ -123,15 +150,17 @@ def detection_overlap_anti(spark, sf_dir):
 
 
 @register("coder_align", f"""WITH {_EDITS}, {_PARAS}, {_JOINED},
-coders AS (SELECT DISTINCT essay_id, coder FROM pe),
+coders AS (SELECT DISTINCT essay_id, coder FROM ed),
 cnt AS (SELECT essay_id, coder, para_no, count(*) AS n FROM pe GROUP BY ALL)
 SELECT p.essay_id, p.para_no, c.coder, coalesce(cnt.n, 0) AS n_edits
 FROM paras p JOIN coders c ON c.essay_id = p.essay_id
 LEFT JOIN cnt ON cnt.essay_id = p.essay_id AND cnt.coder = c.coder AND cnt.para_no = p.para_no""")
 def coder_align(spark, sf_dir):
     """J-02 / J-08: paragraphs x coders with edit counts (0 = noop)."""
-    j, es = _joined(spark, sf_dir)
-    return align_coders(paragraphs(es), j)
+    es = essays(spark, sf_dir)
+    raw = essay_edits(es)
+    paras = paragraphs(es)
+    return align_coders(paras, edits_to_paragraphs(classify_edits(raw), paras), raw)
 
 
 _CLEAN = f"""x AS (SELECT pe.essay_id, pe.coder, pe.ord, pe.para_no, pe.start, pe."end",
@@ -166,13 +195,14 @@ def clean_paragraph_q(spark, sf_dir):
                     F.col("end").cast("int").alias("end"), F.md5("clean_para").alias("para_md5"))
 
 
-def _tok_span_sql():
+def _tok_span_ctes(source="pe"):
     parts = "string_split(clean_para, ' ')"
     pref = f"coalesce(list_sum(list_transform(({parts})[1:i - 1], lambda w: length(w) + 1)), 0)"
     bounds = (f"list_filter(list_transform(range(1, len({parts}) + 1), lambda i: {{'s': {pref}, "
               f"'e': {pref} + length(({parts})[i]), 'l': length(({parts})[i])}}), lambda x: x.l > 0)")
-    return f"""WITH {_EDITS}, {_PARAS}, {_JOINED}, {_CLEAN},
-tb AS (SELECT essay_id, coder, ord, para_no, start, "end", {bounds} AS b FROM cp),
+    return f"""{_CLEAN.replace("FROM pe JOIN", f"FROM {source} pe JOIN")},
+pb AS (SELECT essay_id, para_no, {bounds} AS b FROM (SELECT DISTINCT essay_id, para_no, clean_para FROM cp)),
+tb AS (SELECT cp.essay_id, coder, ord, cp.para_no, start, "end", b FROM cp JOIN pb USING (essay_id, para_no)),
 se AS (SELECT essay_id, coder, ord, para_no, start, "end", list_transform(b, lambda x: x.s) AS ss,
          list_transform(b, lambda x: x.e) AS es FROM tb),
 k AS (SELECT *, len(ss) AS n,
@@ -181,7 +211,7 @@ k AS (SELECT *, len(ss) AS n,
 xx AS (SELECT *, CASE WHEN s_in THEN start ELSE ss[CASE WHEN bs = 0 THEN -1 ELSE bs END] END AS xs,
         CASE WHEN e_in THEN "end" ELSE es[be + 1] END AS xe_ins,
         CASE WHEN e_in THEN "end" WHEN be >= n THEN es[-1] ELSE es[be + 1] END AS xe FROM k),
-r AS (SELECT essay_id, coder, ord, para_no, CASE
+r AS (SELECT essay_id, coder, ord, para_no, start, "end", CASE
    WHEN n = 0 THEN NULL
    WHEN start = "end" THEN CASE
      WHEN start = 0 OR start <= ss[1] THEN {{'t_start': 0, 't_end': 0, 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
@@ -191,30 +221,71 @@ r AS (SELECT essay_id, coder, ord, para_no, CASE
      ELSE {{'t_start': list_position(ss, xs) - 1, 't_end': list_position(es, xe_ins), 'c_start': xs, 'c_end': xe_ins}} END
    WHEN s_in AND e_in THEN {{'t_start': list_position(ss, start) - 1, 't_end': list_position(es, "end"), 'c_start': NULL::INTEGER, 'c_end': NULL::INTEGER}}
    ELSE {{'t_start': list_position(ss, xs) - 1, 't_end': list_position(es, xe), 'c_start': xs, 'c_end': xe}} END AS sp
- FROM xx)
-SELECT essay_id, coder, ord, para_no, CAST(sp.t_start AS INTEGER) AS t_start, CAST(sp.t_end AS INTEGER) AS t_end,
-  CAST(sp.c_start AS INTEGER) AS c_start, CAST(sp.c_end AS INTEGER) AS c_end FROM r"""
+ FROM xx)"""
 
 
-@register("char_to_token_span", _tok_span_sql())
+@register("char_to_token_span", f"""WITH {_EDITS}, {_PARAS}, {_JOINED}, {_tok_span_ctes()}
+SELECT essay_id, coder, ord, para_no, CAST(sp.t_start AS INTEGER) AS t_start, CAST(sp.t_end AS INTEGER) AS t_end,
+  CAST(sp.c_start AS INTEGER) AS c_start, CAST(sp.c_end AS INTEGER) AS c_end FROM r""")
 def char_to_token_span_q(spark, sf_dir):
     """J-06: cleaned character edit spans -> token spans (blank-separated
     tokens), expanded to token boundaries where they cut a token."""
-    from redline.operators.essays import char_to_token_span, clean_paragraph, token_bounds
+    from redline.operators.essays import char_to_token_span, clean_paragraph, with_token_bounds
     j, es = _joined(spark, sf_dir)
     p = paragraphs(es).select("essay_id", "para_no", "para")
     c = clean_paragraph(j.join(p, ["essay_id", "para_no"]))
-    b = c.select("essay_id", "coder", "ord", "para_no", "start", "end", token_bounds("clean_para").alias("tb"))
-    b = b.select("*", F.transform("tb", lambda x: x["s"]).alias("ss"), F.transform("tb", lambda x: x["e"]).alias("es"))
+    b = with_token_bounds(c.select("essay_id", "coder", "ord", "para_no", "start", "end", "clean_para"))
     sp = char_to_token_span("start", "end", "ss", "es")
     return b.select("essay_id", "coder", "ord", "para_no", sp["t_start"].alias("t_start"), sp["t_end"].alias("t_end"),
                     sp["c_start"].alias("c_start"), sp["c_end"].alias("c_end"))
 
 
-@register("essays_to_m2")
+def _m2_sql():
+    """The whole conversion from the steps above: spans of the kept edits, the
+    order-dependent overlap drop (one recursion step per edit of a coder), sentences
+    by position, minimised corrections, lines in order, noops."""
+    text = f"regexp_replace(regexp_replace(para, {S.q(pt.WS)}, ' ', 'g'), ' {{2,}}', ' ', 'g')"
+    noop = S.q(pt.M2_NOOP_PREFIX)
+    return f"""WITH RECURSIVE {_EDITS}, {_PARAS}, {_JOINED}, {_KEPT}, {_tok_span_ctes("kept")},
+seq AS (SELECT r.essay_id, r.coder, r.ord, r.para_no, r.start, r."end", CAST(sp AS STRUCT(t_start INTEGER, t_end INTEGER, c_start INTEGER, c_end INTEGER)) AS sp, cp.clean_para, kept.kind, kept.cor,
+          row_number() OVER (PARTITION BY r.essay_id, r.para_no, r.coder ORDER BY r.ord) AS k
+        FROM r JOIN cp USING (essay_id, coder, ord, para_no) JOIN kept USING (essay_id, coder, ord, para_no)),
+walk AS (
+  SELECT essay_id, para_no, coder, ord, k, true AS stays, sp.t_end AS reached FROM seq WHERE k = 1
+  UNION ALL
+  SELECT s.essay_id, s.para_no, s.coder, s.ord, s.k, NOT (s.sp.c_start IS NOT NULL AND s.sp.t_start < w.reached),
+         CASE WHEN s.sp.c_start IS NOT NULL AND s.sp.t_start < w.reached THEN w.reached ELSE s.sp.t_end END
+  FROM walk w JOIN seq s ON s.essay_id = w.essay_id AND s.para_no = w.para_no AND s.coder = w.coder AND s.k = w.k + 1),
+body AS (SELECT essay_id, para_no, {S.words(text)} AS toks FROM paras WHERE {S.strip('para')} <> ''),
+te AS (SELECT seq.essay_id, seq.para_no, seq.coder, seq.ord, sp.t_start AS t0, sp.t_end AS t1, kind, toks[sp.t_start + 1:sp.t_end] AS o,
+         CASE WHEN kind = 'D' THEN toks[sp.t_start + 1:sp.t_end]
+              WHEN sp.c_start IS NULL THEN {S.words('cor')}
+              ELSE {S.words("(substring(clean_para, sp.c_start + 1, start - sp.c_start) || cor || substring(clean_para, \"end\" + 1, sp.c_end - \"end\"))")} END AS c,
+         (kind = 'D' OR trim(cor) = '' OR contains({S.q(PUNCTUATION)}, right(rtrim(cor), 1))) AS closes
+       FROM seq JOIN walk USING (essay_id, para_no, coder, ord) JOIN body USING (essay_id, para_no) WHERE stays),
+tok AS (SELECT essay_id, para_no, toks, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM body),
+ends AS (SELECT essay_id, para_no, toks, i AS s_end, row_number() OVER w - 1 AS sent_no, coalesce(lag(i) OVER w, 0) AS s_start
+         FROM tok WHERE regexp_matches(t, '[.!?]$') OR i = len(toks) WINDOW w AS (PARTITION BY essay_id, para_no ORDER BY i)),
+placed AS (SELECT te.*, e.sent_no, t0 - e.s_start AS a, t1 - e.s_start AS b FROM te JOIN ends e USING (essay_id, para_no)
+  WHERE CASE WHEN t0 = t1 AND t0 = e.s_end THEN e.s_end = len(e.toks) OR closes
+             WHEN t0 = t1 AND t0 = e.s_start AND e.sent_no > 0 THEN NOT closes
+             ELSE t0 >= e.s_start AND t0 < e.s_end END AND t1 <= e.s_end),
+cut AS (SELECT *, CASE WHEN kind = 'D' THEN 0 ELSE coalesce(list_position(list_transform(range(1, least(len(o), len(c)) + 1), lambda i: o[i] = c[i]), false) - 1, least(len(o), len(c))) END AS p FROM placed),
+cut2 AS (SELECT *, CASE WHEN kind = 'D' THEN 0 ELSE least(least(len(o), len(c)) - p, coalesce(list_position(list_transform(range(1, least(len(o), len(c)) + 1),
+           lambda i: list_reverse(o)[i] = list_reverse(c)[i]), false) - 1, least(len(o), len(c)))) END AS q FROM cut),
+ln AS (SELECT essay_id, para_no, sent_no, coder, ord, a + p AS a, b - q AS b, kind, array_to_string(c[p + 1:len(c) - q], ' ') AS cs FROM cut2),
+per AS (SELECT essay_id, para_no, sent_no, coder, string_agg('A ' || a || ' ' || b || '|||' || kind || '|||' || cs || '|||REQUIRED|||-NONE-|||' || coder,
+          chr(10) ORDER BY b, a, ord) AS lines FROM ln WHERE NOT (kind <> 'D' AND a = b AND cs = '') GROUP BY ALL),
+cods AS (SELECT DISTINCT essay_id, coder FROM ed)
+SELECT e.essay_id, e.para_no, CAST(e.sent_no AS INTEGER) AS sent_no, md5('S ' || array_to_string(any_value(e.toks[e.s_start + 1:e.s_end]), ' ') || chr(10)
+    || string_agg(coalesce(per.lines, {noop} || c.coder), chr(10) ORDER BY c.coder)) AS block_md5
+FROM ends e JOIN cods c USING (essay_id) LEFT JOIN per USING (essay_id, para_no, sent_no, coder) GROUP BY e.essay_id, e.para_no, e.sent_no"""
+
+
+@register("essays_to_m2", _m2_sql())
 def essays_to_m2_q(spark, sf_dir):
-    """C-09: whole essays with two coders' character edits -> M2 blocks per
-    sentence (rows-only: the composition of checked steps)."""
+    """C-09: whole essays with three coders' character edits -> M2 blocks per sentence (digests)."""
     from redline.operators.essays import essays_to_m2
     es = essays(spark, sf_dir)
-    return essays_to_m2(es, essay_edits(es))
+    m = essays_to_m2(es, essay_edits(es))
+    return m.select("essay_id", "para_no", "sent_no", F.md5("block").alias("block_md5"))

@@ -15,7 +15,8 @@ def write_triples(df: DataFrame, path: str, partition_cols=("task", "model", "da
     w = (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
          .partitionBy(*[c for c in partition_cols if c in df.columns]))
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 

@@ -1,5 +1,5 @@
 """Streaming scorers."""
 
-from redline.streaming.scores import run_available_now, running_metrics, stream_triples_metrics
+from redline.streaming.scores import run_available_now, run_to_path, running_metrics, stream_triples_metrics
 
-__all__ = ["run_available_now", "running_metrics", "stream_triples_metrics"]
+__all__ = ["run_available_now", "run_to_path", "running_metrics", "stream_triples_metrics"]

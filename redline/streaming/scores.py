@@ -23,6 +23,18 @@ def stream_triples_metrics(stream: DataFrame, group_cols=("model",)) -> DataFram
     return running_metrics(score_triples(stream, metrics=("gleu", "sari_recall")), group_cols)
 
 
+def run_to_path(spark: SparkSession, df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain everything available, writing the running table to `path` after
+    every batch (each batch replaces it), and return it: nothing is collected."""
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = (df.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(path)
+
+
 def run_available_now(spark: SparkSession, df: DataFrame, name: str, checkpoint: str):
     """Drain everything available into the memory sink `name` and stop."""
     q = (df.writeStream.outputMode("complete").format("memory").queryName(name)
