@@ -119,13 +119,35 @@ def test_levenshtein_edits(spark):
 
 
 def test_char_to_token_span_rules(spark):
-    from redline.operators.essays import char_to_token_span, token_bounds
+    from redline.operators.essays import char_to_token_span, with_token_bounds
     cases = [((2, 5), (1, 2, None, None)), ((3, 5), (1, 2, 2, 5)), ((2, 2), (1, 1, None, None)),
              ((5, 5), (2, 2, None, None)), ((0, 0), (0, 0, None, None)), ((11, 11), (4, 4, None, None)),
              ((3, 3), (1, 2, 2, 5)), ((6, 10), (2, 4, 6, 11)), ((9, 12), (3, 4, 8, 11))]
     df = spark.createDataFrame([("I has a dog", s, e) for (s, e), _ in cases], "p string, s int, e int")
-    b = df.select("*", token_bounds("p").alias("tb"))
-    b = b.select("*", F.transform("tb", lambda x: x["s"]).alias("ss"), F.transform("tb", lambda x: x["e"]).alias("es"))
+    b = with_token_bounds(df, "p")
     got = {(r.s, r.e): tuple(r.sp) for r in b.select("s", "e", char_to_token_span("s", "e", "ss", "es").alias("sp")).collect()}
     for (s, e), want in cases:
         assert got[(s, e)] == want, (s, e)
+
+
+def test_align_splits_long_pairs(monkeypatch):
+    """Halved alignments cost as little as whole ones, and lead from source to target."""
+    import random
+
+    from redline.operators import levenshtein as L
+    random.seed(8)
+    for _ in range(60):
+        a, b = ([random.choice("abcd") for _ in range(random.randint(0, 14))] for _ in range(2))
+        monkeypatch.setattr(L, "CELLS", 1 << 20)
+        whole = L.align_ops(a, b)
+        monkeypatch.setattr(L, "CELLS", 8)
+        halved = L.align_ops(a, b)
+        for ops in (whole, halved):
+            assert [b[j] for op, _, j in ops if op != "D"] == b and [a[i] for op, i, _ in ops if op != "I"] == a
+        assert sum(op[0] != "M" for op in whole) == sum(op[0] != "M" for op in halved)
+
+
+def test_running_starts(spark):
+    from redline.functions.offsets import running_starts
+    df = spark.createDataFrame([([3, 1, 2],), ([],), (None,), ([5],)], "s array<int>")
+    assert [r.x for r in df.select(running_starts("s").alias("x")).collect()] == [[0, 3, 4], [], None, [0]]

@@ -6,7 +6,7 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
-from redline.sinks import write_m2, write_metrics, write_triples
+from redline.sinks import write_m2, write_metrics, write_stage, write_triples
 from redline.sources import (
     PANDAS_NA,
     nonblank,
@@ -66,13 +66,14 @@ def test_read_documents(spark, tmpdir_path):
         f.write(b"%PDF")
     with open(os.path.join(d, "d.txt.gz"), "wb") as f:
         f.write(b"\x1f\x8bbroken")
-    rows = {os.path.basename(r.path): r for r in read_documents(spark, os.path.join(tmpdir_path, "docs")).collect()}
+    rows = {os.path.basename(r.path): r for r in read_documents(spark, os.path.join(tmpdir_path, "docs"), keep_blank=True).collect()}
     assert rows["a.html.gz"].text == "Hello & bye" and rows["a.html.gz"].status == "ok"
     assert rows["b.txt.gz"].text == "plain  text"
     assert rows["c.pdf.gz"].status == "unsupported"
     assert rows["d.txt.gz"].status == "error"
-    kept = nonblank(read_documents(spark, os.path.join(tmpdir_path, "docs"))).count()
-    assert kept == 2
+    assert read_documents(spark, os.path.join(tmpdir_path, "docs")).count() == 2
+    blanks = spark.createDataFrame([("\n\t ",), ("x",), ("",), (None,)], "text string")
+    assert [r.text for r in nonblank(blanks).collect()] == ["x"]
 
 
 def test_writers(spark, tmpdir_path):
@@ -87,6 +88,52 @@ def test_writers(spark, tmpdir_path):
     assert read_m2(spark, os.path.join(tmpdir_path, "m2")).first().target_text == "a b"
 
 
+def test_runs_survive_side_by_side(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "runs")
+    one = spark.createDataFrame([("grammar", "m1", "d", "x")], "task string, model string, dataset string, prediction string")
+    two = one.withColumn("model", F.lit("m2"))
+    for df in (one, two, one):
+        write_triples(df, root)
+    assert sorted(r.model for r in spark.read.parquet(root).collect()) == ["m1", "m2"]
+    stages = os.path.join(tmpdir_path, "stages")
+    for k in (1, 2, 1):
+        write_stage(spark.createDataFrame([("p", k)], "prediction string, stage int"), stages)
+    assert sorted(r.stage for r in spark.read.parquet(stages).collect()) == [1, 2]
+
+
+def _blocks(spark, text, edits, **options):
+    from redline.operators.essays import essays_to_m2
+    rows = [("1", coder, k, *e) for coder, own in edits.items() for k, e in enumerate(own)] or [("1", 0, None, None, None, None, None)]
+    e = spark.createDataFrame(rows, "essay_id string, coder int, ord int, start int, end int, cor string, type string")
+    essays = spark.createDataFrame([("1", text)], "essay_id string, text string")
+    return [r.block.split("\n") for r in essays_to_m2(essays, e, **options).orderBy("para_no", "sent_no").collect()]
+
+
+def test_m2_order_overlap_and_normalised_text(spark):
+    # ordered by end, then start
+    (got,) = _blocks(spark, "one two three four", {0: [(0, 7, "x", None), (4, 5, "w", None)]})
+    assert [ln.split("|||")[0] for ln in got] == ["S one two three four", "A 0 2"]
+    (got,) = _blocks(spark, "one two three four", {0: [(0, 7, "x y z", None), (0, 3, "q", None)]})
+    assert [ln.split("|||")[0] for ln in got[1:]] == ["A 0 1", "A 0 2"]
+    # two edits inside one word: the first one stays
+    (got,) = _blocks(spark, "hello", {0: [(1, 2, "X", None), (3, 4, "Y", None)]})
+    assert len(got) == 2 and got[1].split("|||")[2] == "hXllo"
+    # text is normalised, corrections are minimised, an unchanged one goes
+    (got,) = _blocks(spark, "It\u2019s a dog", {0: [(0, 10, "It's a cat", None), (0, 4, "It's", None)]})
+    assert got[0] == "S It's a dog" and got[1].startswith("A 2 3|||C|||cat") and len(got) == 2
+    # a coder whose edits all go still has a line
+    (got,) = _blocks(spark, "one two", {0: [], 1: [(0, 3, "one", None)]})
+    assert got[1:] == ["A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||1"]
+
+
+def test_m2_auto_edits_and_pre_split_text(spark):
+    edits = {0: [(0, 3, "a b", None), (8, 13, "", None)]}
+    assert _blocks(spark, "one two three.", edits, edit_mode="auto")[0][1:] == [
+        "A 0 1|||R|||a b|||REQUIRED|||-NONE-|||0", "A 2 3|||R|||.|||REQUIRED|||-NONE-|||0"]
+    assert len(_blocks(spark, "One. Two.", {0: [(0, 3, "x", None)]})) == 2
+    assert len(_blocks(spark, "One. Two.", {0: [(0, 3, "x", None)]}, pre_split=True)) == 1
+
+
 def test_essays_to_m2_end_to_end(spark):
     from redline.operators.essays import essays_to_m2
     line = ('{"id":"7","text":"I has a  dog. It run fast.\\nOk.","edits":[[0,[[2,5,"have"],[17,20,"runs"]]],[1,[]]]}')
