@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from redline.functions.hof import let
 from redline.functions.text import strip
-from redline.functions.tokens import multiset_overlap, ngram_overlap_arrow, ngram_total, ngrams, tokens
+from redline.functions.tokens import hashed_ngrams, overlap, tokens
 
 NULL_POLICIES = ("zero", "skip", "literal_nan", "fail")
 
@@ -32,24 +32,21 @@ def _n(arr: Column) -> Column:
 # Column-level formulas over token arrays
 # --------------------------------------------------------------------------
 
-def gleu(hyp_tok, ref_tok, min_n: int = 1, max_n: int = 4, method: str = "arrow") -> Column:
+def gleu(hyp_tok, ref_tok, min_n: int = 1, max_n: int = 4) -> Column:
     """R-01 sentence GLEU for one reference:
     sum_g min(c_hyp(g), c_ref(g)) / max(|ngrams(hyp)|, |ngrams(ref)|); 0 if both empty.
 
-    method='arrow' counts the overlap in an Arrow-batched helper (default,
-    fastest measured); method='builtin' stays in the JVM (sorted run-length
-    counts with higher-order functions). Both are in-row: no shuffle."""
-    if method == "arrow" and (min_n, max_n) == (1, 4):
-        h, r = _c(hyp_tok), _c(ref_tok)
-        n_all = F.greatest(ngram_total(h), ngram_total(r))
-        return F.when(n_all > 0, ngram_overlap_arrow(h, r) / n_all.cast("double")).otherwise(F.lit(0.0))
+    In-row and in the JVM: equal sentences score 1 without counting; for the others
+    n-grams are 64-bit hashes, built once per side."""
+    h, r = _c(hyp_tok), _c(ref_tok)
 
-    def score(h: Column, r: Column) -> Column:
-        n_all = F.greatest(F.size(h), F.size(r))
-        return F.when(n_all > 0, multiset_overlap(h, r) / n_all.cast("double")).otherwise(F.lit(0.0))
+    def score(a: Column, b: Column) -> Column:
+        n_all = F.greatest(F.size(a), F.size(b))
+        return F.when(n_all > 0, overlap(a, b) / n_all.cast("double")).otherwise(F.lit(0.0))
 
-    return let(ngrams(hyp_tok, min_n, max_n),
-               lambda h: let(ngrams(ref_tok, min_n, max_n), lambda r: score(h, r)))
+    counted = let(hashed_ngrams(h, min_n, max_n), lambda a: let(hashed_ngrams(r, min_n, max_n), lambda b: score(a, b)))
+    return F.when(h.isNull() | r.isNull(), F.lit(None).cast("double")).when(
+        (h == r) & (F.size(h) >= min_n), F.lit(1.0)).otherwise(counted)
 
 
 def _ratio(num: Column, den: Column, empty) -> Column:

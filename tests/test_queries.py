@@ -65,24 +65,33 @@ def test_scorers_have_no_python_and_no_shuffle(spark):
     sari = _plan(score_triples(triples(spark, SF), metrics=("sari_recall", "sari_f1")))
     assert "ArrowEvalPython" not in sari and "BatchEvalPython" not in sari
     t = triples(spark, SF)
-    builtin = _plan(t.select(gleu(tokens("prediction"), tokens("target_text"), method="builtin").alias("g")))
-    assert "ArrowEvalPython" not in builtin and "BatchEvalPython" not in builtin
-    arrow = _plan(score_triples(t, metrics=("gleu",)))
-    assert "BatchEvalPython" not in arrow  # Arrow batches, never row-at-a-time
+    builtin = _plan(t.select(gleu(tokens("prediction"), tokens("target_text")).alias("g")))
+    scored = _plan(score_triples(t, metrics=("gleu",)))
+    record = _plan(E.queries()["grammar_record"](spark, SF))
+    assert not any("EvalPython" in p for p in (builtin, scored, record))
     # The only exchange allowed is the round-robin spread of a one-file input.
-    for plan in (sari, builtin, arrow):
+    for plan in (sari, builtin, scored):
         assert "hashpartitioning" not in plan
 
 
-def test_gleu_methods_agree(spark):
-    from pyspark.sql import functions as F
+def test_gleu_equals_counters(spark):
+    """Against plain counters, on turns and on rows that repeat n-grams on both sides."""
+    from collections import Counter
 
     from redline.functions.tokens import tokens
     from redline.operators.scores import gleu
     from redline.plans.fixtures import turn_triples
-    t = turn_triples(spark, SF).select(tokens("prediction").alias("p"), tokens("target_text").alias("r"))
-    d = t.select(F.max(F.abs(gleu("p", "r") - gleu("p", "r", method="builtin"))).alias("d")).first().d
-    assert d < 1e-12
+    extra = spark.createDataFrame([("a a a b", "a a b b"), ("", ""), ("", "x"), ("x", "x"), ("a b a b a b", "b a b a"), (None, "x")],
+                                  "prediction string, target_text string")
+    t = turn_triples(spark, SF).select("prediction", "target_text").union(extra)
+    rows = t.select(tokens("prediction").alias("p"), tokens("target_text").alias("r")).select("p", "r", gleu("p", "r").alias("g")).collect()
+
+    def plain(p, r):
+        c, d = (Counter(tuple(x[k:k + n]) for n in range(1, 5) for k in range(len(x) - n + 1)) for x in (p, r))
+        n = max(sum(c.values()), sum(d.values()))
+        return sum((c & d).values()) / n if n else 0.0
+    for row in rows:
+        assert row.g is None if row.p is None else abs(row.g - plain(row.p, row.r)) < 1e-12
 
 
 def test_scan_prunes_columns(spark):
