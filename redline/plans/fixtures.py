@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.functions.text import words
+from redline.functions.text import word_count, words
+from redline.functions.tokens import tokens
 from redline.session import read_table, spread
 
 RULE_MODELS = ("identity", "drop_last", "swap")
@@ -48,15 +49,20 @@ def lines(docs: DataFrame) -> DataFrame:
     return spread(exploded)
 
 
-def triples(spark: SparkSession, sf_dir: str, models=RULE_MODELS) -> DataFrame:
-    """(doc_id, line_no, lang, source, model, input_text, target_text, prediction)."""
+def triples(spark: SparkSession, sf_dir: str, models=RULE_MODELS, with_tokens: bool = False) -> DataFrame:
+    """(doc_id, line_no, lang, source, model, input_text, target_text, prediction);
+    `with_tokens` adds the tokens and word counts of input and target (s_tok,
+    r_tok, wi, wt), made before the rows are multiplied by the models."""
     base = lines(read_table(spark, sf_dir, "documents"))
     preds = F.array(*[F.struct(F.lit(m).alias("model"), rule_prediction(m, "line").alias("prediction"))
                       for m in models])
-    return (base.select("doc_id", "line_no", "lang", "source",
-                        F.col("line").alias("input_text"),
-                        reference_target("line").alias("target_text"),
-                        F.inline(preds)))
+    base = base.withColumn("target_text", reference_target("line"))
+    extra = []
+    if with_tokens:
+        extra = ["s_tok", "r_tok", "wi", "wt"]
+        base = base.select("*", tokens("line").alias("s_tok"), tokens("target_text").alias("r_tok"),
+                           word_count("line").alias("wi"), word_count("target_text").alias("wt"))
+    return base.select("doc_id", "line_no", "lang", "source", F.col("line").alias("input_text"), "target_text", *extra, F.inline(preds))
 
 
 def turn_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

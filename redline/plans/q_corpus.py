@@ -10,6 +10,7 @@ from redline.functions.prompts import training_text
 from redline.functions.text import normalize_ws, words
 from redline.functions.tokens import tokens
 from redline.operators.corpus import (
+    batch_id,
     causal_pairs,
     chunk_tokens,
     encode_fixed,
@@ -26,6 +27,11 @@ from redline.session import read_table, spread
 _DOC_WORDS = f"SELECT doc_id, {S.words('text')} AS w FROM documents"
 
 
+def _md5(tokens_col):
+    """Digest of a whole token array."""
+    return F.md5(F.array_join(tokens_col, " "))
+
+
 def _doc_chunks(spark, sf_dir):
     d = spread(read_table(spark, sf_dir, "documents"))
     return chunk_tokens(d.select("doc_id", words(normalize_ws("text")).alias("toks")), "toks",
@@ -39,52 +45,69 @@ k AS (SELECT doc_id, CAST(i // {pt.CHUNK_STRIDE} AS INTEGER) AS chunk_no, w[i +
 
 
 @register("chunk_tokens", f"""WITH {_CHUNKS_SQL}
-SELECT doc_id, chunk_no, CAST(len(toks) AS INTEGER) AS n_tokens, toks[1] AS first_token, toks[-1] AS last_token FROM k""")
+SELECT doc_id, chunk_no, CAST(len(toks) AS INTEGER) AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM k""")
 def chunk_tokens_q(spark, sf_dir):
     """C-10: overlapping 512/256 token windows over whole documents; windows
     under 5 tokens dropped, windows contained in the previous one kept."""
     c = _doc_chunks(spark, sf_dir)
-    return c.select("doc_id", "chunk_no", F.size("tokens").alias("n_tokens"),
-                    F.element_at("tokens", 1).alias("first_token"), F.element_at("tokens", -1).alias("last_token"))
+    return c.select("doc_id", "chunk_no", F.size("tokens").alias("n_tokens"), _md5("tokens").alias("tokens_md5"))
+
+
+@register("chunk_tokens_lean", f"""WITH {_CHUNKS_SQL}
+SELECT doc_id, chunk_no, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM k
+WHERE chunk_no = 0 OR len(toks) > {pt.CHUNK_MAX_LENGTH - pt.CHUNK_STRIDE}""")
+def chunk_tokens_lean(spark, sf_dir):
+    """C-10 without the windows that lie inside the previous one."""
+    d = spread(read_table(spark, sf_dir, "documents"))
+    c = chunk_tokens(d.select("doc_id", words(normalize_ws("text")).alias("toks")), "toks",
+                     pt.CHUNK_MAX_LENGTH, pt.CHUNK_STRIDE, pt.CHUNK_MIN_TOKENS, drop_contained=True)
+    return c.select("doc_id", "chunk_no", _md5("tokens").alias("tokens_md5"))
 
 
 @register("causal_pairs", f"""WITH {_CHUNKS_SQL}
-SELECT doc_id, chunk_no, CAST(len(toks) - 1 AS INTEGER) AS n_pairs, toks[1] AS first_input, toks[2] AS first_label,
-  toks[-1] AS last_label FROM k""")
+SELECT doc_id, chunk_no, CAST(len(toks) - 1 AS INTEGER) AS n_pairs, md5(array_to_string(toks[1:len(toks) - 1], ' ')) AS inputs_md5,
+  md5(array_to_string(toks[2:], ' ')) AS labels_md5 FROM k""")
 def causal_pairs_q(spark, sf_dir):
     """C-13: next-token (input, label) arrays of every chunk."""
     c = causal_pairs(_doc_chunks(spark, sf_dir), "tokens")
-    return c.select("doc_id", "chunk_no", F.size("inputs").alias("n_pairs"),
-                    F.element_at("inputs", 1).alias("first_input"), F.element_at("labels", 1).alias("first_label"),
-                    F.element_at("labels", -1).alias("last_label"))
+    return c.select("doc_id", "chunk_no", F.size("inputs").alias("n_pairs"), _md5("inputs").alias("inputs_md5"), _md5("labels").alias("labels_md5"))
 
 
 @register("encode_fixed", f"""WITH {S.TURN_TRIPLES},
 x AS (SELECT conv_id, turn, {S.words("'Correct this text: ' || input_text || chr(10) || 'Corrected: ' || target_text || '<|endoftext|>'")} AS w
       FROM turn_triples)
-SELECT conv_id, turn, CAST(least(len(w), 512) AS INTEGER) AS n_real, len(w) > 512 AS was_truncated,
-  CASE WHEN len(w) >= 512 THEN w[512] ELSE '<pad>' END AS last_id FROM x""")
+SELECT conv_id, turn, len(w) > 512 AS was_truncated,
+  md5(array_to_string(list_concat(w[1:512], list_transform(range(0, greatest(512 - len(w), 0)), lambda i: '<pad>')), ' ')) AS ids_md5,
+  md5(repeat('1', least(len(w), 512)::BIGINT) || repeat('0', greatest(512 - len(w), 0)::BIGINT)) AS mask_md5 FROM x""")
 def encode_fixed_q(spark, sf_dir):
     """C-11: training strings truncated / right-padded to 512 with a mask."""
     t = turn_triples(spark, sf_dir).select("conv_id", "turn", words(training_text("grammar")).alias("w"))
     e = encode_fixed(t, "w", 512, pad="<pad>")
-    return e.select("conv_id", "turn", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
-                    "was_truncated", F.element_at("input_ids", 512).alias("last_id"))
+    mask = F.md5(F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), ""))
+    return e.select("conv_id", "turn", "was_truncated", _md5("input_ids").alias("ids_md5"), mask.alias("mask_md5"))
+
+
+_PADS = "list_transform(range(0, batch_len - len(t)), lambda i: '<pad>')"
 
 
 @register("pad_batch", f"""WITH {S.LINES},
-x AS (SELECT doc_id, line_no, CAST(line_no // 8 AS INTEGER) AS batch_id, {S.tokens('line')} AS t FROM lines),
+x AS (SELECT doc_id, line_no, CAST(line_no // 8 AS BIGINT) AS batch_id, {S.tokens('line')} AS t FROM lines),
 y AS (SELECT *, max(len(t)) OVER (PARTITION BY doc_id, batch_id) AS batch_len FROM x)
 SELECT doc_id, line_no, batch_id, CAST(batch_len AS INTEGER) AS batch_len, CAST(batch_len - len(t) AS INTEGER) AS pad_count,
-  CASE WHEN batch_len > len(t) THEN '<pad>' ELSE t[1] END AS first_id FROM y""")
+  md5(array_to_string(list_concat({_PADS}, t), ' ')) AS left_md5, md5(array_to_string(list_concat(t, {_PADS}), ' ')) AS right_md5,
+  md5(array_to_string(list_concat(t, list_transform(range(0, batch_len - len(t)), lambda i: '-100')), ' ')) AS labels_md5,
+  md5(repeat('0', (batch_len - len(t))::BIGINT) || repeat('1', len(t)::BIGINT)) AS left_mask_md5 FROM y""")
 def pad_batch_q(spark, sf_dir):
     """C-12 / C-14: batches of 8 lines per document (key = (doc, line_no div 8),
-    so groups are bounded), left-padded to the longest in the batch."""
+    so groups are bounded), padded on either side to the longest in the batch."""
     ln = lines(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "line_no", (F.col("line_no") / 8).cast("int").alias("batch_id"), tokens("line").alias("t"))
-    p = pad_batch(ln, "t", ["doc_id", "batch_id"], side="left", pad="<pad>")
-    return p.select("doc_id", "line_no", "batch_id", "batch_len", "pad_count",
-                    F.element_at("padded", 1).alias("first_id"))
+        "doc_id", "line_no", batch_id("line_no", 8).alias("batch_id"), tokens("line").alias("t"))
+    key = ["doc_id", "batch_id"]
+    left = pad_batch(ln, "t", key, side="left", pad="<pad>").withColumnsRenamed({"padded": "left", "mask": "left_mask"})
+    both = pad_batch(left.drop("batch_len", "pad_count"), "t", key, side="right", pad="<pad>", label_pad="-100")
+    mask = F.array_join(F.transform("left_mask", lambda x: x.cast("string")), "")
+    return both.select("doc_id", "line_no", "batch_id", "batch_len", "pad_count", _md5("left").alias("left_md5"),
+                       _md5("padded").alias("right_md5"), _md5("labels").alias("labels_md5"), F.md5(mask).alias("left_mask_md5"))
 
 
 @register("vocab_encode", f"""WITH {S.LINES},

@@ -75,13 +75,12 @@ def written(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work at least one partition per core.
 
-    A large input already has >= defaultParallelism file splits, and then this
-    is a no-op (no shuffle at scale). Only an input with fewer splits than
-    cores (a single small file) is redistributed round-robin, once."""
+    A large input has at least as many files as there are cores, and then this
+    is a no-op (no shuffle at scale). Only a scan of fewer files (a single small
+    table) is redistributed round-robin, once. The files are counted from the
+    scan's listing; no stage runs."""
     if df.isStreaming:
         return df
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(target) if 0 < files < target else df
