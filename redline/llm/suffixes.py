@@ -301,14 +301,14 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     whole = F.col("lo") + F.col("windows") - 1 + LENGTH
     settled = met.where("not mixed").select("k", "lo", whole.alias("hi"))
     mixed = met.where("mixed")
-    # written before it meets the sizes of its grams: a join of its own, which Spark can split at a large gram
+    # written, and so are the few large grams: joined side by side Spark could not split a gram below an aggregate
     distinct = cut(mixed.groupBy("gram", "run").agg(F.sum("times").alias("n"), F.min(F.struct("k", "lo", "windows")).alias("one")))
-    many = distinct.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("runs"))
-    distinct = cut(distinct.join(many, F.col("gram") == F.col("g")).select("gram", "run", "n", "one.*", (F.col("runs") > hot).alias("hot")))
+    many = cut(distinct.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > hot))
+    distinct = distinct.join(many, F.col("gram") == F.col("g"), "left").select("gram", "run", "n", "one.*", F.col("g").isNotNull().alias("hot"))
     wanted = distinct.groupBy(F.col("k").alias("of")).agg(F.collect_list(F.struct("gram", "run", "lo", "windows", "hot")).alias("runs"))
     bodies = bodies_of(texts.join(wanted, F.col("k") == F.col("of")).select("doc_id", "k", "text", "runs"))
     found = matched(bodies.where("body is not null").select("gram", "run", "body"))
-    if distinct.where("hot").limit(1).count():
+    if many.limit(1).count():
         found = found.union(counted(bodies.where("prints is not null").select("gram", "run", "prints")))
     ends = found.select(F.col("gram").alias("g"), F.col("run").alias("r"), "ends")
     twice = distinct.where("n > 1").select(F.col("gram").alias("g"), F.col("run").alias("r"), F.lit(None).cast("array<int>").alias("ends"))
