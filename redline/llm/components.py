@@ -1,6 +1,8 @@
 """Connected components of an edge table by alternating star operations, cut into
 the shared folder after every round. No component is ever gathered in one place:
-a hub is only the key of joins that Spark can split."""
+a hub is only the key of a partial aggregate and of joins that Spark can split. For
+that each round's minima are written first: a join right above an aggregate would
+keep all of a hub's edges in the aggregate's partition."""
 
 from __future__ import annotations
 
@@ -12,13 +14,13 @@ from redline.llm.common import cut
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
     far = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b")
     return far.where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u")
+    least = cut(edges.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u"))
     near = edges.join(least, F.col("b") == F.col("u")).where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return near.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
@@ -32,5 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        edges = cut(_small(_large(edges)))
+        edges = cut(_small(cut(_large(edges))))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())

@@ -170,7 +170,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     named = (distinct.select("node", "least", "times", "embedding").join(linked, F.col("node") == F.col("of"), "left").drop("of")
              .join(roots.withColumnRenamed("node", "in"), F.col("node") == F.col("in"), "left")
              .select("embedding", "least", "times", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "node").alias("root")))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    smallest = cut(named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
     named = named.join(smallest, F.col("root") == F.col("r")).select(F.col("embedding").alias("e"), (F.col("others") + F.col("times") - 1).alias("n_links"), "component_id")
     usable = F.coalesce(F.expr(USABLE), F.lit(False))
     found = rows.where(usable).join(named, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")

@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     each = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(each, bits))
     linked = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
     named = cut(linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "component_id"))
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
