@@ -83,7 +83,6 @@ CHUNK_MAX_LENGTH = 512
 CHUNK_STRIDE = 256
 CHUNK_MIN_TOKENS = 5
 PAD_TOKEN_ID = 50256
-IGNORE_LABEL = -100
 
 # Over-length guard and output budget for simplification.
 OVERLONG_RATIO = 1.5

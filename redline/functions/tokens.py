@@ -13,7 +13,7 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# Public Penn-Treebank-style rules (ordered regex rewrites, then split on blanks).
+# The public Penn Treebank tokenisation rules (R. MacIntyre, 1995), as ordered regex rewrites, then split on blanks.
 # Quotes, ellipsis, punctuation, brackets, double dashes and clitics are split off.
 _TREEBANK_RULES = [
     (r'^"', "`` "),
@@ -154,7 +154,3 @@ def ngram_total(tok, min_n: int = 1, max_n: int = 4) -> Column:
     for n in range(min_n, max_n + 1):
         total = total + F.greatest(n_tok - n + 1, F.lit(0))
     return total
-
-
-def token_set(col) -> Column:
-    return F.array_distinct(_c(col))

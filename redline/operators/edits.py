@@ -97,19 +97,25 @@ def edit_key(edits) -> Column:
         e["c_str"].alias("c_str"), e["type"].alias("type")))
 
 
-def edit_confusion_counts(hyp_arr, ref_arr) -> tuple[Column, Column, Column]:
-    """R-09: TP/FP/FN of two edit arrays, set semantics on the 4-field key
-    (NULL arrays count as empty). Wrap single edits with `as_edit_array`."""
+def edit_confusion(hyp_arr, ref_arr) -> Column:
+    """R-09: STRUCT<tp, fp, fn> of two edit arrays, set semantics on the 4-field key
+    (NULL arrays count as empty). Wrap single edits with `as_edit_array`. Both key
+    sets are built once; what is not in common is the rest of either."""
     empty = F.array().cast(f"array<{EDIT_DDL}>")
 
     def keyed(x):
         return F.array_distinct(edit_key(F.coalesce(_c(x), empty)))
 
-    def both(fn):
-        return _let(keyed(hyp_arr), lambda h: _let(keyed(ref_arr), lambda r: fn(h, r)))
-    return (both(lambda h, r: F.size(F.array_intersect(h, r)).cast("long")),
-            both(lambda h, r: F.size(F.array_except(h, r)).cast("long")),
-            both(lambda h, r: F.size(F.array_except(r, h)).cast("long")))
+    def counts(h, r):
+        return _let(F.size(F.array_intersect(h, r)).cast("long"), lambda tp: F.struct(
+            tp.alias("tp"), (F.size(h) - tp).alias("fp"), (F.size(r) - tp).alias("fn")))
+    return _let(keyed(hyp_arr), lambda h: _let(keyed(ref_arr), lambda r: counts(h, r)))
+
+
+def edit_confusion_counts(hyp_arr, ref_arr) -> tuple[Column, Column, Column]:
+    """R-09 as three columns."""
+    c = edit_confusion(hyp_arr, ref_arr)
+    return c["tp"], c["fp"], c["fn"]
 
 
 def edit_pr(hyp_arr, ref_arr) -> tuple[Column, Column]:

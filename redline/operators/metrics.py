@@ -103,7 +103,7 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
                    tokenizer: str = "portable") -> DataFrame:
     """M-10 (grammar): total, exact matches, accuracy, GLEU x100 and micro edit
     P/R/F0.5 (edits = aligned token edits of each side vs the source, R-08/R-09)."""
-    from redline.operators.edits import aligned_edits, edit_confusion_counts
+    from redline.operators.edits import aligned_edits, edit_confusion
 
     rows = df.select(
         *group_cols,
@@ -113,16 +113,14 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
     valid = F.col("_src").isNotNull() & F.col("_pred").isNotNull() & F.col("_tgt").isNotNull()
     rows = rows.select("*", aligned_edits(words("_src"), words("_pred")).alias("_he"),
                        aligned_edits(words("_src"), words("_tgt")).alias("_re"))
-    tp, fp, fn = edit_confusion_counts("_he", "_re")
+    rows = rows.select("_em", "_p", "_r", *group_cols, F.when(valid, edit_confusion("_he", "_re")).alias("_c"))
     gleu_row = F.when(F.col("_p").isNull() | F.col("_r").isNull(), F.lit(0.0)) \
                 .otherwise(gleu("_p", "_r"))
     agg = _group(rows, group_cols).agg(
         F.count(F.lit(1)).alias("total_examples"),
         F.count_if("_em").alias("exact_matches"),
         (_mean0(gleu_row) * F.lit(100.0)).alias("gleu_score"),
-        F.sum(F.when(valid, tp).otherwise(0)).alias("_tp"),
-        F.sum(F.when(valid, fp).otherwise(0)).alias("_fp"),
-        F.sum(F.when(valid, fn).otherwise(0)).alias("_fn"),
+        *[F.coalesce(F.sum(f"_c.{c}"), F.lit(0)).alias(f"_{c}") for c in ("tp", "fp", "fn")],
     )
     return agg.select(
         *group_cols, "total_examples", "exact_matches",

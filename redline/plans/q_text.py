@@ -103,14 +103,20 @@ def chat_messages_q(spark, sf_dir):
 
 
 @register("extract_answer", f"""WITH {S.TURN_TRIPLES},
-raw AS (SELECT conv_id, turn, {_prompt_sql(pt.GRAMMAR_PROMPT_PREFIX, pt.GRAMMAR_MARKER, 'input_text')} || ' ' || prediction AS generated
+raw AS (SELECT conv_id, turn, {_prompt_sql(pt.GRAMMAR_PROMPT_PREFIX, pt.GRAMMAR_MARKER, 'input_text')} || ' ' || prediction AS generated, prediction
         FROM turn_triples)
-SELECT conv_id, turn, {S.strip(f"string_split(generated, {S.q(pt.GRAMMAR_MARKER)})[-1]")} AS answer FROM raw""")
+SELECT conv_id, turn, {S.strip(f"string_split(generated, {S.q(pt.GRAMMAR_MARKER)})[-1]")} AS answer,
+  {S.strip(f"string_split(replace(generated, {S.q(pt.GRAMMAR_MARKER)}, {S.q(pt.READABILITY_MARKER)}), {S.q(pt.READABILITY_MARKER)})[-1]")} AS simplified,
+  {S.strip('prediction')} AS unmarked FROM raw""")
 def extract_answer_q(spark, sf_dir):
-    """P-06: the answer after the last marker of a generated continuation."""
+    """P-06: the answer after the last marker of a generated continuation, for
+    both tasks' markers, and of a text without one."""
     t = turn_triples(spark, sf_dir)
     gen = F.concat(prompt("grammar"), F.lit(" "), F.col("prediction"))
-    return t.select("conv_id", "turn", extract_answer(gen, pt.GRAMMAR_MARKER).alias("answer"))
+    other = F.replace(gen, F.lit(pt.GRAMMAR_MARKER), F.lit(pt.READABILITY_MARKER))
+    return t.select("conv_id", "turn", extract_answer(gen, pt.GRAMMAR_MARKER).alias("answer"),
+                    extract_answer(other, pt.READABILITY_MARKER).alias("simplified"),
+                    extract_answer("prediction", pt.GRAMMAR_MARKER).alias("unmarked"))
 
 
 def _truncate_sql(pred, src):

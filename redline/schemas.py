@@ -7,16 +7,4 @@ PAIRS = T.StructType([T.StructField("input_text", T.StringType()),
 
 TRIPLES = T.StructType(PAIRS.fields + [T.StructField("prediction", T.StringType())])
 
-EDIT = T.StructType([T.StructField("o_start", T.IntegerType()), T.StructField("o_end", T.IntegerType()),
-                     T.StructField("c_str", T.StringType()), T.StructField("type", T.StringType())])
-
 ESSAY_LINE = "struct<id:string,userid:string,text:string,cefr:string,edits:array<array<string>>>"
-
-GRAMMAR_METRICS = ["total_examples", "exact_matches", "exact_match_accuracy", "gleu_score",
-                   "m2_precision", "m2_recall", "m2_f0_5"]
-
-READABILITY_METRICS = ["total_examples", "exact_matches", "exact_match_accuracy", "avg_input_length",
-                       "avg_prediction_length", "avg_target_length", "prediction_compression_rate",
-                       "target_compression_rate", "sari_score", "prediction_flesch_reading_ease",
-                       "target_flesch_reading_ease", "prediction_flesch_kincaid_grade_level",
-                       "target_flesch_kincaid_grade_level"]
