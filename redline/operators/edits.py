@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from redline.functions import patterns as pt
 from redline.functions.hof import let as _let
+from redline.functions.offsets import running_starts
 from redline.functions.text import words
 
 EDIT_DDL = "struct<o_start:int,o_end:int,c_str:string,type:string>"
@@ -168,26 +169,27 @@ def apply_edits(src, edits, mode: str = "reference") -> Column:
 
 def corrected_spans(edits) -> Column:
     """W-01 / C-07: add cor_start / cor_end (token offsets in the corrected
-    sentence) to edits ordered by (o_start, o_end): the running sum of
-    len(cor) - (o_end - o_start) over the preceding edits (a fold that carries
-    the running offset)."""
-    ordered = F.transform(
-        F.sort_array(F.transform(_c(edits), lambda e: F.struct(
-            e["o_start"].alias("k1"), e["o_end"].alias("k2"), e.alias("e")))),
-        lambda x: x["e"])
-    out_type = "array<struct<o_start:int,o_end:int,c_str:string,type:string,cor_start:int,cor_end:int>>"
-    zero = F.struct(F.lit(0).alias("off"), F.array().cast(out_type).alias("out"))
-
-    def step(acc, e):
-        n_cor = F.size(words(F.coalesce(e["c_str"], F.lit(""))))
-        cs = e["o_start"] + acc["off"]
-        item = F.struct(e["o_start"].alias("o_start"), e["o_end"].alias("o_end"),
-                        e["c_str"].alias("c_str"), e["type"].alias("type"),
-                        cs.cast("int").alias("cor_start"), (cs + n_cor).cast("int").alias("cor_end"))
-        return F.struct((acc["off"] + n_cor - (e["o_end"] - e["o_start"])).alias("off"),
-                        F.concat(acc["out"], F.array(item)).alias("out"))
-
-    return F.aggregate(ordered, zero, step, lambda acc: acc["out"])
+    sentence) to edits in the order they are listed: the running sum of
+    len(cor) - (o_end - o_start) over the edits before."""
+    e = _c(edits)
+    sizes = F.transform(e, lambda x: F.size(words(F.coalesce(x["c_str"], F.lit("")))) - (x["o_end"] - x["o_start"]))
+
+    def span(x, off):
+        start = x["o_start"] + off
+        return F.struct(*[x[c].alias(c) for c in ("o_start", "o_end", "c_str", "type")], start.cast("int").alias("cor_start"),
+                        (start + F.size(words(F.coalesce(x["c_str"], F.lit(""))))).cast("int").alias("cor_end"))
+    return F.zip_with(e, running_starts(sizes), span)
+
+
+def corrected_sentence(src_tok, edits) -> Column:
+    """C-07: the corrected sentence, blank-joined, from edits listed in order of
+    position: what stands before each edit, its correction, and the rest."""
+    t, e = _c(src_tok), _c(edits)
+    before = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["o_end"]))
+    kept = F.zip_with(F.slice(before, 1, F.size(e)), e, lambda at, x: F.concat(
+        F.slice(t, at + 1, F.greatest(x["o_start"] - at, F.lit(0))), words(F.coalesce(x["c_str"], F.lit("")))))
+    rest = F.slice(t, F.element_at(before, -1) + 1, F.greatest(F.size(t) - F.element_at(before, -1), F.lit(0)))
+    return F.array_join(F.concat(F.flatten(kept), rest), " ")
 
 
 def drop_empty_edits(edits) -> Column:

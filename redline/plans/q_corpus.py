@@ -22,7 +22,7 @@ from redline.operators.quality import dedup_exact, duplicate_groups, ngram_overl
 from redline.plans import sql as S
 from redline.plans.fixtures import lines, turn_triples
 from redline.plans.registry import register
-from redline.session import read_table, spread
+from redline.session import read_table, shared_path, spread
 
 _DOC_WORDS = f"SELECT doc_id, {S.words('text')} AS w FROM documents"
 
@@ -225,16 +225,18 @@ u AS (
   SELECT 'aligned_turns', input_text, prediction FROM turn_triples),
 c AS (SELECT dataset, input_text, target_text, replace(input_text, ' - ', '-') AS ci,
         replace(target_text, ' - ', '-') AS ct FROM u)
-SELECT dataset, count(*) AS n_pairs, count(*) FILTER (WHERE ci <> input_text OR ct <> target_text) AS n_changed,
-  CAST(sum(length(ct)) AS BIGINT) AS n_target_chars FROM c GROUP BY dataset""")
+SELECT dataset, CASE WHEN length(input_text) % 10 = 0 THEN 'dev' ELSE 'train' END AS split, count(*) AS n_pairs, count(*) FILTER (WHERE ci <> input_text OR ct <> target_text) AS n_changed,
+  CAST(sum(length(ct)) AS BIGINT) AS n_target_chars FROM c GROUP BY dataset, split""")
 def build_corpus(spark, sf_dir):
     """C-03: several corpora -> one pair table: M2 sentences (formatted and
     parsed back), a nested-reference set (first reference, P-02) and aligned
-    conversation turns; spaced hyphens cleaned (P-01); per-dataset counts."""
+    conversation turns; spaced hyphens cleaned (P-01), routed to train or dev by
+    file name, written by dataset and split (K-01), read back and counted."""
     from redline.functions.text import clean_spaced_hyphens
     from redline.plans.fixtures import rule_prediction, triples
     from redline.plans.q_edits import m2_roundtrip
-    from redline.sources.readers import nested_to_pairs
+    from redline.sinks import write_triples
+    from redline.sources.readers import nested_to_pairs, route_files
     m2 = m2_roundtrip(spark, sf_dir).select(F.lit("m2_lines").alias("dataset"), "input_text", "target_text")
     t = triples(spark, sf_dir, models=("identity",)).select(
         "input_text", F.array("target_text", rule_prediction("swap", "input_text")).alias("refs"))
@@ -243,8 +245,11 @@ def build_corpus(spark, sf_dir):
     turns = turn_triples(spark, sf_dir).select(F.lit("aligned_turns").alias("dataset"), "input_text",
                                                F.col("prediction").alias("target_text"))
     u = m2.unionByName(nested).unionByName(turns)
-    c = u.select("dataset", "input_text", "target_text", clean_spaced_hyphens("input_text").alias("ci"),
-                 clean_spaced_hyphens("target_text").alias("ct"))
-    changed = (F.col("ci") != F.col("input_text")) | (F.col("ct") != F.col("target_text"))
-    return c.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(changed).alias("n_changed"),
-                                    F.sum(F.length("ct")).cast("long").alias("n_target_chars"))
+    name = F.concat(F.col("dataset"), F.when(F.length("input_text") % 10 == 0, "_dev.m2").otherwise("_train.m2"))
+    c = route_files(u.withColumn("file", name)).select(
+        "dataset", "split", clean_spaced_hyphens("input_text").alias("input_text"), clean_spaced_hyphens("target_text").alias("target_text"),
+        ((clean_spaced_hyphens("input_text") != F.col("input_text")) | (clean_spaced_hyphens("target_text") != F.col("target_text"))).alias("changed"))
+    root = shared_path(spark, "corpus")
+    write_triples(c, root, ("dataset", "split"))
+    return spark.read.parquet(root).groupBy("dataset", "split").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if("changed").alias("n_changed"), F.sum(F.length("target_text")).cast("long").alias("n_target_chars"))

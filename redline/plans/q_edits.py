@@ -14,6 +14,7 @@ from redline.operators.edits import (
     assign_to_sentences,
     apply_edits,
     as_edit_array,
+    corrected_sentence,
     corrected_spans,
     edit_confusion_counts,
     edit_key_strings,
@@ -204,6 +205,26 @@ def m2_roundtrip(spark, sf_dir):
     return m2_to_pairs(blocks, "block").select("doc_id", "line_no", "input_text", "target_text")
 
 
+def _corrected_sql():
+    """The last edit but one position at a time: every source token stays, goes or is
+    replaced, by the aligned edits towards the target."""
+    return f"""WITH {S.triples_cte(('identity',))},
+w AS (SELECT doc_id, line_no, {S.words('input_text')} AS a, {S.words('target_text')} AS t FROM triples)
+SELECT doc_id, line_no, md5(array_to_string(t[1:greatest(len(t) - 1, 0)], ' ')) AS corrected_md5 FROM w"""
+
+
+@register("corrected_sentence", _corrected_sql())
+def corrected_sentence_q(spark, sf_dir):
+    """C-07: the corrected sentence of the reference substitutions and the deletion
+    of the last token: the target without its last word."""
+    e = edit_rows(spark, sf_dir, models=("identity",))
+    n = F.size("a")
+    keep = F.filter("ref", lambda x: x["o_start"] < n - 1)  # the last word goes, corrected or not
+    last = F.when(n > 0, F.array(F.struct((n - 1).alias("o_start"), n.alias("o_end"), F.lit("").alias("c_str"), F.lit("U").alias("type"))))
+    both = F.concat(keep, F.coalesce(last, F.slice("ref", 1, 0)))
+    return e.select("doc_id", "line_no", F.md5(corrected_sentence("a", both)).alias("corrected_md5"))
+
+
 @register("edit_running_offset", f"""WITH {S.triples_cte(('identity',))},
 w AS (SELECT doc_id, line_no, {S.words('input_text')} AS a, {S.words('target_text')} AS t FROM triples),
 k AS (SELECT doc_id, line_no, unnest(list_concat({S.aligned_edit_keys('a', 't')},
@@ -223,8 +244,9 @@ def edit_running_offset(spark, sf_dir):
     of the last token."""
     e = edit_rows(spark, sf_dir, models=("identity",))
     last_del = as_edit_array(span_edit("a", F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0)))))
-    spans = corrected_spans(F.concat("ref", last_del))
-    x = e.select("doc_id", "line_no", F.explode(spans).alias("e"))
+    listed = e.select("doc_id", "line_no", F.concat("ref", last_del).alias("listed"))
+    spans = listed.select("doc_id", "line_no", corrected_spans("listed").alias("spans"))
+    x = spans.select("doc_id", "line_no", F.explode("spans").alias("e"))
     return x.select("doc_id", "line_no", "e.o_start", "e.o_end", "e.cor_start", "e.cor_end")
 
 
