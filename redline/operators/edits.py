@@ -8,12 +8,11 @@ with no shuffle; only readers and the coder alignment need keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redline.functions import patterns as pt
 from redline.functions.hof import let as _let
-from redline.functions.offsets import running_starts
 from redline.functions.text import words
 
 EDIT_DDL = "struct<o_start:int,o_end:int,c_str:string,type:string>"
@@ -167,18 +166,16 @@ def apply_edits(src, edits, mode: str = "reference") -> Column:
     return F.array_join(F.aggregate(ordered, toks, step), " ")
 
 
-def corrected_spans(edits) -> Column:
+def corrected_spans(edits: DataFrame, keys, ord_col: str = "ord") -> DataFrame:
     """W-01 / C-07: add cor_start / cor_end (token offsets in the corrected
-    sentence) to edits in the order they are listed: the running sum of
-    len(cor) - (o_end - o_start) over the edits before."""
-    e = _c(edits)
-    sizes = F.transform(e, lambda x: F.size(words(F.coalesce(x["c_str"], F.lit("")))) - (x["o_end"] - x["o_start"]))
-
-    def span(x, off):
-        start = x["o_start"] + off
-        return F.struct(*[x[c].alias(c) for c in ("o_start", "o_end", "c_str", "type")], start.cast("int").alias("cor_start"),
-                        (start + F.size(words(F.coalesce(x["c_str"], F.lit(""))))).cast("int").alias("cor_end"))
-    return F.zip_with(e, running_starts(sizes), span)
+    sentence) to edit rows (keys, ord, o_start, o_end, c_str): the running sum of
+    len(cor) - (o_end - o_start) over the edits listed before in the sentence."""
+    n = F.size(words(F.coalesce("c_str", F.lit(""))))
+    before = Window.partitionBy(*keys).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.coalesce(F.sum("_delta").over(before), F.lit(0))
+    d = edits.withColumn("_n", n).withColumn("_delta", F.col("_n") - (F.col("o_end") - F.col("o_start")))
+    d = d.withColumn("cor_start", (F.col("o_start") + moved).cast("int"))
+    return d.withColumn("cor_end", (F.col("cor_start") + F.col("_n")).cast("int")).drop("_n", "_delta")
 
 
 def corrected_sentence(src_tok, edits) -> Column:

@@ -244,10 +244,9 @@ def edit_running_offset(spark, sf_dir):
     of the last token."""
     e = edit_rows(spark, sf_dir, models=("identity",))
     last_del = as_edit_array(span_edit("a", F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0)))))
-    listed = e.select("doc_id", "line_no", F.concat("ref", last_del).alias("listed"))
-    spans = listed.select("doc_id", "line_no", corrected_spans("listed").alias("spans"))
-    x = spans.select("doc_id", "line_no", F.explode("spans").alias("e"))
-    return x.select("doc_id", "line_no", "e.o_start", "e.o_end", "e.cor_start", "e.cor_end")
+    rows = e.select("doc_id", "line_no", F.posexplode(F.concat("ref", last_del)).alias("ord", "e")).select("doc_id", "line_no", "ord", "e.*")
+    x = corrected_spans(rows, ["doc_id", "line_no"])
+    return x.select("doc_id", "line_no", "o_start", "o_end", "cor_start", "cor_end")
 
 
 def _sentence_sql():
