@@ -115,13 +115,24 @@ def binary(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def joined(lo: np.ndarray, windows: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen runs of windows, in order, joined where one starts within or right after those before."""
+    start, end = lo[on], (lo + windows)[on]
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    new = np.append(True, start[1:] > reach[:-1])
+    first = start[new]
+    return first, reach[np.append(new[1:], True)] - first
+
+
 ROWS = "k long,lo long,windows int,gram long,run long,times int"
 
 
 def anchored(texts: DataFrame) -> DataFrame:
     """ROWS of texts (k, text): each distinct run of a document once, with its number
-    there; runs that a document holds several times also as rows without gram, which
-    are repeated whatever other documents hold."""
+    there; windows of runs that a document holds several times also as rows without
+    gram, neighbours joined, which are repeated whatever other documents hold."""
     types = arrow_schema(ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +146,12 @@ def anchored(texts: DataFrame) -> DataFrame:
                         continue
                     lo, windows, gram, own = (np.concatenate(c) for c in zip(*found, strict=True))
                     _, once, back, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-                    again = np.flatnonzero(times[back] > 1)
-                    take = np.concatenate([once, again])
-                    for c, v in zip(out, (np.full(len(take), k), lo[take], windows[take], gram[take], own[take], np.concatenate([times, times[back][again]])), strict=True):
+                    first, size = joined(lo, windows, times[back] > 1)
+                    n, zero = len(once) + len(first), np.zeros(len(first), np.int64)
+                    for c, v in zip(out, (np.full(n, k), np.concatenate([lo[once], first]), np.concatenate([windows[once], size]),
+                                          np.concatenate([gram[once], zero]), np.concatenate([own[once], zero]), np.concatenate([times, zero])), strict=True):
                         c.append(v)
-                    none.append(np.arange(len(take)) >= len(once))
+                    none.append(np.arange(n) >= len(once))
                 if none:
                     cols = [np.concatenate(c) for c in out]
                     mask = np.concatenate(none)
