@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.session import checkpoint_dir
+from redline.session import written as cut
+
+__all__ = ["WORD", "arrow_schema", "cut", "fold", "map_rows", "slices", "table"]
 
 #: Rust/Java/RE2 spelling of a run of anything but blank, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,16 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet below the session's shared checkpoint folder and
-    return the written table, so that later plans neither recompute it nor depend
-    on executors that may be gone. The folder belongs to the cluster, which expires it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/redline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal doc_id modulo `modulus` (null id: of the empty string)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
