@@ -25,7 +25,7 @@ from redline.operators.essays import (
 )
 from redline.plans import sql as S
 from redline.plans.registry import register
-from redline.session import read_table, spread
+from redline.session import read_table, spread, written
 
 
 def essays(spark, sf_dir):
@@ -37,30 +37,30 @@ def essays(spark, sf_dir):
 MARKS = ((" the ", 0, 1, 4, "a"), (" and ", 1, 1, 4, None), (" of ", 2, 1, 3, "off"), (" of ", 2, 2, 2, "x"), (" of ", 2, -3, 6, None))
 
 
+#: Edits that each essay has once: (coder, end, correction, type); they start at 0.
+ONCE = ((0, 20, None, None), (1, 2**31 - 1, "’x’", "R:OTHER"))
+
+
 def essay_edits(es):
     """All coders' edits, numbered per essay and coder, from one pass over the texts."""
-    found = []
-    for k, (word, *_) in enumerate(MARKS):
+    found, rules = [], []
+    for k, (word, coder, a, b, cor) in enumerate(MARKS):
         parts = F.split("text", word, -1)
         found.append(F.struct(F.lit(k).alias("k"), F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p)).alias("lens")))
-    n = F.length("text")
-    marks = es.select("essay_id", n.alias("n"), F.inline(F.array(*found)))
+        rules.append((len(word), coder, a, b, cor, None))
+    for k, (coder, end, cor, kind) in enumerate(ONCE, len(MARKS)):
+        found.append(F.struct(F.lit(k).alias("k"), F.array(F.lit(0)).alias("lens")))
+        rules.append((0, coder, 0, end, cor, kind))
+    marks = es.select("essay_id", F.length("text").alias("n"), F.inline(F.array(*found)))
     marks = marks.select("essay_id", "n", "k", F.posexplode(F.zip_with("lens", running_starts("lens"), lambda a, b: a + b)).alias("i", "before"))
-    rule = F.array(*[F.struct(F.length(F.lit(w)).alias("len"), F.lit(c).alias("coder"), F.lit(a).alias("a"), F.lit(b).alias("b"),
-                              F.lit(cor).cast("string").alias("cor")) for w, c, a, b, cor in MARKS])
-    m = marks.select("essay_id", "n", "k", "i", "before", F.element_at(rule, F.col("k") + 1).alias("r"))
-    at = F.col("before") + F.col("i") * F.col("r.len")
-    none = F.lit(None).cast("string")
-    each = m.select("essay_id", F.col("r.coder").alias("coder"), "k", "i", F.greatest(at + F.col("r.a"), F.lit(0)).alias("start"),
-                    F.least(at + F.col("r.b"), F.col("n")).alias("end"), F.col("r.cor").alias("cor"), none.alias("type"))
-    whole = es.select("essay_id", F.inline(F.array(
-        F.struct(F.lit(0).alias("coder"), F.lit(9).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.least(n, F.lit(20)).alias("end"),
-                 none.alias("cor"), none.alias("type")),
-        F.struct(F.lit(1).alias("coder"), F.lit(9).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("start"), n.alias("end"),
-                 F.lit("’x’").alias("cor"), F.lit("R:OTHER").alias("type")))))
+    rule = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(
+        r, ("int", "int", "int", "int", "string", "string"), ("len", "coder", "a", "b", "cor", "type"), strict=True)]) for r in rules])
+    m = marks.select("essay_id", "n", "k", "i", F.element_at(rule, F.col("k") + 1).alias("r"),
+                     (F.col("before") + F.col("i") * F.element_at(rule, F.col("k") + 1)["len"]).alias("at"))
+    each = m.select("essay_id", "r.coder", "k", "i", F.greatest(F.col("at") + F.col("r.a"), F.lit(0)).cast("int").alias("start"),
+                    F.least(F.col("at").cast("long") + F.col("r.b"), F.col("n")).cast("int").alias("end"), "r.cor", "r.type")
     w = Window.partitionBy("essay_id", "coder").orderBy("i", "k")
-    return each.unionByName(whole).select("essay_id", "coder", (F.row_number().over(w) - 1).alias("ord"), F.col("start").cast("int").alias("start"),
-                                          F.col("end").cast("int").alias("end"), "cor", "type")
+    return each.select("essay_id", "coder", (F.row_number().over(w) - 1).alias("ord"), "start", "end", "cor", "type")
 
 
 _ESSAYS = f"""es AS (SELECT doc_id AS essay_id, translate(text, {S.q(pt.PUNCT_FROM)}, {S.q(pt.PUNCT_TO)}) AS text
@@ -287,5 +287,5 @@ def essays_to_m2_q(spark, sf_dir):
     """C-09: whole essays with three coders' character edits -> M2 blocks per sentence (digests)."""
     from redline.operators.essays import essays_to_m2
     es = essays(spark, sf_dir)
-    m = essays_to_m2(es, essay_edits(es))
+    m = essays_to_m2(es, written(essay_edits(es)))
     return m.select("essay_id", "para_no", "sent_no", F.md5("block").alias("block_md5"))
