@@ -77,18 +77,18 @@ def ngrams(tok, min_n: int = 1, max_n: int = 4) -> Column:
     return let(_c(tok), build)
 
 
-def hashed_ngrams(tok, min_n: int = 1, max_n: int = 4) -> Column:
-    """The n-grams of `ngrams` as 64-bit hashes, order by order: the hash of order
-    k+1 combines that of order k with the next token's."""
+def hashed_ngrams(tok, max_n: int = 4) -> Column:
+    """The n-grams of orders 1..max_n as 64-bit hashes, an array per order: the hash
+    of order k+1 combines that of order k with the next token's."""
     def build(t: Column) -> Column:
         n_tok = F.size(t)
 
         def order(n: int, cur: Column, acc: list) -> Column:
-            keep = acc + ([F.slice(cur, 1, F.greatest(n_tok - n + 1, F.lit(0)))] if n >= min_n else [])
             if n == max_n:
-                return F.flatten(F.array(*keep))
-            left, right = F.slice(cur, 1, F.greatest(n_tok - n, F.lit(0))), F.slice(t, n + 1, F.greatest(n_tok - n, F.lit(0)))
-            return let(F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)), lambda c: order(n + 1, c, keep))
+                return F.array(*acc, cur)
+            size = F.greatest(n_tok - n, F.lit(0))
+            nxt = F.zip_with(F.slice(cur, 1, size), F.slice(t, n + 1, size), lambda a, b: F.xxhash64(a, b))
+            return let(nxt, lambda c: order(n + 1, c, [*acc, cur]))
 
         return order(1, t, [])
 
@@ -123,12 +123,23 @@ def value_counts(arr) -> Column:
     return let(F.sort_array(_c(arr)), counted)
 
 
+def _repeats(x: Column) -> Column:
+    """Every occurrence of a value but one: the elements of the sorted array that equal the one before."""
+    def pick(s: Column) -> Column:
+        n = F.size(s) - 1
+        same = F.zip_with(F.slice(s, 2, n), F.slice(s, 1, n), lambda cur, prev: F.when(cur == prev, cur))
+        return F.filter(same, lambda v: v.isNotNull())
+    return let(F.sort_array(x), pick)
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Sum over distinct values g of min(count_a(g), count_b(g)). Where either side
-    holds no value twice that is the size of the intersection, a native function;
-    only rows that repeat values on both sides are counted value by value."""
-    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    return F.when(single, F.size(F.array_intersect(a, b)).cast("long")).otherwise(multiset_overlap(a, b))
+    """Sum over distinct values g of min(count_a(g), count_b(g)), for bound arrays:
+    each value in both counts once, by the native intersection, and once more for
+    every further occurrence on both sides. Only rows that repeat values on both
+    sides have any."""
+    repeated = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
+    more = F.when(repeated, multiset_overlap(_repeats(a), _repeats(b))).otherwise(F.lit(0).cast("long"))
+    return F.size(F.array_intersect(a, b)) + more
 
 
 def multiset_overlap(a, b) -> Column:

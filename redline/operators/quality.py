@@ -40,20 +40,27 @@ def ngrams_of(tok, n: int) -> Column:
     return let(F.col(tok) if isinstance(tok, str) else tok, build)
 
 
-def ngram_overlap(items: DataFrame, item_key: str, item_tok: str, docs: DataFrame, doc_tok: str,
+def ngram_hashes(tok, n: int) -> Column:
+    """A 64-bit hash of each n-gram, by position; empty when too short."""
+    def build(t: Column) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))) \
+            .otherwise(F.array().cast("array<long>"))
+    return let(F.col(tok) if isinstance(tok, str) else tok, build)
+
+
+def ngram_overlap(items: DataFrame, item_key: str, item_tok: str, docs: DataFrame, doc_key: str, doc_tok: str,
                   n: int = 8) -> DataFrame:
     """X-02: per item, its number of n-grams and how many occur in `docs`.
 
-    Document grams are looked up by a 64-bit hash, each once per document
-    (map-side when the item side is small enough to broadcast, by measured
-    size; else eight bytes a gram move, not its text). The grams of the hits
-    are then compared as text."""
+    Document grams are looked up by a 64-bit hash (map-side when the item side is
+    small enough to broadcast, by measured size; else sixteen bytes a gram move, not
+    its text). What hits is then read from its document and compared as text."""
     ig = items.select(item_key, F.explode(ngrams_of(item_tok, n)).alias("g"))
-    keys = ig.select(F.xxhash64("g").alias("h")).distinct()
-    dg = docs.select(F.array_distinct(ngrams_of(doc_tok, n)).alias("gs"))
-    hashed = dg.select(F.explode(F.transform("gs", lambda g: F.xxhash64(g))).alias("h"))
-    hits = hashed.join(keys, "h", "left_semi").distinct()
-    texts = dg.select(F.explode("gs").alias("g")).withColumn("h", F.xxhash64("g")).join(hits, "h", "left_semi").select("g")
+    keys = items.select(F.explode(ngram_hashes(item_tok, n)).alias("h")).distinct()
+    hashed = docs.select(F.col(doc_key).alias("_of"), F.posexplode(ngram_hashes(doc_tok, n)).alias("_at", "h"))
+    hits = hashed.join(keys, "h", "left_semi").groupBy("_of").agg(F.collect_set("_at").alias("_at"))
+    met = docs.join(hits, F.col(doc_key) == F.col("_of")).select(F.col(doc_tok).alias("_t"), "_at")
+    texts = met.select(F.explode(F.transform("_at", lambda i: F.array_join(F.slice("_t", i + 1, n), " "))).alias("g"))
     matched = texts.distinct().withColumn("_hit", F.lit(1))
     per_item = ig.join(matched, "g", "left").groupBy(item_key).agg(
         F.count(F.lit(1)).alias("n_grams"), F.count("_hit").alias("n_overlap"))

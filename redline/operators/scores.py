@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from redline.functions.hof import let
 from redline.functions.text import strip
-from redline.functions.tokens import hashed_ngrams, overlap, tokens
+from redline.functions.tokens import hashed_ngrams, ngram_total, overlap, tokens
 
 NULL_POLICIES = ("zero", "skip", "literal_nan", "fail")
 
@@ -32,21 +32,21 @@ def _n(arr: Column) -> Column:
 # Column-level formulas over token arrays
 # --------------------------------------------------------------------------
 
-def gleu(hyp_tok, ref_tok, min_n: int = 1, max_n: int = 4) -> Column:
-    """R-01 sentence GLEU for one reference:
+def gleu(hyp_tok, ref_tok, max_n: int = 4) -> Column:
+    """R-01 sentence GLEU for one reference, orders 1..max_n:
     sum_g min(c_hyp(g), c_ref(g)) / max(|ngrams(hyp)|, |ngrams(ref)|); 0 if both empty.
 
     In-row and in the JVM: equal sentences score 1 without counting; for the others
-    n-grams are 64-bit hashes, built once per side."""
+    each order's n-grams are 64-bit hashes, built once per side."""
     h, r = _c(hyp_tok), _c(ref_tok)
 
-    def score(a: Column, b: Column) -> Column:
-        n_all = F.greatest(F.size(a), F.size(b))
-        return F.when(n_all > 0, overlap(a, b) / n_all.cast("double")).otherwise(F.lit(0.0))
+    def counted(x: Column, y: Column) -> Column:
+        n_all = F.greatest(ngram_total(x, 1, max_n), ngram_total(y, 1, max_n))
+        per_order = let(hashed_ngrams(x, max_n), lambda a: let(hashed_ngrams(y, max_n), lambda b: F.zip_with(a, b, overlap)))
+        return F.when(n_all > 0, F.aggregate(per_order, F.lit(0).cast("long"), lambda s, v: s + v) / n_all.cast("double")).otherwise(F.lit(0.0))
 
-    counted = let(hashed_ngrams(h, min_n, max_n), lambda a: let(hashed_ngrams(r, min_n, max_n), lambda b: score(a, b)))
-    return F.when(h.isNull() | r.isNull(), F.lit(None).cast("double")).when(
-        (h == r) & (F.size(h) >= min_n), F.lit(1.0)).otherwise(counted)
+    return F.when(h == r, F.when(F.size(h) > 0, F.lit(1.0)).otherwise(F.lit(0.0))).when(
+        h.isNotNull() & r.isNotNull(), let(h, lambda x: let(r, lambda y: counted(x, y))))
 
 
 def _ratio(num: Column, den: Column, empty) -> Column:

@@ -196,8 +196,8 @@ def split_overlap(spark, sf_dir):
     training documents. Document grams are semi-joined against the (small)
     item grams map-side before anything is shuffled."""
     bench = read_table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("t"))
-    docs = spread(read_table(spark, sf_dir, "documents")).select(tokens("text").alias("t"))
-    return ngram_overlap(bench, "item_id", "t", docs, "t", n=8)
+    docs = spread(read_table(spark, sf_dir, "documents")).select("doc_id", tokens("text").alias("t"))
+    return ngram_overlap(bench, "item_id", "t", docs, "doc_id", "t", n=8)
 
 
 @register("union_runs", f"""WITH {S.LINES},
