@@ -23,7 +23,7 @@ from redline.sources import (
 def test_read_triples_pandas_csv(spark, tmpdir_path):
     pdf = pd.DataFrame({"input_text": ['He said "hi", then\nleft', "a b", "x"],
                         "target_text": ["t1", "", "NA"], "prediction": ["p1", "p2", None]})
-    path = os.path.join(tmpdir_path, "grammar_model_jfleg_test.csv")
+    path = os.path.join(tmpdir_path, "grammar_model_public_test.csv")
     pdf.to_csv(path, index=False)
     df = read_triples(spark, path)
     rows = sorted(df.collect(), key=lambda r: r.input_text)
