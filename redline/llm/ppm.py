@@ -1,13 +1,19 @@
 """Language-model score by prediction by partial matching.
 
 Training counts every symbol after its four preceding bytes, over all training
-texts, in one pass that also counts tokens. The trie keeps the contexts that hold
-at least one part in KEEP of all symbols, so an order has at most KEEP of them
-however large the corpus is; a kept context's shorter contexts are kept too. Each
-context predicts by its counts and escapes to the next shorter one with the
-probability distinct / (total + distinct), where symbols already offered are
-excluded; what no context has seen shares the last escape evenly. A document's code
-length adds up the symbols of its lower-cased bytes and one end symbol.
+texts, in one pass that also counts tokens. Every context that was seen predicts by
+its counts and escapes to the next shorter one with the probability
+distinct / (total + distinct), where symbols already offered are excluded; what no
+context has seen shares the last escape evenly. A document's code length adds up the
+symbols of its lower-cased bytes and one end symbol.
+
+The counts of all contexts stay tables. Those that hold one part in HOT of all
+symbols, at most HOT an order, are also sent to every task as a trie, with all their
+shorter contexts, which hold as many symbols at least: what follows them is scored
+there. Whatever follows another context leaves its document as one row per distinct
+(context, symbol) and meets its probability in a join. Both ways give the same number.
+That a longer context's symbols are all known to the shorter one makes the exclusion
+a number of the longer context: what its symbols hold in the shorter one.
 
 Token counts: tokens are keyed by XXH64. Those that hold one part in 2^20 of all
 training tokens are at most 2^20 by that bound and are sent to every task; the
@@ -32,10 +38,14 @@ from pyspark.sql import functions as F
 
 from redline.llm.common import arrow_schema, cut, fold, slices
 
-ORDER, KEEP, HEAVY = 4, 1 << 16, 1 << 20
+ORDER, HOT, HEAVY = 4, 1 << 16, 1 << 20
+#: With a number, contexts of order 2 and up that hold less than one part in KEEP of all symbols don't count.
+KEEP: int | None = None
 END = 0xFF  # no byte of UTF-8: ends a text, and stands before its first byte
 #: Rows a task holds back to add equal keys before it emits them.
 HELD = 1 << 21
+#: Logarithms are added in it, so that equal texts have equal scores in any order.
+EXACT = "decimal(28,12)"
 
 # Kinds of counted keys.
 GRAM, TOKEN, TEXT = 0, 1, 2
@@ -177,46 +187,109 @@ class Scorer:
     def __init__(self, trie: Trie):
         self.logp, self.child, self.column = trie.log10(), trie.children(), trie.column.astype(np.uint8)
 
-    def score(self, raw: bytes) -> float:
-        """log10 probability of the bytes and the end, each after its longest kept context."""
-        total, block = 0.0, 1 << 20
+    def score(self, raw: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """log10 probability of the bytes and the end that follow the trie's longest
+        contexts, and the distinct (context, symbol) of all others with their counts."""
+        total, block, cold = 0.0, 1 << 20, []
         data = np.frombuffer(bytes([END]) * ORDER + raw + bytes([END]), np.uint8)
         for at in range(ORDER, len(data), block):
-            own = self.column[data[at - ORDER:at + block]]
+            near = data[at - ORDER:at + block]
+            own = self.column[near]
             n = len(own) - ORDER
             node, live = np.zeros(n, np.int32), np.ones(n, bool)
             for k in range(1, ORDER + 1):
                 longer = self.child[node, own[ORDER - k:ORDER - k + n]]
-                live &= longer >= 0  # a context that isn't kept has no longer ones
+                live &= longer >= 0  # a context that isn't in the trie has no longer ones there
                 node = np.where(live, longer, node)
-            total += float(self.logp[node, own[ORDER:]].sum(dtype=np.float64))
-        return total
-
-
-def levels(contexts: DataFrame, whole: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Kept (context, symbol, n) per order, from (key, n) of the longest order. At most
-    KEEP contexts of an order hold `whole` / KEEP symbols, which bounds what is collected."""
+            total += float(self.logp[node[live], own[ORDER:][live]].sum(dtype=np.float64))
+            rest = np.flatnonzero(~live)
+            code = np.zeros(len(rest), np.int64)
+            for k in range(ORDER + 1):
+                code = code << 8 | near[rest + k]
+            cold.append(code)
+        return total, *np.unique(np.concatenate(cold), return_counts=True)
+
+
+def ending(gram: Column, size: int) -> Column:
+    """The last `size` bytes of a number."""
+    return gram.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def context(gram: Column) -> Column:
+    return F.shiftright(gram, 8)
+
+
+def tables(contexts: DataFrame, whole: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Per order, (gram, n) of every context with its symbol, and (ctx, total, kinds,
+    rest, more) of every context: the symbols after it, how many differ, and what the
+    next shorter context has besides those: its denominator and its distinct symbols.
+    From (key, n) of the longest order. No key of the joins has over 256 rows."""
+    every, grams = contexts.select(F.col("key").alias("gram"), "n"), []
+    for k in reversed(range(ORDER + 1)):
+        if k < ORDER:
+            every = cut(every.groupBy(ending(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")))
+        kept = every
+        if KEEP and k > 1:
+            held = every.groupBy(context(F.col("gram")).alias("c")).agg(F.sum("n").alias("held")).where(F.col("held") * KEEP >= whole)
+            kept = every.join(held, context(F.col("gram")) == F.col("c"), "left_semi")
+        grams.insert(0, kept)
+    sums = F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
+    none = F.lit(None).cast("long")
+    nodes = [cut(grams[0].groupBy(context(F.col("gram")).alias("ctx")).agg(*sums).withColumn("rest", none).withColumn("more", none))]
+    for k in range(1, ORDER + 1):
+        shorter = grams[k - 1].select(F.col("gram").alias("end"), F.col("n").alias("m"))
+        own = grams[k].join(shorter, ending(F.col("gram"), k) == F.col("end")).groupBy(context(F.col("gram")).alias("ctx")).agg(*sums, F.sum("m").alias("inner"))
+        above = nodes[k - 1].select(F.col("ctx").alias("c"), F.col("total").alias("t"), F.col("kinds").alias("q"))
+        more = F.col("q") - F.col("kinds")
+        nodes.append(cut(own.join(above, ending(F.col("ctx"), k - 1) == F.col("c"))
+                         .select("ctx", "total", "kinds", (F.col("t") - F.col("inner") + more).alias("rest"), more.alias("more"))))
+    return grams, nodes
+
+
+def levels(grams: list[DataFrame], nodes: list[DataFrame], whole: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, symbol, n) per order of the trie that is sent. At most HOT contexts of
+    an order hold `whole` / HOT symbols, which bounds what is collected."""
     out = []
-    for k in range(ORDER + 1):
-        key = F.col("key")
-        ctx = F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) if k else F.lit(0).cast("long")
-        each = contexts.groupBy(ctx.alias("ctx"), key.bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n"))
+    for k, each in enumerate(grams):
         if k > 1:
-            held = each.groupBy(F.col("ctx").alias("c")).agg(F.sum("n").alias("held")).where(F.col("held") * KEEP >= whole)
-            each = each.join(F.broadcast(held.select("c")), F.col("ctx") == F.col("c"))
-        rows = each.select("ctx", "sym", "n").toPandas()
+            hot = nodes[k].where(F.col("total") * HOT >= whole).select(F.col("ctx").alias("c"))
+            each = each.join(F.broadcast(hot), context(F.col("gram")) == F.col("c"), "left_semi")
+        rows = each.select(context(F.col("gram")).alias("ctx"), ending(F.col("gram"), 1).alias("sym"), "n").toPandas()
         out.append(tuple(rows[c].to_numpy(np.int64) for c in ("ctx", "sym", "n")))
     return out
 
 
+def probabilities(asked: DataFrame, grams: list[DataFrame], nodes: list[DataFrame], k: int = ORDER) -> DataFrame:
+    """(gram, n, start, after) of distinct grams `asked` (gram) of order k: the count,
+    log10 of the probability from that context on, and of that after its escape (only
+    where n is null). What a context hasn't seen is asked of the next shorter one, once."""
+    own = cut(asked.join(grams[k].withColumnRenamed("gram", "g"), F.col("gram") == F.col("g"), "left").drop("g")
+              .join(nodes[k], context(F.col("gram")) == F.col("ctx"), "left"))
+    if k:
+        short = ending(F.col("gram"), k)
+        lower = probabilities(own.where("n is null").select(short.alias("gram")).distinct(), grams, nodes, k - 1)
+        lower = lower.select(F.col("gram").alias("g"), F.col("n").alias("m"), F.col("start").alias("shorter"), F.col("after").alias("further"))
+        own = own.join(lower, short == F.col("g"), "left")
+        escape = F.when(F.col("more") > 0, F.log10("more") - F.log10("rest")).otherwise(0.0)
+        after = F.when(F.col("m").isNotNull(), F.log10("m") - F.log10("rest")).otherwise(escape + F.col("further"))
+        unseen = F.col("shorter")
+    else:
+        after = unseen = -F.log10(F.lit(256) - F.coalesce("kinds", F.lit(0)))
+    all_of = F.col("total") + F.col("kinds")
+    start = (F.when(F.col("n").isNotNull(), F.log10("n") - F.log10(all_of))
+             .when(F.col("ctx").isNotNull(), F.log10("kinds") - F.log10(all_of) + after).otherwise(unseen))
+    return own.select("gram", "n", start.alias("start"), after.alias("after"))
+
+
 _READY: dict[int, Scorer] = {}
 
-SCORED = "doc_id long,n_tokens long,known long,logs double,score double,others array<long>,times array<int>"
+SCORED = "doc_id long,n_tokens long,known long,logs double,score double,others array<long>,times array<int>,cold array<long>,often array<int>"
 
 
 def score_texts(docs: DataFrame, kept: list, heavy: tuple[np.ndarray, np.ndarray], ends: int, mark: int) -> DataFrame:
     """Per row: tokens, how many of the heavy ones and the sum of log10(c + 0.5) over
-    them, the model's score, and the keys and counts of all other tokens."""
+    them, the trie's part of the score, the keys and counts of all other tokens, and
+    those of the contexts with their symbols that the trie doesn't hold."""
     sent = docs.sparkSession.sparkContext.broadcast((kept, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +309,9 @@ def score_texts(docs: DataFrame, kept: list, heavy: tuple[np.ndarray, np.ndarray
                     own, n = own[order], n[order]
                     at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
                     hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+                    known, cold, often = scorer.score(raw)
                     rows.append((doc_id, int(n.sum()) + 1, int(n[hit].sum()) + (ends > 0), float((n[hit] * logs[at[hit]]).sum() + np.log10(ends + 0.5)),
-                                 scorer.score(raw), own[~hit], n[~hit].astype(np.int32)))
+                                 known, own[~hit], n[~hit].astype(np.int32), cold, often.astype(np.int32)))
                 types = arrow_schema(SCORED)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
@@ -255,18 +329,23 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     train, vocabulary = (train or 0) + ends, vocabulary + (ends > 0)
     top = tokens.where(F.col("n") * HEAVY >= train).toPandas().sort_values("key")
     heavy = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.float64)
-    kept = levels(contexts, symbols)
+    grams, nodes = tables(contexts, symbols)
+    kept = levels(grams, nodes, symbols)
     mark = hash((symbols, ends, train, vocabulary, counts.inputFiles()[0] if ends else ""))
     scored = cut(score_texts(docs, kept, heavy, ends, mark).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("others", "times")).alias("t")).select("row", F.col("t.others").alias("of"), F.col("t.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
-    summed = (rare.join(tokens.where(F.col("n") * HEAVY < train), F.col("of") == F.col("key"), "left")
-              .groupBy(F.col("row").alias("r")).agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("sums")))
+    words = (rare.join(tokens.where(F.col("n") * HEAVY < train), F.col("of") == F.col("key"), "left")
+             .select("row", F.when(c > 0, F.col("times")).otherwise(0).alias("more"), (F.col("times") * F.log10(c + 0.5)).alias("sums"), F.lit(None).cast(EXACT).alias("bits")))
+    cold = scored.select("row", F.explode(F.arrays_zip("cold", "often")).alias("t")).select("row", F.col("t.cold").alias("of"), F.col("t.often").alias("times"))
+    each = probabilities(cold.select(F.col("of").alias("gram")).distinct(), grams, nodes).select("gram", "start")
+    symbol = cold.join(each, F.col("of") == F.col("gram")).select("row", F.lit(0).alias("more"), F.lit(0.0).alias("sums"), (F.col("times") * F.col("start")).cast(EXACT).alias("bits"))
+    summed = words.union(symbol).groupBy(F.col("row").alias("r")).agg(F.sum("more").alias("more"), F.sum("sums").alias("sums"), F.sum("bits").cast("double").alias("bits"))
     whole = float(np.log10(train + 0.5 * (vocabulary + 1)))
     base = F.col("logs") + F.coalesce("sums", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)
-    return (scored.drop("others", "times").join(summed, F.col("row") == F.col("r"), "left")
+    return (scored.drop("others", "times", "cold", "often").join(summed, F.col("row") == F.col("r"), "left")
             .select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"),
-                    (base if train else F.lit(0.0)).alias("base_score"), "score"))
+                    (base if train else F.lit(0.0)).alias("base_score"), (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score")))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,19 @@ def test_equals_the_plain_model(spark, small, monkeypatch, keep):
         assert got[r.doc_id] == pytest.approx(plain.score(r.text), rel=1e-4)
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 300, 2])
+def test_every_context_seen_counts(spark, small, monkeypatch, hot):
+    """No context is too rare for the model, however few of them the tasks get as a trie."""
+    monkeypatch.setattr(ppm, "HOT", hot)
+    rows = sorted(small.collect(), key=lambda r: r.doc_id)
+    plain = Plain([r.text for r in rows if r.doc_id % 3], 1 << 62)
+    assert sum(plain.counts[0][b""].values()) > 2 << 16
+    got = {r.doc_id: r.score for r in ppm.score(small, F.col("doc_id") % 3 != 0).collect()}
+    assert len(got) == len(rows)
+    for r in rows[:40]:
+        assert got[r.doc_id] == pytest.approx(plain.score(r.text), rel=1e-5)
+
+
 def test_probabilities_sum_to_one():
     grams = ppm.grams([b"abracadabra", b"abc", b""])
     levels = []
