@@ -101,23 +101,38 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of `docs` (doc_id, text)."""
-    prints = cut(map_rows(docs.select("doc_id", "text"), "doc_id long,fp long", lambda: lambda doc_id, text: (doc_id, fingerprint(text, shingle))))
-    each = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def members(docs: DataFrame, row: Column, shingle: int = 3, bits: int = 2) -> DataFrame:
+    """(row, doc_id, fp, first) of every row of `docs` (doc_id, text), `row` being its
+    number; first (doc_id, row) is the smallest of the component, null without any id."""
+    numbered = docs.select(row.alias("row"), "doc_id", "text")
+    prints = cut(map_rows(numbered, "row long,doc_id long,fp long", lambda: lambda row, doc_id, text: (row, doc_id, fingerprint(text, shingle))))
+    named_row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    each = cut(prints.groupBy("fp").agg(F.min(named_row).alias("least")))
     roots = components(links(each, bits))
     linked = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
-    named = cut(linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "component_id"))
-    return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "r"))
+    named = cut(linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "first"))
+    return prints.join(named, F.col("fp") == F.col("of")).drop("of")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of `docs` (doc_id, text)."""
+    every = members(docs, F.lit(0).cast("long"), shingle, bits)
+    return every.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
 
 
+#: Name of the written row number, unlike any column of the caller's.
+ROW = "_row_of_simhash_keep"
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """Stage: the rows of `docs` whose id is the smallest of their component, all columns.
-    Rows without an id stay only where no row of their component has one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    """Stage: one row of each component of `docs`, of its smallest id, all columns. Rows
+    without an id stay only where no row of their component has one, and then all do:
+    nothing tells which comes first."""
+    numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    kept = members(numbered, F.col(ROW)).where(F.col("first").isNull() | (F.col("first.row") == F.col("row"))).select(F.col("row").alias("kept"))
+    return numbered.alias("d").join(kept.alias("k"), F.col(f"d.{ROW}") == F.col("k.kept"), "left_semi").drop(ROW)

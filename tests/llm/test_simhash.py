@@ -92,3 +92,11 @@ def test_null_ids_only(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.query(docs).collect()] == [None, None]
     assert simhash.keep(docs.withColumn("x", F.lit(1))).count() == 2
+
+
+def test_repeated_rows_leave_one(spark):
+    one, other, third = "a b c d e f", "one two three four five six", "red green blue black white grey"
+    rows = [(1, one), (1, one), (2, one), (3, other), (2, other), (2, other), (None, one), (None, third), (4, third), (None, "all by itself in here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(((r.doc_id or 0, r.text) for r in simhash.keep(docs).collect()))
+    assert out == [(0, "all by itself in here"), (1, one), (2, other), (4, third)]
