@@ -74,6 +74,21 @@ def test_recall_at_the_threshold(spark):
     assert sum(r[1] for r in got(spark, rows)) >= 0.95 * sum(t[1] for t in truth(rows)) > 0
 
 
+@pytest.mark.parametrize("large", [lattice.LARGE, 0])
+def test_recall_of_both_kinds_of_cells(spark, monkeypatch, large):
+    """The same pairs just above 0.95 with either form; prints the recall."""
+    monkeypatch.setattr(lattice, "LARGE", large)
+    rng, rows = np.random.default_rng(6), []
+    for k in range(400):
+        x, y = rng.normal(size=(2, 64))
+        y -= x * (x @ y) / (x @ x)
+        x, y = x / np.linalg.norm(x), y / np.linalg.norm(y)
+        rows += [(2 * k, x.tolist(), 0), (2 * k + 1, (0.951 * x + np.sqrt(1 - 0.951 ** 2) * y).tolist(), 0)]
+    found = sum(r[1] for r in got(spark, rows))
+    print(f"recall with LARGE = {large}: {found} of {len(rows)} ends")
+    assert found >= 0.95 * len(rows)
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_both_kinds_of_cells(spark, monkeypatch, blocks):
     if blocks == 2:
