@@ -10,4 +10,7 @@ toxicity    compression distance to two dictionaries
 mixing      sources mixed to target weights
 simhash     near-duplicate texts by covering-code anchors
 lattice     near-duplicate vectors by E8 lattice cells
+phrases     collocations from depth-truncated suffix subtrees
+search      ranked lexical search by two trees with coordinate maxima
+neighbours  quality by votes of the nearest labelled documents
 """

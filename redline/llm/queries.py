@@ -21,6 +21,8 @@ OPERATORS: dict[str, tuple[str, tuple[str, ...]]] = {
     "op8_mix_sources": ("mixing", ("documents",)),
     "op9_simhash_dedup": ("simhash", ("documents",)),
     "op10_lattice_dedup": ("lattice", ("embeddings",)),
+    "op12_ranked_search": ("search", ("documents", "benchmark")),
+    "op13_neighbour_quality": ("neighbours", ("documents", "labels")),
 }
 
 
@@ -36,5 +38,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from redline.llm import mixing
-    return {"op8_mix_sources": mixing.ORACLE}
+    from redline.llm import mixing, search
+    return {"op8_mix_sources": mixing.ORACLE, "op12_ranked_search": search.ORACLE}
