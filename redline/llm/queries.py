@@ -21,6 +21,7 @@ OPERATORS: dict[str, tuple[str, tuple[str, ...]]] = {
     "op8_mix_sources": ("mixing", ("documents",)),
     "op9_simhash_dedup": ("simhash", ("documents",)),
     "op10_lattice_dedup": ("lattice", ("embeddings",)),
+    "op11_phrase_mining": ("phrases", ("documents",)),
     "op12_ranked_search": ("search", ("documents", "benchmark")),
     "op13_neighbour_quality": ("neighbours", ("documents", "labels")),
 }
@@ -38,5 +39,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from redline.llm import mixing, search
-    return {"op8_mix_sources": mixing.ORACLE, "op12_ranked_search": search.ORACLE}
+    from redline.llm import mixing, phrases, search
+    return {"op8_mix_sources": mixing.ORACLE, "op11_phrase_mining": phrases.ORACLE, "op12_ranked_search": search.ORACLE}
