@@ -20,7 +20,8 @@ from redline.plans.q_essays import EDITS_SQL as _EDITS
 from redline.plans.registry import register
 from redline.session import read_table, shared_path
 from redline.sinks import write_m2, write_metrics, write_stage, write_triples
-from redline.sources.readers import nested_to_pairs, read_documents, read_essays, read_m2, read_nested_refs, read_sentences, read_triple_files
+from redline.sources.quoted import read_quoted_csv, read_runs
+from redline.sources.readers import nested_to_pairs, read_documents, read_essays, read_m2, read_nested_refs, read_sentences
 from redline.streaming import run_to_path, running_metrics, stream_triples_metrics
 
 
@@ -39,13 +40,27 @@ def triples_csv_files(spark, sf_dir):
     names = ["readability_swap.csv", "grammar_swap.csv", "notes_swap.csv", "readability_broken.csv"]
     for name in names:
         write_triples(t.drop("prediction") if "broken" in name else t, f"{root}/{name}", (), fmt="csv")
-    got, skipped = read_triple_files(spark, [f"{root}/{n}" for n in names])
-    told = "; ".join(f"{p.rsplit('/', 1)[-1]}: {why}" for p, why in skipped)
+    got, skipped = read_runs(spark, f"{root}/*")
+    told = "; ".join(sorted(f"{r.file}: {r.why}" for r in skipped.collect()))
     return got.groupBy("file", "task").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("input_text")).alias("n_input"), F.sum(F.length("prediction")).alias("n_prediction"),
         F.count_if(F.col("prediction") == F.col("input_text")).alias("n_same"), F.lit(told).alias("skipped"))
 
 
+@register("quoted_csv_file", """SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5, md5(concat(source, ', "', lang, '"')) AS note_md5
+FROM documents WHERE text <> ''""")
+def quoted_csv_file(spark, sf_dir):
+    """S-01: whole documents, line ends and quotes included, as one quoted CSV
+    file, read back by as many tasks as it has splits."""
+    root = shared_path(spark, "documents-csv")
+    d = read_table(spark, sf_dir, "documents").where("text <> ''")
+    one = d.select(F.col("doc_id").cast("string"), "text", F.concat("source", F.lit(', "'), "lang", F.lit('"')).alias("note")).coalesce(1)
+    write_triples(one, root, (), fmt="csv")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "text", "note")])
+    return read_quoted_csv(spark, root, schema).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_chars"),
+                                                       F.md5("text").alias("text_md5"), F.md5("note").alias("note_md5"))
+
+
 @register("saved_runs", f"""WITH {S.triples_cte(('swap', 'drop_last'))}
 SELECT 'grammar' AS task, model, lang AS dataset, count(*) AS n_rows, CAST(sum(length(prediction)) AS BIGINT) AS n_chars
 FROM triples GROUP BY model, lang""")

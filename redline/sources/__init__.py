@@ -1,5 +1,6 @@
 """Readers."""
 
+from redline.sources.quoted import read_quoted_csv, read_runs
 from redline.sources.readers import (
     PANDAS_NA,
     nonblank,
@@ -15,4 +16,4 @@ from redline.sources.readers import (
 )
 
 __all__ = ["PANDAS_NA", "nonblank", "parse_essays", "read_documents", "read_essays", "read_m2",
-           "read_nested_refs", "read_sentences", "read_triples", "require_columns", "route_files"]
+           "read_nested_refs", "read_quoted_csv", "read_runs", "read_sentences", "read_triples", "require_columns", "route_files"]
