@@ -2,14 +2,18 @@
 
 Chunking, encoding, batching and label shifting are in-row array work on
 each document or line (no shuffle); padding to the longest in a batch is a
-window over a bounded batch key; the vocabulary lookup is an equi-join whose
-physical strategy (broadcast vs shuffle) Spark picks from measured sizes.
+window over a bounded batch key; vocabulary ids come from range partitions and
+are looked up where the rows are, as far as a bounded table holds them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redline.functions import patterns as pt
 from redline.session import written
@@ -90,26 +94,93 @@ def pad_batch(df: DataFrame, col: str, batch_cols, side: str = "left", pad=pt.PA
     return df.withColumn("pad_count", fill)
 
 
-def vocabulary(df: DataFrame, col: str, prefix: int = 3) -> DataFrame:
-    """J-09 build side: distinct tokens with dense ids in token order.
-
-    A token's id is the number of tokens with a smaller prefix (a running sum
-    over the small table of prefixes) plus its place among those that share its
-    prefix, so no task sorts the whole vocabulary. The table is written to the
-    shared folder: its size is then known, and Spark broadcasts it by that."""
-    distinct = df.select(F.explode(col).alias("token")).where(F.col("token").isNotNull()).distinct() \
-        .withColumn("p", F.substring("token", 1, prefix))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    per = distinct.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(
-        "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("p").orderBy("token")) - 1
-    return written(distinct.withColumn("place", place).join(per, "p").select("token", (F.col("first") + F.col("place")).alias("id")))
-
-
-def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols) -> DataFrame:
-    """J-09 probe side: token -> id by equi-join, order kept by position;
-    unknown tokens get NULL ids."""
-    x = df.select(*key_cols, F.posexplode(col).alias("pos", "token"))
-    j = x.join(vocab, "token", "left")
-    return j.groupBy(*key_cols).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+def dense_ids(distinct: DataFrame, col: str) -> DataFrame:
+    """(col, id) of a table of distinct values, ids dense from 0 in the order of `col`.
+
+    Spark ranges the values over its partitions and sorts each; a value's id is its place in
+    its partition plus the sizes of the partitions before. Those sizes, one a partition, are
+    summed on the driver and broadcast; no window, and no task beyond its own range. The
+    placed table is written to the shared folder, so that a lost task can't range it anew."""
+    placed = written(distinct.repartitionByRange(col).sortWithinPartitions(col).select(col, F.monotonically_increasing_id().alias("place")))
+    part, sizes = F.shiftrightunsigned("place", 33), {}
+    for p, n in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[p] = n
+    before, first = 0, []
+    for p in sorted(sizes):
+        first.append((p, before))
+        before += sizes[p]
+    offsets = distinct.sparkSession.createDataFrame(first, "part long, first long")
+    at = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), part == F.col("part")).select(col, (F.col("first") + at).alias("id"))
+
+
+def vocabulary(df: DataFrame, col: str) -> DataFrame:
+    """J-09 build side: distinct tokens with dense ids in token order. The table is
+    written to the shared folder, so that its size is known."""
+    distinct = df.select(F.explode(col).alias("token")).where(F.col("token").isNotNull()).distinct()
+    return written(dense_ids(distinct, "token"))
+
+
+#: Tokens that are looked up where the rows are, without a shuffle: so many at most, none longer than this many bytes.
+MAP_TOKENS, MAP_BYTES = 1 << 17, 256
+
+
+_IDS = T.ArrayType(T.LongType())
+
+
+def _as_lists(like: pa.Array, values: pa.Array) -> pa.Array:
+    """`values` in lists as long as those of `like`."""
+    sizes = pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+
+def _look_up(table: DataFrame, missing: int | None):
+    """array<string> -> array<long> by a broadcast table (token, id); tokens that it lacks give `missing`."""
+    rows = table.select("token", "id").toArrow()
+    held = table.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks(), rows.column("id").combine_chunks()))
+
+    @F.arrow_udf(_IDS)
+    def ids(tokens: pa.Array) -> pa.Array:
+        known, numbers = held.value
+        flat = tokens.flatten()
+        at = pc.index_in(flat, value_set=known)
+        found = numbers.take(at)
+        if missing is not None:
+            found = pc.if_else(pc.is_valid(at), found, pa.scalar(missing, pa.int64()))
+        return _as_lists(tokens, found)
+
+    return ids
+
+
+#: Stands for an id that is still to be joined.
+_OPEN = -1
+
+
+@F.arrow_udf(_IDS)
+def _fill(ids: pa.Array, joined: pa.Array) -> pa.Array:
+    """The open places of each row's ids, in order, from the joined ids."""
+    flat, late = ids.flatten(), joined.flatten()
+    open_ = pc.fill_null(pc.equal(flat, _OPEN), False)
+    return _as_lists(ids, pc.replace_with_mask(flat, open_, late))
+
+
+def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols, map_tokens: int = MAP_TOKENS) -> DataFrame:
+    """J-09 probe side: (key_cols, ids) with the id of every token of `col` in order, NULL for
+    tokens that the vocabulary lacks; key_cols name a row, rows without tokens are left out.
+
+    A vocabulary of at most `map_tokens` tokens is broadcast and looked up in the row: nothing
+    is shuffled. Of a larger one the `map_tokens` commonest tokens of the rows, in the
+    vocabulary or not, are looked up so; the others, none of which can be a large group, meet
+    it in a join and come back to their rows as one array each."""
+    rows = df.where(F.size(col) > 0).select(*key_cols, F.col(col).alias("_tokens"))
+    short = F.octet_length("token") <= MAP_BYTES
+    if vocab.count() <= map_tokens and not vocab.where(~short).limit(1).count():
+        return rows.select(*key_cols, _look_up(vocab, None)("_tokens").alias("ids"))
+    counts = rows.select(F.explode("_tokens").alias("token")).where(F.col("token").isNotNull() & short).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    common = written(counts.orderBy(F.col("n").desc(), "token").limit(map_tokens).select("token").join(vocab, "token", "left"))
+    first = rows.withColumn("ids", _look_up(common, _OPEN)("_tokens"))
+    late = first.select(*key_cols, F.posexplode(F.arrays_zip("ids", "_tokens")).alias("pos", "t")).where(F.col("t.ids") == _OPEN)
+    late = late.select(*key_cols, "pos", F.col("t._tokens").alias("token")).join(vocab, "token", "left")
+    late = late.groupBy(*key_cols).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("late"))
+    none = F.array().cast("array<bigint>")
+    return first.join(late, list(key_cols), "left").select(*key_cols, _fill("ids", F.coalesce("late", none)).alias("ids"))

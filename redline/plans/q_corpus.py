@@ -120,9 +120,8 @@ SELECT doc_id, line_no, CAST(count(*) AS INTEGER) AS n_tokens, CAST(count(v.id)
 FROM x LEFT JOIN v USING (token) GROUP BY doc_id, line_no""")
 def vocab_encode(spark, sf_dir):
     """J-09: token -> id lookup against a vocabulary table (built from the
-    benchmark texts with dense ids in token order) by an equi-join; Spark
-    broadcasts the vocabulary only if its measured size is under the
-    threshold, otherwise it shuffles both sides."""
+    benchmark texts with dense ids in token order), in the row up to a size of
+    the vocabulary and by a join of the rarer tokens beyond it."""
     vocab = vocabulary(read_table(spark, sf_dir, "benchmark").select(tokens("text").alias("t")), "t")
     ln = lines(read_table(spark, sf_dir, "documents")).select("doc_id", "line_no", tokens("line").alias("t"))
     e = encode_with_vocab(ln, "t", vocab, ["doc_id", "line_no"])
@@ -131,6 +130,19 @@ def vocab_encode(spark, sf_dir):
                     F.size(F.filter("ids", lambda i: i.isNotNull())).alias("n_known"), F.md5(shown).alias("ids_md5"))
 
 
+@register("vocab_encode_documents", f"""WITH y AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
+v AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest(t) AS token FROM y)),
+x AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM y)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, md5(string_agg(v.id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
+FROM x JOIN v USING (token) GROUP BY doc_id""")
+def vocab_encode_documents(spark, sf_dir):
+    """J-09 with a large vocabulary, that of the documents themselves: the
+    commonest tokens are looked up in the row, the others joined."""
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokens("text").alias("t"))
+    e = encode_with_vocab(d, "t", vocabulary(d, "t"), ["doc_id"], map_tokens=4_096)
+    return e.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"))
+
+
 def _sent_sql(x):
     return (f"(CASE WHEN {S.word_count(x)} = 0 THEN 0 ELSE greatest(len(regexp_extract_all({x}, "
             f"{S.q(pt.SENT_END_RE)})), 1) END)")
