@@ -135,7 +135,7 @@ def _as_lists(like: pa.Array, values: pa.Array) -> pa.Array:
 
 
 def _look_up(table: DataFrame, missing: int | None):
-    """array<string> -> array<long> by a broadcast table (token, id); tokens that it lacks give `missing`."""
+    """array<string> -> array<long> by a broadcast table (token, id); tokens that it lacks give `missing`, NULL tokens NULL."""
     rows = table.select("token", "id").toArrow()
     held = table.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks(), rows.column("id").combine_chunks()))
 
@@ -146,7 +146,7 @@ def _look_up(table: DataFrame, missing: int | None):
         at = pc.index_in(flat, value_set=known)
         found = numbers.take(at)
         if missing is not None:
-            found = pc.if_else(pc.is_valid(at), found, pa.scalar(missing, pa.int64()))
+            found = pc.if_else(pc.or_(pc.is_valid(at), pc.is_null(flat)), found, pa.scalar(missing, pa.int64()))
         return _as_lists(tokens, found)
 
     return ids
@@ -164,18 +164,18 @@ def _fill(ids: pa.Array, joined: pa.Array) -> pa.Array:
     return _as_lists(ids, pc.replace_with_mask(flat, open_, late))
 
 
-def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols, map_tokens: int = MAP_TOKENS) -> DataFrame:
-    """J-09 probe side: (key_cols, ids) with the id of every token of `col` in order, NULL for
+def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols, map_tokens: int = MAP_TOKENS, carry=()) -> DataFrame:
+    """J-09 probe side: (key_cols, carry, ids) with the id of every token of `col` in order, NULL for
     tokens that the vocabulary lacks; key_cols name a row, rows without tokens are left out.
 
     A vocabulary of at most `map_tokens` tokens is broadcast and looked up in the row: nothing
     is shuffled. Of a larger one the `map_tokens` commonest tokens of the rows, in the
     vocabulary or not, are looked up so; the others, none of which can be a large group, meet
     it in a join and come back to their rows as one array each."""
-    rows = df.where(F.size(col) > 0).select(*key_cols, F.col(col).alias("_tokens"))
+    rows = df.where(F.size(col) > 0).select(*key_cols, *carry, F.col(col).alias("_tokens"))
     short = F.octet_length("token") <= MAP_BYTES
     if vocab.count() <= map_tokens and not vocab.where(~short).limit(1).count():
-        return rows.select(*key_cols, _look_up(vocab, None)("_tokens").alias("ids"))
+        return rows.select(*key_cols, *carry, _look_up(vocab, None)("_tokens").alias("ids"))
     counts = rows.select(F.explode("_tokens").alias("token")).where(F.col("token").isNotNull() & short).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     common = written(counts.orderBy(F.col("n").desc(), "token").limit(map_tokens).select("token").join(vocab, "token", "left"))
     first = rows.withColumn("ids", _look_up(common, _OPEN)("_tokens"))
@@ -183,4 +183,4 @@ def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols, map_t
     late = late.select(*key_cols, "pos", F.col("t._tokens").alias("token")).join(vocab, "token", "left")
     late = late.groupBy(*key_cols).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("late"))
     none = F.array().cast("array<bigint>")
-    return first.join(late, list(key_cols), "left").select(*key_cols, _fill("ids", F.coalesce("late", none)).alias("ids"))
+    return first.join(late, list(key_cols), "left").select(*key_cols, *carry, _fill("ids", F.coalesce("late", none)).alias("ids"))

@@ -18,6 +18,7 @@ from redline.operators.corpus import (
     encode_with_vocab,
     vocabulary,
 )
+from redline.operators.sentences import FINAL, learn_abbreviations, sentence_ends
 from redline.operators.quality import dedup_exact, duplicate_groups, ngram_overlap
 from redline.plans import sql as S
 from redline.plans.fixtures import lines, turn_triples
@@ -143,6 +144,47 @@ def vocab_encode_documents(spark, sf_dir):
     return e.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"))
 
 
+def _abbreviated(text):
+    """Documents with abbreviations put in: some short words become `ca.` and `e.g.`."""
+    return F.regexp_replace(F.regexp_replace(text, " (of|de|der|la) ", " ca. "), " (and|und|et|y) ", " e.g. ")
+
+
+_STOPS_SQL = f"""src AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' (of|de|der|la) ', ' ca. ', 'g'), ' (and|und|et|y) ', ' e.g. ', 'g') AS text FROM documents),
+wd AS (SELECT doc_id, {S.words('text')} AS w FROM src),
+tk AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM wd),
+br AS (SELECT *, lower(regexp_replace(regexp_replace(w, '^["''(\[]+', ''), '["'')\]]+$', '')) AS t FROM tk),
+st AS (SELECT *, regexp_matches(t, '[^.]\.$') AS s FROM br),
+ty AS (SELECT *, CASE WHEN s THEN left(t, length(t) - 1) ELSE regexp_replace(t, '[.,;:!?]+$', '') END AS type FROM st),
+cn AS (SELECT CASE WHEN regexp_matches(type, '\pL') THEN type END AS type, count(*) FILTER (WHERE s) AS stopped, count(*) FILTER (WHERE NOT s) AS plain FROM ty GROUP BY 1),
+al AS (SELECT sum(stopped)::DOUBLE / sum(stopped + plain)::DOUBLE AS p FROM cn),
+sz AS (SELECT *, length(replace(type, '.', ''))::DOUBLE AS z, p FROM cn, al WHERE type IS NOT NULL AND stopped > 0),
+ab AS (SELECT type, stopped, plain, -2 * ((stopped * ln(p) + plain * ln(1 - p)) - (stopped * ln(0.99::DOUBLE) + plain * ln(1 - 0.99::DOUBLE)))
+    * (length(type) - z + 1) * exp(-z - plain * ln(z)) AS score FROM sz),
+learned AS (SELECT * FROM ab WHERE score >= 0.3)"""
+
+
+@register("abbreviations_learned", f"""WITH {_STOPS_SQL}
+SELECT type, stopped, plain, round(score, 4) AS score FROM learned""")
+def abbreviations_learned(spark, sf_dir):
+    """C-06: the abbreviations of the whole corpus, from how often each word
+    stands with and without a full stop."""
+    d = spread(read_table(spark, sf_dir, "documents").select(words(_abbreviated(F.col("text"))).alias("w")))
+    return learn_abbreviations(d, "w").select("type", "stopped", "plain", F.round("score", 4).alias("score"))
+
+
+@register("learned_sentences", f"""WITH {_STOPS_SQL}
+SELECT doc_id, count(*) FILTER (WHERE i = n OR (regexp_matches(w, '[.!?]["'')\]]*$') AND NOT (s AND type IN (SELECT type FROM learned)))) AS n_sentences,
+  count(*) FILTER (WHERE i = n OR regexp_matches(w, '[.!?]["'')\]]*$')) AS n_stops
+FROM ty GROUP BY doc_id""")
+def learned_sentences(spark, sf_dir):
+    """C-06 / P-23: sentences of every document, full stops of learned
+    abbreviations left out, beside all of its final marks."""
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", words(_abbreviated(F.col("text"))).alias("w")))
+    e = sentence_ends(d, "w", learn_abbreviations(d, "w"), ["doc_id"])
+    marks = F.size(F.filter(F.transform("w", lambda t, i: t.rlike(FINAL) | (i == F.size("w") - 1)), lambda x: x))
+    return e.select("doc_id", F.size("ends").cast("long").alias("n_sentences"), marks.cast("long").alias("n_stops"))
+
+
 def _sent_sql(x):
     return (f"(CASE WHEN {S.word_count(x)} = 0 THEN 0 ELSE greatest(len(regexp_extract_all({x}, "
             f"{S.q(pt.SENT_END_RE)})), 1) END)")
