@@ -315,6 +315,10 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int, depth: int, bud
 SALT = 16
 
 
+#: Parts of a lang that are ranked first, so that the task that ranks the whole lang reads `top` rows of each at most.
+PARTS = 64
+
+
 def scored(phrases: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, a, l, r, score) of `phrases` (lang, phrase, n) by their weakest cut."""
     part = "explode(flatten(transform(sequence(1, size(w) - 1), k -> array(named_struct('k', k, 'first', true, 'part', slice(w, 1, k)), named_struct('k', k, 'first', false, 'part', slice(w, k + 1, size(w) - k))))))"
@@ -348,8 +352,10 @@ def mine(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = cut(count_words(texts))
     phrases = cut(count_phrases(texts, words, least, depth, budget))
-    by = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
-    ranked = maximal(scored(phrases, words, least)).withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= top)
+    best = (F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    first = maximal(scored(phrases, words, least)).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*best))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
     whole = words.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("n"))
     return ranked.join(whole, F.col("lang") == F.col("of")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
