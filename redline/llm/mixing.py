@@ -4,9 +4,18 @@ Per source the tokens are summed, targets are filled by weight under a cap of
 `most` times the source's size, and every document is emitted floor(rate) times
 plus one hash-seeded Bernoulli copy whose probability is the fraction left.
 
+The draw u hashes seed, id, source and text. Rows that are equal in all three would
+share it and be copied all or none, so m of them take floor(m * fraction + u) extra
+copies together, the first ones in the table's order one each; for a single row that
+is its Bernoulli draw. They are numbered by the partition they lie in, so that a
+large group is never in one task.
+
+Sources are put in order by ranges, and sums over the sources before are sums within a
+partition plus those of the partitions before it: no task sees all sources.
+
 Defined results: null text has size 0; a null source is a source of its own, last
-in order; documents of the same doc_id share their draw (a null id draws as the
-empty string); an empty table gives an empty result."""
+in order; null ids, sources and texts draw as empty strings; an empty table gives an
+empty result."""
 
 from __future__ import annotations
 
@@ -29,56 +38,116 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     goes to the others by weight, until none is above.
 
     In the order of cap / weight, the sources that stop come first; for the first one
-    that does not, what is left is shared by the weights that are left. One row per
-    source goes through the windows."""
+    that does not, what is left is shared by the weights that are left."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
-    per = per.select("source", "source_size", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long").alias("w"))
-    by_ratio = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    per = per.select(
-        "source", "source_size", "w", (most * F.col("source_size")).alias("cap"),
-        (share * F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))).alias("left"),
-        F.sum("w").over(after).alias("w_left"), F.row_number().over(by_ratio).alias("at"))
-    fits = F.col("left") * F.col("w") <= F.col("cap") * F.col("w_left")
-    per = per.withColumn("first", F.min(F.when(fits, F.struct("at", "left", "w_left"))).over(whole))
-    capped = F.col("first").isNull() | (F.col("at") < F.col("first.at"))
-    return per.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(
-        F.col("first.left") * F.col("w") / F.col("first.w_left")).alias("target"))
-
-
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the md5 of seed and id: the same in every run and engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    per = before(per, [F.col("source").asc_nulls_last()], {})
+    per = per.select("source", "source_size", F.element_at(cycle, (F.col("rows_before") % len(weights) + 1).cast("int")).cast("long").alias("w"))
+    per = before(per, [(F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last()], {"source_size": "size_before", "w": "w_before"})
+    whole = per.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    per = per.select("source", "source_size", "w", (most * F.col("source_size")).alias("cap"), (F.lit(share * (whole["size"] or 0)) - most * F.col("size_before")).alias("left"),
+                     (F.lit(whole["w"] or 0) - F.col("w_before")).alias("w_left"), F.col("rows_before").alias("at"))
+    first = per.where(F.col("left") * F.col("w") <= F.col("cap") * F.col("w_left")).agg(F.min(F.struct("at", "left", "w_left")).alias("f")).first().f
+    if first is None:
+        return per.select("source", "source_size", F.col("cap").cast("double").alias("target"))
+    return per.select("source", "source_size", F.when(F.col("at") < first["at"], F.col("cap").cast("double")).otherwise(
+        F.lit(first["left"]) * F.col("w") / F.lit(first["w_left"])).alias("target"))
+
+
+def before(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """`df`, ranged and sorted by `order`, with `rows_before` and for each column of `sums` the
+    sum over the rows before. Written to the shared folder in that order; the window over
+    partitions has one row of each."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    totals = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"from_{c}") for c in ("n", *[f"all_{c}" for c in sums])])
+    own = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.withColumn("part", part).join(F.broadcast(totals), "part")
+    out = met.select("*", (F.col("from_n") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("rows_before"),
+                     *[(F.col(f"from_all_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(name) for c, name in sums.items()])
+    return out.select(*df.columns, "rows_before", *sums.values())
+
+
+#: Name of a row's number, unlike any column of the caller's.
+ROW = "_row_of_mixing"
+
+
+def key(doc_id: Column, source: Column, text: Column, seed: int) -> Column:
+    """md5 of seed, id, source and text: the same in every run and engine."""
+    def part(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    return F.md5(F.concat(F.lit(f"{seed}:"), part(doc_id), F.lit(":"), part(source), F.lit(":"), part(text)).cast("binary"))
+
+
+def draw(key: Column) -> Column:
+    """A number in [0, 1) from the digest."""
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def repeated(sized: DataFrame) -> DataFrame:
+    """(row, m, j) of the rows of `sized` (row, key) that share their key: how many do, and
+    the row's place among them from 0. Counts by partition come first, so that no task
+    holds a group."""
+    part = F.shiftright("row", 33)
+    many = cut(sized.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("key", "of"))
+    own = cut(sized.select("row", "key", part.alias("part")).join(many, F.col("key") == F.col("of")).drop("of"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.select(F.col("key").alias("k"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("row")) - 1
+    met = own.withColumn("place", place).join(counts, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")))
+    return cut(met.select("row", "m", (F.col("first") + F.col("place")).alias("j")))
+
+
+def copies(rate: Column, key: Column) -> Column:
+    """floor(rate) copies, and one more for the first floor(m * fraction + u) of m equal rows."""
+    extra = F.floor(F.coalesce("m", F.lit(1)) * (rate - F.floor(rate)) + draw(key))
+    return F.floor(rate) + (F.coalesce("j", F.lit(0)) < extra).cast("long")
+
+
+def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """`rows` (source) joined with their source's size, target and rate."""
+    of = targets.select(F.col("source").alias("of"), F.col("source_size").alias("whole"), F.col("target").alias("aim"))
+    of = F.broadcast(of) if targets.count() <= BROADCAST_SOURCES else of
+    rate = F.when(F.col("whole") > 0, F.col("aim") / F.col("whole")).otherwise(F.lit(0.0))
+    return rows.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).drop("of")
+
+
+def measured(docs: DataFrame, seed: int) -> DataFrame:
+    """(row, doc_id, source, size, key) of every row, written: texts are read once."""
+    own = docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    return cut(own.select("row", "doc_id", "source", word_total(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("source"), F.col("text"), seed).alias("key")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of `docs`
-    (doc_id, text, source). Texts are read once; the sizes are written to the shared folder."""
-    sized = cut(docs.select("doc_id", "source", word_total(F.col("text")).alias("size")))
-    targets = source_targets(sized, weights, share, most).select(F.col("source").alias("of"), "source_size", "target")
-    targets = cut(targets)
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    copies = F.floor("rate") + (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
-
-
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each row of `docs`, all columns, as often as `mix` says.
-    The rate depends on the row's source alone, so that only the targets are joined and no text moves."""
-    targets = cut(mix(docs, **options).groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target")))
-    rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
-    small = targets.count() <= BROADCAST_SOURCES
-    joined = docs.alias("d").join((F.broadcast(targets) if small else targets).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    copies = F.floor(rate) + (draw(F.col("d.doc_id"), options.get("seed", 17)) < rate - F.floor(rate)).cast("long")
-    packed = joined.select(F.struct("d.*").alias("row"), copies.cast("int").alias("copies"))
-    return packed.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+    (doc_id, text, source)."""
+    sized = measured(docs, seed)
+    targets = cut(source_targets(sized, weights, share, most))
+    late = repeated(sized).withColumnRenamed("row", "late")
+    out = with_targets(sized, targets).join(late, F.col("row") == F.col("late"), "left")
+    return out.select("doc_id", "source", "size", F.col("whole").alias("source_size"), F.col("aim").alias("target"), copies(F.col("rate"), F.col("key")).alias("copies"))
+
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
+    """The mixed corpus itself: each row of `docs`, all columns, as often as `mix` says. The rate
+    depends on the row's source and the draw on the row, so only the targets are joined and no
+    text moves; where rows repeat, all are numbered and written first."""
+    sized = measured(docs, seed)
+    targets = cut(source_targets(sized, weights, share, most))
+    if sized.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").limit(1).count():
+        docs = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        named = docs.select(F.col(ROW).alias("row"), key(F.col("doc_id"), F.col("source"), F.col("text"), seed).alias("key"))
+        late = repeated(named).withColumnRenamed("row", "late")
+    else:
+        docs, late = docs.withColumn(ROW, F.lit(0).cast("long")), sized.where("false").select(F.col("row").alias("late"), F.col("row").alias("m"), F.col("row").alias("j"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("source"), key(F.col("doc_id"), F.col("source"), F.col("text"), seed).alias("key"))
+    met = with_targets(packed, targets).join(late, F.col(f"row.{ROW}") == F.col("late"), "left")
+    often = met.select("row", copies(F.col("rate"), F.col("key")).cast("int").alias("copies")).where("copies > 0")
+    return often.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*").drop(ROW)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -87,7 +156,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '') || ':' || coalesce(text, '')) AS key FROM documents
 ), named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS k FROM sized GROUP BY source
@@ -105,12 +175,13 @@ WITH sized AS (
   SELECT f.source, f.source_size, CASE WHEN l.rn IS NULL OR f.rn < l.rn THEN f.cap::DOUBLE ELSE l.rest * f.w / l.w_rest END AS target
   FROM filled f LEFT JOIN lead_row l ON true
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT k.doc_id, k.size, t.source_size, t.target, k.m, k.j,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         (('0x' || substr(md5('17:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+         (('0x' || substr(k.key, 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT *, count(*) OVER (PARTITION BY key) AS m, row_number() OVER (PARTITION BY key) - 1 AS j FROM sized) k
+  JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (floor(rate) + CASE WHEN j < floor(m * (rate - floor(rate)) + u) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rated
 """

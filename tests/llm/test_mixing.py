@@ -51,9 +51,41 @@ def test_awkward(awkward, empty, crowded):
     assert mixing.emit(empty).collect() == []
 
 
-def test_taken_is_near_the_target(medium):
-    rows = mixing.mix(medium).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
-    assert abs(sum(r.n for r in rows) / sum(r.t for r in rows) - 1) < 0.05
+def taken(docs):
+    return mixing.mix(docs).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n"),
+                                                  F.sum(F.col("size") * F.col("size")).alias("square")).collect()
+
+
+def test_taken_is_near_the_target(spark, medium):
+    """Each source within four standard deviations of independent draws."""
+    for docs in (medium, spark.read.parquet("/root/testdata/sf0.1/documents.parquet")):
+        for r in taken(docs):
+            assert abs(r.n - r.t) <= 4 * (r.square / 4) ** 0.5, r
+
+
+def test_repeated_and_missing_ids(spark):
+    """Sources whose rows share an id, have none, or are equal in everything: within 2 per cent,
+    and those of equal rows within one row."""
+    def text(s, i):
+        return f"{s} {i} " + "w " * 8
+    rows = [(i, text("a", i), "a") for i in range(400)] + [(None, text("b", i), "b") for i in range(4000)] + [(7, text("c", i), "c") for i in range(4000)]
+    rows += [(9, text("d", 0), "d")] * 400 + [(None, text("e", 0), "e")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    for r in taken(docs):
+        assert abs(r.n / r.t - 1) < (0.1 if r.source == "a" else 0.02), r
+        if r.source in "de":
+            assert abs(r.n - r.t) <= 10, r
+    out = mixing.emit(docs).groupBy("source").count().collect()
+    assert {r.source: r["count"] * 10 for r in out} == {r.source: r.n for r in taken(docs)}
+
+
+def test_repeated_rows_equal_the_oracle(spark, small):
+    docs = small.union(small).union(small.where("doc_id % 3 = 0")).union(small.withColumn("doc_id", F.lit(None).cast("long")))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(mixing.ORACLE).fetchall()
+    got = mixing.query(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
 def test_only_functions(small):
