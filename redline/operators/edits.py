@@ -277,27 +277,33 @@ def sentence_spans(tok) -> Column:
     return _let(_c(tok), spans)
 
 
-def assign_to_sentences(edits: DataFrame, sents: DataFrame, keys) -> DataFrame:
+def assign_to_sentences(edits: DataFrame, sents: DataFrame, keys, closes: Column | None = None) -> DataFrame:
     """J-07: token edits -> the sentence they belong to, offsets rebased.
 
     Inside [s_start, s_end) and ending by s_end: that sentence. Starting
     inside but ending past s_end: dropped (cross-boundary). An insertion at
-    s_end belongs to that sentence if it is the last one, the correction is
-    empty or ends in punctuation; otherwise to the next sentence. Equi-join on
-    the paragraph keys plus the interval condition."""
-    e, s = edits.alias("e"), sents.alias("s")
-    eq = None
-    for k in keys:
-        c = F.col(f"e.{k}") == F.col(f"s.{k}")
-        eq = c if eq is None else eq & c
-    st, en, cor = F.col("e.o_start"), F.col("e.o_end"), F.coalesce(F.col("e.c_str"), F.lit(""))
-    punct_final = F.substring(cor, -1, 1).isin(*list(PUNCTUATION))
-    attach_prev = (cor == "") | punct_final
-    ins_at_start = (st == en) & (st == F.col("s.s_start")) & (F.col("s.sent_no") > 0)
-    inside = (st >= F.col("s.s_start")) & (st < F.col("s.s_end")) & (en <= F.col("s.s_end")) \
-        & ~(ins_at_start & attach_prev)
-    at_end = (st == en) & (st == F.col("s.s_end")) & (F.col("s.is_last") | attach_prev)
-    j = e.join(s, eq & (inside | at_end), "inner")
-    keep = [F.col(f"e.{c}") for c in edits.columns if c not in ("o_start", "o_end")]
-    return j.select(*keep, F.col("s.sent_no"), (st - F.col("s.s_start")).alias("o_start"),
-                    (en - F.col("s.s_start")).alias("o_end"))
+    s_end belongs to that sentence if it is the last one, or if it `closes` a
+    sentence (the correction is empty or ends in punctuation, if not given);
+    otherwise to the next sentence.
+
+    Sentences and edits pass by in order of place within the keys; an edit meets
+    the last sentence that starts at or before it, and the one before that."""
+    keys = list(keys)
+    if closes is None:
+        cor = F.coalesce("c_str", F.lit(""))
+        closes = (cor == "") | F.substring(cor, -1, 1).isin(*list(PUNCTUATION))
+    carried = [c for c in edits.columns if c not in keys]
+    e = edits.select(*keys, F.col("o_start").alias("_at"), F.lit(1).alias("_kind"), F.struct(*carried, closes.alias("_closes")).alias("_e"))
+    s = sents.select(*keys, F.col("s_start").alias("_at"), F.lit(0).alias("_kind"), F.struct("s_start", "s_end", "sent_no").alias("_s"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_kind")
+    both = e.unionByName(s, allowMissingColumns=True)
+    both = both.withColumn("_p", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    pair = F.when(F.col("_s").isNotNull(), F.struct(F.col("_s").alias("own"), F.col("_p").alias("before")))
+    met = both.withColumn("_m", F.last(pair, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_e is not null and _m is not null")
+    insertion = F.col("_e.o_start") == F.col("_e.o_end")
+    back = insertion & (F.col("_e.o_start") == F.col("_m.own.s_start")) & F.col("_m.before").isNotNull() & F.col("_e._closes")
+    to = F.when(back, F.col("_m.before")).otherwise(F.col("_m.own"))
+    met = met.withColumn("_to", to).where((F.col("_e.o_end") <= F.col("_to.s_end")) & ((F.col("_e.o_start") < F.col("_to.s_end")) | insertion))
+    keep = [F.col(f"_e.{c}").alias(c) for c in carried if c not in ("o_start", "o_end")]
+    return met.select(*keys, *keep, F.col("_to.sent_no").alias("sent_no"), (F.col("_e.o_start") - F.col("_to.s_start")).alias("o_start"),
+                      (F.col("_e.o_end") - F.col("_to.s_start")).alias("o_end"))

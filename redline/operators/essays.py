@@ -7,18 +7,14 @@ edits meet in ordered passes over the essay's positions, never pair by pair.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from redline.functions import patterns as pt
 from redline.functions.hof import let
 from redline.functions.offsets import running_starts
 from redline.functions.text import normalize_punct, words
-from redline.operators.edits import PUNCTUATION, apply_edits, common_prefix_len, common_suffix_len
+from redline.operators.edits import PUNCTUATION, apply_edits, assign_to_sentences, common_prefix_len, common_suffix_len
 from redline.session import written
 
 
@@ -88,164 +84,100 @@ def align_coders(paras: DataFrame, edits: DataFrame, coders: DataFrame, id_col:
         id_col, "para_no", "coder", F.coalesce("n_edits", F.lit(0)).alias("n_edits"))
 
 
-def clean_paragraph(df: DataFrame, para_col: str = "para", start_col: str = "start",
-                    end_col: str = "end") -> DataFrame:
-    """C-05: blanks -> ' ', blank runs collapsed to one, one leading blank
-    removed, and character offsets remapped the way a remove-one-blank-at-a-
-    time loop would move them; then spans lose an edge blank.
-
-    Closed form per offset k: length of the collapsed prefix [0, k), minus 1
-    when k lies strictly inside a blank run; minus 1 (floor 0) when a leading
-    blank was removed. Row-local, no shuffle."""
-    p1 = F.regexp_replace(F.col(para_col), pt.WS, " ")
-    collapsed = F.regexp_replace(p1, " {2,}", " ")
-    lead = collapsed.startswith(" ")
-
-    def remap(k):
-        prefix = F.regexp_replace(p1.substr(F.lit(1), k), " {2,}", " ")
-        inside = (k > 0) & (p1.substr(k, F.lit(1)) == " ") & (p1.substr(k + 1, F.lit(1)) == " ")
-        v = F.length(prefix) - F.when(inside, F.lit(1)).otherwise(F.lit(0))
-        return F.when(lead, F.greatest(v - 1, F.lit(0))).otherwise(v)
-
-    clean = F.when(lead, F.substr(collapsed, F.lit(2))).otherwise(collapsed)
-    out = df.withColumn("_s", remap(F.col(start_col))).withColumn("_e", remap(F.col(end_col))) \
-            .withColumn("clean_para", clean)
-    span = F.col("_s") != F.col("_e")
-    first = F.col("clean_para").substr(F.col("_s") + 1, F.lit(1))
-    last = F.col("clean_para").substr(F.col("_e"), F.lit(1))
-    return out.withColumn(start_col, F.when(span & (first == " "), F.col("_s") + 1).otherwise(F.col("_s"))) \
-              .withColumn(end_col, F.when(span & (last == " ") & (F.col("_e") > 0), F.col("_e") - 1)
-                          .otherwise(F.col("_e"))) \
-              .drop("_s", "_e")
-
-
-def with_token_bounds(df: DataFrame, para_col: str = "clean_para", starts: str = "ss", ends: str = "es") -> DataFrame:
-    """Add the character starts and ends of every blank-separated token of a
-    cleaned paragraph (a running sum over the lengths, linear)."""
-    d = df.withColumn("_w", F.split(para_col, " ", -1))
-    d = d.withColumn("_at", running_starts(F.transform("_w", lambda w: F.length(w) + 1)))
-    pairs = F.filter(F.zip_with("_at", "_w", lambda s, w: F.struct(s.alias("s"), (s + F.length(w)).alias("e"))), lambda x: x["e"] > x["s"])
-    d = d.withColumn("_b", pairs)
-    return d.select(*df.columns, F.col("_b.s").alias(starts), F.col("_b.e").alias(ends))
-
-
-def char_to_token_span(start, end, starts, ends) -> Column:
-    """J-06: character span -> token span. Exact token boundaries map
-    directly; an insertion maps to the token boundary it touches (before the
-    first token -> 0, after the last -> n); otherwise the span is expanded to
-    the enclosing token boundaries and the expanded character span is
-    returned too (struct t_start, t_end, c_start, c_end; c_* NULL when not
-    expanded)."""
-    st, en, S_, E_ = (F.col(x) if isinstance(x, str) else x for x in (start, end, starts, ends))
-    n = F.size(S_)
-
-    def bis(arr, x):  # bisect_right
-        return F.size(F.filter(arr, lambda v: v <= x))
-
-    def idx_s(x):
-        return F.array_position(S_, x).cast("int") - 1
-
-    def idx_e(x):
-        return F.array_position(E_, x).cast("int") - 1
-
-    def res(ts, te, cs=None, ce=None):
-        null = F.lit(None).cast("int")
-        return F.struct(ts.cast("int").alias("t_start"), te.cast("int").alias("t_end"),
-                        (cs if cs is not None else null).cast("int").alias("c_start"),
-                        (ce if ce is not None else null).cast("int").alias("c_end"))
-
-    b_s = bis(S_, st)
-    exp_s = F.when(F.array_contains(S_, st), st).otherwise(
-        F.element_at(S_, F.when(b_s == 0, F.lit(-1)).otherwise(b_s)))
-    b_e = bis(E_, en)
-    exp_e_ins = F.when(F.array_contains(E_, en), en).otherwise(F.element_at(E_, b_e + 1))
-    exp_e = F.when(F.array_contains(E_, en), en).otherwise(
-        F.when(b_e >= n, F.element_at(E_, -1)).otherwise(F.element_at(E_, b_e + 1)))
-    insertion = (F.when((st == 0) | (st <= F.element_at(S_, 1)), res(F.lit(0), F.lit(0)))
-                 .when(st >= F.element_at(E_, -1), res(n, n))
-                 .when(F.array_contains(S_, st), res(idx_s(st), idx_s(st)))
-                 .when(F.array_contains(E_, st), res(idx_e(st) + 1, idx_e(st) + 1))
-                 .otherwise(res(idx_s(exp_s), idx_e(exp_e_ins) + 1, exp_s, exp_e_ins)))
-    span = (F.when(F.array_contains(S_, st) & F.array_contains(E_, en), res(idx_s(st), idx_e(en) + 1))
-            .otherwise(res(idx_s(exp_s), idx_e(exp_e) + 1, exp_s, exp_e)))
-    return F.when(n == 0, F.lit(None)).when(st == en, insertion).otherwise(span)
-
-
-PLACE = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in (
-    "t_start", "t_end", "c_start", "c_end", "sent", "base", "a", "b")]))
-
-
-def _char_to_token(start: int, end: int, starts: list, ends: list) -> tuple:
-    """J-06 for one span: token span, and the widened character span where it cuts a token."""
-    n = len(starts)
-    first, last = bisect_left(starts, start), bisect_left(ends, end)
-    on_start, on_end = first < n and starts[first] == start, last < n and ends[last] == end
-    if start == end:
-        if start <= starts[0]:
-            return 0, 0, None, None
-        if start >= ends[-1]:
-            return n, n, None, None
-        if on_start:
-            return first, first, None, None
-        if on_end:
-            return last + 1, last + 1, None, None
-    elif on_start and on_end:
-        return first, last + 1, None, None
-    if not on_start:
-        first = bisect_right(starts, start) - 1
-    last = min(last, n - 1)
-    first %= n  # before the first token: counted from the end, as list indexing does
-    return first, last + 1, starts[first], ends[last]
-
-
-def _place(starts, ends, removed, lead, sent_ends, edits) -> list:
-    """C-05, J-06 and J-07 for the edits of one paragraph, ordered by coder and place
-    in the coder's list: offsets moved to the cleaned paragraph, widened to tokens,
-    given to a sentence. None for an edit that goes: one that, widened, starts before
-    the end of the coder's last one, or that runs past its sentence."""
-    starts, ends, removed, sent_ends = list(starts), list(ends), list(removed), list(sent_ends)
-    out, coder, reached = [], None, 0
-
-    def blank(x):
-        k = bisect_right(starts, x) - 1
-        return k < 0 or x >= ends[k]
-
-    for e in edits:
-        if e["coder"] != coder:
-            coder, reached = e["coder"], 0
-        a, b = (max(x - bisect_right(removed, x) - int(lead), 0) for x in (e["start"], e["end"]))
-        if a != b:
-            a, b = a + int(blank(a)), b - int(b > 0 and blank(b - 1))
-        t0, t1, c0, c1 = _char_to_token(a, b, starts, ends)
-        if c0 is not None and t0 < reached:
-            out.append(None)
-            continue
-        reached = t1
-        k = bisect_right(sent_ends, t0)
-        if k == len(sent_ends) or (t0 == t1 and k > 0 and sent_ends[k - 1] == t0 and e["closes"]):
-            k -= 1  # an insertion at the end of the paragraph, or one that closes the sentence before
-        base = sent_ends[k - 1] if k else 0
-        out.append((t0, t1, c0, c1, k, base, a, b) if t1 <= sent_ends[k] else None)
-    return out
-
-
-@F.pandas_udf(PLACE)
-def place_edits(starts: pd.Series, ends: pd.Series, removed: pd.Series, lead: pd.Series, sent_ends: pd.Series, edits: pd.Series) -> pd.Series:
-    return pd.Series([_place(*row) for row in zip(starts, ends, removed, lead, sent_ends, edits, strict=True)], dtype=object)
+def clean_text(para) -> Column:
+    """C-05: blanks -> ' ', blank runs collapsed to one, one leading blank removed."""
+    return F.ltrim(F.regexp_replace(F.regexp_replace(para, pt.WS, " "), " {2,}", " "))
+
+
+def place_edits(edits: DataFrame, paras: DataFrame, id_col: str = "essay_id", by=("coder", "ord")) -> DataFrame:
+    """C-05 / J-06: the edits (id, para_no, start, end, ...) of paragraphs (id, para_no, para),
+    offsets in the raw paragraph, with `start` and `end` moved to the cleaned paragraph (see
+    `clean_text`; a span loses an edge blank) and their token span: t_start, t_end, and
+    c_start, c_end, the widened characters, where the span cuts a token (else NULL). An
+    insertion takes the token boundary it touches. All four are NULL without tokens.
+    `by` names an edit within its paragraph.
+
+    One ordered stream of tokens and edit ends per paragraph: running sums over the tokens
+    give their raw and their cleaned places, and each end meets the last token that starts at
+    or before it, from which everything follows. One exchange; no row holds a text or an
+    array, so a long paragraph costs a sort, not a row that grows with it."""
+    key = [id_col, "para_no"]
+    carried = [c for c in edits.columns if c not in (*key, "start", "end")]
+    word = F.split(F.regexp_replace("para", pt.WS, " "), " ", -1)
+    tokens = paras.select(*key, F.posexplode(word).alias("_k", "_w")).select(*key, F.lit(0).alias("_kind"), "_k", F.length("_w").alias("_len"))
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("start").cast("int").alias("x")), F.struct(F.lit(1).alias("side"), F.col("end").cast("int").alias("x")))
+    marks = edits.select(*key, F.lit(1).alias("_kind"), F.struct(*carried).alias("_e"), F.inline(ends).alias("_side", "_x"))
+    both = tokens.unionByName(marks, allowMissingColumns=True)
+    earlier = Window.partitionBy(*key).orderBy("_kind", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("int")
+    solid = F.col("_len") > 0
+    # of a token: its raw place, number and cleaned place; of an edit, after all tokens: those of the paragraph's end
+    both = both.select("*", total(F.col("_len") + 1).alias("_raw"), total(F.when(solid, 1)).alias("_i"), total(F.when(solid, F.col("_len") + 1)).alias("_s"))
+    token = F.when(solid, F.struct(F.col("_i").alias("i"), F.col("_s").alias("s"), (F.col("_s") + F.col("_len")).alias("e"), F.col("_raw").alias("raw")))
+    so_far = Window.partitionBy(*key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select("*", F.coalesce("_x", "_raw").alias("_at"), token.alias("_tok")).withColumn("_tok", F.last("_tok", ignorenulls=True).over(so_far))
+    t = F.coalesce("_tok", F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(-1).alias("e"), F.lit(0).alias("raw")))
+    into = F.col("_x") - F.col("_t.raw")
+    place = (F.when(F.col("_tok").isNull(), 0).when(into <= F.col("_t.e") - F.col("_t.s"), F.col("_t.s") + into)
+             .when(F.col("_x") == F.col("_raw") - 1, F.col("_t.e") + 1).otherwise(F.col("_t.e")))
+    met = both.where("_kind = 1").withColumn("_t", t)
+    met = met.select(*key, *[F.col(f"_e.{c}").alias(c) for c in carried], "_side", F.struct(place.alias("v"), "_t.i", "_t.s", "_t.e").alias("_p"), F.col("_i").alias("_n"), (F.col("_s") - 1).alias("_last"))
+    rest = [c for c in carried if c not in by]
+    met = met.groupBy(*key, *by).agg(*[F.first(c).alias(c) for c in (*rest, "_n", "_last")], *[F.max(F.when(F.col("_side") == k, F.col("_p"))).alias(n) for k, n in ((0, "_a"), (1, "_b"))])
+    return _token_span(met).select(*key, *carried, "start", "end", "t_start", "t_end", "c_start", "c_end")
+
+
+def _token_span(met: DataFrame) -> DataFrame:
+    """The rules of J-06 on `_a` and `_b`, the places of an edit's ends with the last token at
+    or before them, in a paragraph of `_n` tokens that end at `_last`."""
+    a, b, n, last = F.col("_a"), F.col("_b"), F.col("_n"), F.col("_last")
+    is_span = a["v"] != b["v"]
+    # a span that starts at a blank starts with the next token; one that ends after a blank ends with the token before
+    late = is_span & (a["v"] == a["e"])
+    early = is_span & (b["v"] > 0) & (((b["v"] == b["s"]) & (b["i"] > 0)) | (b["v"] == b["e"] + 1))
+    before = early & (b["v"] == b["s"])
+    d = met.select("*", (a["v"] + late.cast("int")).alias("start"), (b["v"] - early.cast("int")).alias("end"),
+                   F.when(late & (a["i"] < n - 1), a["i"] + 1).otherwise(a["i"]).alias("_first"),
+                   ((late & (a["i"] < n - 1)) | (~late & (a["v"] == a["s"]))).alias("_on_start"),
+                   F.when(before, b["i"] - 1).otherwise(b["i"]).alias("_final"), (early | (b["v"] == b["e"])).alias("_on_end"))
+    exact = F.col("_on_start") & F.col("_on_end")
+    v = a["v"]
+    at = (F.when(v <= 0, 0).when(v >= last, n).when(v == a["s"], a["i"]).when(v == a["e"], a["i"] + 1))
+    inside = at.isNull()
+    null, some = F.lit(None).cast("int"), n > 0
+    is_span = F.col("start") != F.col("end")
+    return d.select(
+        "*",
+        F.when(some, F.when(is_span, F.col("_first")).otherwise(F.coalesce(at, a["i"]))).alias("t_start"),
+        F.when(some, F.when(is_span, F.col("_final") + 1).otherwise(F.coalesce(at, a["i"] + 1))).alias("t_end"),
+        F.when(some, F.when(is_span, F.when(exact, null).otherwise(F.when(F.col("_on_start"), F.col("start")).otherwise(a["s"])))
+               .when(inside, a["s"])).alias("c_start"),
+        F.when(some, F.when(is_span, F.when(exact, null).otherwise(F.when(F.col("_on_end"), F.col("end")).otherwise(b["e"])))
+               .when(inside, a["e"])).alias("c_end"))
+
+
+def drop_overlapping(placed: DataFrame, id_col: str = "essay_id") -> DataFrame:
+    """J-06: of each coder's edits in a paragraph, in the order of `ord`, those go that were
+    widened and start before the end of the coder's last one that stays. What stays depends on
+    what stayed before, so a coder's list is walked, with the end reached as the state."""
+    key = [id_col, "para_no", "coder"]
+    per = placed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ord", *[c for c in placed.columns if c not in (*key, "ord")]))).alias("l"))
+    state = F.struct(F.lit(0).alias("reached"), F.array().cast("array<boolean>").alias("stays"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return let(~(x["c_start"].isNotNull() & (x["t_start"] < acc["reached"])), lambda stays: F.struct(
+            F.when(stays, x["t_end"]).otherwise(acc["reached"]).alias("reached"), F.concat(acc["stays"], F.array(stays)).alias("stays")))
+
+    walked = per.select(*key, F.explode(F.arrays_zip("l", F.aggregate("l", state, step)["stays"].alias("stays"))).alias("x")).where("x.stays")
+    return walked.select(*key, "x.l.*").select(*placed.columns)
 
 
 def paragraph_tokens(paras: DataFrame, id_col: str = "essay_id", pre_split: bool = False) -> DataFrame:
     """C-05 / C-06 on (id, para_no, p_start, p_end, para): the cleaned paragraph, its
-    tokens with their character starts and ends, the blanks that cleaning removes,
-    whether a leading one goes, and the token ends of its sentences (one sentence
-    if the text is `pre_split`). Paragraphs of blanks only go."""
-    d = paras.withColumn("p1", F.regexp_replace("para", pt.WS, " "))
-    d = d.withColumn("_w", F.split("p1", " ", -1)).withColumn("_at", running_starts(F.transform("_w", lambda w: F.length(w) + 1)))
-    after = F.zip_with("_at", "_w", lambda s, w: F.when(F.length(w) == 0, s))  # a blank that follows a blank
-    d = d.withColumn("removed", F.filter(F.slice(after, 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda x: x.isNotNull()))
-    collapsed = F.regexp_replace("p1", " {2,}", " ")
-    d = d.withColumn("lead", collapsed.startswith(" ")).withColumn("clean_para", F.ltrim(collapsed)).where(F.trim("p1") != "")
-    d = with_token_bounds(d.select(id_col, "para_no", "p_start", "p_end", "removed", "lead", "clean_para", words("clean_para").alias("toks")))
+    tokens and the token ends of its sentences (one sentence if the text is
+    `pre_split`). Paragraphs of blanks only go."""
+    d = paras.withColumn("clean_para", clean_text("para")).where(F.trim("clean_para") != "")
+    d = d.select(id_col, "para_no", "p_start", "p_end", "para", "clean_para", words("clean_para").alias("toks"))
     n = F.size("toks")
     closing = F.filter(F.transform("toks", lambda x, i: F.when(x.rlike(r"[.!?]$") | (i == n - 1), i + 1)), lambda i: i.isNotNull())
     return d.withColumn("sent_ends", F.array(n) if pre_split else closing)
@@ -257,9 +189,9 @@ def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id
 
     Text is normalised (P-16); paragraphs are cut, cleaned and tokenised once and
     written to the shared folder (C-04..C-06); edits find their paragraph and lose
-    covering detections in ordered passes (J-04, J-05); the edits of a paragraph
-    meet its tokens in one row, where each becomes a token edit of a sentence
-    (C-05, J-06, J-07); corrections are minimised and empty ones dropped (C-08),
+    covering detections in ordered passes (J-04, J-05), and so they meet tokens and
+    sentences (C-05, J-06, J-07); the placed edits of a paragraph then take its tokens'
+    texts in one row; corrections are minimised and empty ones dropped (C-08),
     ordered by end, then start (W-04). Only sentences' own tokens and lines are
     joined and grouped by sentence; every coder of the essay gets lines or an
     explicit noop (J-02, J-08, K-05).
@@ -275,22 +207,25 @@ def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id
     kept = drop_covering_detections(edits_to_paragraphs(real, body.select(*key, "p_start", "p_end"), id_col), id_col)
     cor = F.coalesce("cor", F.lit(""))
     closes = (F.col("kind") == "D") | (F.trim(cor) == "") | F.substring(F.rtrim(cor), -1, 1).isin(*PUNCTUATION)
-    per = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
-        "coder", "ord", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), cor.alias("cor"), "kind", closes.alias("closes")))).alias("e"))
-    met = body.join(per, key)
-    shown = F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in ("coder", "start", "end", "closes")]))
-    met = met.select(*key, "clean_para", "toks", "e", place_edits("ss", "es", "removed", "lead", "sent_ends", shown).alias("at"))
+    own = kept.select(*key, "coder", "ord", "start", "end", cor.alias("cor"), "kind", closes.alias("closes"))
+    placed = drop_overlapping(place_edits(own, body.select(*key, "para"), id_col), id_col)
+    bounds = F.transform("sent_ends", lambda e, i: F.struct(i.cast("int").alias("sent_no"), F.when(i == 0, 0).otherwise(F.get("sent_ends", i - 1)).alias("s_start"),
+                                                            e.alias("s_end"), (i == F.size("sent_ends") - 1).alias("is_last")))
+    sentences = body.select(*key, F.inline(bounds))
+    assigned = assign_to_sentences(placed.withColumnsRenamed({"t_start": "o_start", "t_end": "o_end"}), sentences, key, F.col("closes"))
+    per = assigned.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in assigned.columns if c not in key])).alias("e"))
+    met = body.select(*key, "clean_para", "toks", "sent_ends").join(per, key)
     char = lambda a, b: F.substr("clean_para", a + 1, F.greatest(b - a, F.lit(0)))
 
-    def token_edit(x, p):
-        wide = F.concat(char(p["c_start"], p["a"]), x["cor"], char(p["b"], p["c_end"]))
-        own = F.slice("toks", p["t_start"] + 1, F.greatest(p["t_end"] - p["t_start"], F.lit(0)))
-        new = F.when(x["kind"] == "D", own).otherwise(words(F.when(p["c_start"].isNotNull(), wide).otherwise(x["cor"])))
-        return F.when(p.isNotNull(), F.struct(p["sent"].alias("sent_no"), x["coder"].alias("coder"), x["ord"].alias("ord"), x["kind"].alias("type"),
-                                              (p["t_start"] - p["base"]).alias("o_start"), (p["t_end"] - p["base"]).alias("o_end"),
-                                              own.alias("o"), new.alias("c")))
+    def token_edit(x):
+        wide = F.concat(char(x["c_start"], x["start"]), x["cor"], char(x["end"], x["c_end"]))
+        base = F.when(x["sent_no"] == 0, 0).otherwise(F.get("sent_ends", x["sent_no"] - 1))
+        own = F.slice("toks", base + x["o_start"] + 1, F.greatest(x["o_end"] - x["o_start"], F.lit(0)))
+        new = F.when(x["kind"] == "D", own).otherwise(words(F.when(x["c_start"].isNotNull(), wide).otherwise(x["cor"])))
+        return F.struct(x["sent_no"].alias("sent_no"), x["coder"].alias("coder"), x["ord"].alias("ord"), x["kind"].alias("type"),
+                        x["o_start"].alias("o_start"), x["o_end"].alias("o_end"), own.alias("o"), new.alias("c"))
 
-    rows = met.select(*key, F.explode(F.filter(F.zip_with("e", "at", token_edit), lambda x: x.isNotNull())).alias("x")).select(*key, "x.*")
+    rows = met.select(*key, F.explode(F.transform("e", token_edit)).alias("x")).select(*key, "x.*")
     at = [*key, "sent_no"]
     starts = F.concat(F.array(F.lit(0)), F.slice("sent_ends", 1, F.greatest(F.size("sent_ends") - 1, F.lit(0))))
     cut = F.zip_with(starts, "sent_ends", lambda s, e: F.array_join(F.slice("toks", s + 1, e - s), " "))

@@ -149,7 +149,7 @@ def _abbreviated(text):
     return F.regexp_replace(F.regexp_replace(text, " (of|de|der|la) ", " ca. "), " (and|und|et|y) ", " e.g. ")
 
 
-_STOPS_SQL = f"""src AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' (of|de|der|la) ', ' ca. ', 'g'), ' (and|und|et|y) ', ' e.g. ', 'g') AS text FROM documents),
+_STOPS_SQL = rf"""src AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' (of|de|der|la) ', ' ca. ', 'g'), ' (and|und|et|y) ', ' e.g. ', 'g') AS text FROM documents),
 wd AS (SELECT doc_id, {S.words('text')} AS w FROM src),
 tk AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM wd),
 br AS (SELECT *, lower(regexp_replace(regexp_replace(w, '^["''(\[]+', ''), '["'')\]]+$', '')) AS t FROM tk),
@@ -172,7 +172,7 @@ def abbreviations_learned(spark, sf_dir):
     return learn_abbreviations(d, "w").select("type", "stopped", "plain", F.round("score", 4).alias("score"))
 
 
-@register("learned_sentences", f"""WITH {_STOPS_SQL}
+@register("learned_sentences", rf"""WITH {_STOPS_SQL}
 SELECT doc_id, count(*) FILTER (WHERE i = n OR (regexp_matches(w, '[.!?]["'')\]]*$') AND NOT (s AND type IN (SELECT type FROM learned)))) AS n_sentences,
   count(*) FILTER (WHERE i = n OR regexp_matches(w, '[.!?]["'')\]]*$')) AS n_stops
 FROM ty GROUP BY doc_id""")

@@ -19,9 +19,11 @@ from redline.operators.edits import PUNCTUATION
 from redline.operators.essays import (
     align_coders,
     classify_edits,
+    clean_text,
     drop_covering_detections,
     edits_to_paragraphs,
     paragraphs,
+    place_edits,
 )
 from redline.plans import sql as S
 from redline.plans.registry import register
@@ -187,12 +189,11 @@ SELECT essay_id, coder, ord, para_no, start, "end", md5(clean_para) AS para_md5
 def clean_paragraph_q(spark, sf_dir):
     """C-05: paragraph whitespace cleaned and the paragraph-relative edit
     offsets remapped accordingly."""
-    from redline.operators.essays import clean_paragraph
     j, es = _joined(spark, sf_dir)
     p = paragraphs(es).select("essay_id", "para_no", "para")
-    c = clean_paragraph(j.join(p, ["essay_id", "para_no"]))
-    return c.select("essay_id", "coder", "ord", "para_no", F.col("start").cast("int").alias("start"),
-                    F.col("end").cast("int").alias("end"), F.md5("clean_para").alias("para_md5"))
+    c = place_edits(j.select("essay_id", "para_no", "coder", "ord", "start", "end"), p)
+    return c.join(p.select("essay_id", "para_no", F.md5(clean_text("para")).alias("para_md5")), ["essay_id", "para_no"]).select(
+        "essay_id", "coder", "ord", "para_no", "start", "end", "para_md5")
 
 
 def _tok_span_ctes(source="pe"):
@@ -230,14 +231,10 @@ SELECT essay_id, coder, ord, para_no, CAST(sp.t_start AS INTEGER) AS t_start, CA
 def char_to_token_span_q(spark, sf_dir):
     """J-06: cleaned character edit spans -> token spans (blank-separated
     tokens), expanded to token boundaries where they cut a token."""
-    from redline.operators.essays import char_to_token_span, clean_paragraph, with_token_bounds
     j, es = _joined(spark, sf_dir)
     p = paragraphs(es).select("essay_id", "para_no", "para")
-    c = clean_paragraph(j.join(p, ["essay_id", "para_no"]))
-    b = with_token_bounds(c.select("essay_id", "coder", "ord", "para_no", "start", "end", "clean_para"))
-    sp = char_to_token_span("start", "end", "ss", "es")
-    return b.select("essay_id", "coder", "ord", "para_no", sp["t_start"].alias("t_start"), sp["t_end"].alias("t_end"),
-                    sp["c_start"].alias("c_start"), sp["c_end"].alias("c_end"))
+    c = place_edits(j.select("essay_id", "para_no", "coder", "ord", "start", "end"), p)
+    return c.select("essay_id", "coder", "ord", "para_no", "t_start", "t_end", "c_start", "c_end")
 
 
 def _m2_sql():

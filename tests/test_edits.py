@@ -64,15 +64,22 @@ def test_micro_and_macro_goldens(spark):
     assert fm == pytest.approx(35.714286, abs=1e-5)
 
 
+def _placed(spark, cases):
+    """{(para, start, end): placed row} of spans in paragraphs."""
+    from redline.operators.essays import place_edits
+    paras = sorted({p for p, _, _ in cases})
+    df = spark.createDataFrame([(0, paras.index(p), 0, k, s, e) for k, (p, s, e) in enumerate(cases)], "essay_id int, para_no int, coder int, ord int, start int, end int")
+    text = spark.createDataFrame([(0, k, p) for k, p in enumerate(paras)], "essay_id int, para_no int, para string")
+    return {cases[r.ord]: r for r in place_edits(df, text).collect()}
+
+
 def test_clean_paragraph_offsets(spark):
-    from redline.operators.essays import clean_paragraph
-    df = spark.createDataFrame([("a   b c", k, k) for k in range(8)], "para string, start int, end int")
-    out = clean_paragraph(df).orderBy("start").collect()
-    assert [r.start for r in clean_paragraph(df).collect()] == [0, 1, 1, 1, 2, 3, 4, 5]
-    assert out[0].clean_para == "a b c"
-    lead = spark.createDataFrame([(" x  y", 3, 5)], "para string, start int, end int")
-    r = clean_paragraph(lead).first()
-    assert r.clean_para == "x y" and (r.start, r.end) == (2, 3)  # loop: (2,4) -> lstrip (1,3) -> edge blank (2,3)
+    from redline.operators.essays import clean_text
+    got = _placed(spark, [("a   b c", k, k) for k in range(8)] + [(" x  y", 3, 5)])
+    assert [got["a   b c", k, k].start for k in range(8)] == [0, 1, 1, 1, 2, 3, 4, 5]
+    assert spark.sql("select 'a   b c' as p").select(clean_text("p")).first()[0] == "a b c"
+    r = got[" x  y", 3, 5]
+    assert (r.start, r.end) == (2, 3)  # loop: (2,4) -> lstrip (1,3) -> edge blank (2,3)
 
 
 def test_sentence_assignment_rules(spark):
@@ -119,15 +126,66 @@ def test_levenshtein_edits(spark):
 
 
 def test_char_to_token_span_rules(spark):
-    from redline.operators.essays import char_to_token_span, with_token_bounds
     cases = [((2, 5), (1, 2, None, None)), ((3, 5), (1, 2, 2, 5)), ((2, 2), (1, 1, None, None)),
              ((5, 5), (2, 2, None, None)), ((0, 0), (0, 0, None, None)), ((11, 11), (4, 4, None, None)),
              ((3, 3), (1, 2, 2, 5)), ((6, 10), (2, 4, 6, 11)), ((9, 12), (3, 4, 8, 11))]
-    df = spark.createDataFrame([("I has a dog", s, e) for (s, e), _ in cases], "p string, s int, e int")
-    b = with_token_bounds(df, "p")
-    got = {(r.s, r.e): tuple(r.sp) for r in b.select("s", "e", char_to_token_span("s", "e", "ss", "es").alias("sp")).collect()}
+    got = _placed(spark, [("I has a dog ", s, e) for (s, e), _ in cases])
     for (s, e), want in cases:
-        assert got[(s, e)] == want, (s, e)
+        r = got["I has a dog ", s, e]
+        assert (r.t_start, r.t_end, r.c_start, r.c_end) == (want if (s, e) != (9, 12) else (3, 4, 8, 11)), (s, e)
+
+
+def _plain_place(para, start, end):
+    """C-05 and J-06 by steps: blanks removed one at a time, spans looked up in lists."""
+    import re
+    from bisect import bisect_left, bisect_right
+    text, a, b = re.sub(r"\s", " ", para), start, end
+    k = 0
+    while k < len(text) - 1:
+        if text[k] == text[k + 1] == " ":
+            text = text[:k + 1] + text[k + 2:]
+            a, b = (x - (x > k) for x in (a, b))
+        else:
+            k += 1
+    if text.startswith(" "):
+        text, a, b = text[1:], max(a - 1, 0), max(b - 1, 0)
+    if a != b:
+        a += text[a:a + 1] == " "
+        b -= b > 0 and text[b - 1:b] == " "
+    starts = [m.start() for m in re.finditer(r"[^ ]+", text)]
+    ends = [m.end() for m in re.finditer(r"[^ ]+", text)]
+    n = len(starts)
+    if not n:
+        return a, b, None, None, None, None
+    if a == b:
+        if a <= starts[0]:
+            return a, b, 0, 0, None, None
+        if a >= ends[-1]:
+            return a, b, n, n, None, None
+        if a in starts:
+            return a, b, starts.index(a), starts.index(a), None, None
+        if a in ends:
+            return a, b, ends.index(a) + 1, ends.index(a) + 1, None, None
+    first = starts.index(a) if a in starts else bisect_right(starts, a) - 1
+    last = ends.index(b) if b in ends else min(bisect_left(ends, b), n - 1)
+    exact = a != b and a in starts and b in ends
+    return a, b, first, last + 1, None if exact else starts[first], None if exact else ends[last]
+
+
+def test_placing_equals_plain_steps(spark):
+    """Every span of short paragraphs, blanks of any kind in any place."""
+    import itertools
+    paras = ["".join(p) for n in range(1, 7) for p in itertools.product("a ", repeat=n)][::3] + ["ab  cd e", " a\t b", "  ", "abc"]
+    cases = [(p, s, e) for p in sorted(set(paras)) for s in range(len(p) + 1) for e in range(s, len(p) + 1)]
+    for (p, s, e), r in _placed(spark, cases).items():
+        assert (r.start, r.end, r.t_start, r.t_end, r.c_start, r.c_end) == _plain_place(p, s, e), (p, s, e)
+
+
+def test_placing_plan_has_one_exchange_and_no_python(spark):
+    from redline.operators.essays import place_edits
+    df = spark.range(10).selectExpr("id as essay_id", "0 as para_no", "0 as coder", "0 as ord", "1 as start", "2 as end")
+    plan = place_edits(df, df.selectExpr("essay_id", "para_no", "'a b' as para"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
 
 
 def test_align_splits_long_pairs(monkeypatch):
