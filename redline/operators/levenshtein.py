@@ -24,8 +24,10 @@ EDIT_T = T.ArrayType(T.StructType([T.StructField("o_start", T.IntegerType()),
                                    T.StructField("type", T.StringType())]))
 
 
-#: Cells of an alignment matrix held at once; longer pairs are halved first.
+#: Cells of an alignment matrix held at once; longer pairs are aligned along diagonals.
 CELLS = 1 << 20
+#: Distance up to which diagonals are searched; pairs further apart are halved.
+FAR = 1 << 12
 
 
 def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,15 +45,96 @@ def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def align_ops(a: list, b: list) -> list:
     """Levenshtein alignment of a -> b as (op, i, j) with op in M(atch)/S/D/I;
     ties prefer match, then substitution, deletion, insertion. A pair whose
-    matrix would exceed CELLS is split where the distances of its halves add up
-    to the least, so memory stays bounded and the alignment optimal."""
+    matrix would exceed CELLS is searched diagonal by diagonal, which costs its
+    length and the square of its distance, not the product of its lengths. If its
+    distance exceeds FAR, it is split where the distances of its halves add up to the
+    least. Memory stays bounded and the alignment optimal in all three ways."""
     ids: dict = {}
     return _align(np.array([ids.setdefault(x, len(ids)) for x in a], np.int64), np.array([ids.setdefault(x, len(ids)) for x in b], np.int64))
 
 
+def _run(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, block: int = 32) -> np.ndarray:
+    """How far equal tokens go on from each (i, j), all pairs at once; `a` and `b` end in
+    `block` guards that equal nothing."""
+    out, live, steps = np.zeros(len(i), np.int64), np.arange(len(i)), np.arange(block)
+    while len(live):
+        same = a[(i[live] + out[live])[:, None] + steps] == b[(j[live] + out[live])[:, None] + steps]
+        whole = same.all(1)
+        out[live] += np.where(whole, block, (~same).argmax(1))
+        live = live[whole]
+    return out
+
+
+def _reach(last: np.ndarray, low: int, a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[np.ndarray, int]:
+    """The furthest place in `a` that one more operation reaches on each diagonal (place in b
+    less place in a), from those of `last`, whose first diagonal is `low`; -1 where none."""
+    new_low = max(low - 1, -n)
+    k = np.arange(new_low, min(low + len(last), m) + 1)
+    padded = np.concatenate((np.full(2, -2), last, np.full(2, -2)))
+    at = k - low + 2
+    change, insert, delete = padded[at] + 1, padded[at - 1], padded[np.minimum(at + 1, len(padded) - 1)] + 1
+    i = np.minimum(np.maximum(np.maximum(change, insert), delete), np.minimum(n, m - k))
+    some = (i >= 0) & (i + k >= 0)
+    i = np.where(some, i, -1)
+    on = np.flatnonzero(some)
+    i[on] += _run(a, b, i[on], i[on] + k[on])
+    return i, new_low
+
+
+def diagonal_ops(a: np.ndarray, b: np.ndarray, far: int | None = None) -> list | None:
+    """Levenshtein alignment by the furthest places that 0, 1, 2, ... operations reach on
+    every diagonal; None if more than `far` are needed. Every so many rows of places are
+    kept; the walk back makes the rows between them again."""
+    far = FAR if far is None else far
+    n, m = len(a), len(b)
+    pad_a, pad_b = np.concatenate((a, np.full(64, -1))), np.concatenate((b, np.full(64, -2)))
+    step = max(1, int(far ** 0.5))
+    row, low = np.array([0]), 0
+    row = row + _run(pad_a, pad_b, row, row)
+    kept, d = [(row, low)], 0
+    while not (low <= m - n < low + len(row) and row[m - n - low] == n):
+        d += 1
+        if d > far:
+            return None
+        row, low = _reach(row, low, pad_a, pad_b, n, m)
+        if d % step == 0:
+            kept.append((row, low))
+    ops, i, k, rows = [], n, m - n, {}
+
+    def place(d: int, k: int) -> int:
+        if d not in rows:
+            rows.clear()
+            at = d - d % step
+            rows[at] = kept[at // step]
+            for e in range(at + 1, at + step):
+                rows[e] = _reach(*rows[e - 1], pad_a, pad_b, n, m)
+        row, low = rows[d]
+        return int(row[k - low]) if low <= k < low + len(row) else -2
+
+    while d:
+        # where the last operation left off: a change, a deletion or an insertion
+        change, delete, insert = place(d - 1, k) + 1, place(d - 1, k + 1) + 1, place(d - 1, k - 1)
+        at = min(max(change, delete, insert), n, m - k)
+        ops += [("M", x, x + k) for x in range(i - 1, at - 1, -1)]
+        if change >= at and change > 0 and at + k > 0:
+            ops.append(("S", at - 1, at + k - 1))
+            i = at - 1
+        elif delete >= at and delete > 0:
+            ops.append(("D", at - 1, at + k))
+            i, k = at - 1, k + 1
+        else:
+            ops.append(("I", at, at + k - 1))
+            i, k = at, k - 1
+        d -= 1
+    return (ops + [("M", x, x) for x in range(i - 1, -1, -1)])[::-1]
+
+
 def _align(a: np.ndarray, b: np.ndarray) -> list:
     n, m = len(a), len(b)
     if (n + 1) * (m + 1) > CELLS and n > 1:
+        ops = diagonal_ops(a, b)
+        if ops is not None:
+            return ops
         half = n // 2
         cut = int((_costs(a[:half], b) + _costs(a[half:][::-1], b[::-1])[::-1]).argmin())
         return _align(a[:half], b[:cut]) + [(op, i + half, j + cut) for op, i, j in _align(a[half:], b[cut:])]

@@ -315,12 +315,35 @@ def levenshtein_edits_q(spark, sf_dir):
     """R-07: Levenshtein-aligned edits of input -> prediction for every rule
     model: one edit per operation counts the distance, merged edits applied to
     the input give the prediction."""
-    from redline.operators.levenshtein import levenshtein_edits
     t = triples(spark, sf_dir, models=EDIT_MODELS).select(
         "doc_id", "line_no", "model", "input_text", words("input_text").alias("a"), words("prediction").alias("p"))
+    return _aligned(t)
+
+
+def _aligned(t):
+    """(doc_id, line_no, model) with the digest of the merged edits applied, the cost and whether anything changed."""
+    from redline.operators.levenshtein import levenshtein_edits
     e = t.select("doc_id", "line_no", "model", "input_text", levenshtein_edits("a", "p", "all-split").alias("ops"),
                  levenshtein_edits("a", "p").alias("edits"))
     numbered = F.transform("edits", lambda x, i: F.struct(x["o_start"].alias("o_start"), x["o_end"].alias("o_end"),
                                                           x["c_str"].alias("c_str"), x["type"].alias("type"), i.alias("ord")))
     return e.select("doc_id", "line_no", "model", F.md5(apply_edits("input_text", numbered, "safe")).alias("applied_md5"),
                     F.size("ops").alias("cost"), (F.size("edits") > 0).alias("changed"))
+
+
+@register("levenshtein_moves", f"""WITH {S.triples_cte(('identity',))},
+w AS (SELECT doc_id, line_no, {S.words('input_text')} AS a FROM triples),
+m AS (SELECT doc_id, line_no, a, 'insert' AS model, list_concat(list_concat(a[1:3], ['also']), a[4:]) AS p, 1 AS cost FROM w
+  UNION ALL SELECT doc_id, line_no, a, 'move', list_concat(a[2:], a[1:1]), CASE WHEN list_concat(a[2:], a[1:1]) = a THEN 0 ELSE 2 END FROM w
+  UNION ALL SELECT doc_id, line_no, a, 'cut', a[1:2] || a[5:], CAST(greatest(least(len(a), 4) - 2, 0) AS INTEGER) FROM w)
+SELECT doc_id, line_no, model, md5(array_to_string(p, ' ')) AS applied_md5, cost, cost > 0 AS changed FROM m""")
+def levenshtein_moves(spark, sf_dir):
+    """R-07 where words are inserted, moved and cut: an insertion costs one, a
+    word moved to the end a deletion and an insertion, cut words one each."""
+    a = words("input_text")
+    put = F.concat(F.slice("a", 1, 3), F.array(F.lit("also")), F.slice("a", 4, F.size("a") + 1))
+    move = F.concat(F.slice("a", 2, F.size("a") + 1), F.slice("a", 1, 1))
+    cut = F.concat(F.slice("a", 1, 2), F.slice("a", 5, F.size("a") + 1))
+    t = triples(spark, sf_dir, models=("identity",)).select("doc_id", "line_no", "input_text", a.alias("a"))
+    made = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in (("insert", put), ("move", move), ("cut", cut))])
+    return _aligned(t.select("doc_id", "line_no", "input_text", "a", F.inline(made)))

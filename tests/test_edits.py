@@ -205,6 +205,56 @@ def test_align_splits_long_pairs(monkeypatch):
         assert sum(op[0] != "M" for op in whole) == sum(op[0] != "M" for op in halved)
 
 
+def test_diagonals_cost_as_little_as_the_matrix(monkeypatch):
+    """The same distance as the whole matrix, and a path of matches and operations that leads from source to target."""
+    import random
+
+    import numpy as np
+
+    from redline.operators import levenshtein as L
+    random.seed(11)
+    for far in (4096, 9):
+        for _ in range(300):
+            a, b = (np.array([random.randrange(random.choice((2, 5, 40))) for _ in range(random.randint(0, 40))], np.int64) for _ in range(2))
+            whole = L._align(a, b)
+            ops = L.diagonal_ops(a, b, far)
+            cost = sum(op != "M" for op, _, _ in whole)
+            assert (ops is None) == (cost > far)
+            if ops is None:
+                continue
+            assert sum(op != "M" for op, _, _ in ops) == cost
+            i = j = 0
+            for op, x, y in ops:
+                assert (x, y) == (i, j) and (op == "M") == (op not in "SDI") and (op != "M" or a[i] == b[j])
+                i, j = i + (op != "I"), j + (op != "D")
+            assert (i, j) == (len(a), len(b))
+    monkeypatch.setattr(L, "CELLS", 8)
+    monkeypatch.setattr(L, "FAR", 2)
+    for _ in range(60):
+        a, b = ([random.choice("abcd") for _ in range(random.randint(0, 14))] for _ in range(2))
+        assert sum(op != "M" for op, _, _ in L.align_ops(a, b)) == _brute_distance(tuple(a), tuple(b))
+
+
+def test_long_middles_with_few_edits_are_quick():
+    import random
+    import time
+
+    from redline.operators.levenshtein import align_ops
+    random.seed(5)
+    a = [f"w{random.randrange(5000)}" for _ in range(100_000)]
+    b = list(a)
+    for _ in range(17):
+        at = random.randrange(len(b))
+        b[at] = "changed"
+        del b[random.randrange(len(b))]
+        b.insert(random.randrange(len(b)), "new")
+    start = time.process_time()
+    ops = align_ops(a, b)
+    assert time.process_time() - start < 1
+    assert 40 <= sum(op != "M" for op, _, _ in ops) <= 51
+    assert [b[j] for op, _, j in ops if op != "D"] == b
+
+
 def test_running_starts(spark):
     from redline.functions.offsets import running_starts
     df = spark.createDataFrame([([3, 1, 2],), ([],), (None,), ([5],)], "s array<int>")
