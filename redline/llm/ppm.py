@@ -10,8 +10,11 @@ symbols of its lower-cased bytes and one end symbol.
 The counts of all contexts stay tables. Those that hold one part in HOT of all
 symbols, at most HOT an order, are also sent to every task as a trie, with all their
 shorter contexts, which hold as many symbols at least: what follows them is scored
-there. Whatever follows another context leaves its document as one row per distinct
-(context, symbol) and meets its probability in a join. Both ways give the same number.
+there. Of the other contexts, those with their symbol that hold one part in COMMON of all
+symbols, at most COMMON, are sent as two sorted arrays with what they add to a score.
+Whatever is left leaves its document as one row per distinct (context, symbol) and meets
+its probability in a join. All three ways count a symbol's log10 probability in whole
+units of 2^-26, so that sums are exact and don't depend on their order or on the bounds.
 That a longer context's symbols are all known to the shorter one makes the exclusion
 a number of the longer context: what its symbols hold in the shorter one.
 
@@ -38,14 +41,12 @@ from pyspark.sql import functions as F
 
 from redline.llm.common import arrow_schema, cut, fold, slices
 
-ORDER, HOT, HEAVY = 4, 1 << 16, 1 << 20
-#: With a number, contexts of order 2 and up that hold less than one part in KEEP of all symbols don't count.
-KEEP: int | None = None
+ORDER, HOT, COMMON, HEAVY = 4, 1 << 16, 1 << 20, 1 << 20
 END = 0xFF  # no byte of UTF-8: ends a text, and stands before its first byte
 #: Rows a task holds back to add equal keys before it emits them.
 HELD = 1 << 21
-#: Logarithms are added in it, so that equal texts have equal scores in any order.
-EXACT = "decimal(28,12)"
+#: Logarithms are added in whole parts of it, so that equal texts have equal scores in any order.
+UNIT = 1 << 26
 
 # Kinds of counted keys.
 GRAM, TOKEN, TEXT = 0, 1, 2
@@ -144,7 +145,7 @@ class Trie:
         seen = np.unique(levels[0][1])
         column = np.full(256, len(seen))
         column[seen] = np.arange(len(seen))
-        counts = np.zeros((base[-1], len(seen) + 1), np.float32)
+        counts = np.zeros((base[-1], len(seen) + 1))
         parent = np.zeros(base[-1], np.int64)
         for k, (ctx, sym, n) in enumerate(levels):
             counts[base[k] + np.searchsorted(contexts[k], ctx), column[sym]] = n
@@ -154,14 +155,14 @@ class Trie:
         return Trie(contexts, counts, parent, column, 256 - len(seen))
 
     def log10(self) -> np.ndarray:
-        """log10 probability of each column's symbol after each context: counts, escapes, exclusion."""
-        out = np.empty_like(self.counts)
+        """log10 probability, in units, of each column's symbol after each context: counts, escapes, exclusion."""
+        out = np.empty(self.counts.shape, np.int32)
         for at in range(0, len(out), 2048):
             node = np.arange(at, min(at + 2048, len(out)))
             p, left = np.zeros((len(node), out.shape[1])), np.ones(len(node))
             seen = np.zeros(p.shape, bool)
             for _ in range(len(self.contexts)):
-                c = np.where(seen, 0, self.counts[node]).astype(np.float64)
+                c = np.where(seen, 0, self.counts[node])
                 total, kinds = c.sum(1), (c > 0).sum(1)
                 some = kinds > 0
                 norm = np.where(some, total + kinds, 1.0)
@@ -170,7 +171,7 @@ class Trie:
                 seen |= c > 0
                 node = self.parent[node]  # the empty context is its own parent and by then excluded
             rest = (~seen[:, :-1]).sum(1) + self.unseen
-            out[at:at + 2048] = np.log10(np.where(seen, p, (left / np.maximum(rest, 1))[:, None]))
+            out[at:at + 2048] = np.rint(UNIT * np.log10(np.where(seen, p, (left / np.maximum(rest, 1))[:, None])))
         return out
 
     def children(self) -> np.ndarray:
@@ -184,13 +185,15 @@ class Trie:
 
 
 class Scorer:
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie, common: tuple[np.ndarray, np.ndarray]):
         self.logp, self.child, self.column = trie.log10(), trie.children(), trie.column.astype(np.uint8)
+        self.grams, self.units = common
 
-    def score(self, raw: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        """log10 probability of the bytes and the end that follow the trie's longest
-        contexts, and the distinct (context, symbol) of all others with their counts."""
-        total, block, cold = 0.0, 1 << 20, []
+    def score(self, raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+        """log10 probability, in units, of the bytes and the end that follow the trie's
+        longest contexts or make up a common gram, and the distinct (context, symbol) of
+        all others with their counts."""
+        total, block, cold = 0, 1 << 20, []
         data = np.frombuffer(bytes([END]) * ORDER + raw + bytes([END]), np.uint8)
         for at in range(ORDER, len(data), block):
             near = data[at - ORDER:at + block]
@@ -201,13 +204,19 @@ class Scorer:
                 longer = self.child[node, own[ORDER - k:ORDER - k + n]]
                 live &= longer >= 0  # a context that isn't in the trie has no longer ones there
                 node = np.where(live, longer, node)
-            total += float(self.logp[node[live], own[ORDER:][live]].sum(dtype=np.float64))
+            total += int(self.logp[node[live], own[ORDER:][live]].sum(dtype=np.int64))
             rest = np.flatnonzero(~live)
             code = np.zeros(len(rest), np.int64)
             for k in range(ORDER + 1):
                 code = code << 8 | near[rest + k]
             cold.append(code)
-        return total, *np.unique(np.concatenate(cold), return_counts=True)
+        grams, n = np.unique(np.concatenate(cold), return_counts=True)
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            hit = self.grams[at] == grams
+            total += int((n[hit] * self.units[at[hit]]).sum())
+            grams, n = grams[~hit], n[~hit]
+        return total, grams, n
 
 
 def ending(gram: Column, size: int) -> Column:
@@ -219,7 +228,7 @@ def context(gram: Column) -> Column:
     return F.shiftright(gram, 8)
 
 
-def tables(contexts: DataFrame, whole: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def tables(contexts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Per order, (gram, n) of every context with its symbol, and (ctx, total, kinds,
     rest, more) of every context: the symbols after it, how many differ, and what the
     next shorter context has besides those: its denominator and its distinct symbols.
@@ -228,11 +237,7 @@ def tables(contexts: DataFrame, whole: int) -> tuple[list[DataFrame], list[DataF
     for k in reversed(range(ORDER + 1)):
         if k < ORDER:
             every = cut(every.groupBy(ending(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")))
-        kept = every
-        if KEEP and k > 1:
-            held = every.groupBy(context(F.col("gram")).alias("c")).agg(F.sum("n").alias("held")).where(F.col("held") * KEEP >= whole)
-            kept = every.join(held, context(F.col("gram")) == F.col("c"), "left_semi")
-        grams.insert(0, kept)
+        grams.insert(0, every)
     sums = F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
     none = F.lit(None).cast("long")
     nodes = [cut(grams[0].groupBy(context(F.col("gram")).alias("ctx")).agg(*sums).withColumn("rest", none).withColumn("more", none))]
@@ -259,6 +264,21 @@ def levels(grams: list[DataFrame], nodes: list[DataFrame], whole: int) -> list[t
     return out
 
 
+def units(log: Column) -> Column:
+    return F.rint(log * UNIT).cast("long")
+
+
+def common(grams: DataFrame, nodes: DataFrame, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the longest order that hold `whole` / COMMON symbols, ascending, but for
+    those of the contexts that the trie holds, and their log10 probabilities in units. At
+    most COMMON are collected: together they hold no more than `whole`."""
+    often = grams.where(F.col("n") * COMMON >= whole)
+    cold = nodes.where(F.col("total") * HOT < whole)
+    rows = often.join(cold, context(F.col("gram")) == F.col("ctx")).select("gram", units(F.log10("n") - F.log10(F.col("total") + F.col("kinds"))).alias("u")).toPandas()
+    rows = rows.sort_values("gram")
+    return rows["gram"].to_numpy(np.int64), rows["u"].to_numpy(np.int64)
+
+
 def probabilities(asked: DataFrame, grams: list[DataFrame], nodes: list[DataFrame], k: int = ORDER) -> DataFrame:
     """(gram, n, start, after) of distinct grams `asked` (gram) of order k: the count,
     log10 of the probability from that context on, and of that after its escape (only
@@ -283,20 +303,20 @@ def probabilities(asked: DataFrame, grams: list[DataFrame], nodes: list[DataFram
 
 _READY: dict[int, Scorer] = {}
 
-SCORED = "doc_id long,n_tokens long,known long,logs double,score double,others array<long>,times array<int>,cold array<long>,often array<int>"
+SCORED = "doc_id long,n_tokens long,known long,logs double,score long,others array<long>,times array<int>,cold array<long>,often array<int>"
 
 
-def score_texts(docs: DataFrame, kept: list, heavy: tuple[np.ndarray, np.ndarray], ends: int, mark: int) -> DataFrame:
+def score_texts(docs: DataFrame, kept: list, often: tuple[np.ndarray, np.ndarray], heavy: tuple[np.ndarray, np.ndarray], ends: int, mark: int) -> DataFrame:
     """Per row: tokens, how many of the heavy ones and the sum of log10(c + 0.5) over
-    them, the trie's part of the score, the keys and counts of all other tokens, and
-    those of the contexts with their symbols that the trie doesn't hold."""
-    sent = docs.sparkSession.sparkContext.broadcast((kept, heavy))
+    them, the part of the score that needs no join, the keys and counts of all other
+    tokens, and those of the contexts with their symbols that are left."""
+    sent = docs.sparkSession.sparkContext.broadcast((kept, often, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, counts) = sent.value
+        model, common, (keys, counts) = sent.value
         if mark not in _READY:
             _READY.clear()
-            _READY[mark] = Scorer(Trie.of(model))
+            _READY[mark] = Scorer(Trie.of(model), common)
         scorer, logs = _READY[mark], np.log10(counts + 0.5)
         for batch in batches:
             for part in slices(batch):
@@ -329,23 +349,23 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     train, vocabulary = (train or 0) + ends, vocabulary + (ends > 0)
     top = tokens.where(F.col("n") * HEAVY >= train).toPandas().sort_values("key")
     heavy = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.float64)
-    grams, nodes = tables(contexts, symbols)
-    kept = levels(grams, nodes, symbols)
+    grams, nodes = tables(contexts)
+    kept, often = levels(grams, nodes, symbols), common(grams[ORDER], nodes[ORDER], symbols)
     mark = hash((symbols, ends, train, vocabulary, counts.inputFiles()[0] if ends else ""))
-    scored = cut(score_texts(docs, kept, heavy, ends, mark).withColumn("row", F.monotonically_increasing_id()))
+    scored = cut(score_texts(docs, kept, often, heavy, ends, mark).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("others", "times")).alias("t")).select("row", F.col("t.others").alias("of"), F.col("t.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
     words = (rare.join(tokens.where(F.col("n") * HEAVY < train), F.col("of") == F.col("key"), "left")
-             .select("row", F.when(c > 0, F.col("times")).otherwise(0).alias("more"), (F.col("times") * F.log10(c + 0.5)).alias("sums"), F.lit(None).cast(EXACT).alias("bits")))
+             .select("row", F.when(c > 0, F.col("times")).otherwise(0).alias("more"), (F.col("times") * F.log10(c + 0.5)).alias("sums"), F.lit(None).cast("long").alias("bits")))
     cold = scored.select("row", F.explode(F.arrays_zip("cold", "often")).alias("t")).select("row", F.col("t.cold").alias("of"), F.col("t.often").alias("times"))
     each = probabilities(cold.select(F.col("of").alias("gram")).distinct(), grams, nodes).select("gram", "start")
-    symbol = cold.join(each, F.col("of") == F.col("gram")).select("row", F.lit(0).alias("more"), F.lit(0.0).alias("sums"), (F.col("times") * F.col("start")).cast(EXACT).alias("bits"))
-    summed = words.union(symbol).groupBy(F.col("row").alias("r")).agg(F.sum("more").alias("more"), F.sum("sums").alias("sums"), F.sum("bits").cast("double").alias("bits"))
+    symbol = cold.join(each, F.col("of") == F.col("gram")).select("row", F.lit(0).alias("more"), F.lit(0.0).alias("sums"), (F.col("times") * units(F.col("start"))).alias("bits"))
+    summed = words.union(symbol).groupBy(F.col("row").alias("r")).agg(F.sum("more").alias("more"), F.sum("sums").alias("sums"), F.sum("bits").alias("bits"))
     whole = float(np.log10(train + 0.5 * (vocabulary + 1)))
     base = F.col("logs") + F.coalesce("sums", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)
     return (scored.drop("others", "times", "cold", "often").join(summed, F.col("row") == F.col("r"), "left")
             .select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"),
-                    (base if train else F.lit(0.0)).alias("base_score"), (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score")))
+                    (base if train else F.lit(0.0)).alias("base_score"), ((F.col("score") + F.coalesce("bits", F.lit(0))) / F.lit(float(UNIT))).alias("score")))
 
 
 def query(docs: DataFrame) -> DataFrame:

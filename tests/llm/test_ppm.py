@@ -12,17 +12,13 @@ from redline.llm.common import fold
 class Plain:
     """The same model, symbol by symbol, from dictionaries."""
 
-    def __init__(self, texts, keep):
+    def __init__(self, texts):
         self.counts = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
-        total = 0
         for t in texts:
             data = bytes([ppm.END]) * ppm.ORDER + t.encode().lower() + bytes([ppm.END])
             for k in range(ppm.ORDER, len(data)):
-                total += 1
                 for n in range(ppm.ORDER + 1):
                     self.counts[n][data[k - n:k]][data[k]] += 1
-        for n in range(2, ppm.ORDER + 1):
-            self.counts[n] = {c: s for c, s in self.counts[n].items() if sum(s.values()) * keep >= total}
 
     def probability(self, before, symbol):
         seen, left = set(), 1.0
@@ -45,12 +41,10 @@ class Plain:
         return sum(np.log10(self.probability(data[k - ppm.ORDER:k], data[k])) for k in range(ppm.ORDER, len(data)))
 
 
-@pytest.mark.parametrize("keep", [1 << 16, 300])
-def test_equals_the_plain_model(spark, small, monkeypatch, keep):
-    monkeypatch.setattr(ppm, "KEEP", keep)
+def test_equals_the_plain_model(spark, small):
     docs = small.where("doc_id < 60")
     rows = docs.collect()
-    plain = Plain([r.text for r in rows if r.doc_id % 3], keep)
+    plain = Plain([r.text for r in rows if r.doc_id % 3])
     got = {r.doc_id: r.score for r in ppm.score(docs, F.col("doc_id") % 3 != 0).collect()}
     assert len(got) == len(rows)
     for r in rows[:25]:
@@ -59,10 +53,11 @@ def test_equals_the_plain_model(spark, small, monkeypatch, keep):
 
 @pytest.mark.parametrize("hot", [1 << 16, 300, 2])
 def test_every_context_seen_counts(spark, small, monkeypatch, hot):
-    """No context is too rare for the model, however few of them the tasks get as a trie."""
+    """No context is too rare for the model, however few of them the tasks get as a trie or as common grams."""
     monkeypatch.setattr(ppm, "HOT", hot)
+    monkeypatch.setattr(ppm, "COMMON", hot * 16)
     rows = sorted(small.collect(), key=lambda r: r.doc_id)
-    plain = Plain([r.text for r in rows if r.doc_id % 3], 1 << 62)
+    plain = Plain([r.text for r in rows if r.doc_id % 3])
     assert sum(plain.counts[0][b""].values()) > 2 << 16
     got = {r.doc_id: r.score for r in ppm.score(small, F.col("doc_id") % 3 != 0).collect()}
     assert len(got) == len(rows)
@@ -70,6 +65,18 @@ def test_every_context_seen_counts(spark, small, monkeypatch, hot):
         assert got[r.doc_id] == pytest.approx(plain.score(r.text), rel=1e-5)
 
 
+def test_scores_do_not_depend_on_the_bounds(spark, small, monkeypatch):
+    """What is sent to the tasks and what is joined give the same score, to the last digit."""
+    def scores():
+        return sorted((r.doc_id, r.score, r.base_score) for r in ppm.score(small, F.col("doc_id") % 3 != 0).collect())
+    want = scores()
+    for hot, common in ((2, 1), (2, 1 << 20), (300, 64), (1 << 16, 1)):
+        monkeypatch.setattr(ppm, "HOT", hot)
+        monkeypatch.setattr(ppm, "COMMON", common)
+        got = scores()
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+
+
 def test_probabilities_sum_to_one():
     grams = ppm.grams([b"abracadabra", b"abc", b""])
     levels = []
@@ -79,7 +86,7 @@ def test_probabilities_sum_to_one():
             sums[(code >> 8) & ((1 << 8 * k) - 1), code & 255] += n
         levels.append(tuple(np.array(c, np.int64) for c in zip(*[(a, b, n) for (a, b), n in sorted(sums.items())], strict=True)))
     trie = ppm.Trie.of(levels)
-    p = 10 ** trie.log10().astype(float)
+    p = 10 ** (trie.log10() / ppm.UNIT)
     assert np.allclose(p[:, :-1].sum(1) + trie.unseen * p[:, -1], 1, atol=1e-5)
 
 
