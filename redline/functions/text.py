@@ -110,15 +110,22 @@ def unescape(col) -> Column:
     return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
+def html_tokens(drop_script: bool = True, possessive: bool = True) -> str:
+    """One pattern for all markup, read from left to right as a tokenizer does: a comment, an
+    element of raw text with all it holds (script and style, if they go), a tag with quoted
+    values, and, where a quote isn't closed, a tag up to its first `>`. A `<` that begins
+    none of these is text. `possessive` quantifiers keep Java's stack flat on long tags; without
+    them, as RE2 needs it, the pattern matches the same."""
+    p = "+" if possessive else ""
+    inside = rf"""(?:[^>"']+{p}|"[^"]*{p}"|'[^']*{p}')*{p}"""  # quoted values may hold `>`
+    raw = [rf"(?i:<{name}(?:\s{inside})?>[\s\S]*?(?:</{name}\b[^>]*>|\z))" for name in ("script", "style")] if drop_script else []
+    return "|".join([r"<!--[\s\S]*?(?:-->|\z)", *raw, rf"</?[a-zA-Z!?]{inside}>", r"</?[a-zA-Z!?][^>]*>"])
+
+
 def html_text(col, drop_script: bool = True) -> Column:
-    """P-18: markup removed, text kept. Comments, then (optionally) script and
-    style blocks, then tags; then character references; whitespace collapsed
-    (no-break spaces count as blanks)."""
-    x = F.regexp_replace(_c(col), r"<!--[\s\S]*?-->", " ")
-    if drop_script:
-        x = F.regexp_replace(x, r"(?i)<script[^>]*>[\s\S]*?</script>", " ")
-        x = F.regexp_replace(x, r"(?i)<style[^>]*>[\s\S]*?</style>", " ")
-    x = F.regexp_replace(x, r"<[^>]*>", " ")
+    """P-18: markup removed, text kept (see `html_tokens`); then character references;
+    whitespace collapsed (no-break spaces count as blanks)."""
+    x = F.regexp_replace(_c(col), html_tokens(drop_script), " ")
     return normalize_ws(F.translate(unescape(x), "\u00a0", " "))
 
 

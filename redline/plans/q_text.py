@@ -14,6 +14,7 @@ from redline.functions.text import (
     dataset_name,
     extract_answer,
     html_text,
+    html_tokens,
     mask_patterns,
     model_slug,
     model_slug_underscore,
@@ -206,11 +207,30 @@ decoded AS (SELECT page_id, string_agg({piece}, '' ORDER BY i) AS x FROM pieces,
 
 
 def _html_sql(x):
-    y = f"regexp_replace({x}, '<!--[\\s\\S]*?-->', ' ', 'g')"
-    y = f"regexp_replace({y}, '(?i)<script[^>]*>[\\s\\S]*?</script>', ' ', 'g')"
-    y = f"regexp_replace({y}, '(?i)<style[^>]*>[\\s\\S]*?</style>', ' ', 'g')"
-    y = f"regexp_replace({y}, '<[^>]*>', ' ', 'g')"
-    return y
+    return f"regexp_replace({x}, {S.q(html_tokens(possessive=False))}, ' ', 'g')"
+
+
+_ODD_PAGE = [("<p>", '<p title="a > b" data-x=\'1 > "2"\'>1 < 2 '), ("</script>", "</script >"), ("<body", "<STYLE media=\"x>y\">p > a {}</STYLE\n><!-- > <b> --><body")]
+
+
+def _odd_page(x):
+    for old, new in _ODD_PAGE:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return F.concat(x, F.lit("<script>unclosed > code"))
+
+
+def _odd_page_sql(x):
+    for old, new in _ODD_PAGE:
+        x = f"replace({x}, {S.q(old)}, {S.q(new)})"
+    return f"({x} || '<script>unclosed > code')"
+
+
+@register("html_text_quoted", f"""WITH {_entities_sql(f"SELECT page_id, {_html_sql(_odd_page_sql('html'))} AS x FROM pages")}
+SELECT page_id, trim(regexp_replace(translate(x, chr(160), ' '), {S.q(pt.WS_RUN)}, ' ', 'g')) AS text FROM decoded""")
+def html_text_quoted(spark, sf_dir):
+    """P-18 on pages with `>` in quoted values, blanks in end tags, markup in
+    comments and a script that isn't closed."""
+    return read_table(spark, sf_dir, "pages").select("page_id", html_text(_odd_page(F.col("html"))).alias("text"))
 
 
 @register("html_text", f"""WITH {_entities_sql(f"SELECT page_id, {_html_sql('html')} AS x FROM pages")}
