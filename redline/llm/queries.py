@@ -33,6 +33,11 @@ def _query(module: str, tables: tuple[str, ...]) -> Callable[[SparkSession, str]
     return run
 
 
+def modules() -> list[str]:
+    """The modules of all operators, by name."""
+    return [f"redline.llm.{module}" for module, _ in OPERATORS.values()]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     return {name: _query(*spec) for name, spec in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
