@@ -15,7 +15,7 @@ def _c(col) -> Column:
 
 # The public Penn Treebank tokenisation rules (R. MacIntyre, 1995), as ordered regex rewrites, then split on blanks.
 # Quotes, ellipsis, punctuation, brackets, double dashes and clitics are split off.
-_TREEBANK_RULES = [
+TREEBANK_RULES = [
     (r'^"', "`` "),
     (r"(``)", " $1 "),
     (r'([ (\[{<])"', "$1 `` "),
@@ -45,7 +45,7 @@ def tokens(col, mode: str = "portable", lower: bool = True) -> Column:
         return F.regexp_extract_all(x, F.lit(pt.WORD_RE), 0)
     if mode == "treebank":
         x = F.concat(F.lit(" "), x, F.lit(" "))
-        for pat, rep in _TREEBANK_RULES:
+        for pat, rep in TREEBANK_RULES:
             x = F.regexp_replace(x, pat, rep)
         return F.array_remove(F.split(F.trim(x), pt.WS_RUN), "")
     raise ValueError(f"unknown tokenizer mode {mode!r}")

@@ -286,3 +286,12 @@ def essays_to_m2_q(spark, sf_dir):
     es = essays(spark, sf_dir)
     m = essays_to_m2(es, written(essay_edits(es)))
     return m.select("essay_id", "para_no", "sent_no", F.md5("block").alias("block_md5"))
+
+
+@register("essays_to_m2_pre_split", _m2_sql().replace("WHERE regexp_matches(t, '[.!?]$') OR i = len(toks)", "WHERE i = len(toks)"))
+def essays_to_m2_pre_split(spark, sf_dir):
+    """C-09 on text that is split already: every paragraph is one sentence."""
+    from redline.operators.essays import essays_to_m2
+    es = essays(spark, sf_dir)
+    m = essays_to_m2(es, written(essay_edits(es)), pre_split=True)
+    return m.select("essay_id", "para_no", "sent_no", F.md5("block").alias("block_md5"))

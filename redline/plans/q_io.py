@@ -17,11 +17,14 @@ from redline.plans import sql as S
 from redline.plans.fixtures import lines, reference_target, rule_prediction, triples
 from redline.plans.q_essays import essay_edits, essays
 from redline.plans.q_essays import EDITS_SQL as _EDITS
-from redline.plans.registry import register
+from redline.plans.q_edits import grammar_record
+from redline.plans.q_scores import readability_record
+from redline.plans.q_text import html_text_q  # noqa: F401  (its SQL is reused)
+from redline.plans.registry import ORACLE, register
 from redline.session import read_table, shared_path
 from redline.sinks import write_m2, write_metrics, write_stage, write_triples
 from redline.sources.quoted import read_quoted_csv, read_runs
-from redline.sources.readers import nested_to_pairs, read_documents, read_essays, read_m2, read_nested_refs, read_sentences
+from redline.sources.readers import nested_to_pairs, read_documents, read_essays, read_m2, read_nested_refs, read_rejected_essays, read_sentences
 from redline.streaming import run_to_path, running_metrics, stream_triples_metrics
 
 
@@ -161,14 +164,59 @@ def stage_files(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.sum(word_count("prediction")).alias("n_words"))
 
 
-@register("metrics_files", """SELECT lang, count(*) AS total_examples, CAST(max(length(text)) AS BIGINT) AS longest FROM documents GROUP BY lang""")
+def _written_record(spark, sf_dir, record, name):
+    root = shared_path(spark, name)
+    m = record(spark, sf_dir)
+    write_metrics(m, root)
+    return spark.read.schema(m.schema).json(root)
+
+
+@register("metrics_files", ORACLE["grammar_record"])
 def metrics_files(spark, sf_dir):
-    """K-02: a metrics record per group as JSON, read back."""
-    root = shared_path(spark, "metrics")
+    """K-02: the whole grammar record of every model as JSON, read back."""
+    return _written_record(spark, sf_dir, grammar_record, "grammar-metrics")
+
+
+@register("metrics_files_readability", ORACLE["readability_record"])
+def metrics_files_readability(spark, sf_dir):
+    """K-02: the whole readability record of every model as JSON, read back."""
+    return _written_record(spark, sf_dir, readability_record, "readability-metrics")
+
+
+@register("gzip_pages", ORACLE["html_text"].replace("FROM pages", "FROM (SELECT page_id, translate(html, chr(10) || chr(13), '  ') AS html FROM pages)") + " WHERE text <> ''")
+def gzip_pages(spark, sf_dir):
+    """C-15 / P-18: every page as a compressed HTML file, found, unpacked and read as text."""
+    root = shared_path(spark, "pages-gz")
+    p = read_table(spark, sf_dir, "pages").select("page_id", F.translate("html", "\n\r", "  ").alias("html"))
+    w = p.write.option("compression", "gzip").option("extension", "htm").option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False)
+    w.partitionBy("page_id").csv(root)
+    return read_documents(spark, root).where("doc_type = 'html'").select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "text")
+
+
+_BROKEN = {"de": "not JSON", "fr": "no text", "es": "edits are no list"}
+
+
+@register("rejected_essays", f"""SELECT coalesce(e.error, 'unreadable edit') AS error, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM documents LEFT JOIN (VALUES {", ".join(f"({S.q(k)}, {S.q(v)})" for k, v in _BROKEN.items())}) e(lang, error) USING (lang) GROUP BY 1
+UNION ALL SELECT 'ok', 2 * count(*), CAST(2 * sum(length(text)) AS BIGINT) FROM documents WHERE lang NOT IN ('de', 'fr', 'es')""")
+def rejected_essays_q(spark, sf_dir):
+    """S-05: essays as JSON lines, some cut off, some without text or with edits that
+    are no list, the others with an edit that can't be read: what is read and
+    what is set aside, with its error."""
+    root = shared_path(spark, "broken-essays")
     d = read_table(spark, sf_dir, "documents")
-    m = d.groupBy("lang").agg(F.count(F.lit(1)).alias("total_examples"), F.max(F.length("text")).cast("long").alias("longest"))
-    write_metrics(m, root)
-    return spark.read.schema("lang string, total_examples long, longest long").json(root)
+    text = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r'^\{"t":|\}$', "")
+    name = F.when(F.col("lang") == "fr", F.lit("txt")).otherwise(F.lit("text"))
+    edits = F.when(F.col("lang") == "es", F.lit("7")).otherwise(F.lit('[[0,[[0,1,"x"],[1,"to"],[2,3,null,"M"]]]]'))
+    end = F.when(F.col("lang") == "de", F.lit("")).otherwise(F.lit("}"))
+    line = F.concat(F.lit('{"id":"'), "doc_id", F.lit('","'), name, F.lit('":'), text, F.lit(',"edits":'), edits, end)
+    d.select(line.alias("value")).write.text(root)
+    sizes = d.select(F.col("doc_id").cast("string").alias("of"), F.length("text").alias("n"))
+    bad = read_rejected_essays(spark, root)
+    # an essay that isn't JSON has no id: it is found in its line
+    bad = bad.select(F.coalesce("id", F.regexp_extract("raw", '"id":"([0-9]+)"', 1)).alias("id"), "error")
+    good = read_essays(spark, root).select("id", F.lit("ok").alias("error"))
+    return good.unionByName(bad).join(sizes, F.col("id") == F.col("of")).groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("n_chars"))
 
 
 _STREAM_V1 = S.sari_v1_ctes("triples", ["doc_id", "line_no", "model"], S.tokens("input_text"), S.tokens("prediction"), S.tokens("target_text"))

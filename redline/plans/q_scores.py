@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from redline.functions.readability import flesch_kincaid_grade, flesch_reading_ease
 from redline.functions.text import exact_match, word_count
-from redline.functions.tokens import ngrams, tokens
+from redline.functions.tokens import TREEBANK_RULES, ngrams, tokens
 from redline.operators import metrics as M
 from redline.operators.scores import gleu, sari_f1, sari_recall, score_triples
 from redline.plans import sql as S
@@ -161,6 +161,25 @@ def gleu_turns(spark, sf_dir):
     return t.select("conv_id", "turn", r6(gleu(tokens("prediction"), tokens("target_text"))).alias("gleu"))
 
 
+def _treebank_sql(x):
+    """The rewrite rules on a lower-cased line between blanks."""
+    x = f"' ' || lower({x}) || ' '"
+    for pattern, put in TREEBANK_RULES:
+        x = f"regexp_replace({x}, {S.q(pattern)}, {S.q(put.replace('$', chr(92)))}, 'g')"
+    return S.words(x)
+
+
+@register("treebank_tokens", f"""WITH {S.LINES}, t AS (SELECT doc_id, line_no, {_treebank_sql("replace(line, ' the ', ' can''t \"cannot\" ')")} AS t FROM lines)
+SELECT doc_id, line_no, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t""")
+def treebank_tokens(spark, sf_dir):
+    """P-21: Treebank-style tokens of every line, quotes and clitics put in."""
+    from redline.plans.fixtures import lines
+    from redline.session import read_table
+    line = F.replace("line", F.lit(" the "), F.lit(" can't \"cannot\" "))
+    d = lines(read_table(spark, sf_dir, "documents")).select("doc_id", "line_no", tokens(line, "treebank").alias("t"))
+    return d.select("doc_id", "line_no", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
 @register("ngram_counts", f"""WITH {S.LINES},
 g AS (SELECT doc_id, line_no, {S.tokens('line')} AS t FROM lines),
 x AS (SELECT doc_id, line_no, unnest(list_transform(range(1, 5), lambda n:

@@ -6,5 +6,3 @@ PAIRS = T.StructType([T.StructField("input_text", T.StringType()),
                       T.StructField("target_text", T.StringType())])
 
 TRIPLES = T.StructType(PAIRS.fields + [T.StructField("prediction", T.StringType())])
-
-ESSAY_LINE = "struct<id:string,userid:string,text:string,cefr:string,edits:array<array<string>>>"

@@ -166,3 +166,55 @@ def test_drop_empty_edits(spark):
     df = spark.createDataFrame([([(1, 1, ""), (1, 2, ""), (2, 2, "x")],)],
                                "e array<struct<o_start:int,o_end:int,c_str:string>>")
     assert [tuple(x) for x in df.select(drop_empty_edits("e").alias("k")).first().k] == [(1, 2, ""), (2, 2, "x")]
+
+
+def test_rejected_essays(spark):
+    from redline.sources import rejected_essays
+    lines = ['{"id":"2","text":"x"', "[1]", '{"id":"3","text":"no edits"}', '{"id":"4","edits":[]}', '{"id":"5","text":"t","edits":7}',
+             '{"id":"6","text":"t","edits":[[0,[["a",5,"have"],[6],[0,1,"y"]]],[1],["x",[]],[2,[]]]}', '{"id":"7","text":"t","edits":null}', "", "  ", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "line int, value string")
+    good = sorted(((r.id, r.coder, r.ord, r.start, r.end, r.cor) for r in parse_essays(df).collect()), key=str)
+    assert good == sorted([("3", None, None, None, None, None), ("6", 0, 2, 0, 1, "y"), ("6", 2, None, None, None, None), ("7", None, None, None, None, None)], key=str)
+    bad = sorted((r.line, r.id or "", r.error, r.raw) for r in rejected_essays(df).collect())
+    assert bad == [(0, "", "not JSON", lines[0]), (1, "", "not an object", "[1]"), (3, "4", "no text", lines[3]), (4, "5", "edits are no list", lines[4]),
+                   (5, "6", "unreadable coder", '["x",[]]'), (5, "6", "unreadable coder", "[1]"),
+                   (5, "6", "unreadable edit", '["a",5,"have"]'), (5, "6", "unreadable edit", "[6]")]
+
+
+def test_inflate_pieces():
+    from redline.sources.readers import inflate, text_pieces
+    text = "".join(f"line {k} é世\n" for k in range(5000)) + "end"
+    raw = gzip.compress(text[:3000].encode()) + gzip.compress(b"") + gzip.compress(text[3000:].encode()) + b"\0" * 512
+    for block in (1, 100, 1 << 20):
+        pieces = list(inflate(raw, block)) if block > 1 else list(inflate(gzip.compress(text[:200].encode()), block))
+        assert all(len(p) <= block for p in pieces)
+        assert b"".join(pieces).decode() == (text if block > 1 else text[:200])
+    parts = list(text_pieces(raw, 1000))
+    assert "".join(parts) == text and len(parts) > 10 and all(p.endswith("\n") for p in parts[:-1])
+    assert "".join(text_pieces(text.encode() + b"\xff\xc3")) == text
+
+
+def test_inflating_holds_a_piece_at_a_time():
+    import tracemalloc
+
+    from redline.sources.readers import text_pieces
+    raw = gzip.compress(b"a line of a very long file\n" * 8_000_000)  # 216 MB
+    tracemalloc.start()
+    total = sum(len(p) for p in text_pieces(raw))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 27 * 8_000_000 and peak < 30 << 20
+
+
+def test_read_text_parts(spark, tmpdir_path):
+    from redline.sources import read_text_parts
+    text = "".join(f"{k} line\n" for k in range(20_000))
+    whole = gzip.compress(text.encode())
+    for name, raw in (("a.txt.gz", whole), ("b.txt.gz", whole[:len(whole) // 2]), ("c.txt.gz", b"plain\n")):
+        with open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(raw)
+    rows = read_text_parts(spark, tmpdir_path, size=10_000).orderBy("path", "part").collect()
+    of = lambda n: [r for r in rows if r.path.endswith(n)]
+    assert "".join(r.text for r in of("a.txt.gz")) == text and [r.part for r in of("a.txt.gz")] == list(range(len(of("a.txt.gz")))) and len(of("a.txt.gz")) > 5
+    assert [r.status for r in of("b.txt.gz")][-1] == "error" and {r.status for r in of("b.txt.gz")[:-1]} <= {"ok"}
+    assert [(r.text, r.status) for r in of("c.txt.gz")] == [("plain\n", "ok")]
