@@ -1,19 +1,19 @@
 """Embedding near-duplicates by lattice hashing.
 
-Each of several tables projects a vector at random to eight dimensions (or to two
-or more times eight) and decodes it to the nearest point of the E8 lattice: the
-vector's cell. The vector is also entered under the neighbouring cells nearest to
-it. Two vectors meet where one's home cell is the other's home or neighbour; those
-that meet and whose 64 sign bits agree well enough are verified by the cosine in
-double precision, so that no pair below the threshold is linked.
+Each of several tables projects a vector at random to two blocks of eight dimensions
+and decodes both to the nearest points of the E8 lattice: together the vector's cell.
+The vector is also entered under the cells that a nearest neighbour of either point
+makes with the other point. Two vectors meet where one's home cell is among the cells
+of the other; those that meet and whose 64 sign bits agree well enough are verified by
+the cosine in double precision, so that no pair below the threshold is linked. The same
+tables and cells serve at every size, so a pair is found or missed whatever else there is.
 
 Identical vectors are compared once and counted by their number. A cell is the key
 of a join, which Spark can split where a cell is large.
 
-Recall was computed for pairs just at cosine 0.95: one table with scale 1.1 and four
-neighbours finds 0.43 to 0.5 of them, eight tables 0.99; tests measure it against
-brute force. A second block of eight dimensions keeps cells small where there are
-more vectors than LARGE; the number of tables grows with it and no pair is given up.
+Recall was computed for pairs just at cosine 0.95 in 64 dimensions: one table finds a
+third of them, twelve 0.99; tests measure it against brute force. Of random vectors, about
+one pair in a million meets in a table, so that meetings that aren't links stay few.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing (n_links 0, their own component, kept); vectors of
@@ -35,9 +35,7 @@ from pyspark.sql import functions as F
 from redline.llm.common import arrow_schema, cut
 from redline.llm.components import components
 
-SCALE, NEIGHBOURS, TABLES, SEED = 1.1, 4, 8, 8
-#: Distinct vectors beyond which a cell is a point of E8 x E8, in TABLES_LARGE tables.
-LARGE, TABLES_LARGE = 8_000_000, 24
+SCALE, NEIGHBOURS, TABLES, SEED = 1.4, 4, 12, 8
 
 
 def even_sum(x: np.ndarray) -> np.ndarray:
@@ -71,23 +69,28 @@ def minimal() -> np.ndarray:
 
 
 def cells(x: np.ndarray, neighbours: int) -> np.ndarray:
-    """rows x (1 + neighbours) x 8: the home cell, then the nearest of its neighbours."""
+    """rows x (1 + neighbours) x 8: the home point, then the nearest of its neighbours (all
+    are as far from it, so those in the direction of x)."""
     home = e8(x)
-    away = ((x - home)[:, None, :] - minimal()[None]) ** 2
-    near = np.argpartition(away.sum(-1), neighbours, axis=1)[:, :neighbours]
+    if not neighbours:
+        return home[:, None, :]
+    toward = (x - home) @ minimal().T
+    near = np.argpartition(-toward, neighbours, axis=1)[:, :neighbours]
     return np.concatenate([home[:, None, :], home[:, None, :] + minimal()[near]], axis=1)
 
 
-def keys(x: np.ndarray, table: int, blocks: int, rng: np.random.Generator) -> np.ndarray:
-    """rows x (1 + neighbours)^blocks 64-bit keys of a table's cells, the home cell first."""
-    mixed = np.full((len(x), 1), (table + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-    for _ in range(blocks):
-        own = cells(x @ rng.normal(size=(x.shape[1], 8)) / SCALE, NEIGHBOURS)
+def keys(x: np.ndarray, table: int, neighbours: int, rng: np.random.Generator) -> np.ndarray:
+    """rows x (1 + 2 * neighbours) 64-bit keys of a table's cells, the home cell first."""
+    first, second = (), ()
+    for _ in range(2):
+        own = cells(x @ rng.normal(size=(x.shape[1], 8)) / SCALE, neighbours)
         factor = rng.integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         part = ((own * 2).astype(np.int64).view(np.uint64) * factor).sum(-1)
-        mixed = (mixed * np.uint64(0xD1342543DE82EF95))[:, :, None] ^ part[:, None, :]
-        mixed = (mixed ^ (mixed >> np.uint64(31))).reshape(len(x), -1)
-    return mixed.view(np.int64)
+        first, second = second, part ^ (part >> np.uint64(31))
+    start = np.uint64((table + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    both = [(first[:, :1], second[:, :1]), (first[:, 1:], second[:, :1]), (first[:, :1], second[:, 1:])]
+    mixed = np.concatenate([((start ^ p) * np.uint64(0xD1342543DE82EF95)) ^ q for p, q in both], axis=1)
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
 
 
 def unit(vectors: list[list[float]]) -> np.ndarray:
@@ -96,11 +99,12 @@ def unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-ENTRY = "cell long,node long,sketch long,home boolean"
+ENTRY = "cell long,node long,sketch long"
 
 
-def entries(vectors: DataFrame, tables: int, blocks: int) -> DataFrame:
-    """(cell, node, sketch, home) of vectors (node, embedding) in every table."""
+def entries(vectors: DataFrame, neighbours: int = NEIGHBOURS, tables: int = TABLES) -> DataFrame:
+    """(cell, node, sketch) of vectors (node, embedding) in every table: their home cells and,
+    for each block, those of the nearest `neighbours`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -112,10 +116,10 @@ def entries(vectors: DataFrame, tables: int, blocks: int) -> DataFrame:
                     rng = np.random.default_rng([SEED, dim])
                     sketch = np.packbits(x @ rng.normal(size=(dim, 64)) >= 0, axis=1).view(np.int64).ravel()
                     for t in range(tables):
-                        key = keys(x, t, blocks, rng)
+                        key = keys(x, t, neighbours, rng)
                         wide = key.shape[1]
-                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(n, wide)), pa.array(np.repeat(sketch, wide)),
-                                                          pa.array(np.tile(np.arange(wide) == 0, len(x)))], schema=arrow_schema(ENTRY))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(n, wide)), pa.array(np.repeat(sketch, wide))],
+                                                         schema=arrow_schema(ENTRY))
 
     return vectors.select("node", "embedding").mapInArrow(run, ENTRY)
 
@@ -155,9 +159,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = rows.select("vec_id", "embedding")
     distinct = cut(rows.where(USABLE).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
                    .withColumn("node", F.monotonically_increasing_id()))
-    blocks, tables = (1, TABLES) if distinct.count() <= LARGE else (2, TABLES_LARGE)
-    every = entries(distinct, tables, blocks)
-    home = every.where("home").select(F.col("cell").alias("at"), F.col("node").alias("a"), F.col("sketch").alias("s"))
+    every = entries(distinct)
+    home = entries(distinct, 0).select(F.col("cell").alias("at"), F.col("node").alias("a"), F.col("sketch").alias("s"))
     meet = ((F.col("at") == F.col("cell")) & (F.col("a") != F.col("node")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("sketch"))) <= sign_bits(cosine)))
     pairs = home.join(every, meet).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     x, y = distinct.select(F.col("node").alias("m"), F.col("embedding").alias("x")), distinct.select(F.col("node").alias("n"), F.col("embedding").alias("y"))
