@@ -8,7 +8,10 @@ have the same length are the rows of one matrix, so that a scan serves them all.
 Long words keep the same order of merges with a heap over linked parts.
 
 Defined results: a null text is empty; an empty text has no tokens and decodes to "".
-The special token's string in a text becomes the special token, as in the library."""
+The special token's string in a text becomes the special token, as in the library. Of pairs
+of equal rank the leftmost merges first. Rows of the same id are encoded each by its own
+text. Only doc_id and text are read, so other columns may have any name. An empty table
+gives an empty result."""
 
 from __future__ import annotations
 

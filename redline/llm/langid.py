@@ -10,7 +10,9 @@ prefers another one by more than half the penalty) the path is that language, an
 only other documents are walked word by word; both give the same path.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with
-no training rows every text is `und`; ties go to the first language by code point."""
+no training rows every text is `und`; ties go to the first language by code point. Rows of
+the same id are rows of their own. Only doc_id, text and lang are read, so other columns may
+have any name. An empty table gives an empty result."""
 
 from __future__ import annotations
 

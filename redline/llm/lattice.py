@@ -18,7 +18,9 @@ one pair in a million meets in a table, so that meetings that aren't links stay
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing (n_links 0, their own component, kept); vectors of
 different length don't link; a row without id counts as a vector, and its component
-has the smallest id of the others."""
+has the smallest id of the others. Copies of a vector link with each other, and count as many
+links for others. Only vec_id and embedding are read, so other columns may have any name. An
+empty table gives an empty result."""
 
 from __future__ import annotations
 

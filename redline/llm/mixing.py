@@ -14,8 +14,9 @@ Sources are put in order by ranges, and sums over the sources before are sums wi
 partition plus those of the partitions before it: no task sees all sources.
 
 Defined results: null text has size 0; a null source is a source of its own, last
-in order; null ids, sources and texts draw as empty strings; an empty table gives an
-empty result."""
+in order; null ids, sources and texts draw as empty strings; of sources with equal ratio the
+first by code point fills first; other columns may have any name, and the stage keeps
+them; an empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -10,7 +10,10 @@ Base kinds: email, ip, card, phone. Added by the method: url, account (a cue suc
 "iban" or "account" followed by an identifier), secret (a cue such as "api_key=" or
 the prefix of an access key).
 
-Defined results: a null text is empty; an empty text has no spans."""
+Defined results: a null text is empty; an empty text has no spans. Spans of one kind don't
+overlap, the leftmost stays; those of different kinds may. Rows of the same id are rows of
+their own. Only doc_id and text are read, so other columns may have any name; a stage keeps
+them. An empty table gives an empty result."""
 
 from __future__ import annotations
 

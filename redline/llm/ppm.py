@@ -25,7 +25,9 @@ token, and summed per document.
 
 Defined results: a null text is empty; an empty text has the end token and the end
 symbol only; without training texts every symbol has probability 1/256 and no token
-is known (base_score 0)."""
+is known (base_score 0). Equal texts have equal scores; rows of the same id are rows of their
+own. Only doc_id and text are read, so other columns may have any name. An empty table
+gives an empty result."""
 
 from __future__ import annotations
 

@@ -6,7 +6,10 @@ precise there, and its rows are removed; the next rule covers what is left. The
 list is emitted as one ordered Spark conditional expression.
 
 Defined results: a null or empty text has no words, all counts 0, base_failed true
-and kept false; without labelled rows the list is empty and only the base decides."""
+and kept false; without labelled rows the list is empty and only the base decides. Of rules
+of equal worth the longer one, of thresholds of equal gain the first is taken. Rows of the
+same id are judged each by its own text. Only doc_id, text and quality are read, so other
+columns may have any name; the stage keeps them. An empty table gives an empty result."""
 
 from __future__ import annotations
 

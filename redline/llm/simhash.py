@@ -13,7 +13,8 @@ Only distinct fingerprints are replicated, so copies cost one row each.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a component without any id has a null component_id; rows of the same id are
-rows of their own."""
+rows of their own. Only doc_id and text are read, so other columns may have any name; the
+stage keeps them. An empty table gives an empty result."""
 
 from __future__ import annotations
 

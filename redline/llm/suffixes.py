@@ -21,7 +21,9 @@ Texts move once (both joins use the same exchange). Equal hashes are taken as eq
 bytes: runs by two 64-bit hashes, windows by one within a gram's partition.
 
 Defined results: a null text is empty; texts under LENGTH bytes lose nothing; rows
-with the same id and text are documents of their own, so such copies are removed."""
+with the same id and text are documents of their own, so such copies are removed. Of equal
+hashes in a window the leftmost anchors it. Only doc_id and text are read, so other columns
+may have any name. An empty table gives an empty result."""
 
 from __future__ import annotations
 

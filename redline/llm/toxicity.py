@@ -11,7 +11,10 @@ holds. How a document's differences make a score is calibrated by logistic
 regression on a third of the sample that the dictionaries have not seen.
 
 Defined results: null and empty texts get the score of a text without windows;
-without labels of both classes every score is the share of toxic labels (0 if none)."""
+without labels of both classes every score is the share of toxic labels (0 if none). Rows of
+the same id are scored each by its own text; a score of exactly one half counts as toxic.
+Only doc_id, text and toxic are read, so other columns may have any name. An empty table
+gives an empty result."""
 
 from __future__ import annotations
 
