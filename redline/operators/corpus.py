@@ -172,13 +172,14 @@ def encode_with_vocab(df: DataFrame, col: str, vocab: DataFrame, key_cols, map_t
     is shuffled. Of a larger one the `map_tokens` commonest tokens of the rows, in the
     vocabulary or not, are looked up so; the others, none of which can be a large group, meet
     it in a join and come back to their rows as one array each."""
-    rows = df.where(F.size(col) > 0).select(*key_cols, *carry, F.col(col).alias("_tokens"))
+    rows = df.select(*key_cols, *carry, F.col(col).alias("_tokens"))
+    some = F.size("ids") > 0  # asked of the ids: asked of the tokens they would be made twice
     short = F.octet_length("token") <= MAP_BYTES
     if vocab.count() <= map_tokens and not vocab.where(~short).limit(1).count():
-        return rows.select(*key_cols, *carry, _look_up(vocab, None)("_tokens").alias("ids"))
+        return rows.select(*key_cols, *carry, _look_up(vocab, None)("_tokens").alias("ids")).where(some)
     counts = rows.select(F.explode("_tokens").alias("token")).where(F.col("token").isNotNull() & short).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     common = written(counts.orderBy(F.col("n").desc(), "token").limit(map_tokens).select("token").join(vocab, "token", "left"))
-    first = rows.withColumn("ids", _look_up(common, _OPEN)("_tokens"))
+    first = rows.withColumn("ids", _look_up(common, _OPEN)("_tokens")).where(some)
     late = first.select(*key_cols, F.posexplode(F.arrays_zip("ids", "_tokens")).alias("pos", "t")).where(F.col("t.ids") == _OPEN)
     late = late.select(*key_cols, "pos", F.col("t._tokens").alias("token")).join(vocab, "token", "left")
     late = late.groupBy(*key_cols).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("late"))
