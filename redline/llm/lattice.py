@@ -13,7 +13,7 @@ of a join, which Spark can split where a cell is large.
 
 Recall was computed for pairs just at cosine 0.95 in 64 dimensions: one table finds a
 third of them, twelve 0.99; tests measure it against brute force. Of random vectors, about
-one pair in a million meets in a table, so that meetings that aren't links stay few.
+three pairs in a million meet in a table, so that meetings that aren't links stay few.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing (n_links 0, their own component, kept); vectors of

@@ -82,6 +82,7 @@ def test_recall_in_a_crowded_table():
     y -= x * (x * y).sum(1, keepdims=True)
     y = 0.95 * x + np.sqrt(1 - 0.95 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
     z = rng.normal(size=(100_000 - 2 * n, 64))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
     found, met = np.zeros(n, bool), 0
     all_of = np.concatenate([x, y, z])
     draws, again = (np.random.default_rng([lattice.SEED, 64]) for _ in range(2))
