@@ -12,7 +12,9 @@ anchor is one row (gram, hash of the run's bytes, place): about one row in 85 by
    partition. There each batch of rows gets a suffix array (the starts of its windows,
    ordered by a fingerprint of the LENGTH bytes that follow), is merge-scanned against
    the levels there are for equal windows, and becomes a level itself; levels of equal
-   size merge, so a partition of n rows holds log n levels.
+   size merge, so a family of n rows holds log n levels. Rows come sorted by gram, and a
+   family that holds FAMILY windows ends where the next gram starts: what a task holds is
+   bounded by FAMILY and one gram's rows, not by its partition.
    A gram of more than HOT distinct runs would fill one partition; its windows are
    counted by their fingerprints instead, which Spark adds up before it moves them.
 4. The repeated windows of each document, as byte ranges, meet the document again.
@@ -44,6 +46,8 @@ PIECE = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
 #: Distinct runs of one gram that one partition takes; more are counted by window.
 HOT = 4096
+#: Windows that a family takes before the next gram starts a new one.
+FAMILY = 1 << 20
 
 
 @cache
@@ -211,29 +215,47 @@ def spans(marks: np.ndarray) -> list[int]:
 FOUND = "gram long,run long,ends array<int>"
 
 
-def matched(bodies: DataFrame) -> DataFrame:
+def matched(bodies: DataFrame, limit: int = FAMILY) -> DataFrame:
     """FOUND of bodies (gram, run, body): which windows of each run another run of its
-    gram holds too. One family of suffix arrays per partition."""
+    gram holds too, from families of suffix arrays over whole grams."""
     types = arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, ids, sizes = Family(), [], []
+        family, rows, last = Family(), [], None
+
+        def take(part: pa.RecordBatch, sizes: np.ndarray) -> None:
+            if len(sizes):
+                salt = mix(part.column(0).to_numpy().view(np.uint64))
+                family.add(np.concatenate([window_prints(np.frombuffer(b, np.uint8)) ^ g for g, b in zip(salt, part.column(2).to_pylist(), strict=True)]))
+                rows.append((part.select([0, 1]), sizes))
+
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                grams = part.column(0).to_numpy().view(np.uint64)
-                prints = [window_prints(np.frombuffer(b, np.uint8)) ^ g for g, b in zip(mix(grams), part.column(2).to_pylist(), strict=True)]
-                ids.append(part.select([0, 1]))
-                sizes.append(np.array([len(p) for p in prints], np.int64))
-                family.add(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
-        marks, at = family.marks(), 0
-        for rows, size in zip(ids, sizes, strict=True):
-            ends = []
-            for n in size.tolist():
-                ends.append(spans(marks[at:at + n]))
-                at += n
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ends, types[2].type)], schema=types)
-
-    return bodies.repartition("gram").mapInArrow(run, FOUND)
+                grams = part.column(0).to_numpy()
+                sizes = np.array([len(b) - LENGTH + 1 for b in part.column(2).to_pylist()], np.int64)
+                total, at = np.append(0, np.cumsum(sizes)), 0
+                for start in np.flatnonzero(np.diff(grams, prepend=grams[:1] if last is None else last)).tolist():
+                    if family.size + total[start] - total[at] >= limit:
+                        take(part.slice(at, start - at), sizes[at:start])
+                        yield from told(family, rows, types)
+                        family, rows, at = Family(), [], start
+                take(part.slice(at), sizes[at:])
+                if len(grams):
+                    last = grams[-1]
+        yield from told(family, rows, types)
+
+    return bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, FOUND)
+
+
+def told(family: Family, rows: list[tuple[pa.RecordBatch, np.ndarray]], types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """FOUND of a family and the rows that it took."""
+    marks, at = family.marks(), 0
+    for own, sizes in rows:
+        ends = []
+        for n in sizes.tolist():
+            ends.append(spans(marks[at:at + n]))
+            at += n
+        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(ends, types[2].type)], schema=types)
 
 
 BODY = "gram long,run long,body binary,prints array<long>"
@@ -305,7 +327,7 @@ def strip(joined: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "ranges").mapInArrow(run, RESULT)
 
 
-def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_ranges(texts: DataFrame, hot: int = HOT, family: int = FAMILY) -> DataFrame:
     """(k, lo, hi) of all windows that repeat, as byte ranges, of texts (doc_id, k, text)."""
     rows = anchored(texts)
     per = rows.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
@@ -321,7 +343,7 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     distinct = distinct.join(many, F.col("gram") == F.col("g"), "left").select("gram", "run", "n", "one.*", F.col("g").isNotNull().alias("hot"))
     wanted = distinct.groupBy(F.col("k").alias("of")).agg(F.collect_list(F.struct("gram", "run", "lo", "windows", "hot")).alias("runs"))
     bodies = bodies_of(texts.join(wanted, F.col("k") == F.col("of")).select("doc_id", "k", "text", "runs"))
-    found = matched(bodies.where("body is not null").select("gram", "run", "body"))
+    found = matched(bodies.where("body is not null").select("gram", "run", "body"), family)
     if many.limit(1).count():
         found = found.union(counted(bodies.where("prints is not null").select("gram", "run", "prints")))
     ends = found.select(F.col("gram").alias("g"), F.col("run").alias("r"), "ends")
@@ -334,10 +356,10 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return settled.union(part)
 
 
-def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, hot: int = HOT, family: int = FAMILY) -> DataFrame:
     """RESULT of every row of docs (doc_id, text)."""
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text")
-    ranges = repeated_ranges(texts, hot).groupBy(F.col("k").alias("of")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(texts, hot, family).groupBy(F.col("k").alias("of")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return strip(texts.join(ranges, F.col("k") == F.col("of"), "left"))
 
 

@@ -23,9 +23,9 @@ def plain(texts):
     return out
 
 
-def compare(spark, rows, hot=suffixes.HOT):
+def compare(spark, rows, hot=suffixes.HOT, family=suffixes.FAMILY):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(docs, hot).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(docs, hot, family).collect())
     want = sorted((i, *w) for (i, _), w in zip(rows, plain([t for _, t in rows]), strict=True))
     assert got == want
 
@@ -50,9 +50,32 @@ def passages():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 0])
-def test_equals_brute_force(spark, passages, hot):
-    compare(spark, passages, hot)
+@pytest.mark.parametrize("hot,family", [(suffixes.HOT, suffixes.FAMILY), (0, suffixes.FAMILY), (suffixes.HOT, 1), (suffixes.HOT, 500)])
+def test_equals_brute_force(spark, passages, hot, family):
+    compare(spark, passages, hot, family)
+
+
+def test_families_end_between_grams(spark):
+    """Rows of few and of many windows: a family takes whole grams, and every repeat is found at any size."""
+    random.seed(4)
+    rows = []
+    for gram in range(40):
+        shared = bytes(random.choices(b"abcdef ", k=260))
+        rows += [(gram - 20, k, bytes(random.choices(b"xyz", k=random.randint(0, 90))) + shared) for k in range(random.randint(1, 9))]
+    bodies = spark.createDataFrame(rows, "gram long, run long, body binary")
+    found = [sorted((r.gram, r.run, tuple(r.ends)) for r in suffixes.matched(bodies, n).collect()) for n in (1, 300, 1 << 20)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    alone = {g for g, n in Counter(g for g, _, _ in rows).items() if n == 1}
+    assert all(bool(ends) == (g not in alone) for g, _, ends in found[0])
+
+
+def test_text_longer_than_a_piece(spark):
+    random.seed(5)
+    words = ["".join(random.choices("abcdefghijklmnop", k=7)) for _ in range(5000)]
+    text = " ".join(random.choices(words, k=150_000))
+    assert len(text) > suffixes.PIECE + 100_000
+    over = text[suffixes.PIECE - 300:suffixes.PIECE + 300]
+    compare(spark, [(1, text), (2, "before " + over + " after"), (3, text[:400] + "#" + text[-400:])])
 
 
 def test_long_texts_are_cut_into_pieces(spark, passages, monkeypatch):
