@@ -62,20 +62,39 @@ def span_edit(src_tok, tgt_tok) -> Column:
 
 
 def substitution_edits(src_tok, tgt_tok) -> Column:
-    """One-token replacement edits where two equal-length token arrays differ."""
-    pairs = F.zip_with(_c(src_tok), _c(tgt_tok), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    cand = F.transform(pairs, lambda pr, i: F.when(
-        pr["x"] != pr["y"], F.struct(i.cast("int").alias("o_start"), (i + 1).cast("int").alias("o_end"),
-                                     pr["y"].alias("c_str"), F.lit("R").alias("type"))))
-    return F.filter(cand, lambda e: e.isNotNull())
+    """Replacement edits where two equal-length token arrays differ, neighbours merged."""
+    none = F.lit(False)
+
+    def runs(f: Column, t: Column) -> Column:
+        first = F.transform(f, lambda x, i: F.when(x & ~F.coalesce(F.get(f, i - 1), none), i))
+        last = F.transform(f, lambda x, i: F.when(x & ~F.coalesce(F.get(f, i + 1), none), i + 1))
+        return F.zip_with(F.filter(first, lambda i: i.isNotNull()), F.filter(last, lambda i: i.isNotNull()), lambda i, j: F.struct(
+            i.cast("int").alias("o_start"), j.cast("int").alias("o_end"),
+            F.array_join(F.slice(t, i + 1, j - i), " ").alias("c_str"), F.lit("R").alias("type")))
+    return _let(F.zip_with(_c(src_tok), _c(tgt_tok), lambda x, y: x != y), lambda f: _let(_c(tgt_tok), lambda t: runs(f, t)))
+
+
+def pairs_to_align(src_tok, tgt_tok) -> Column:
+    """STRUCT<s, t> of two token arrays where only an alignment can tell the edits, else
+    NULL. Arrays that differ by one inserted or deleted stretch don't need one; nor do those
+    of one length that differ in two places, or hold no token in both sides' differing
+    places, as no alignment costs less than place by place."""
+    s, t = _c(src_tok), _c(tgt_tok)
+    differing = F.filter(F.zip_with(s, t, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda d: d["x"] != d["y"])
+    crossed = (F.size(differing) > 2) & F.arrays_overlap(differing["x"], differing["y"])
+    rest = F.least(F.size(s), F.size(t)) > common_prefix_len(s, t) + common_prefix_len(F.reverse(s), F.reverse(t))
+    return F.when((s != t) & F.when(F.size(s) == F.size(t), crossed).otherwise(rest), F.struct(s.alias("s"), t.alias("t")))
 
 
 def aligned_edits(src_tok, tgt_tok) -> Column:
-    """Token edits of src -> tgt: substitutions when the lengths agree,
-    otherwise the single trimmed span edit (R-08)."""
+    """Token edits of src -> tgt by Levenshtein alignment, neighbours merged (R-07,
+    'all-merge'). Only rows whose edits the place-wise comparison and the trimmed span
+    (R-08) can't tell are aligned by the Python helper; the others reach it as NULL."""
+    from redline.operators.levenshtein import pair_edits
+
     s, t = _c(src_tok), _c(tgt_tok)
-    return F.when(F.size(s) == F.size(t), substitution_edits(s, t)) \
-            .otherwise(as_edit_array(span_edit(s, t)))
+    plain = F.when(F.size(s) == F.size(t), substitution_edits(s, t)).otherwise(as_edit_array(span_edit(s, t)))
+    return F.coalesce(pair_edits(pairs_to_align(s, t)), plain)
 
 
 def edit_key_strings(edits) -> Column:

@@ -192,6 +192,27 @@ def ops_to_edits(ops, b: list, merge: str) -> list:
     return out
 
 
+def _shifted(a, b, off, merge: str) -> list:
+    b = list(b)
+    return [e | {"o_start": e["o_start"] + int(off), "o_end": e["o_end"] + int(off)} for e in ops_to_edits(align_ops(list(a), b), b, merge)]
+
+
+def _trimmed(a: list, b: list) -> list:
+    """Merged edits of whole token lists: their middles between common prefix and suffix aligned."""
+    least = min(len(a), len(b))
+    p = next((k for k in range(least) if a[k] != b[k]), least)
+    q = next((k for k in range(least - p) if a[-1 - k] != b[-1 - k]), least - p)
+    return _shifted(a[p:len(a) - q], b[p:len(b) - q], p, "all-merge")
+
+
+def pair_edits(pairs: Column) -> Column:
+    """Merged edits of STRUCT<s, t> token arrays; NULL where the struct is."""
+    @F.pandas_udf(EDIT_T)
+    def run(pair: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if a is None or b is None else _trimmed(list(a), list(b)) for a, b in zip(pair["s"], pair["t"], strict=True)], dtype=object)
+    return run(pairs)
+
+
 def _make_udf(merge: str):
     @F.pandas_udf(EDIT_T)
     def run(a: pd.Series, b: pd.Series, off: pd.Series) -> pd.Series:
@@ -200,12 +221,7 @@ def _make_udf(merge: str):
             if x is None or y is None:
                 res.append(None)
                 continue
-            y = list(y)
-            edits = ops_to_edits(align_ops(list(x), y), y, merge)
-            for e in edits:
-                e["o_start"] += int(o)
-                e["o_end"] += int(o)
-            res.append(edits)
+            res.append(_shifted(x, y, o, merge))
         return pd.Series(res)
     return run
 

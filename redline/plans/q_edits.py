@@ -77,6 +77,52 @@ def edit_confusion(spark, sf_dir):
     return e.select("doc_id", "line_no", "model", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
 
 
+def _moves_sql():
+    """Edits by construction. Append: the places of target and input side by side, with one
+    more for the added word. Move: the first word x of a line leaves its place and comes in
+    at the end (after like words are trimmed), but two differing places are replaced, and
+    words that alternate come in before and leave at the end."""
+    def key(st, en, c, t):
+        return f"({st})::VARCHAR || '|' || ({en})::VARCHAR || '|' || {c} || '|' || '{t}'"
+    f = "list_transform(range(1, len(sl) + 1), lambda i: sl[i] IS DISTINCT FROM tl[i])"
+    return f"""WITH {S.triples_cte(('identity',))},
+w AS (SELECT doc_id, line_no, {S.words('input_text')} AS a, {S.words('target_text')} AS t FROM triples),
+ins AS (SELECT doc_id, line_no, a, t, list_append(a, NULL) AS sl, list_append(t, 'also') AS tl FROM w),
+fl AS (SELECT *, {f} AS f FROM ins),
+se AS (SELECT *, list_filter(range(1, len(f) + 1), lambda i: f[i] AND (i = 1 OR NOT f[i - 1])) AS st,
+              list_filter(range(1, len(f) + 1), lambda i: f[i] AND (i = len(f) OR NOT f[i + 1])) AS en FROM fl),
+ie AS (SELECT doc_id, line_no, 'append' AS model, a, t, list_transform(range(1, len(st) + 1), lambda r:
+         list_count(sl[1:st[r] - 1])::VARCHAR || '|' || list_count(sl[1:en[r]])::VARCHAR || '|' || array_to_string(tl[st[r]:en[r]], ' ') || '|'
+         || (CASE WHEN list_count(sl[1:st[r] - 1]) = list_count(sl[1:en[r]]) THEN 'M' ELSE 'R' END)) AS hyp FROM se),
+mv AS (SELECT doc_id, line_no, a, t, a[2:] || a[1:1] AS v FROM w),
+md AS (SELECT *, list_filter(range(1, len(a) + 1), lambda i: a[i] <> v[i]) AS d FROM mv),
+pe AS (SELECT *, d[1] AS p0, d[-1] AS e0 FROM md),
+me AS (SELECT doc_id, line_no, 'move' AS model, a, t, CASE WHEN len(d) = 0 THEN []::VARCHAR[]
+         WHEN len(d) = 2 AND e0 = p0 + 1 THEN [{key('p0 - 1', 'e0', "v[p0] || ' ' || v[e0]", 'R')}]
+         WHEN len(d) = 2 THEN [{key('p0 - 1', 'p0', 'v[p0]', 'R')}, {key('e0 - 1', 'e0', 'v[e0]', 'R')}]
+         WHEN len(list_filter(range(p0, e0 - 1), lambda i: a[i] <> a[i + 2])) = 0
+           THEN [{key('p0 - 1', 'p0 - 1', 'v[p0]', 'M')}, {key('e0 - 1', 'e0', "''", 'U')}]
+         ELSE [{key('p0 - 1', 'p0', "''", 'U')}, {key('e0', 'e0', 'a[1]', 'M')}] END AS hyp FROM pe),
+e AS (SELECT *, {S.aligned_edit_keys('a', 't')} AS ref FROM (SELECT * FROM ie UNION ALL SELECT * FROM me))
+SELECT doc_id, line_no, model, md5(array_to_string(hyp, ';')) AS edits_md5, CAST(len({S.linter('hyp', 'ref')}) AS BIGINT) AS tp,
+  CAST(len({S.lminus('hyp', 'ref')}) AS BIGINT) AS fp, CAST(len({S.lminus('ref', 'hyp')}) AS BIGINT) AS fn FROM e"""
+
+
+@register("edit_confusion_moves", _moves_sql())
+def edit_confusion_moves(spark, sf_dir):
+    """R-09 where words are added and moved: the target with a word more at its end, and
+    the input with its first word last."""
+    t = triples(spark, sf_dir, models=("identity",)).select(
+        "doc_id", "line_no", words("input_text").alias("a"), words("target_text").alias("t"))
+    put = F.concat("t", F.array(F.lit("also")))
+    move = F.concat(F.slice("a", 2, F.size("a") + 1), F.slice("a", 1, 1))
+    made = t.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in (("append", put), ("move", move))])))
+    e = made.select("doc_id", "line_no", "model", aligned_edits("a", "p").alias("hyp"), aligned_edits("a", "t").alias("ref"))
+    tp, fp, fn = edit_confusion_counts("hyp", "ref")
+    return e.select("doc_id", "line_no", "model", F.md5(F.array_join(edit_key_strings("hyp"), ";")).alias("edits_md5"),
+                    tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+
+
 def _micro_sql():
     p = "coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0.0)"
     r = "coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0.0)"

@@ -259,3 +259,26 @@ def test_running_starts(spark):
     from redline.functions.offsets import running_starts
     df = spark.createDataFrame([([3, 1, 2],), ([],), (None,), ([5],)], "s array<int>")
     assert [r.x for r in df.select(running_starts("s").alias("x")).collect()] == [[0, 3, 4], [], None, [0]]
+
+
+def test_aligned_edits_are_those_of_the_alignment(spark):
+    """Random pairs over few words, against the helper on whole pairs; a moved word is one deletion and one insertion."""
+    import random
+
+    from redline.operators.edits import aligned_edits
+    from redline.operators.levenshtein import levenshtein_edits
+    random.seed(11)
+    pairs = [("a b c d".split(), "b c d a".split()), (["a"], ["a"]), ([], ["x"]), (["x"], []), ([], [])]
+    for _ in range(600):
+        a = random.choices("abcde"[:random.randint(1, 5)], k=random.randint(0, 8))
+        b = list(a)
+        for _ in range(random.randint(0, 4)):
+            at = random.randrange(len(b) + 1)
+            b[at:at + random.randint(0, 1)] = random.choices("abcdef", k=random.randint(0, 2))
+        pairs.append((a, b))
+    rows = spark.createDataFrame(pairs + [(None, ["a"])], "a array<string>, b array<string>").select(
+        "a", "b", aligned_edits("a", "b").alias("got"), levenshtein_edits("a", "b").alias("want")).collect()
+    for r in rows:
+        assert r.got == (r.want or []), (r.a, r.b)
+    moved = next(r for r in rows if r.a == list("abcd"))
+    assert [(e.o_start, e.o_end, e.c_str, e.type) for e in moved.got] == [(0, 1, "", "U"), (4, 4, "a", "M")]

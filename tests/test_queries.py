@@ -67,8 +67,9 @@ def test_scorers_have_no_python_and_no_shuffle(spark):
     t = triples(spark, SF)
     builtin = _plan(t.select(gleu(tokens("prediction"), tokens("target_text")).alias("g")))
     scored = _plan(score_triples(t, metrics=("gleu",)))
-    record = _plan(E.queries()["grammar_record"](spark, SF))
-    assert not any("EvalPython" in p for p in (builtin, scored, record))
+    assert not any("EvalPython" in p for p in (builtin, scored))
+    # the alignment of the rows that need one is the record's only Python
+    assert _plan(E.queries()["grammar_record"](spark, SF)).count("ArrowEvalPython") <= 2
     # The only exchange allowed is the round-robin spread of a one-file input.
     for plan in (sari, builtin, scored):
         assert "hashpartitioning" not in plan
