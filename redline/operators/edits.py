@@ -23,18 +23,22 @@ def _c(col) -> Column:
 
 
 def common_prefix_len(a, b) -> Column:
-    """Length of the common prefix of two arrays (lambda-local zip_with;
-    the shorter side is padded with NULL, which never matches)."""
-    a, b = _c(a), _c(b)
-    eq = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    pos = F.array_position(eq, False)
-    return F.when(pos == 0, F.size(a)).otherwise(pos - 1).cast("int")
+    """Length of the common prefix of two token arrays. Where one begins with the whole
+    other, one comparison tells; else the tokens are walked up to the shorter's end."""
+    def walk(x: Column, y: Column, n: Column) -> Column:
+        eq = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+        return _let(F.array_position(eq, False), lambda pos: F.when(pos == 0, n).otherwise(pos - 1))
+
+    def of(x: Column, y: Column, n: Column) -> Column:
+        return _let(F.slice(x, 1, n), lambda u: _let(F.slice(y, 1, n), lambda v: F.when(u == v, n).otherwise(walk(u, v, n)))).cast("int")
+    return _let(_c(a), lambda x: _let(_c(b), lambda y: _let(F.least(F.size(x), F.size(y)), lambda n: F.when(x.isNotNull() & y.isNotNull(), of(x, y, n)))))
 
 
 def common_suffix_len(a, b, skip) -> Column:
     """Common suffix length, at most min(|a|,|b|) - skip (skip = prefix)."""
-    cap = F.least(F.size(_c(a)), F.size(_c(b))) - skip
-    return F.least(common_prefix_len(F.reverse(_c(a)), F.reverse(_c(b))), cap).cast("int")
+    a, b = _c(a), _c(b)
+    cap = F.least(F.size(a), F.size(b)) - skip
+    return F.when(cap == 0, F.lit(0)).otherwise(F.least(common_prefix_len(F.reverse(a), F.reverse(b)), cap)).cast("int")
 
 
 def edit_type(o_start: Column, o_end: Column, c_str: Column) -> Column:
@@ -61,40 +65,53 @@ def span_edit(src_tok, tgt_tok) -> Column:
     return _let(_c(src_tok), lambda s: _let(_c(tgt_tok), lambda t: with_arrays(s, t)))
 
 
+def differing_places(s: Column, t: Column) -> Column:
+    """The places (from 0) where two bound token arrays of one length differ."""
+    return F.array_remove(F.transform(s, lambda x, i: F.when(x != F.get(t, i), i).otherwise(F.lit(-1))), -1)
+
+
 def substitution_edits(src_tok, tgt_tok) -> Column:
     """Replacement edits where two equal-length token arrays differ, neighbours merged."""
-    none = F.lit(False)
-
-    def runs(f: Column, t: Column) -> Column:
-        first = F.transform(f, lambda x, i: F.when(x & ~F.coalesce(F.get(f, i - 1), none), i))
-        last = F.transform(f, lambda x, i: F.when(x & ~F.coalesce(F.get(f, i + 1), none), i + 1))
-        return F.zip_with(F.filter(first, lambda i: i.isNotNull()), F.filter(last, lambda i: i.isNotNull()), lambda i, j: F.struct(
-            i.cast("int").alias("o_start"), j.cast("int").alias("o_end"),
-            F.array_join(F.slice(t, i + 1, j - i), " ").alias("c_str"), F.lit("R").alias("type")))
-    return _let(F.zip_with(_c(src_tok), _c(tgt_tok), lambda x, y: x != y), lambda f: _let(_c(tgt_tok), lambda t: runs(f, t)))
+    def runs(d: Column, t: Column) -> Column:
+        first = F.filter(d, lambda x, k: F.coalesce(F.get(d, k - 1) != x - 1, F.lit(True)))
+        last = F.filter(d, lambda x, k: F.coalesce(F.get(d, k + 1) != x + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda i, j: F.struct(
+            i.cast("int").alias("o_start"), (j + 1).cast("int").alias("o_end"),
+            F.array_join(F.slice(t, i + 1, j + 1 - i), " ").alias("c_str"), F.lit("R").alias("type")))
+    return _let(_c(src_tok), lambda s: _let(_c(tgt_tok), lambda t: _let(differing_places(s, t), lambda d: runs(d, t))))
 
 
 def pairs_to_align(src_tok, tgt_tok) -> Column:
     """STRUCT<s, t> of two token arrays where only an alignment can tell the edits, else
     NULL. Arrays that differ by one inserted or deleted stretch don't need one; nor do those
     of one length that differ in two places, or hold no token in both sides' differing
-    places, as no alignment costs less than place by place."""
+    places, as no alignment costs less than place by place. No lambda refers to another's
+    variable: Spark doesn't find a Python helper whose argument nests them."""
     s, t = _c(src_tok), _c(tgt_tok)
-    differing = F.filter(F.zip_with(s, t, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda d: d["x"] != d["y"])
-    crossed = (F.size(differing) > 2) & F.arrays_overlap(differing["x"], differing["y"])
-    rest = F.least(F.size(s), F.size(t)) > common_prefix_len(s, t) + common_prefix_len(F.reverse(s), F.reverse(t))
-    return F.when((s != t) & F.when(F.size(s) == F.size(t), crossed).otherwise(rest), F.struct(s.alias("s"), t.alias("t")))
+
+    def walked(x: Column, y: Column) -> Column:
+        pos = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
+        return F.when(pos == 0, F.size(x)).otherwise(pos - 1)
+    left, right = F.filter(s, lambda x, i: x != F.get(t, i)), F.filter(t, lambda x, i: x != F.get(s, i))
+    crossed = (F.size(left) > 2) & F.arrays_overlap(left, right)
+    least = F.least(F.size(s), F.size(t))
+    begins = F.slice(s, 1, least) == F.slice(t, 1, least)
+    rest = F.when(begins, F.lit(False)).otherwise(least > walked(s, t) + walked(F.reverse(s), F.reverse(t)))
+    return F.when(F.when(s != t, F.when(F.size(s) == F.size(t), crossed).otherwise(rest)), F.struct(s.alias("s"), t.alias("t")))
 
 
 def aligned_edits(src_tok, tgt_tok) -> Column:
     """Token edits of src -> tgt by Levenshtein alignment, neighbours merged (R-07,
     'all-merge'). Only rows whose edits the place-wise comparison and the trimmed span
-    (R-08) can't tell are aligned by the Python helper; the others reach it as NULL."""
+    (R-08) can't tell are aligned by the Python helper; the others reach it as empty arrays
+    (of rows with NULL arrays, Spark's Arrow writer goes over a batch again for each row)."""
     from redline.operators.levenshtein import pair_edits
 
     s, t = _c(src_tok), _c(tgt_tok)
-    plain = F.when(F.size(s) == F.size(t), substitution_edits(s, t)).otherwise(as_edit_array(span_edit(s, t)))
-    return F.coalesce(pair_edits(pairs_to_align(s, t)), plain)
+    none = F.array().cast(f"array<{EDIT_DDL}>")
+    plain = F.when(s == t, none).when(F.size(s) == F.size(t), substitution_edits(s, t)).otherwise(as_edit_array(span_edit(s, t)))
+    empty = F.array().cast("array<string>")
+    return F.coalesce(pair_edits(F.coalesce(pairs_to_align(s, t), F.struct(empty.alias("s"), empty.alias("t")))), plain)
 
 
 def edit_key_strings(edits) -> Column:

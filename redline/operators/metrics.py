@@ -111,15 +111,15 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
         F.col(source).alias("_src"), F.col(prediction).alias("_pred"), F.col(target).alias("_tgt"),
         tokens(prediction, tokenizer).alias("_p"), tokens(target, tokenizer).alias("_r"))
     valid = F.col("_src").isNotNull() & F.col("_pred").isNotNull() & F.col("_tgt").isNotNull()
-    rows = rows.select("*", aligned_edits(words("_src"), words("_pred")).alias("_he"),
-                       aligned_edits(words("_src"), words("_tgt")).alias("_re"))
-    rows = rows.select("_em", "_p", "_r", *group_cols, F.when(valid, edit_confusion("_he", "_re")).alias("_c"))
+    rows = rows.select("_em", "_p", "_r", *group_cols, valid.alias("_ok"), words("_src").alias("_a"), words("_pred").alias("_b"), words("_tgt").alias("_t"))
+    rows = rows.select("*", aligned_edits("_a", "_b").alias("_he"), aligned_edits("_a", "_t").alias("_re"))
     gleu_row = F.when(F.col("_p").isNull() | F.col("_r").isNull(), F.lit(0.0)) \
                 .otherwise(gleu("_p", "_r"))
+    rows = rows.select("_em", *group_cols, gleu_row.alias("_g"), F.when(F.col("_ok"), edit_confusion("_he", "_re")).alias("_c"))
     agg = _group(rows, group_cols).agg(
         F.count(F.lit(1)).alias("total_examples"),
         F.count_if("_em").alias("exact_matches"),
-        (_mean0(gleu_row) * F.lit(100.0)).alias("gleu_score"),
+        (_mean0("_g") * F.lit(100.0)).alias("gleu_score"),
         *[F.coalesce(F.sum(f"_c.{c}"), F.lit(0)).alias(f"_{c}") for c in ("tp", "fp", "fn")],
     )
     return agg.select(

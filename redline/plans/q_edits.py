@@ -16,7 +16,7 @@ from redline.operators.edits import (
     as_edit_array,
     corrected_sentence,
     corrected_spans,
-    edit_confusion_counts,
+    edit_confusion as edit_counts,
     edit_key_strings,
     edit_pr,
     m2_block,
@@ -35,13 +35,20 @@ def r6(c):
 
 def edit_rows(spark, sf_dir, models=EDIT_MODELS):
     """Whitespace tokens of input, prediction and target plus the aligned
-    hypothesis (input -> prediction) and reference (input -> target) edits."""
-    t = triples(spark, sf_dir, models=models).select(
-        "doc_id", "line_no", "model", words("input_text").alias("a"),
-        words("prediction").alias("p"), words("target_text").alias("t"))
+    hypothesis (input -> prediction) and reference (input -> target) edits. What a line's
+    models share is made before they multiply it; a prediction that is the input or the
+    target has its tokens."""
+    t = triples(spark, sf_dir, models=models, made={"a": words("line"), "t": words("target_text")})
+    own = F.when(F.col("prediction") == F.col("input_text"), F.col("a")).when(F.col("prediction") == F.col("target_text"), F.col("t"))
+    t = t.select("doc_id", "line_no", "model", "a", own.otherwise(words("prediction")).alias("p"), "t")
     return t.select("*", aligned_edits("a", "p").alias("hyp"), aligned_edits("a", "t").alias("ref"))
 
 
+def counted(e):
+    """`e` with the columns tp, fp and fn of its edits, counted once a row."""
+    return e.withColumn("n", edit_counts("hyp", "ref")).select("*", "n.tp", "n.fp", "n.fn")
+
+
 _EDIT_SQL_BASE = f"""WITH {S.triples_cte(EDIT_MODELS)},
 w AS (SELECT doc_id, line_no, model, {S.words('input_text')} AS a, {S.words('prediction')} AS p,
              {S.words('target_text')} AS t FROM triples),
@@ -73,8 +80,7 @@ SELECT doc_id, line_no, model, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS f
 def edit_confusion(spark, sf_dir):
     """R-09: per-sentence TP/FP/FN of hypothesis vs reference edit sets."""
     e = edit_rows(spark, sf_dir)
-    tp, fp, fn = edit_confusion_counts("hyp", "ref")
-    return e.select("doc_id", "line_no", "model", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    return counted(e).select("doc_id", "line_no", "model", "tp", "fp", "fn")
 
 
 def _moves_sql():
@@ -118,9 +124,8 @@ def edit_confusion_moves(spark, sf_dir):
     move = F.concat(F.slice("a", 2, F.size("a") + 1), F.slice("a", 1, 1))
     made = t.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in (("append", put), ("move", move))])))
     e = made.select("doc_id", "line_no", "model", aligned_edits("a", "p").alias("hyp"), aligned_edits("a", "t").alias("ref"))
-    tp, fp, fn = edit_confusion_counts("hyp", "ref")
-    return e.select("doc_id", "line_no", "model", F.md5(F.array_join(edit_key_strings("hyp"), ";")).alias("edits_md5"),
-                    tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    return counted(e).select("doc_id", "line_no", "model", F.md5(F.array_join(edit_key_strings("hyp"), ";")).alias("edits_md5"),
+                             "tp", "fp", "fn")
 
 
 def _micro_sql():
@@ -136,8 +141,7 @@ def _micro_sql():
 def edit_prf_micro(spark, sf_dir):
     """M-03: corpus P/R/F0.5 from summed TP/FP/FN per model."""
     e = edit_rows(spark, sf_dir)
-    tp, fp, fn = edit_confusion_counts("hyp", "ref")
-    a = e.groupBy("model").agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"))
+    a = counted(e).groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     prf = M.micro_prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return a.select("model", "tp", "fp", "fn", *[r6(c).alias(n) for c, n in zip(
         prf, ["m2_precision", "m2_recall", "m2_f0_5"])])
@@ -165,6 +169,7 @@ def edit_prf_macro(spark, sf_dir):
     """M-04 / R-10: mean per-sentence P and R (list membership), then F0.5 of the means."""
     e = edit_rows(spark, sf_dir)
     p, r = edit_pr("hyp", "ref")
+    e = e.select("model", "hyp", "ref")
     a = e.groupBy("model").agg((F.avg(p) * 100).alias("ap"), (F.avg(r) * 100).alias("ar"))
     return a.select("model", *[r6(c).alias(n) for c, n in zip(
         M.macro_prf(F.col("ap"), F.col("ar")), ["m2_precision", "m2_recall", "m2_f0_5"])])
