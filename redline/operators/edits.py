@@ -100,18 +100,46 @@ def pairs_to_align(src_tok, tgt_tok) -> Column:
     return F.when(F.when(s != t, F.when(F.size(s) == F.size(t), crossed).otherwise(rest)), F.struct(s.alias("s"), t.alias("t")))
 
 
+def _unaligned_edits(s: Column, t: Column) -> Column:
+    """The edits of rows that `pairs_to_align` leaves out."""
+    none = F.array().cast(f"array<{EDIT_DDL}>")
+    return F.when(s == t, none).when(F.size(s) == F.size(t), substitution_edits(s, t)).otherwise(as_edit_array(span_edit(s, t)))
+
+
+def _or_empty(pair: Column) -> Column:
+    """Empty arrays where there is no pair: of rows with NULL arrays, Spark's Arrow writer
+    goes over a batch again for each row."""
+    empty = F.array().cast("array<string>")
+    return F.coalesce(pair, F.struct(empty.alias("s"), empty.alias("t")))
+
+
 def aligned_edits(src_tok, tgt_tok) -> Column:
     """Token edits of src -> tgt by Levenshtein alignment, neighbours merged (R-07,
     'all-merge'). Only rows whose edits the place-wise comparison and the trimmed span
-    (R-08) can't tell are aligned by the Python helper; the others reach it as empty arrays
-    (of rows with NULL arrays, Spark's Arrow writer goes over a batch again for each row)."""
+    (R-08) can't tell are aligned by the Python helper; the others reach it as empty arrays.
+    Over many rows `with_aligned_edits` gives the same and holds less."""
     from redline.operators.levenshtein import pair_edits
 
     s, t = _c(src_tok), _c(tgt_tok)
-    none = F.array().cast(f"array<{EDIT_DDL}>")
-    plain = F.when(s == t, none).when(F.size(s) == F.size(t), substitution_edits(s, t)).otherwise(as_edit_array(span_edit(s, t)))
-    empty = F.array().cast("array<string>")
-    return F.coalesce(pair_edits(F.coalesce(pairs_to_align(s, t), F.struct(empty.alias("s"), empty.alias("t")))), plain)
+    return F.coalesce(pair_edits(_or_empty(pairs_to_align(s, t))), _unaligned_edits(s, t))
+
+
+def with_aligned_edits(df: DataFrame, pairs: dict, keep) -> DataFrame:
+    """The columns `keep` of `df` and, by name, the `aligned_edits` of pairs (src, tgt) of its
+    token columns.
+
+    Spark holds the rows that wait for a Python helper, on disk where memory is short. So what
+    the pairs' arrays tell is made before, and the rows that wait have `keep`, their edits
+    and, of those to be aligned, the pair. `pair` and `plain` are asked twice: Spark merges
+    a projection of columns that are asked once into the next, and the arrays would wait too."""
+    from redline.operators.levenshtein import pair_edits
+
+    pair, plain = {n: f"_pair_{n}" for n in pairs}, {n: f"_plain_{n}" for n in pairs}
+    d = df.select("*", *[pairs_to_align(s, t).alias(pair[n]) for n, (s, t) in pairs.items()])
+    d = d.select(*keep, *pair.values(), *[F.when(F.col(pair[n]).isNull(), _unaligned_edits(_c(s), _c(t))).alias(plain[n]) for n, (s, t) in pairs.items()])
+    kept = [c for c in d.columns if c not in (*pair.values(), *plain.values())]
+    return d.select(*kept, *[F.when(F.col(pair[n]).isNull(), F.col(plain[n])).otherwise(
+        F.coalesce(pair_edits(_or_empty(F.col(pair[n]))), F.col(plain[n]))).alias(n) for n in pairs])
 
 
 def edit_key_strings(edits) -> Column:

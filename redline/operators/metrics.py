@@ -103,7 +103,7 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
                    tokenizer: str = "portable") -> DataFrame:
     """M-10 (grammar): total, exact matches, accuracy, GLEU x100 and micro edit
     P/R/F0.5 (edits = aligned token edits of each side vs the source, R-08/R-09)."""
-    from redline.operators.edits import aligned_edits, edit_confusion
+    from redline.operators.edits import edit_confusion, with_aligned_edits
 
     rows = df.select(
         *group_cols,
@@ -112,10 +112,10 @@ def grammar_record(df: DataFrame, group_cols=(), source="input_text",
         tokens(prediction, tokenizer).alias("_p"), tokens(target, tokenizer).alias("_r"))
     valid = F.col("_src").isNotNull() & F.col("_pred").isNotNull() & F.col("_tgt").isNotNull()
     rows = rows.select("_em", "_p", "_r", *group_cols, valid.alias("_ok"), words("_src").alias("_a"), words("_pred").alias("_b"), words("_tgt").alias("_t"))
-    rows = rows.select("*", aligned_edits("_a", "_b").alias("_he"), aligned_edits("_a", "_t").alias("_re"))
     gleu_row = F.when(F.col("_p").isNull() | F.col("_r").isNull(), F.lit(0.0)) \
                 .otherwise(gleu("_p", "_r"))
-    rows = rows.select("_em", *group_cols, gleu_row.alias("_g"), F.when(F.col("_ok"), edit_confusion("_he", "_re")).alias("_c"))
+    rows = with_aligned_edits(rows, {"_he": ("_a", "_b"), "_re": ("_a", "_t")}, ["_em", *group_cols, "_ok", gleu_row.alias("_g")])
+    rows = rows.select("_em", *group_cols, "_g", F.when(F.col("_ok"), edit_confusion("_he", "_re")).alias("_c"))
     agg = _group(rows, group_cols).agg(
         F.count(F.lit(1)).alias("total_examples"),
         F.count_if("_em").alias("exact_matches"),

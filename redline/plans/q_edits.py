@@ -10,7 +10,6 @@ from redline.functions.text import words
 from redline.operators import metrics as M
 from redline.operators.edits import (
     PUNCTUATION,
-    aligned_edits,
     assign_to_sentences,
     apply_edits,
     as_edit_array,
@@ -23,6 +22,7 @@ from redline.operators.edits import (
     m2_to_pairs,
     sentence_spans,
     span_edit,
+    with_aligned_edits,
 )
 from redline.plans import sql as S
 from redline.plans.fixtures import EDIT_MODELS, rule_prediction, triples
@@ -34,14 +34,13 @@ def r6(c):
 
 
 def edit_rows(spark, sf_dir, models=EDIT_MODELS):
-    """Whitespace tokens of input, prediction and target plus the aligned
-    hypothesis (input -> prediction) and reference (input -> target) edits. What a line's
-    models share is made before they multiply it; a prediction that is the input or the
-    target has its tokens."""
+    """The key, the input's words joined by blanks (src) and the aligned hypothesis (input ->
+    prediction) and reference (input -> target) edits. What a line's models share is made
+    before they multiply it; a prediction that is the input or the target has its tokens."""
     t = triples(spark, sf_dir, models=models, made={"a": words("line"), "t": words("target_text")})
     own = F.when(F.col("prediction") == F.col("input_text"), F.col("a")).when(F.col("prediction") == F.col("target_text"), F.col("t"))
     t = t.select("doc_id", "line_no", "model", "a", own.otherwise(words("prediction")).alias("p"), "t")
-    return t.select("*", aligned_edits("a", "p").alias("hyp"), aligned_edits("a", "t").alias("ref"))
+    return with_aligned_edits(t, {"hyp": ("a", "p"), "ref": ("a", "t")}, ["doc_id", "line_no", "model", F.array_join("a", " ").alias("src")])
 
 
 def counted(e):
@@ -123,7 +122,7 @@ def edit_confusion_moves(spark, sf_dir):
     put = F.concat("t", F.array(F.lit("also")))
     move = F.concat(F.slice("a", 2, F.size("a") + 1), F.slice("a", 1, 1))
     made = t.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in (("append", put), ("move", move))])))
-    e = made.select("doc_id", "line_no", "model", aligned_edits("a", "p").alias("hyp"), aligned_edits("a", "t").alias("ref"))
+    e = with_aligned_edits(made, {"hyp": ("a", "p"), "ref": ("a", "t")}, ["doc_id", "line_no", "model"])
     return counted(e).select("doc_id", "line_no", "model", F.md5(F.array_join(edit_key_strings("hyp"), ";")).alias("edits_md5"),
                              "tp", "fp", "fn")
 
@@ -203,7 +202,7 @@ def apply_edits_roundtrip(spark, sf_dir):
     reproduces the (blank-normalised) target."""
     e = edit_rows(spark, sf_dir, models=("identity",))
     with_ord = F.transform("ref", lambda x, i: x.withField("ord", i))
-    return e.select("doc_id", "line_no", apply_edits(F.array_join("a", " "), with_ord).alias("applied"))
+    return e.select("doc_id", "line_no", apply_edits("src", with_ord).alias("applied"))
 
 
 _M2_HYP = S.aligned_edit_keys("a", "p", S.m2_line_fmt(0))
@@ -225,7 +224,7 @@ def m2_format(spark, sf_dir):
     e = edit_rows(spark, sf_dir)
     coders = F.array(F.struct(F.lit(0).alias("coder"), F.col("hyp").alias("edits")),
                      F.struct(F.lit(1).alias("coder"), F.col("ref").alias("edits")))
-    return e.select("doc_id", "line_no", "model", m2_block("a", coders).alias("block"))
+    return e.select("doc_id", "line_no", "model", m2_block(F.array("src"), coders).alias("block"))
 
 
 def _m2_single_sql():
@@ -268,7 +267,7 @@ SELECT doc_id, line_no, md5(array_to_string(t[1:greatest(len(t) - 1, 0)], ' '))
 def corrected_sentence_q(spark, sf_dir):
     """C-07: the corrected sentence of the reference substitutions and the deletion
     of the last token: the target without its last word."""
-    e = edit_rows(spark, sf_dir, models=("identity",))
+    e = edit_rows(spark, sf_dir, models=("identity",)).withColumn("a", words("src"))
     n = F.size("a")
     keep = F.filter("ref", lambda x: x["o_start"] < n - 1)  # the last word goes, corrected or not
     last = F.when(n > 0, F.array(F.struct((n - 1).alias("o_start"), n.alias("o_end"), F.lit("").alias("c_str"), F.lit("U").alias("type"))))
@@ -293,7 +292,7 @@ def edit_running_offset(spark, sf_dir):
     """W-01 / C-07: edit spans in the corrected sentence (running offset of
     the preceding edits), for the reference substitutions plus the deletion
     of the last token."""
-    e = edit_rows(spark, sf_dir, models=("identity",))
+    e = edit_rows(spark, sf_dir, models=("identity",)).withColumn("a", words("src"))
     last_del = as_edit_array(span_edit("a", F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0)))))
     rows = e.select("doc_id", "line_no", F.posexplode(F.concat("ref", last_del)).alias("ord", "e")).select("doc_id", "line_no", "ord", "e.*")
     x = corrected_spans(rows, ["doc_id", "line_no"])
@@ -333,7 +332,7 @@ def sentence_assign(spark, sf_dir):
     assign token edits to sentences: the reference substitutions, plus an
     insertion of '.' and of 'x' at the end of the first sentence and an edit
     crossing that boundary (dropped)."""
-    e = edit_rows(spark, sf_dir, models=("identity",)).select(
+    e = edit_rows(spark, sf_dir, models=("identity",)).withColumn("a", words("src")).select(
         "doc_id", "line_no", "a", "ref", sentence_spans("a").alias("sents"))
     k = F.element_at("sents", 1)["s_end"]
 

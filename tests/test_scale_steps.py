@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from redline.functions.readability import syllable_count
 from redline.functions.tokens import tokens
 from redline.operators import levenshtein as L
-from redline.operators.edits import aligned_edits
+from redline.operators.edits import aligned_edits, with_aligned_edits
 from redline.operators.scores import gleu, score_triples
 from redline.session import shared_path
 from redline.sinks import write_triples
@@ -45,6 +45,17 @@ def test_rows_without_alignment_reach_the_helper_empty(spark):
     assert [[tuple(x) for x in r.e] for r in got.collect()] == [[], [(1, 2, "c", "R")], [(0, 0, "b", "M")]]
 
 
+def test_rows_that_wait_for_the_aligner_hold_no_tokens(spark):
+    """Spark keeps the rows of a Python helper in a queue that goes to disk: their token arrays must not be in it."""
+    rnd = random.Random(11)
+    rows = [(k, [rnd.choice("abc") for _ in range(rnd.randrange(9))], [rnd.choice("abc") for _ in range(rnd.randrange(9))]) for k in range(300)]
+    rows = spark.createDataFrame([*rows, (300, None, ["a"]), (301, ["a"], None)], "k long, s array<string>, t array<string>").select("k", "s", F.array_distinct("t").alias("t"))
+    got = with_aligned_edits(rows, {"e": ("s", "t")}, ["k"])
+    waiting = got._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1].splitlines()[1]
+    assert "k#" in waiting.split("CASE")[0] and not {" s#", " t#"} & {x.split("#")[0] + "#" for x in waiting[waiting.index("["):].split(",")}
+    assert sorted(got.collect()) == sorted(rows.select("k", aligned_edits("s", "t").alias("e")).collect())
+
+
 def _gleu(h, r):
     grams = lambda t: Counter(tuple(t[i:i + n]) for n in range(1, 5) for i in range(len(t) - n + 1))
     a, b = grams(h), grams(r)
