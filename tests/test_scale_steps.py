@@ -111,3 +111,19 @@ def test_runs_saved_gzipped_are_read_whole(spark):
     got, skipped = read_runs(spark, f"{root}/*")
     assert sorted((r.input_text, r.target_text, r.prediction) for r in got.collect()) == sorted(rows)
     assert skipped.count() == 0
+
+
+def test_made_tokens_are_read_where_null_texts_count_as_nan(spark):
+    """`literal_nan` takes the tokens that were made before; only a NULL text's are those of 'nan'."""
+    d = spark.createDataFrame([("a b", "a b", "x"), (None, "nan", None)], "input_text string, prediction string, target_text string")
+    made = d.withColumn("target_text__tok", F.when(F.col("target_text").isNotNull(), F.split(F.lit("a b"), " ")))
+    assert [r.gleu for r in score_triples(made, metrics=("gleu",), null_policy="literal_nan").collect()] == [1.0, 1.0]
+
+
+def test_gleu_of_a_shorter_text_that_differs_in_places(spark):
+    """Arrays of two lengths: held place by place, by what prefix and suffix leave, or one the start of the other."""
+    a = [f"w{i}" for i in range(40)]
+    pairs = [(a, [*a[:3], "x", *a[4:30], "y", *a[31:-1]]), (a, ["x", *a]), (a, ["x", *a[:9], *a[10:], "y", "z"]), (a, a[:-1]), (a, [])]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate([*pairs, *[(r, h) for h, r in pairs]])], "k long, h array<string>, r array<string>")
+    assert [round(x.g, 12) for x in rows.select("k", gleu("h", "r").alias("g")).orderBy("k").collect()] == [
+        round(_gleu(h, r), 12) for h, r in [*pairs, *[(r, h) for h, r in pairs]]]
