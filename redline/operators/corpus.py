@@ -149,7 +149,8 @@ def _look_up(table: DataFrame, missing: int | None):
             found = pc.if_else(pc.or_(pc.is_valid(at), pc.is_null(flat)), found, pa.scalar(missing, pa.int64()))
         return _as_lists(tokens, found)
 
-    return ids
+    # else Spark moves a filter on the ids down to the scan, and there makes tokens and ids once more
+    return ids.asNondeterministic()
 
 
 #: Stands for an id that is still to be joined.

@@ -49,11 +49,14 @@ def word_type(token: Column) -> Column:
 
 def stop_counts(df: DataFrame, col: str) -> DataFrame:
     """(type, stopped, plain): how often each word with a letter stands with a full stop and
-    without one in the token arrays `col`; the row of type NULL counts all other tokens."""
-    t = df.select(F.explode(col).alias("t")).where("t is not null").select(bare(F.col("t")).alias("t"))
+    without one in the token arrays `col`; the row of type NULL counts all other tokens.
+    Tokens are counted as they stand first; patterns are tried on each distinct one. (For a plain
+    explode Spark asks the array's size before, and so makes the tokens twice.)"""
+    t = df.select(F.explode_outer(col).alias("t")).where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n")).select(bare(F.col("t")).alias("t"), "n")
     kind = F.when(word_type(F.col("t")).rlike(r"\p{L}"), word_type(F.col("t")))
-    return t.select(kind.alias("type"), has_stop(F.col("t")).alias("s")).groupBy("type").agg(
-        F.count_if("s").alias("stopped"), F.count_if(~F.col("s")).alias("plain"))
+    times = lambda some: F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0))
+    return t.select(kind.alias("type"), has_stop(F.col("t")).alias("s"), "n").groupBy("type").agg(
+        times(F.col("s")).alias("stopped"), times(~F.col("s")).alias("plain"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -77,19 +80,35 @@ def learn_abbreviations(df: DataFrame, col: str, threshold: float = THRESHOLD) -
     return written(abbreviation_scores(stop_counts(df, col)).where(F.col("score") >= threshold))
 
 
+def final_marks(col) -> Column:
+    """The tokens of an array that end in a final mark, as (at, w): their place from 1 and
+    their text. Most tokens hold none of the marks, which is cheaper to ask than the pattern."""
+    some = lambda t: t.contains(".") | t.contains("!") | t.contains("?")
+    return F.filter(F.transform(col, lambda t, i: F.when(some(t), F.when(t.rlike(FINAL), F.struct((i + 1).alias("at"), t.alias("w"))))), lambda x: x.isNotNull())
+
+
 def sentence_ends(df: DataFrame, col: str, abbreviations: DataFrame, key_cols) -> DataFrame:
     """(key_cols, col, ends): for every row with tokens the offsets after the tokens that end
     a sentence, the last one being the number of tokens; key_cols name a row."""
+    return marked_ends(df, col, abbreviations, key_cols, (col,)).select(*key_cols, col, "ends")
+
+
+def marked_ends(df: DataFrame, col: str, abbreviations: DataFrame, key_cols, carry=()) -> DataFrame:
+    """(key_cols, carry, ends, marks): `ends` as `sentence_ends` gives them and, as `marks`, those
+    that all final marks would give. Only the tokens that end in one are looked up, and a NULL
+    for the end of a row, so that rows with tokens have one."""
     def stopped(t: Column) -> Column:
         return let(bare(t), lambda b: F.when(has_stop(b), F.substr(b, F.lit(1), F.length(b) - 1)))
 
-    d = df.select(*key_cols, col, F.transform(col, stopped).alias("_stopped"))
+    n = F.size(col)
+    d = df.select(*key_cols, *carry, n.cast("int").alias("_n"), final_marks(col).alias("_final"))
+    d = d.withColumn("_at", F.transform("_final", lambda x: x["at"])).withColumn("_stopped", F.concat(
+        F.transform("_final", lambda x: stopped(x["w"])), F.when(F.col("_n") > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))))
     table = abbreviations.select(F.col("type").alias("token"), F.lit(0).cast("long").alias("id"))
-    known = encode_with_vocab(d, "_stopped", table, key_cols, carry=(col,))
-    pairs = F.arrays_zip(F.col(col).alias("w"), F.col("ids").alias("a"))
-    ends = let(F.size(col), lambda n: F.filter(F.transform(pairs, lambda x, i: F.when((x["w"].rlike(FINAL) & x["a"].isNull()) | (i == n - 1), i + 1)),
-                                               lambda e: e.isNotNull()))
-    return known.select(*key_cols, col, ends.alias("ends"))
+    known = encode_with_vocab(d.select(*key_cols, *carry, "_n", "_at", "_stopped"), "_stopped", table, key_cols, carry=(*carry, "_n", "_at"))
+    inner = lambda at: F.concat(F.filter(at, lambda e: e < F.col("_n")), F.array("_n"))
+    open_ = F.transform(F.filter(F.zip_with("_at", F.slice("ids", 1, F.size("_at")), lambda e, a: F.struct(e.alias("e"), a.alias("a"))), lambda x: x["a"].isNull()), lambda x: x["e"])
+    return known.select(*key_cols, *carry, inner(open_).alias("ends"), inner(F.col("_at")).alias("marks"))
 
 
 def count_sentences(df: DataFrame, text_col: str, key_cols, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,7 +18,7 @@ from redline.operators.corpus import (
     encode_with_vocab,
     vocabulary,
 )
-from redline.operators.sentences import FINAL, learn_abbreviations, sentence_ends
+from redline.operators.sentences import learn_abbreviations, marked_ends
 from redline.operators.quality import dedup_exact, duplicate_groups, ngram_overlap
 from redline.plans import sql as S
 from redline.plans.fixtures import lines, turn_triples
@@ -168,7 +168,7 @@ SELECT type, stopped, plain, round(score, 4) AS score FROM learned""")
 def abbreviations_learned(spark, sf_dir):
     """C-06: the abbreviations of the whole corpus, from how often each word
     stands with and without a full stop."""
-    d = spread(read_table(spark, sf_dir, "documents").select(words(_abbreviated(F.col("text"))).alias("w")))
+    d = spread(read_table(spark, sf_dir, "documents").select("text")).select(words(_abbreviated(F.col("text"))).alias("w"))
     return learn_abbreviations(d, "w").select("type", "stopped", "plain", F.round("score", 4).alias("score"))
 
 
@@ -179,10 +179,9 @@ FROM ty GROUP BY doc_id""")
 def learned_sentences(spark, sf_dir):
     """C-06 / P-23: sentences of every document, full stops of learned
     abbreviations left out, beside all of its final marks."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", words(_abbreviated(F.col("text"))).alias("w")))
-    e = sentence_ends(d, "w", learn_abbreviations(d, "w"), ["doc_id"])
-    marks = F.size(F.filter(F.transform("w", lambda t, i: t.rlike(FINAL) | (i == F.size("w") - 1)), lambda x: x))
-    return e.select("doc_id", F.size("ends").cast("long").alias("n_sentences"), marks.cast("long").alias("n_stops"))
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words(_abbreviated(F.col("text"))).alias("w"))
+    e = marked_ends(d, "w", learn_abbreviations(d, "w"), ["doc_id"])
+    return e.select("doc_id", F.size("ends").cast("long").alias("n_sentences"), F.size("marks").cast("long").alias("n_stops"))
 
 
 def _sent_sql(x):

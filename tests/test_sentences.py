@@ -88,3 +88,14 @@ def test_texts_without_stops(spark):
     only = spark.createDataFrame([(1, "a. b. c.")], "k int, text string")
     assert S.learn_abbreviations(only.select(words("text").alias("w")), "w").count() == 0
     assert only.select(F.size(words("text"))).first()[0] == 3
+
+
+def test_patterns_are_tried_on_distinct_tokens_and_final_marks_only(spark):
+    table = spark.createDataFrame([(1, ["ca.", "two", "words", "(end.)"]), (2, ["Ca.", "no", "mark"]), (3, []), (4, ["Why?!", None, "x"])], "k long, w array<string>")
+    plan = S.stop_counts(table, "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Aggregate [t#" in plan and "Filter (size" not in plan
+    learned = spark.createDataFrame([("ca",)], "type string")
+    got = S.marked_ends(table, "w", learned, ["k"])
+    assert sorted((r.k, r.ends, r.marks) for r in got.collect()) == [(1, [4], [1, 4]), (2, [3], [1, 3]), (4, [1, 3], [1, 3])]
+    assert got.columns == ["k", "ends", "marks"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
