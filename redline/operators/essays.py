@@ -104,10 +104,11 @@ def place_edits(edits: DataFrame, paras: DataFrame, id_col: str = "essay_id", by
     key = [id_col, "para_no"]
     carried = [c for c in edits.columns if c not in (*key, "start", "end")]
     word = F.split(F.regexp_replace("para", pt.WS, " "), " ", -1)
-    tokens = paras.select(*key, F.posexplode(word).alias("_k", "_w")).select(*key, F.lit(0).alias("_kind"), "_k", F.length("_w").alias("_len"))
+    lens = paras.where("para is not null").select(*key, F.lit(0).alias("_kind"), F.transform(word, lambda w: F.length(w)).alias("_lens"))
     ends = F.array(F.struct(F.lit(0).alias("side"), F.col("start").cast("int").alias("x")), F.struct(F.lit(1).alias("side"), F.col("end").cast("int").alias("x")))
     marks = edits.select(*key, F.lit(1).alias("_kind"), F.struct(*carried).alias("_e"), F.inline(ends).alias("_side", "_x"))
-    both = tokens.unionByName(marks, allowMissingColumns=True)
+    both = lens.unionByName(marks, allowMissingColumns=True).repartition(*key)
+    both = both.select(*[c for c in both.columns if c != "_lens"], F.posexplode_outer("_lens").alias("_k", "_len"))
     earlier = Window.partitionBy(*key).orderBy("_kind", "_k").rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("int")
     solid = F.col("_len") > 0
@@ -187,13 +188,14 @@ def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id
                  pre_split: bool = False, merge: str = "all-merge") -> DataFrame:
     """C-09: essays + character edits per coder -> one M2 block per sentence.
 
-    Text is normalised (P-16); paragraphs are cut, cleaned and tokenised once and
-    written to the shared folder (C-04..C-06); edits find their paragraph and lose
+    Text is normalised (P-16); paragraphs are cut and cleaned once and written to
+    the shared folder with the ends of their sentences (C-04..C-06), and their tokens, a split
+    of the cleaned text, are made again where they are read; edits find their paragraph and lose
     covering detections in ordered passes (J-04, J-05), and so they meet tokens and
     sentences (C-05, J-06, J-07); the placed edits of a paragraph then take its tokens'
     texts in one row; corrections are minimised and empty ones dropped (C-08),
-    ordered by end, then start (W-04). Only sentences' own tokens and lines are
-    joined and grouped by sentence; every coder of the essay gets lines or an
+    ordered by end, then start (W-04). Paragraphs meet their edits and their lines by the
+    same key, so that their text is exchanged once, and are cut into sentences last; every coder of the essay gets lines or an
     explicit noop (J-02, J-08, K-05).
 
     edit_mode='auto' replaces the coder's edits by those of aligning the sentence
@@ -202,7 +204,9 @@ def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id
         raise ValueError("edit_mode must be 'gold' or 'auto'")
     key = [id_col, "para_no"]
     es = essays_df.select(id_col, normalize_punct("text").alias("text"))
-    body = written(paragraph_tokens(paragraphs(es, id_col), id_col, pre_split))
+    body = paragraph_tokens(paragraphs(es, id_col), id_col, pre_split).drop("toks")
+    body = written(body.withColumn("clean_para", F.nullif("clean_para", "para")))  # mostly the paragraph as it is
+    text = body.select(*key, F.coalesce("clean_para", "para").alias("clean_para"), "sent_ends")
     real = classify_edits(edits.select(id_col, "coder", "ord", "start", "end", "cor", "type").where("start is not null"))
     kept = drop_covering_detections(edits_to_paragraphs(real, body.select(*key, "p_start", "p_end"), id_col), id_col)
     cor = F.coalesce("cor", F.lit(""))
@@ -214,7 +218,7 @@ def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id
     sentences = body.select(*key, F.inline(bounds))
     assigned = assign_to_sentences(placed.withColumnsRenamed({"t_start": "o_start", "t_end": "o_end"}), sentences, key, F.col("closes"))
     per = assigned.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in assigned.columns if c not in key])).alias("e"))
-    met = body.select(*key, "clean_para", "toks", "sent_ends").join(per, key)
+    met = text.join(per, key).withColumn("toks", words("clean_para"))
     char = lambda a, b: F.substr("clean_para", a + 1, F.greatest(b - a, F.lit(0)))
 
     def token_edit(x):
@@ -229,14 +233,18 @@ def essays_to_m2(essays_df: DataFrame, edits: DataFrame, id_col: str = "essay_id
     at = [*key, "sent_no"]
     starts = F.concat(F.array(F.lit(0)), F.slice("sent_ends", 1, F.greatest(F.size("sent_ends") - 1, F.lit(0))))
     cut = F.zip_with(starts, "sent_ends", lambda s, e: F.array_join(F.slice("toks", s + 1, e - s), " "))
-    sents = body.select(*key, F.posexplode(cut).alias("sent_no", "src"))
     if edit_mode == "gold":
         lines = _gold_lines(rows, at)
     else:
-        lines = _auto_lines(rows, sents, at, merge)
+        lines = _auto_lines(rows, text.withColumn("toks", words("clean_para")).select(*key, F.posexplode(cut).alias("sent_no", "src")), at, merge)
     per_sent = lines.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("coder", "o_end", "o_start", "ord", "line"))).alias("lines"))
     coders = edits.groupBy(id_col).agg(F.sort_array(F.collect_set(F.col("coder").cast("int"))).alias("coders"))
-    full = sents.join(per_sent, at, "left").join(coders, id_col)
+    per_para = per_sent.groupBy(*key).agg(F.collect_list(F.struct("sent_no", "lines")).alias("per"))
+    named = body.select(*key).distinct().join(coders, id_col)
+    full = text.join(named, key).join(per_para, key, "left").withColumn("toks", words("clean_para"))
+    own_lines = let(F.transform("per", lambda x: x["sent_no"]), lambda nos: F.transform(cut, lambda src, i: F.struct(
+        src.alias("src"), F.get("per", F.array_position(nos, i).cast("int") - 1)["lines"].alias("lines"))))
+    full = full.select(*key, "coders", F.posexplode_outer(own_lines).alias("sent_no", "x")).where("sent_no is not null").select(*at, "coders", "x.src", "x.lines")
     none = F.array().cast(full.schema["lines"].dataType)
 
     def of_coder(c):

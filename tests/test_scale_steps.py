@@ -127,3 +127,14 @@ def test_gleu_of_a_shorter_text_that_differs_in_places(spark):
     rows = spark.createDataFrame([(k, *p) for k, p in enumerate([*pairs, *[(r, h) for h, r in pairs]])], "k long, h array<string>, r array<string>")
     assert [round(x.g, 12) for x in rows.select("k", gleu("h", "r").alias("g")).orderBy("k").collect()] == [
         round(_gleu(h, r), 12) for h, r in [*pairs, *[(r, h) for h, r in pairs]]]
+
+
+def test_tokens_become_rows_after_the_exchange(spark):
+    """A paragraph goes through the exchange as the lengths of its tokens, not as a row of each."""
+    from redline.operators.essays import place_edits
+
+    edits = spark.createDataFrame([("e", 0, 1, 0, 2, 3)], "essay_id string, para_no int, coder int, ord int, start int, end int")
+    placed = place_edits(edits, edits.selectExpr("essay_id", "para_no", "'a bc  d' as para"))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Exchange hashpartitioning(essay_id") and plan.count("Exchange hashpartitioning") == 1
+    assert [(r.start, r.end, r.t_start, r.t_end, r.c_start, r.c_end) for r in placed.collect()] == [(2, 3, 1, 2, 2, 4)]
