@@ -46,7 +46,7 @@ def lines(docs: DataFrame) -> DataFrame:
     and one-word ones included. Key (doc_id, line_no)."""
     exploded = docs.select("doc_id", "lang", "source",
                            F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return spread(exploded)
+    return spread(exploded, docs)
 
 
 def triples(spark: SparkSession, sf_dir: str, models=RULE_MODELS, with_tokens: bool = False, made: dict[str, Column] | None = None) -> DataFrame:

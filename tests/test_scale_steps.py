@@ -4,6 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from redline.functions.readability import syllable_count
@@ -138,3 +141,25 @@ def test_tokens_become_rows_after_the_exchange(spark):
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert plan.index("posexplode") < plan.index("Exchange hashpartitioning(essay_id") and plan.count("Exchange hashpartitioning") == 1
     assert [(r.start, r.end, r.t_start, r.t_end, r.c_start, r.c_end) for r in placed.collect()] == [(2, 3, 1, 2, 2, 4)]
+
+
+@pytest.mark.parametrize("sizes, exchanged", [((40,) * 8, False), ((320,), True), ((5, 5, 300, 5, 5), True), ((), True)])
+def test_one_file_that_is_split_evenly_is_not_exchanged(spark, tmp_path, sizes, exchanged):
+    """A scan whose row groups fall to all cores: the exchange that spreads a small table would put the whole input on disk."""
+    from redline.plans.q_edits import edit_prf_micro
+
+    rnd, n = random.Random(9), 320 if sizes else 0
+    texts = ["\n".join(" ".join(rnd.choices(["the", "and", "or", "a", "cat"], k=12)) for _ in range(3)) for _ in range(n)]
+    table = pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(["en"] * n, pa.string()), "source": pa.array([None] * n, pa.string())})
+    with pq.ParquetWriter(f"{tmp_path}/documents.parquet", table.schema) as out:
+        for k, rows in enumerate(sizes):
+            out.write_table(table.slice(sum(sizes[:k]), rows))
+    whole = spark.createDataFrame(table.to_pandas(), "doc_id long, text string, lang string, source string")
+    whole.repartition(5).write.parquet(f"{tmp_path}/many/documents.parquet")  # more files than cores
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = edit_prf_micro(spark, str(tmp_path))
+        assert ("RoundRobinPartitioning" in got._jdf.queryExecution().executedPlan().toString()) == exchanged
+        assert sorted(got.collect()) == sorted(edit_prf_micro(spark, f"{tmp_path}/many").collect()) and got.count() == (4 if n else 0)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
