@@ -91,11 +91,13 @@ def replicate(prints: DataFrame, bits: int) -> DataFrame:
 
 
 def links(prints: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at `bits` or fewer differing bits."""
+    """Pairs (a, b), a < b, of distinct fingerprints at `bits` or fewer differing bits. The
+    anchors are sorted and merged: Spark takes them for no larger than the fingerprints'
+    file, a few bytes a row of which there are many times more, and would broadcast them."""
     near = replicate(prints, bits)
     a, b = near.select(F.col("fp").alias("a"), "anchor"), near.select(F.col("fp").alias("b"), F.col("anchor").alias("at"))
     close = (F.col("anchor") == F.col("at")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return a.join(b, close).select("a", "b").distinct()
+    return a.join(b.hint("merge"), close).select("a", "b").distinct()
 
 
 def hex16(fp: Column) -> Column:

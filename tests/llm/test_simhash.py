@@ -100,3 +100,12 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = sorted(((r.doc_id or 0, r.text) for r in simhash.keep(docs).collect()))
     assert out == [(0, "all by itself in here"), (1, one), (2, other), (4, third)]
+
+
+def test_anchors_are_not_broadcast(spark):
+    """Spark sizes the anchors by the fingerprints' file, so however few they look they are sorted and merged."""
+    prints = spark.createDataFrame([(k,) for k in (0, 1, 3, 15, 255)], "fp long")
+    found = simhash.links(prints, 2)
+    assert {tuple(r) for r in found.collect()} == {(0, 1), (0, 3), (1, 3), (3, 15)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
