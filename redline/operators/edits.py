@@ -321,8 +321,9 @@ _SENT_END_TOKEN = r"[.!?]$"
 
 def sentence_spans(tok) -> Column:
     """C-06: split a token array into sentences at tokens ending in . ! or ?
-    (the paragraph end closes the last one): ARRAY<STRUCT<sent_no, s_start,
-    s_end, is_last>> with token offsets [s_start, s_end)."""
+    (the paragraph end closes the last one, which is empty in a text without
+    tokens): ARRAY<STRUCT<sent_no, s_start, s_end, is_last>> with token offsets
+    [s_start, s_end)."""
     def spans(t: Column) -> Column:
         n = F.size(t)
         ends = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(_SENT_END_TOKEN), i + 1)),
@@ -333,11 +334,9 @@ def sentence_spans(tok) -> Column:
         def build(en: Column) -> Column:
             starts = F.concat(F.array(F.lit(0)), F.slice(en, 1, F.greatest(F.size(en) - 1, F.lit(0))))
             return F.zip_with(starts, en, lambda s, e: F.struct(s.alias("s_start"), e.alias("s_end")))
-        pairs = _let(ends, build)
-        return F.when(n == 0, F.array().cast("array<struct<sent_no:int,s_start:int,s_end:int,is_last:boolean>>")) \
-                .otherwise(_let(pairs, lambda ps: F.transform(ps, lambda p, i: F.struct(
-                    i.cast("int").alias("sent_no"), p["s_start"].cast("int").alias("s_start"),
-                    p["s_end"].cast("int").alias("s_end"), (i == F.size(ps) - 1).alias("is_last")))))
+        return _let(_let(ends, build), lambda ps: F.transform(ps, lambda p, i: F.struct(
+            i.cast("int").alias("sent_no"), p["s_start"].cast("int").alias("s_start"),
+            p["s_end"].cast("int").alias("s_end"), (i == F.size(ps) - 1).alias("is_last"))))
     return _let(_c(tok), spans)
 
 

@@ -94,6 +94,19 @@ def test_sentence_assignment_rules(spark):
     assert got == [("!", 0, 3, 3), ("B", 0, 1, 2), ("w", 1, 3, 3), ("z", 1, 0, 0)]
 
 
+def test_blank_lines_are_one_empty_sentence(spark, tmpdir_path):
+    """A line without words is a sentence of no tokens: insertions at its end belong to it."""
+    import duckdb
+    from redline.plans import ORACLE, QUERIES
+    rows = [(1, "A b the c. D e\n\nx y"), (2, ""), (3, " \t "), (4, None)]
+    spark.createDataFrame([(k, t, "en", "a") for k, t in rows], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["sentence_assign"](spark, tmpdir_path).collect())
+    assert [r for r in got if r[:2] in ((1, 1), (2, 0), (3, 0))] == [(*k, 0, 0, 0, c) for k in ((1, 1), (2, 0), (3, 0)) for c in (".", "x")]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmpdir_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.sql(ORACLE["sentence_assign"]).fetchall())
+
+
 def _brute_distance(a, b):
     from functools import lru_cache
 
