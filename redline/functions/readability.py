@@ -35,6 +35,21 @@ def readability_parts(col) -> Column:
                     syllable_count(col).alias("y"))
 
 
+def shared_parts(col, known: dict) -> Column:
+    """`readability_parts` of a text column: those of the first column of `known` (text ->
+    its parts) that holds the same text, made only where none does."""
+    x = _c(col)
+    same = [(F.coalesce(x == _c(text), F.lit(False)), _c(parts)) for text, parts in known.items()]
+    other = F.lit(True)
+    for equal, _ in same:
+        other = other & ~equal
+    own = readability_parts(F.when(other, x))  # of a NULL nothing is counted
+    out = F.when(other, own)
+    for equal, parts in same:
+        out = out.when(equal, parts)
+    return out
+
+
 def _fre(p: Column) -> Column:
     w, s, y = p["w"].cast("double"), p["s"].cast("double"), p["y"].cast("double")
     return F.when(p["w"] > 0, F.lit(pt.FRE_BASE) - F.lit(pt.FRE_WPS) * (w / s)

@@ -52,15 +52,15 @@ def lines(docs: DataFrame) -> DataFrame:
 def triples(spark: SparkSession, sf_dir: str, models=RULE_MODELS, with_tokens: bool = False, made: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, line_no, lang, source, model, input_text, target_text, prediction);
     `with_tokens` adds the tokens and word counts of input and target (s_tok,
-    r_tok, wi, wt), and `made` named columns of `line` and `target_text`, made before
-    the rows are multiplied by the models."""
+    r_tok, wi, wt), and `made` named columns of `line`, `target_text` and those named
+    before, made before the rows are multiplied by the models."""
     base = lines(read_table(spark, sf_dir, "documents"))
     preds = F.array(*[F.struct(F.lit(m).alias("model"), rule_prediction(m, "line").alias("prediction"))
                       for m in models])
     base = base.withColumn("target_text", reference_target("line"))
     extra = list(made or {})
-    if made:
-        base = base.select("*", *[c.alias(n) for n, c in made.items()])
+    for n, c in (made or {}).items():
+        base = base.withColumn(n, c)
     if with_tokens:
         extra += ["s_tok", "r_tok", "wi", "wt"]
         base = base.select("*", tokens("line").alias("s_tok"), tokens("target_text").alias("r_tok"),

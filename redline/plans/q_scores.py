@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redline.functions.readability import flesch_kincaid_grade, flesch_reading_ease
+from redline.functions.readability import fkgl_from_parts, flesch_kincaid_grade, flesch_reading_ease, fre_from_parts, readability_parts, shared_parts
 from redline.functions.text import exact_match, word_count
 from redline.functions.tokens import TREEBANK_RULES, ngrams, tokens
 from redline.operators import metrics as M
@@ -218,12 +218,16 @@ SELECT model, round(avg({_FRE_P}), 6) AS prediction_fre, round(avg({_FKGL_P}), 6
        round(avg({_FRE_T}), 6) AS target_fre, round(avg({_FKGL_T}), 6) AS target_fkgl
 FROM triples GROUP BY model""")
 def flesch_corpus(spark, sf_dir):
-    t = triples(spark, sf_dir)
-    return t.groupBy("model").agg(
-        r6(F.avg(flesch_reading_ease("prediction"))).alias("prediction_fre"),
-        r6(F.avg(flesch_kincaid_grade("prediction"))).alias("prediction_fkgl"),
-        r6(F.avg(flesch_reading_ease("target_text"))).alias("target_fre"),
-        r6(F.avg(flesch_kincaid_grade("target_text"))).alias("target_fkgl"))
+    """M-07: words, sentences and syllables are counted once a text: those of a line and its
+    target before the models multiply them, those of a prediction where it differs from both."""
+    made = {"line_parts": readability_parts("line"), "target_parts": shared_parts("target_text", {"line": "line_parts"})}
+    t = triples(spark, sf_dir, made=made)
+    own = shared_parts("prediction", {"input_text": "line_parts", "target_text": "target_parts"})
+    t = t.select("model", own.alias("p"), F.col("target_parts").alias("t"))
+    t = t.select("model", *[f(F.col(c)).alias(n) for n, f, c in (
+        ("prediction_fre", fre_from_parts, "p"), ("prediction_fkgl", fkgl_from_parts, "p"),
+        ("target_fre", fre_from_parts, "t"), ("target_fkgl", fkgl_from_parts, "t"))])
+    return t.groupBy("model").agg(*[r6(F.avg(c)).alias(c) for c in t.columns[1:]])
 
 
 def _round_doubles(df, keep=()):

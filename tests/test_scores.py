@@ -120,3 +120,18 @@ def test_truncate_and_budget(spark):
         "One two three.", "One two", "one two three four five six."]
     n = spark.createDataFrame([(" ".join(["w"] * k),) for k in (0, 1, 10, 57, 58, 100)], "t string")
     assert [r.b for r in n.select(token_budget("t").alias("b")).collect()] == [0, 1, 10, 59, 60, 60]
+
+
+def test_shared_readability_parts(spark, tmpdir_path):
+    """Parts of equal texts are shared, those of others made, NULL texts kept NULL; each of
+    the queries' target texts is counted once, before the models multiply the lines."""
+    from redline.functions.readability import readability_parts, shared_parts
+    from redline.plans import QUERIES
+    rows = [("A b. C!", "A b. C!", "x"), ("rhythm", "one", "one"), (None, "one", "two"), ("eau", None, "a"), ("", "", ""), ("oh", None, None)]
+    d = spark.createDataFrame(rows, "p string, s string, t string").select("*", readability_parts("s").alias("sp"), readability_parts("t").alias("tp"))
+    got = d.select(shared_parts("p", {"s": "sp", "t": "tp"}).alias("got"), readability_parts("p").alias("want"))
+    assert all(tuple(r.got) == tuple(r.want) for r in got.collect())
+    spark.createDataFrame([(1, "a b", "en", "x")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    plan = QUERIES["flesch_corpus"](spark, tmpdir_path)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate inline(", 1)
+    assert above.count("[aeiouy") == 1 and below.count("[aeiouy") == 2
