@@ -218,3 +218,25 @@ def test_read_text_parts(spark, tmpdir_path):
     assert "".join(r.text for r in of("a.txt.gz")) == text and [r.part for r in of("a.txt.gz")] == list(range(len(of("a.txt.gz")))) and len(of("a.txt.gz")) > 5
     assert [r.status for r in of("b.txt.gz")][-1] == "error" and {r.status for r in of("b.txt.gz")[:-1]} <= {"ok"}
     assert [(r.text, r.status) for r in of("c.txt.gz")] == [("plain\n", "ok")]
+
+
+def test_documents_are_decoded_file_by_file(spark, tmpdir_path):
+    """The texts of large files don't wait for each other, small ones go together, and only
+    HTML reaches the patterns of markup."""
+    import pyarrow as pa
+    from redline.sources import readers
+    texts = ["é" * readers.INFLATED, "a", "b&amp;", "x\n" * readers.INFLATED, "c"]
+    raw = [gzip.compress(t.encode()) for t in texts]
+    raw[2] = raw[2][:-9]  # cut off
+    names = [f"{k}.txt.gz" for k in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(["txt"] * 4 + ["pdf"]), pa.array(raw, pa.binary())], names=["path", "doc_type", "content"])
+    out = list(readers._decode_files(iter([batch])))
+    assert [o.num_rows for o in out] == [1, 3, 1]
+    rows = [tuple(r.values()) for o in out for r in o.to_pylist()]
+    assert rows == [(n, k, t, s) for n, k, t, s in zip(names, ["txt"] * 4 + ["pdf"], [*texts[:2], "", texts[3], ""], ["ok", "ok", "error", "ok", "unsupported"], strict=True)]
+    with gzip.open(os.path.join(tmpdir_path, "a.txt.gz"), "wb") as f:
+        f.write(b"<p>1 &amp; 2")
+    got = read_documents(spark, tmpdir_path)
+    assert [r.text for r in got.collect()] == ["<p>1 &amp; 2"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("regexp_replace(CASE WHEN (doc_type") == plan.count("regexp_replace(") - plan.count("regexp_replace(translate(") > 0
