@@ -124,6 +124,13 @@ def aligned_edits(src_tok, tgt_tok) -> Column:
     return F.coalesce(pair_edits(_or_empty(pairs_to_align(s, t))), _unaligned_edits(s, t))
 
 
+def aligned_parts(name: str, src_tok, tgt_tok) -> dict[str, Column]:
+    """What `with_aligned_edits` makes in the JVM for the edits `name`, by column: the pair to be
+    aligned, and where there is none (which it asks of the column before) the edits."""
+    return {f"_pair_{name}": pairs_to_align(src_tok, tgt_tok),
+            f"_plain_{name}": F.when(F.col(f"_pair_{name}").isNull(), _unaligned_edits(_c(src_tok), _c(tgt_tok)))}
+
+
 def with_aligned_edits(df: DataFrame, pairs: dict, keep) -> DataFrame:
     """The columns `keep` of `df` and, by name, the `aligned_edits` of pairs (src, tgt) of its
     token columns.
@@ -131,12 +138,14 @@ def with_aligned_edits(df: DataFrame, pairs: dict, keep) -> DataFrame:
     Spark holds the rows that wait for a Python helper, on disk where memory is short. So what
     the pairs' arrays tell is made before, and the rows that wait have `keep`, their edits
     and, of those to be aligned, the pair. `pair` and `plain` are asked twice: Spark merges
-    a projection of columns that are asked once into the next, and the arrays would wait too."""
+    a projection of columns that are asked once into the next, and the arrays would wait too.
+    Columns of `aligned_parts` that are there already are taken."""
     from redline.operators.levenshtein import pair_edits
 
     pair, plain = {n: f"_pair_{n}" for n in pairs}, {n: f"_plain_{n}" for n in pairs}
-    d = df.select("*", *[pairs_to_align(s, t).alias(pair[n]) for n, (s, t) in pairs.items()])
-    d = d.select(*keep, *pair.values(), *[F.when(F.col(pair[n]).isNull(), _unaligned_edits(_c(s), _c(t))).alias(plain[n]) for n, (s, t) in pairs.items()])
+    made = {k: c for n, (s, t) in pairs.items() for k, c in aligned_parts(n, s, t).items() if k not in df.columns}
+    d = df.select("*", *[made[c].alias(c) for c in pair.values() if c in made])
+    d = d.select(*keep, *pair.values(), *[made[c].alias(c) if c in made else F.col(c) for c in plain.values()])
     kept = [c for c in d.columns if c not in (*pair.values(), *plain.values())]
     return d.select(*kept, *[F.when(F.col(pair[n]).isNull(), F.col(plain[n])).otherwise(
         F.coalesce(pair_edits(_or_empty(F.col(pair[n]))), F.col(plain[n]))).alias(n) for n in pairs])

@@ -98,22 +98,45 @@ def macro_prf(p_avg: Column, r_avg: Column) -> list[Column]:
             f_beta(p_avg, r_avg).alias("m2_f0_5")]
 
 
+def grammar_parts(line: str = "line", source: str = "input_text", target: str = "target_text") -> dict[str, Column]:
+    """What `grammar_record` needs of source (the column `line`) and target alone, by the names
+    that it looks for, each made from those before: tokens, words, their GLEU and the reference edits."""
+    from redline.operators.edits import aligned_parts
+
+    def both(kind: str, make) -> dict[str, Column]:
+        return {source + kind: make(line), target + kind: F.when(F.col(target) == F.col(line), F.col(source + kind)).otherwise(make(target))}
+
+    return {**both("__tok", tokens), **both("__words", words), source + "__gleu": gleu(source + "__tok", target + "__tok"),
+            **aligned_parts("_re", source + "__words", target + "__words")}
+
+
 def grammar_record(df: DataFrame, group_cols=(), source="input_text",
                    prediction="prediction", target="target_text",
                    tokenizer: str = "portable") -> DataFrame:
     """M-10 (grammar): total, exact matches, accuracy, GLEU x100 and micro edit
-    P/R/F0.5 (edits = aligned token edits of each side vs the source, R-08/R-09)."""
+    P/R/F0.5 (edits = aligned token edits of each side vs the source, R-08/R-09). What
+    `grammar_parts` makes of source and target is taken where it is there, and a prediction
+    that is one of them takes theirs."""
     from redline.operators.edits import edit_confusion, with_aligned_edits
 
+    shared = tokenizer == "portable" and grammar_parts(source, source, target).keys() <= set(df.columns)
+
+    def of(col: str, kind: str, make) -> Column:
+        if not shared:
+            return make(col)
+        if col != prediction:
+            return F.col(col + kind)
+        return F.when(F.col(col) == F.col(source), F.col(source + kind)).when(F.col(col) == F.col(target), F.col(target + kind)).otherwise(make(col))
+
+    tok = lambda c: tokens(c, tokenizer)
+    valid = F.col(source).isNotNull() & F.col(prediction).isNotNull() & F.col(target).isNotNull()
+    ready = [F.when(F.col(prediction) == F.col(source), F.col(source + "__gleu")).alias("_g0"), "_pair__re", "_plain__re"] if shared else [F.lit(None).cast("double").alias("_g0")]
     rows = df.select(
-        *group_cols,
-        exact_match(prediction, target).alias("_em"),
-        F.col(source).alias("_src"), F.col(prediction).alias("_pred"), F.col(target).alias("_tgt"),
-        tokens(prediction, tokenizer).alias("_p"), tokens(target, tokenizer).alias("_r"))
-    valid = F.col("_src").isNotNull() & F.col("_pred").isNotNull() & F.col("_tgt").isNotNull()
-    rows = rows.select("_em", "_p", "_r", *group_cols, valid.alias("_ok"), words("_src").alias("_a"), words("_pred").alias("_b"), words("_tgt").alias("_t"))
+        *group_cols, exact_match(prediction, target).alias("_em"), valid.alias("_ok"), *ready,
+        of(prediction, "__tok", tok).alias("_p"), of(target, "__tok", tok).alias("_r"),
+        of(source, "__words", words).alias("_a"), of(prediction, "__words", words).alias("_b"), of(target, "__words", words).alias("_t"))
     gleu_row = F.when(F.col("_p").isNull() | F.col("_r").isNull(), F.lit(0.0)) \
-                .otherwise(gleu("_p", "_r"))
+                .when(F.col("_g0").isNotNull(), F.col("_g0")).otherwise(gleu("_p", "_r"))
     rows = with_aligned_edits(rows, {"_he": ("_a", "_b"), "_re": ("_a", "_t")}, ["_em", *group_cols, "_ok", gleu_row.alias("_g")])
     rows = rows.select("_em", *group_cols, "_g", F.when(F.col("_ok"), edit_confusion("_he", "_re")).alias("_c"))
     agg = _group(rows, group_cols).agg(

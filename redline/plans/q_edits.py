@@ -188,7 +188,7 @@ SELECT c.model, count(*) AS total_examples,
 FROM c JOIN scored g USING (doc_id, line_no, model) GROUP BY c.model""")
 def grammar_record(spark, sf_dir):
     """M-10 (grammar): exact match, GLEU x100 and micro edit P/R/F0.5 per model."""
-    r = M.grammar_record(triples(spark, sf_dir, models=EDIT_MODELS), ["model"])
+    r = M.grammar_record(triples(spark, sf_dir, models=EDIT_MODELS, made=M.grammar_parts()), ["model"])
     return r.select("model", "total_examples", "exact_matches",
                     *[r6(c).alias(c) for c in ("exact_match_accuracy", "gleu_score", "m2_precision",
                                                "m2_recall", "m2_f0_5")], "_tp", "_fp", "_fn") \

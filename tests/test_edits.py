@@ -295,3 +295,22 @@ def test_aligned_edits_are_those_of_the_alignment(spark):
         assert r.got == (r.want or []), (r.a, r.b)
     moved = next(r for r in rows if r.a == list("abcd"))
     assert [(e.o_start, e.o_end, e.c_str, e.type) for e in moved.got] == [(0, 1, "", "U"), (4, 4, "a", "M")]
+
+
+def test_grammar_record_takes_what_is_made(spark):
+    """The parts of source and target that are made before the models multiply the lines give
+    the record that each row's own give; the reference edits are made below that step."""
+    from redline.operators.metrics import grammar_parts, grammar_record
+    lines = [("a b the c d", "a b a c d"), ("x y", "x y"), ("p q r s", "q r s p"), ("", ""), ("The the a", "The a"), ("a a b", "b a a b")]
+    preds = ["a b the c d", "a b a c d", "x y z", "", "q r s p", None]
+    d = spark.createDataFrame(lines, "line string, target_text string")
+    made = d
+    for n, c in grammar_parts().items():
+        made = made.withColumn(n, c)
+    each = F.explode(F.array(*[F.lit(p) for p in preds])).alias("prediction")
+    plain = d.select(F.col("line").alias("input_text"), "target_text", each)
+    ready = made.select(F.col("line").alias("input_text"), *[c for c in made.columns if c != "line"], each)
+    got, want = grammar_record(ready, ["prediction"]), grammar_record(plain, ["prediction"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    above, below = got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(", 1)
+    assert "_pair__re" in below and "_pair__re" not in want._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(", 1)[1]
